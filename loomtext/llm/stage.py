@@ -1,59 +1,5 @@
-"""Where intermediate tables live, and the session settings the operators need."""
+"""Session helpers of the operators, from the library's shared plans."""
 
-from __future__ import annotations
+from loomtext.plans.shared import Scratch, drop_folder, new_folder, shared_dir, small_batches, tables
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session has none (tests in local mode) a temporary folder
-    is made and put there.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def drop_folder(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-class Scratch:
-    """Tables written in the shared folder; each cuts the lineage behind it."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, {}
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Writes df and gives the written table."""
-        path = new_folder(self.spark, self.name)
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = (path, out)
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that nothing will read again."""
-        path, _ = self.paths.pop(id(df))
-        drop_folder(self.spark, path)
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of few rows: texts may be long, and a worker holds a batch whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
-    return [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]
+__all__ = ["Scratch", "drop_folder", "new_folder", "shared_dir", "small_batches", "tables"]
