@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, quality_rules
+from . import line_dedup, near_dedup, quality_rules, substring_dedup
 from .stage import tables
 
 
@@ -18,6 +18,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return substring_dedup.dedup_substrings(docs)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     return quality_rules.assess(docs)
@@ -26,6 +31,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op8_quality_rules": op8_quality_rules,
 }
 
@@ -69,7 +75,25 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = comp
 FROM sets JOIN component ON node = doc_id
 """
 
+_OP4_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i+19], ' ')))) AS h FROM words),
+later AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, p + o AS p FROM later, range(0, 20) AS r(o)),
+each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words),
+marked AS (SELECT e.*, g.p IS NOT NULL AS removed FROM each e LEFT JOIN gone g USING (doc_id, p)),
+summed AS (
+  SELECT doc_id, count(*) FILTER (removed) AS n_removed,
+         string_agg(word, ' ' ORDER BY p) FILTER (NOT removed) AS kept FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN summed USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": _OP4_SQL,
     "op1_near_dedup": _OP1_SQL,
     "op3_line_dedup": _OP3_SQL,
 }
