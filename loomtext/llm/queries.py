@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, quality_rules, substring_dedup
+from . import line_dedup, near_dedup, quality_rules, substring_dedup, token_files
 from .stage import tables
 
 
@@ -23,6 +23,18 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs)
 
 
+def word_tokenizer() -> str:
+    """Where the vocabulary of the registered queries lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return token_files.token_table(docs, word_tokenizer())
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     return quality_rules.assess(docs)
@@ -32,6 +44,7 @@ QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
 }
 
