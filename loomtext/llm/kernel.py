@@ -26,6 +26,10 @@ _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but digits and letters.
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[:128] = True
+PUNCTUATION[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -93,12 +97,13 @@ class Words:
 
     starts, ends: byte places in docs.data; per_doc: document i has the words
     per_doc[i]:per_doc[i+1]; hashes: of each word, of its lower-cased form
-    (A-Z only) if asked for.
+    (A-Z only) if asked for.  Other separators than white space can be given as
+    a table of bytes.
     """
 
-    def __init__(self, docs: Docs, lower: bool, hashed: bool = True):
+    def __init__(self, docs: Docs, lower: bool, hashed: bool = True, separators: np.ndarray = _SPACE):
         data, self.docs = docs.data, docs
-        solid = ~_SPACE[data]
+        solid = ~separators[data]
         before = np.zeros(len(data), bool)
         before[1:] = solid[:-1]
         cuts = docs.offsets[:-1]

@@ -11,12 +11,15 @@ similarity 75/100 are linked; a component is what links reach.
    a pair at J = 0.75 shares none with chance (1 - 0.75**4)**40 = 3e-7.
 2. Equal digests are one class; only its smallest id goes on, so thousands of
    copies cost one row.
-3. Within each band bucket a few members are centres; every member of another
-   component is compared with them on full sets, links are contracted to
-   components, the centres leave the bucket.  Rounds go on until each bucket
-   lies in one component or has no uncompared pair left, so no pair of a
-   bucket is lost, and a large group is never expanded into all its pairs
-   unless its members really are all unlinked.
+3. In each band bucket the smallest id is compared with all other members on
+   full sets; links are contracted to components.  What is left are pairs of a
+   bucket whose members still lie in different components, without the
+   smallest id.  In buckets of at most ``SMALL`` members they are compared pair
+   by pair.  Larger ones are cut into blocks of about ``BLOCK`` texts; a task
+   gets two blocks, counts all intersections as a product of incidence
+   matrices and gives back only links that join components.  So no pair that
+   shares a bucket is lost, while a large group costs no row for each pair;
+   members of its main component are not compared with one another.
 
 Edge cases: null or empty text has the empty set (n_shingles 0) and is linked
 with nothing; rows with a null id are linked with nothing, component null,
@@ -42,8 +45,10 @@ from .stage import Scratch, small_batches
 SHINGLE = 5
 PERMUTATIONS, ROWS = 80, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Centres of a bucket in each round, the last for all further rounds.
-CENTRES = (1, 1, 4, 16, 32)
+#: Buckets of more members are compared in blocks of about BLOCK texts.
+SMALL, BLOCK = 64, 256
+#: A block holds about this many shingles at most, and a matrix so many columns.
+BLOCK_SHINGLES, COLUMNS = 400_000, 4096
 #: Ids up to this many (8 bytes each) are broadcast to pick texts.
 BROADCAST_IDS = 1_000_000
 #: Pairs are compared in runs of about this many bytes of text.
@@ -136,6 +141,65 @@ def _linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     return pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(partial(_confirm, n=n, percent=percent), "a long, b long")
 
 
+def _unit_links(unit: pa.Table, n: int, percent: int) -> pa.Table:
+    """Links between the left and the right rows of a unit that join different components."""
+    left = np.array(unit.column("left").to_pylist(), bool)
+    right = np.array(unit.column("right").to_pylist(), bool)
+    ids, component = unit.column("id").to_numpy(), unit.column("component").to_numpy()
+    owner, hashes = _sets(unit.column("text").to_pylist(), n)
+    size = np.bincount(owner, minlength=len(ids))
+    order = np.argsort(hashes, kind="stable")
+    owner, hashes = owner[order], hashes[order]
+    column = np.cumsum(np.concatenate([[0], hashes[1:] != hashes[:-1]])) if len(hashes) else hashes.astype(np.int64)
+    shared = np.zeros((left.sum(), right.sum()), np.float32)
+    row_l, row_r = np.cumsum(left) - 1, np.cumsum(right) - 1
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [start, start + COLUMNS])
+        o, c = owner[a:b], column[a:b] - start
+        sides = []
+        for mine, row in ((left, row_l), (right, row_r)):
+            here = mine[o]
+            m = np.zeros((mine.sum(), COLUMNS), np.float32)
+            m[row[o[here]], c[here]] = 1
+            sides.append(m)
+        shared += sides[0] @ sides[1].T
+    i, j = np.flatnonzero(left), np.flatnonzero(right)
+    both = size[i][:, None] + size[j][None, :] - shared
+    linked = (shared > 0) & (100 * shared >= percent * both) & (component[i][:, None] != component[j][None, :])
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.get(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in np.argwhere(linked):
+        u, v = find(int(component[i[x]])), find(int(component[j[y]]))
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            out.append((ids[i[x]], ids[j[y]]))
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+
+def _by_blocks(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links in large buckets: members has bucket, id, component, is_main and the bucket's block counts."""
+    own = F.pmod(F.xxhash64("id", "bucket"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("blocks")))
+    placed = members.withColumn("own", own)
+    others = F.sequence(F.lit(0), F.col("blocks") - 1)
+    mains = F.when(F.col("main_blocks") > 0, F.sequence(F.lit(0), F.col("main_blocks") - 1)).otherwise(F.array().cast("array<bigint>"))
+    unit = lambda kind, i, j, left, right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    yes, no = F.lit(True), F.lit(False)
+    # an outside member meets each block of outside members and each block of the main component
+    outside = F.concat(
+        F.transform(others, lambda k: unit(0, F.least(F.col("own"), k), F.greatest(F.col("own"), k), F.col("own") <= k, F.col("own") >= k)),
+        F.transform(mains, lambda k: unit(1, F.col("own"), k, yes, no)),
+    )
+    main = F.transform(others, lambda k: unit(1, k, F.col("own"), no, yes))
+    units = placed.select("bucket", "id", "component", F.explode(F.when(F.col("is_main"), main).otherwise(outside)).alias("u")).select("bucket", "id", "component", "u.*")
+    return units.join(texts, "id").groupBy("bucket", "kind", "i", "j").applyInArrow(lambda unit: _unit_links(unit, n, percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, n: int = SHINGLE) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -146,32 +210,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sketch.filter("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("rep"))
     named = scratch.keep(sketch.select("id", "n", "d1", "d2").join(classes, ["n", "d1", "d2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
 
-    entries = sketch.filter("n > 0").join(named.filter("n > 0 and id = rep").select("id").distinct(), "id", "left_semi").select("id", F.explode("bands").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.min("id").alias("centre"), F.max("id").alias("other")).filter("centre <> other").drop("other")
-    # an id that repeats with several texts has classes of its own; they are one node
-    links = named.filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct().join(named.groupBy("id").agg(F.count_distinct("rep").alias("k")).filter("k > 1").select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
-    buckets = scratch.keep(entries.join(shared, "bucket").select("bucket", "id", "centre"))
-    ids = buckets.select("id").distinct()
+    reps = named.filter("n > 0 and id = rep").select("id").distinct()
+    entries = sketch.filter("n > 0").join(reps, "id", "left_semi").select("id", "n", F.explode("bands").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("centre"), F.max("id").alias("last")).filter("centre.id <> last").select("bucket", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n"))
+    buckets = scratch.keep(entries.join(shared, "bucket").filter("id <> centre"))
+    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else the sets' sizes rule a link out
+    ids = buckets.select("id").unionByName(buckets.select(F.col("centre").alias("id"))).distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = scratch.keep(source.join(ids, "id", "left_semi"))
-    links = scratch.keep(links.unionByName(_linked(buckets.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), texts, n, percent)))
-    buckets_left = buckets.filter("id <> centre").select("bucket", "id")
+    # an id that repeats with several texts has classes of its own; they are one node
+    several = named.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("id")
+    same_id = named.join(several, "id", "left_semi").filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    stars = buckets.filter(fits(F.col("n"), F.col("centre_n"))).select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+    links = scratch.keep(same_id.unionByName(_linked(stars, texts, n, percent)))
     component = scratch.keep(connected_components(links, "a", "b"))
-    k = 0
-    while True:
-        k += 1
-        named_now = buckets_left.join(component.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-        named_now = scratch.keep(named_now)
-        open_ = named_now.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members")).filter("lo <> hi").select("bucket", "members")
-        members = scratch.keep(named_now.join(open_, "bucket"))
-        if members.isEmpty():
-            break
-        draw = F.pmod(F.xxhash64("id", "bucket", F.lit(k)), F.col("members")) < CENTRES[min(k, len(CENTRES) - 1)]
-        members = scratch.keep(members.withColumn("is_centre", draw))
-        centres = members.filter("is_centre").select("bucket", F.col("id").alias("centre"), F.col("component").alias("centre_in"))
-        pairs = members.join(centres, "bucket").filter("component <> centre_in").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b")).distinct()
-        links = scratch.keep(links.unionByName(_linked(pairs, texts, n, percent)))
-        component = scratch.keep(connected_components(links, "a", "b"))
-        buckets_left = members.filter("not is_centre").select("bucket", "id")
+
+    left = buckets.select("bucket", "id", "n").join(component.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    parts = left.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
+    open_ = parts.groupBy("bucket").agg(F.count("*").alias("components"), F.sum("m").alias("members"), F.max(F.struct("m", "component", "n")).alias("main"), F.sum("n").alias("n"))
+    blocks = lambda m, k: F.greatest(F.ceil(m / BLOCK), F.ceil(k / BLOCK_SHINGLES))
+    open_ = open_.filter("components > 1").select("bucket", "members", F.col("main.component").alias("main"), blocks(F.col("main.m"), F.col("main.n")).alias("main_blocks"), blocks(F.col("members") - F.col("main.m"), F.col("n") - F.col("main.n")).alias("blocks"))
+    members = scratch.keep(left.join(open_, "bucket"))
+    small = members.filter(F.col("members") <= SMALL).select("bucket", "id", "n", "component")
+    other = small.toDF("bucket", "id_2", "n_2", "component_2")
+    pairs = small.join(other, "bucket").filter("component < component_2").filter(fits(F.col("n"), F.col("n_2"))).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
+    large = members.filter(F.col("members") > SMALL).withColumn("is_main", F.col("component") == F.col("main"))
+    more = scratch.keep(_linked(pairs, texts, n, percent).unionByName(_by_blocks(large, texts, n, percent)))
+    if not more.isEmpty():
+        component = scratch.keep(connected_components(links.unionByName(more), "a", "b"))
     out = named.join(component.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))

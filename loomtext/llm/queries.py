@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, near_dedup, quality_rules, substring_dedup, token_files
+from . import decontaminate, license_scan, line_dedup, near_dedup, quality_rules, substring_dedup, token_files
 from .stage import tables
 
 
@@ -13,6 +13,11 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs)
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = tables(spark, sf_dir, "documents", "benchmark")
+    return decontaminate.find_leaks(docs, items)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     (docs,) = tables(spark, sf_dir, "documents")
     return line_dedup.dedup_lines(docs)
@@ -40,12 +45,19 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(docs)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return license_scan.scan_licenses(docs)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_decontaminate": op2_decontaminate,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
+    "op9_license_scan": op9_license_scan,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -105,7 +117,46 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM words LEFT JOIN summed USING (doc_id)
 """
 
+_TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(license_scan.TEMPLATES))
+_OP9_SQL = rf"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+each AS (
+  SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c
+  FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM words)),
+base AS (
+  SELECT doc_id, i, CASE WHEN a = 'mit' THEN 'mit' WHEN a = 'apache' THEN 'apache' ELSE 'gpl' END AS label FROM each
+  WHERE (a IN ('mit', 'apache') AND b = 'license') OR (a = 'general' AND b = 'public' AND c = 'license')),
+templates AS (SELECT t.*, string_split(text, ' ') AS tw FROM (VALUES {_TEMPLATE_ROWS}) AS t(template, label, text)),
+grams AS (
+  SELECT template, label, len(tw) AS length, j, tw[j + 1] AS a, tw[j + 2] AS b, tw[j + 3] AS c
+  FROM (SELECT *, unnest(range(0, len(tw) - 2)) AS j FROM templates)),
+diagonals AS (
+  SELECT doc_id, template, label, length, i - j AS d, list(DISTINCT j) AS js, min(i) AS lo, max(i) AS hi
+  FROM each JOIN grams USING (a, b, c) GROUP BY ALL),
+marked AS (
+  SELECT *, coalesce(d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) > 2, true)::INT AS apart FROM diagonals),
+numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY d) AS span FROM marked),
+merged AS (
+  SELECT doc_id, template, label, length, span, min(lo) AS lo, max(hi) + 2 AS hi,
+         list_distinct(flatten(list_transform(flatten(list(js)), lambda j: [j, j + 1, j + 2]))) AS covered
+  FROM numbered GROUP BY doc_id, template, label, length, span),
+good AS (
+  SELECT doc_id, label, len(covered) / length AS cover FROM merged
+  WHERE len(covered) / length >= 0.7 AND hi - lo + 1 <= 1.5 * length),
+scored AS (SELECT doc_id, max(cover) AS score FROM good GROUP BY doc_id),
+labelled AS (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM good),
+named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM labelled GROUP BY doc_id),
+summed AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM base GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM words LEFT JOIN summed USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN scored USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op9_license_scan": _OP9_SQL,
     "op4_substring_dedup": _OP4_SQL,
     "op1_near_dedup": _OP1_SQL,
     "op3_line_dedup": _OP3_SQL,
