@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, line_dedup, near_dedup, quality_rules, substring_dedup, token_files
+from . import decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, token_files, url_filter
 from .stage import tables
 
 
@@ -28,6 +28,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs)
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return mixing.mix_sources(docs)
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (pages,) = tables(spark, sf_dir, "pages")
+    return url_filter.filter_urls(pages)
+
+
 def word_tokenizer() -> str:
     """Where the vocabulary of the registered queries lies."""
     import public_tokenizers
@@ -50,14 +60,22 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(docs)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return secret_scan.scan_secrets(docs)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_url_filter": op6_url_filter,
     "op7_token_files": op7_token_files,
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -155,7 +173,44 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base,
 FROM words LEFT JOIN summed USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN scored USING (doc_id)
 """
 
+_RULE_ROWS = ", ".join(f"('{host}', '{path}', '{what}')" for host, path, what in url_filter.RULES)
+_OP6_SQL = rf"""
+WITH parsed AS (
+  SELECT page_id, coalesce(url, '') AS url,
+         {_LOWER.format("regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's')")} AS host,
+         regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path,
+         regexp_extract(coalesce(url, ''), '^.*?://[^?#]*\?([^#]*)', 1, 's') AS query FROM pages),
+tokens AS (
+  SELECT *, list_sort(list_distinct(list_transform(
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x)
+    || list_transform(list_filter([array_to_string(string_split(host, '.')[-2:], '.')], lambda x: x <> ''), lambda x: 'd:' || x)
+    || list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || x)
+    || list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: string_split(x, '=')[1]), lambda x: x <> ''), lambda x: 'q:' || x),
+    lambda x: x[1:2] || regexp_replace(x[3:], '[0-9]+', '#', 'g')))) AS t FROM parsed),
+rules(rule_host, rule_path, what) AS (VALUES {_RULE_ROWS}),
+fixed AS (
+  SELECT page_id, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule, arg_max(what, length(rule_host || rule_path)) AS fixed
+  FROM tokens JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id),
+judged AS MATERIALIZED (SELECT * FROM tokens LEFT JOIN fixed USING (page_id)),
+known AS (SELECT page_id, t, fixed AS label FROM judged WHERE fixed IS NOT NULL AND len(t) > 0),
+one AS (SELECT page_id, label, unnest(t) AS a FROM known),
+ante AS (
+  SELECT page_id, label, [a] AS x FROM one
+  UNION ALL SELECT p.page_id, p.label, [p.a, q.a] FROM one p JOIN one q ON p.page_id = q.page_id AND p.a < q.a),
+counted AS (SELECT x, count(*) AS n, count(*) FILTER (label = 'block') AS block, count(*) FILTER (label = 'allow') AS allow FROM ante GROUP BY x),
+mined AS (
+  SELECT x, label, m / n AS confidence FROM counted, LATERAL (VALUES ('block', block), ('allow', allow)) AS v(label, m)
+  WHERE m >= ceil({url_filter.MIN_SUPPORT} * (SELECT count(*) FROM known)) AND m / n >= {url_filter.MIN_CONFIDENCE}),
+open AS (SELECT DISTINCT t FROM judged WHERE fixed IS NULL),
+best AS (
+  SELECT t, coalesce(max(confidence) FILTER (label = 'block'), 0) > coalesce(max(confidence) FILTER (label = 'allow'), 0) AS blocked
+  FROM open JOIN mined ON list_has_all(t, x) GROUP BY t)
+SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged LEFT JOIN best USING (t)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_url_filter": _OP6_SQL,
     "op9_license_scan": _OP9_SQL,
     "op4_substring_dedup": _OP4_SQL,
     "op1_near_dedup": _OP1_SQL,
