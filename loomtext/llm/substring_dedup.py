@@ -39,6 +39,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,8 +122,8 @@ def _local_repeats(batches: Iterator[pa.RecordBatch], window: int, anchor: int)
 
 def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A column of lists of (start, n): the lists' offsets, starts, ns; null is an empty list."""
-    sizes = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], np.int64)
-    flat = pa.compute.list_flatten(column)
+    sizes = np.array([0 if x is None else x for x in pc.list_value_length(column).to_pylist()], np.int64)
+    flat = pc.list_flatten(column)
     return np.concatenate([[0], np.cumsum(sizes)]), flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
 
 
