@@ -220,11 +220,14 @@ def _(t):
 
 
 _BLOCKS = M.BLOCK_TAGS
+_DECODED = "x"
+for _name, _char in M.ENTITIES:
+    _DECODED = f"replace({_DECODED}, '{_name}', '{_char.replace(chr(39), chr(39) * 2)}')"
 
 
 @C.add("html_to_text", f"""
 WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', '', 'gis'), '</?({_BLOCKS})[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'gs') AS x FROM pages),
-b AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x FROM a)
+b AS (SELECT page_id, {_DECODED} AS x FROM a)
 SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), '\\s*\\n\\s*', chr(10), 'g')) AS text FROM b
 """)
 def _(t):
