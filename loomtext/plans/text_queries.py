@@ -10,7 +10,11 @@ from loomtext.functions import vectors as V
 from .catalog import SQL_MARKS, SQL_N_WORDS, Catalog, sql_count, sql_words
 
 C = Catalog()
-text = F.col("text")
+
+
+def text_() -> F.Column:
+    return F.col("text")
+
 _quoted = lambda found: ", ".join(f"'{w}'" for w in found)
 _LOW = sql_words("lower(text)")
 _TRIMMED = f"list_transform({_LOW}, lambda w: regexp_replace(regexp_replace(w, '^[.,!?;:\"''()\\[\\]]+', ''), '[.,!?;:\"''()\\[\\]]+$', ''))"
@@ -25,7 +29,7 @@ SELECT doc_id, len(w) AS n_words, array_to_string(w[1:20], ' ') AS first_words
 FROM (SELECT doc_id, list_filter(list_transform({_LOW}, lambda w: regexp_replace(w, '[.,!?;:()\\[\\]{{}}"''\\-]', '', 'g')), lambda w: strlen(w) > 2) AS w FROM documents)
 """)
 def _(t):
-    return t("documents").select("doc_id", T.clean_words(text, 2).alias("w")).select("doc_id", F.size("w").alias("n_words"), F.array_join(F.slice("w", 1, 20), " ").alias("first_words"))
+    return t("documents").select("doc_id", T.clean_words(text_(), 2).alias("w")).select("doc_id", F.size("w").alias("n_words"), F.array_join(F.slice("w", 1, 20), " ").alias("first_words"))
 
 
 @C.add("text_content_words", f"""
@@ -34,7 +38,7 @@ FROM (SELECT doc_id, list_filter(list_transform({_LOW}, lambda w: regexp_replace
       lambda w: strlen(w) > 2 AND NOT w IN ({_quoted(T.STOP_WORDS)})) AS w FROM documents)
 """)
 def _(t):
-    return t("documents").select("doc_id", T.content_words(text).alias("w")).select("doc_id", F.size("w").alias("n_words"), F.array_join(F.slice(F.array_sort(F.array_distinct("w")), 1, 20), " ").alias("some_words"))
+    return t("documents").select("doc_id", T.content_words(text_()).alias("w")).select("doc_id", F.size("w").alias("n_words"), F.array_join(F.slice(F.array_sort(F.array_distinct("w")), 1, 20), " ").alias("some_words"))
 
 
 _THEME_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{'|'.join(found)}') THEN '{name}' END" for name, found in T.THEMES.items()) + "], lambda x: x IS NOT NULL)"
@@ -42,7 +46,7 @@ _THEME_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text),
 
 @C.add("text_themes", f"SELECT doc_id, array_to_string({_THEME_SQL}, ',') AS themes FROM documents")
 def _(t):
-    return t("documents").select("doc_id", F.array_join(T.themes(text), ",").alias("themes"))
+    return t("documents").select("doc_id", F.array_join(T.themes(text_()), ",").alias("themes"))
 
 
 @C.add("text_sentiment", f"""
@@ -55,7 +59,7 @@ SELECT conv_id, turn, round(polarity, 6) AS polarity, round(least(share, 1.0), 6
        round(CASE WHEN pos + neg > 0 THEN share ELSE 0.1 END, 6) AS confidence FROM p
 """)
 def _(t):
-    s = t("conversations").select("conv_id", "turn", T.sentiment(text).alias("s")).select("conv_id", "turn", "s.*")
+    s = t("conversations").select("conv_id", "turn", T.sentiment(text_()).alias("s")).select("conv_id", "turn", "s.*")
     return s.select("conv_id", "turn", r("polarity").alias("polarity"), r("subjectivity").alias("subjectivity"), "emotion", r("confidence").alias("confidence"))
 
 
@@ -72,7 +76,7 @@ SELECT doc_id, round(least({_RATE} / 20, 1.0), 6) AS complexity,
        round(least(0.5 * {_RATE} / 20 + 0.5 * {_DIVERSITY}, 1.0), 6) AS content_complexity FROM documents
 """)
 def _(t):
-    return t("documents").select("doc_id", r(T.complexity(text)).alias("complexity"), r(T.semantic_complexity(text)).alias("semantic_complexity"), r(T.content_complexity(text)).alias("content_complexity"))
+    return t("documents").select("doc_id", r(T.complexity(text_())).alias("complexity"), r(T.semantic_complexity(text_())).alias("semantic_complexity"), r(T.content_complexity(text_())).alias("content_complexity"))
 
 
 @C.add("text_quality", f"""
@@ -87,7 +91,7 @@ SELECT doc_id, round(quality, 6) AS quality, round(length, 6)::DOUBLE AS length,
          CASE WHEN readability < 0.5 THEN 'readability' END, CASE WHEN informativeness < 0.5 THEN 'informativeness' END], lambda x: x IS NOT NULL), ',') AS issues FROM d
 """)
 def _(t):
-    d = t("documents").select("doc_id", r(T.quality(text)).alias("quality"), T.assess_quality(text).alias("a")).select("doc_id", "quality", "a.*")
+    d = t("documents").select("doc_id", r(T.quality(text_())).alias("quality"), T.assess_quality(text_()).alias("a")).select("doc_id", "quality", "a.*")
     return d.select("doc_id", "quality", *[r(c).alias(c) for c in ("length", "structure", "readability", "informativeness", "score")], F.array_join("issues", ",").alias("issues"))
 
 
@@ -99,7 +103,7 @@ SELECT doc_id, round(CASE WHEN {SQL_N_WORDS} = 0 THEN 0.0 ELSE least(greatest(20
        round(CASE WHEN {SQL_N_WORDS} = 0 THEN 0.0 ELSE least(greatest(100 - 1.015 * {SQL_N_WORDS} / {SQL_MARKS} - 84.6 * strlen(text) / {SQL_N_WORDS}, 0.0), 100.0) END, 6) AS simple FROM documents
 """)
 def _(t):
-    return t("documents").select("doc_id", r(T.flesch(text), 9).alias("flesch"), r(T.readability_simple(text)).alias("simple"))
+    return t("documents").select("doc_id", r(T.flesch(text_()), 9).alias("flesch"), r(T.readability_simple(text_())).alias("simple"))
 
 
 @C.add("text_structure", f"""
@@ -109,7 +113,7 @@ SELECT doc_id, {sql_count("text", "#")} + {sql_count("text", "<h")} AS headers,
        round(coalesce(strlen(regexp_replace(text, '[ \\t\\n\\r]', '', 'g')) / nullif(strlen(text), 0), 0.0), 6) AS density FROM documents
 """)
 def _(t):
-    d = t("documents").select("doc_id", T.structure_counts(text).alias("a"), T.chunk_structure(text).alias("b"), r(T.content_density(text)).alias("density"))
+    d = t("documents").select("doc_id", T.structure_counts(text_()).alias("a"), T.chunk_structure(text_()).alias("b"), r(T.content_density(text_())).alias("density"))
     return d.select("doc_id", "a.headers", "a.lists", "a.code_blocks", "a.tables", "b.sentences", "b.words", "b.bytes", "b.has_question", "b.has_emphasis", "density")
 
 
@@ -119,7 +123,7 @@ SELECT doc_id, CASE WHEN coalesce(len(list_filter({sql_words("lower(substr(text,
             WHEN contains(text, '@') AND contains(text, '.') THEN 'contact_info' ELSE 'text' END AS content_type FROM documents
 """)
 def _(t):
-    return t("documents").select("doc_id", T.detect_language(text).alias("language"), T.content_type(text).alias("content_type"))
+    return t("documents").select("doc_id", T.detect_language(text_()).alias("language"), T.content_type(text_()).alias("content_type"))
 
 
 _PUNCT = sql_count("text", "[.,!?;:()\\[\\]{}\"'']")
@@ -134,7 +138,7 @@ SELECT doc_id, {SQL_N_WORDS} + {_PUNCT} // 2 AS by_word, {SQL_N_WORDS} + {_PUNCT
 """)
 def _(t):
     kinds = {"by_word": "word", "simple": "simple", "by_regex": "regex", "long_words": "long_words", "pieces": "pieces", "chars": "chars"}
-    return t("documents").select("doc_id", *[T.count_tokens(text, k).alias(n) for n, k in kinds.items()])
+    return t("documents").select("doc_id", *[T.count_tokens(text_(), k).alias(n) for n, k in kinds.items()])
 
 
 @C.add("text_preprocess", """
@@ -142,7 +146,7 @@ WITH s AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS s FROM
 SELECT doc_id, CASE WHEN length(s) <= 200 THEN s ELSE regexp_replace(substr(s, 1, 200), ' [^ ]*$', '') END AS text FROM s
 """)
 def _(t):
-    return t("documents").select("doc_id", T.preprocess_text(text, 50).alias("text"))
+    return t("documents").select("doc_id", T.preprocess_text(text_(), 50).alias("text"))
 
 
 _OPENERS = T.TRANSITIONS + T.LIST_OPENERS
@@ -162,7 +166,7 @@ def _(t):
 
     o = Window.partitionBy("conv_id").orderBy("turn")
     p = t("conversations").select("conv_id", "turn", "text", F.lead("text").over(o).alias("after")).filter("after is not null")
-    return p.select("conv_id", "turn", T.is_topic_boundary(text, F.col("after")).alias("boundary"))
+    return p.select("conv_id", "turn", T.is_topic_boundary(text_(), F.col("after")).alias("boundary"))
 
 
 _RULE_SQL = "CASE " + " ".join(f"WHEN strlen(text) BETWEEN {lo} AND {hi} AND regexp_matches(lower(text), '{'|'.join(k)}') THEN '{rule}'" for rule, _, _, k, lo, hi in T.MEMORY_RULES) + " END"
@@ -174,7 +178,7 @@ SELECT conv_id, turn, rule, CASE rule WHEN 'important_facts' THEN 'fact' WHEN 'p
        CASE rule WHEN 'important_facts' THEN 0.8 WHEN 'preferences' THEN 0.7 ELSE 0.9 END::DOUBLE AS importance FROM m WHERE rule IS NOT NULL
 """)
 def _(t):
-    return t("conversations").select("conv_id", "turn", T.extract_memory(text).alias("m")).filter("m is not null").select("conv_id", "turn", "m.*")
+    return t("conversations").select("conv_id", "turn", T.extract_memory(text_()).alias("m")).filter("m is not null").select("conv_id", "turn", "m.*")
 
 
 @C.add("text_insights", """
