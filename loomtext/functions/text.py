@@ -34,6 +34,12 @@ EDGE_MARKS = r"""[.,!?;:"'()\[\]]"""
 CLEANED_MARKS = r"""[.,!?;:()\[\]{}"'\-]"""
 
 
+def ascii_edges(pattern: str) -> str:
+    r"""The pattern with \b between ASCII word characters and others (Java's own knows more letters)."""
+    w = "[A-Za-z0-9_]"
+    return pattern.replace(r"\b", f"(?:(?<!{w})(?={w})|(?<={w})(?!{w}))")
+
+
 def words(c: Column) -> Column:
     return F.filter(F.split(c, r"\s+"), lambda w: w != "")
 

@@ -114,7 +114,7 @@ def chunk_at_boundaries(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
 def propositions(docs: DataFrame, most: int = 10) -> DataFrame:
     """Sentences of 20 to 200 bytes that look like statements: capital start, end mark, a verb-like word."""
     s = docs.select("doc_id", F.posexplode_outer(split_sentences(F.col("text"))).alias("k", "s"))
-    good = s.filter(F.octet_length("s").between(20, 200) & F.col("s").rlike("^[A-Z]") & F.col("s").rlike(r"[.!?]$") & F.col("s").rlike(r"(?i)\b(is|are|was|were|has|have|had|will|can)\b"))
+    good = s.filter(F.octet_length("s").between(20, 200) & F.col("s").rlike("^[A-Z]") & F.col("s").rlike(r"[.!?]$") & F.col("s").rlike(T.ascii_edges(r"(?i)\b(is|are|was|were|has|have|had|will|can)\b")))
     order = Window.partitionBy("doc_id").orderBy("k")
     return good.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("doc_id", "n", "s")
 
