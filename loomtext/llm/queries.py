@@ -209,7 +209,36 @@ SELECT page_id, host, path, rule, coalesce(fixed, CASE WHEN blocked THEN 'block'
 FROM judged LEFT JOIN best USING (t)
 """
 
+_BOILERPLATE = "|".join(quality_rules.BOILERPLATE)
+_SOLID = r"[^\x20\x09-\x0D]+"
+_count = lambda c, p: f"len(regexp_extract_all({c}, '{p}'))"
+_OP8_SQL = rf"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_SOLID}') AS w FROM documents),
+grams AS (SELECT doc_id, p, w[p:p + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM texts)),
+often AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS k FROM grams) WHERE k > 1),
+repeated AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM often, range(0, 3) AS r(o) GROUP BY doc_id),
+lines AS (
+  SELECT doc_id, line, regexp_extract_all(line, '{_SOLID}') AS w, {_count("line", "[|]")} AS bars, {_count("line", "[#*$%&<>]")} AS symbols,
+         {_count("line", "[A-Z]")} AS upper, {_count("line", "[a-z]")} AS lower, {_count("line", "[.!?]")} AS marks
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)),
+judged AS (
+  SELECT *, len(w) AS n, length(array_to_string(w, '')) AS chars, len(w) > 0 AND (
+    (bars >= {quality_rules.NAV_BARS} AND bars >= {quality_rules.NAV_SHARE} * len(w)) OR symbols >= greatest(1, {quality_rules.SYMBOL_SHARE} * len(w))
+    OR (upper > lower AND len(w) > 2) OR (len(w) >= {quality_rules.FILLER_WORDS} AND 3 * len(list_distinct(w)) < len(w))
+    OR (len(w) >= {quality_rules.MARK_WORDS} AND marks = 0) OR regexp_matches({_LOWER.format("line")}, '{_BOILERPLATE}')) AS failed FROM lines),
+summed AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(chars) FILTER (failed), 0)::BIGINT AS failed_chars,
+         count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines FROM judged GROUP BY doc_id),
+base AS (
+  SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {_count("text", "[#*$%&|<>]")} AS n_symbols, n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words, n_lines, n_failed_lines, failed_chars
+  FROM texts JOIN summed USING (doc_id) LEFT JOIN repeated USING (doc_id)),
+failing AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND failed_chars <= {quality_rules.MAX_LOST} * word_chars AS kept FROM failing
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": _OP8_SQL,
     "op6_url_filter": _OP6_SQL,
     "op9_license_scan": _OP9_SQL,
     "op4_substring_dedup": _OP4_SQL,
