@@ -299,7 +299,13 @@ def _(t):
     return K.chunk_at_boundaries(t("documents"), cuts).select("doc_id", "chunk_no", "text")
 
 
-@C.add("chunk_stats")
+_CHUNKS = f"({_packed_sql(_SENTENCES, ' ', 64)})"
+
+
+@C.add("chunk_stats", f"""
+WITH g AS (SELECT doc_id, count(*) AS n, sum(tokens)::BIGINT AS total, min(tokens) AS min, max(tokens) AS max, round(avg(tokens), 6) AS avg FROM {_CHUNKS} GROUP BY doc_id)
+SELECT *, CASE WHEN n > 1 THEN (n - 1) * (total // n // 4) ELSE 0 END AS overlap_estimate FROM g
+""")
 def _(t):
     return K.chunk_stats(K.chunk_sentence(t("documents"), 64)).select("doc_id", "n", "total", "min", "max", *r("avg"), "overlap_estimate")
 

@@ -12,6 +12,7 @@ from loomtext.operators import search as S
 from loomtext.operators import structure as D
 
 from .catalog import SQL_MARKS, SQL_N_WORDS, Catalog, sql_words
+from .store_queries import _CHUNKS
 from .text_queries import _DIVERSITY, _THEME_SQL, _quoted
 
 C = Catalog()
@@ -140,7 +141,11 @@ def _(t):
     return D.hierarchy(K.chunk_sentence(t("documents"), 64)).select("doc_id", "level", "node_no", "first", "last")
 
 
-@C.add("position_context")
+@C.add("position_context", f"""
+WITH c AS (SELECT *, (chunk_no - 1) / count(*) OVER (PARTITION BY doc_id) AS rel FROM {_CHUNKS})
+SELECT doc_id, chunk_no, round(rel, 6) AS \"at\", CASE WHEN rel < 0.1 THEN 'introduction' WHEN rel < 0.3 THEN 'early' WHEN rel < 0.7 THEN 'middle' WHEN rel < 0.9 THEN 'late' ELSE 'conclusion' END AS band,
+  coalesce(length(right(lag(text) OVER o, 100)), 0) AS before, coalesce(length(left(lead(text) OVER o, 100)), 0) AS after FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_no)
+""")
 def _(t):
     return D.position_context(K.chunk_sentence(t("documents"), 64)).select("doc_id", "chunk_no", *r("at"), "band", F.length("before").alias("before"), F.length("after").alias("after"))
 
