@@ -83,7 +83,7 @@ def strategy_score(strategy: Column, health: Column, weight: Column, c: Column)
 def informativeness(c: Column) -> Column:
     """Mean of the share of long telling words and the share of different ones."""
     ws = T.words(F.lower(c))
-    telling = F.filter(F.transform(ws, T.trim_marks), lambda w: (F.octet_length(w) > 3) & ~w.isin(*DULL))
+    telling = F.filter(T.trimmed_words(F.lower(c)), lambda w: (F.octet_length(w) > 3) & ~w.isin(*DULL))
     n = F.size(ws)
     return F.coalesce(F.try_divide(F.size(telling) + F.size(F.array_distinct(telling)), 2 * n), F.lit(0.0))
 

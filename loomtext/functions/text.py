@@ -52,15 +52,20 @@ def trim_marks(w: Column) -> Column:
     return F.regexp_replace(w, rf"^{EDGE_MARKS}+|{EDGE_MARKS}+$", "")
 
 
+def trimmed_words(c: Column, marks: str = EDGE_MARKS) -> Column:
+    """Words without marks at their edges; the marks go from the whole text at once, which is cheaper than word by word."""
+    return F.split(F.regexp_replace(c, rf"(?:(?<=\s)|^){marks}+|{marks}+(?=\s|$)", ""), r"\s+")
+
+
 def clean_words(c: Column, min_bytes: int = 0) -> Column:
     """Lower-cased words without punctuation anywhere, longer than min_bytes bytes."""
-    cleaned = F.transform(words(F.lower(c)), lambda w: F.regexp_replace(w, CLEANED_MARKS, ""))
+    cleaned = F.split(F.regexp_replace(F.lower(c), CLEANED_MARKS, ""), r"\s+")
     return F.filter(cleaned, lambda w: F.octet_length(w) > min_bytes)
 
 
 def content_words(c: Column) -> Column:
     """Lower-cased words of more than two bytes, edge marks trimmed, stop words left out."""
-    trimmed = F.transform(words(F.lower(c)), lambda w: F.regexp_replace(w, r"""^[.,!?;:"'()\[\]{}]+|[.,!?;:"'()\[\]{}]+$""", ""))
+    trimmed = trimmed_words(F.lower(c), r"""[.,!?;:"'()\[\]{}]""")
     return F.filter(trimmed, lambda w: (F.octet_length(w) > 2) & ~w.isin(*STOP_WORDS))
 
 
@@ -76,7 +81,7 @@ def sentence_marks(c: Column) -> Column:
 
 def sentiment(c: Column) -> Column:
     """(polarity, subjectivity, emotion, confidence) by lexicon hits."""
-    trimmed = F.transform(words(F.lower(c)), trim_marks)
+    trimmed = trimmed_words(F.lower(c))
     pos = F.size(F.filter(trimmed, lambda w: w.isin(*POSITIVE)))
     neg = F.size(F.filter(trimmed, lambda w: w.isin(*NEGATIVE)))
     n, total = word_count(c), pos + neg
@@ -90,8 +95,9 @@ def complexity(c: Column) -> Column:
     return F.when(F.octet_length(c) == 0, 0.0).otherwise(F.least(word_count(c) / sentence_marks(c) / 20, F.lit(1.0)))
 
 
-def lexical_diversity(c: Column) -> Column:
-    ws = words(F.lower(c))
+def lexical_diversity(c: Column, ws: Column | None = None) -> Column:
+    """Different words per word; ws may give the lower-cased words as a column of their own."""
+    ws = words(F.lower(c)) if ws is None else ws
     return F.coalesce(F.try_divide(F.size(F.array_distinct(ws)), F.size(ws)), F.lit(0.0))
 
 
@@ -121,13 +127,17 @@ def quality(c: Column) -> Column:
     return F.least((length_band(c) + structure) / 2, F.lit(1.0))
 
 
-def assess_quality(c: Column) -> Column:
-    """(length, structure, readability, informativeness, score, issues)."""
+def assess_quality(c: Column, diversity: Column | None = None) -> Column:
+    """(length, structure, readability, informativeness, score, issues).
+
+    The parts of the struct share their inputs, and the planner may work those
+    out once for each part; diversity, the dearest, can be given as a column.
+    """
     has = lambda s, x: F.when(F.contains(c, F.lit(s)), x).otherwise(0.0)
     structure = has("\n", 0.3) + has(".", 0.3) + has(",", 0.2) + F.when(word_count(c) > 5, 0.2).otherwise(0.0)
     rate = word_count(c) / sentence_marks(c)
     readable = F.when(word_count(c) == 0, 0.0).when((rate >= 15) & (rate <= 20), 1.0).when((rate >= 10) & (rate <= 25), 0.8).otherwise(0.5)
-    dims = {"length": length_band(c), "structure": structure, "readability": readable, "informativeness": lexical_diversity(c)}
+    dims = {"length": length_band(c), "structure": structure, "readability": readable, "informativeness": lexical_diversity(c) if diversity is None else diversity}
     issues = F.array_compact(F.array(*[F.when(v < 0.5, F.lit(k)) for k, v in dims.items()]))
     return F.struct(*[v.alias(k) for k, v in dims.items()], (sum(dims.values()) / len(dims)).alias("score"), issues.alias("issues"))
 

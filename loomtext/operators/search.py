@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
+from loomtext.plans.shared import Scratch
 
 #: Query vectors that are broadcast at a time.
 QUERY_BLOCK = 4096
@@ -74,8 +75,13 @@ def tfidf_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
     return scored.filter("score > 0")
 
 
+def stored_tfidf(memories: DataFrame) -> DataFrame:
+    """The index written once in the shared folder; terms, norms and products then read it."""
+    return Scratch(memories.sparkSession, "tfidf").keep(build_tfidf(memories))
+
+
 def tfidf_search(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    return top_k(tfidf_scores(queries, build_tfidf(memories)), k)
+    return top_k(tfidf_scores(queries, stored_tfidf(memories)), k)
 
 
 def fast_scores(queries: DataFrame, memories: DataFrame, scope: Column | None = None, df_mode: str = "documents") -> DataFrame:

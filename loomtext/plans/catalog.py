@@ -6,6 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import spread
+
+#: Tables whose rows take much work each.
+TEXT_TABLES = ("documents", "pages", "conversations")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,7 +23,11 @@ class Catalog:
 
         def register(fn):
             def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-                return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+                def read(table: str) -> DataFrame:
+                    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+                    return spread(df) if table in TEXT_TABLES else df
+
+                return fn(read)
 
             self.queries[name] = query
             if sql:

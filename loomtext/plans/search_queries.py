@@ -69,7 +69,7 @@ scores AS (
 
 @C.add("search_tfidf", f"WITH {_TFIDF}, r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scores) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= {K}")
 def _(t):
-    scored = S.tfidf_scores(asked(t), S.build_tfidf(memories(t))).withColumn("score", F.round("score", 9))
+    scored = S.tfidf_scores(asked(t), S.stored_tfidf(memories(t))).withColumn("score", F.round("score", 9))
     return r(S.top_k(scored, K), "query_id", "id")
 
 

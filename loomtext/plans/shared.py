@@ -57,3 +57,13 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     return [spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in names]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table in fewer splits than cores over all cores.
+
+    A small file with one row group is read by one task; without this, all
+    that follows would run there too.  Large tables stay as they are read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

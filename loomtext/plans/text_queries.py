@@ -91,7 +91,9 @@ SELECT doc_id, round(quality, 6) AS quality, round(length, 6)::DOUBLE AS length,
          CASE WHEN readability < 0.5 THEN 'readability' END, CASE WHEN informativeness < 0.5 THEN 'informativeness' END], lambda x: x IS NOT NULL), ',') AS issues FROM d
 """)
 def _(t):
-    d = t("documents").select("doc_id", r(T.quality(text_())).alias("quality"), T.assess_quality(text_()).alias("a")).select("doc_id", "quality", "a.*")
+    w = t("documents").select("doc_id", "text", T.words(F.lower("text")).alias("w"))
+    w = w.select("doc_id", "text", F.explode_outer(F.array(T.lexical_diversity(text_(), F.col("w")))).alias("diversity"))
+    d = w.select("doc_id", r(T.quality(text_())).alias("quality"), T.assess_quality(text_(), F.col("diversity")).alias("a")).select("doc_id", "quality", "a.*")
     return d.select("doc_id", "quality", *[r(c).alias(c) for c in ("length", "structure", "readability", "informativeness", "score")], F.array_join("issues", ",").alias("issues"))
 
 
