@@ -21,6 +21,9 @@ from loomtext.plans.shared import Scratch
 
 #: Vectors of a block of the exact cosine join.
 BLOCK = 2000
+#: LSH join: the chance to find a pair at the threshold, and what dealing a vector to a bucket
+#: and working on a bucket cost, in cells of a product.
+RECALL, MAX_BITS, ROW_COST, BUCKET_COST = 0.9, 20, 200, 100_000
 
 
 def token_jaccard_pairs(df: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
@@ -74,25 +77,54 @@ def _buckets(batches: Iterator[pa.RecordBatch], tables: int, bits: int) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tables)), pa.array((code + (np.arange(tables) << 32)).ravel())], ["id", "bucket"])
 
 
-def cosine_pairs(vectors: DataFrame, threshold: float, mode: str = "exact", tables: int = 16, bits: int = 12) -> DataFrame:
+def lsh_tables(threshold: float, bits: int, recall: float = RECALL) -> int:
+    """Tables in which a pair at the threshold shares a bucket of so many hyperplanes with the given chance."""
+    same_side = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    miss = 1 - same_side**bits
+    return max(1, math.ceil(math.log(1 - recall) / math.log(miss))) if 0 < miss < 1 else 1
+
+
+def lsh_bits(threshold: float, n: int, recall: float = RECALL) -> int:
+    """Hyperplanes of a bucket with the least work for n vectors: rows dealt to buckets, buckets, and products in them."""
+
+    def work(bits: int) -> float:
+        return lsh_tables(threshold, bits, recall) * (ROW_COST * n + BUCKET_COST * min(n, 2**bits) + n * n / 2 ** (bits + 1))
+
+    return min(range(1, MAX_BITS + 1), key=work)
+
+
+def _units(placed: DataFrame, blocks, *keys: str) -> DataFrame:
+    """Rows (keys, id, vector) with the pairs (i, j) of blocks in which their block meets the others."""
+    last = blocks - 1
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), blocks))
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") <= k).alias("left"), (F.col("own") >= k).alias("right")))
+    return placed.select(*keys, "id", "vector", F.explode(meets).alias("u")).select(*keys, "id", "vector", "u.*")
+
+
+def cosine_pairs(vectors: DataFrame, threshold: float, mode: str = "exact", tables: int | None = None, bits: int | None = None) -> DataFrame:
     """Pairs of (id, vector) with cosine above the threshold.
 
     exact: blocks of about BLOCK vectors meet once each in a matrix product,
-    and only pairs above the threshold come out.  lsh: candidates share one of
-    ``tables`` buckets of ``bits`` random hyperplanes, then are checked.
+    and only pairs above the threshold come out.  lsh: pairs that share one of
+    ``tables`` buckets of ``bits`` random hyperplanes, checked in products of
+    blocks of one bucket.  By default a pair at the threshold is found with a
+    chance of RECALL (closer ones with a higher one), with the bits that make
+    the least work; a low threshold leaves little to save over exact.
     """
+    schema = "a long, b long, score double"
     if mode == "exact":
         n = max(1, -(-vectors.count() // BLOCK))
-        placed = vectors.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).alias("own"))
-        meets = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.struct(F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") <= k).alias("left"), (F.col("own") >= k).alias("right")))
-        units = placed.select("id", "vector", F.explode(meets).alias("u")).select("id", "vector", "u.*")
-        return units.groupBy("i", "j").applyInArrow(lambda unit: _unit_pairs(unit, threshold), "a long, b long, score double")
-    from loomtext.functions.vectors import cosine
-
+        units = _units(vectors.select("id", "vector"), F.lit(n).cast("long"))
+        return units.groupBy("i", "j").applyInArrow(lambda unit: _unit_pairs(unit, threshold), schema)
+    bits = bits or lsh_bits(threshold, vectors.count())
+    tables = tables or lsh_tables(threshold, bits)
     buckets = vectors.select("id", "vector").mapInArrow(partial(_buckets, tables=tables, bits=bits), "id long, bucket long")
-    pairs = buckets.toDF("a", "bucket").join(buckets.toDF("b", "bucket"), "bucket").filter("a < b").select("a", "b").distinct()
-    full = pairs.join(vectors.toDF("a", "v_a"), "a").join(vectors.toDF("b", "v_b"), "b")
-    return full.select("a", "b", cosine(F.col("v_a"), F.col("v_b")).alias("score")).filter(F.col("score") > threshold)
+    # at most 2 ** bits rows a table
+    blocks = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = buckets.join(blocks, "bucket").join(vectors.select("id", "vector"), "id")
+    units = _units(placed.select("bucket", "blocks", "id", "vector"), F.col("blocks"), "bucket")
+    found = units.groupBy("bucket", "i", "j").applyInArrow(lambda unit: _unit_pairs(unit, threshold), schema)
+    return found.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
 def relationship_label(score) -> F.Column:

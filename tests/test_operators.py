@@ -1,8 +1,11 @@
 """Operators against small brute-force versions."""
 
 import itertools
+import math
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +62,27 @@ def test_cosine_blocks_meet_once(spark, monkeypatch):
     assert found <= wanted and len(found) >= 0.9 * len(wanted)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_registered_lsh_join_finds_nine_of_ten(spark, sf):
+    from loomtext.plans import registry
+
+    data = f"/root/testdata/{sf}"
+    if not os.path.isdir(data):
+        pytest.skip("needs the test tables")
+    e = spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, v = np.array([r["vec_id"] for r in e]), np.array([r["embedding"] for r in e], float)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    wanted = {(int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))) for i, j in zip(*np.nonzero(np.triu(v @ v.T > 0.35, 1)))}
+    got = [(r["a"], r["b"]) for r in registry.QUERIES["pairs_cosine_lsh"](spark, data).collect()]
+    assert len(got) == len(set(got)) and set(got) <= wanted and len(got) >= 0.9 * len(wanted)
+
+
+def test_lsh_shape_follows_the_threshold():
+    for threshold in (0.1, 0.35, 0.8, 0.99, 1.0):
+        bits = P.lsh_bits(threshold, 10_000)
+        assert 1 - (1 - (1 - math.acos(threshold) / math.pi) ** bits) ** P.lsh_tables(threshold, bits) >= 0.9
+
+
 def test_duplicate_groups_follow_the_sequential_rule(spark):
     rng = random.Random(3)
     n = 120
