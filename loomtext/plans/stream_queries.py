@@ -45,7 +45,7 @@ def _(t):
 
 @C.add("ingest_documents")
 def _(t):
-    return io.ingest_documents(t("documents"), 100, 20_000, 128).select("doc_id", "chunk_no", "tokens", *r("density"), "content_type", "error")
+    return io.ingest_documents(t("documents"), size=128).select("doc_id", "chunk_no", "tokens", *r("density"), "content_type", "error")
 
 
 @_streaming("stream_dedupe", "SELECT event_id, event_type FROM events", "events", S.EVENTS)

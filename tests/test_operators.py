@@ -196,3 +196,15 @@ def test_sources_round_trip(spark, tmp_path):
     io.append_audit_log(spark.range(2), str(tmp_path / "audit"))
     io.append_audit_log(spark.range(2), str(tmp_path / "audit"))
     assert spark.read.parquet(str(tmp_path / "audit")).count() == 4
+
+
+def test_long_documents_are_ingested_whole(spark, tmp_path):
+    from loomtext.plans import registry
+
+    texts = {1: "One sentence of many words. " * 5000, 2: "Short but sound text.", 3: "tiny", 4: "x" * 1_000_001}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["ingest_documents"](spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in got if r["error"]} == {3, 4}
+    sums = {k: sum(r["tokens"] for r in got if r["doc_id"] == k) for k in (1, 2)}
+    marks = 5000 // 2
+    assert 25_000 <= sums[1] <= 25_000 + marks and sums[2] == 4
