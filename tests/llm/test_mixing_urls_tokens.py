@@ -1,9 +1,12 @@
 import io
+import itertools
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomtext.llm import mixing as X
@@ -56,6 +59,54 @@ def test_mix_keeps_all_rows_and_targets(spark, monkeypatch):
     assert X.mix_sources(frame(spark, [])).count() == 0
 
 
+def ideal(blocks, weights, slots):
+    """Blocks of each source that the ideal mix has done after each slot, with fractions."""
+    left, done, out = {s: Fraction(n) for s, n in blocks.items()}, dict.fromkeys(blocks, Fraction(0)), []
+    for _ in range(slots):
+        room = Fraction(1)
+        while room and any(left.values()):
+            total = sum(Fraction(weights[s]) for s in left if left[s])
+            step = min([room, *(left[s] * total / Fraction(weights[s]) for s in left if left[s])])
+            for s in left:
+                if left[s]:
+                    part = step * Fraction(weights[s]) / total
+                    left[s], done[s] = left[s] - part, done[s] + part
+            room -= step
+        out.append(dict(done))
+    return out
+
+
+@pytest.mark.parametrize(
+    "blocks, weights",
+    [
+        ({"hot": 300, **{f"s{k}": 16 for k in range(19)}}, {"hot": 0.5, **{f"s{k}": 0.5 / 19 for k in range(19)}}),
+        ({"a": 5, "b": 60, "c": 1, "d": 33}, {"a": 0.7, "b": 0.1, "c": 0.15, "d": 0.05}),
+        ({f"s{k}": k * k + 1 for k in range(9)}, {f"s{k}": (k * k + 1) ** 0.5 for k in range(9)}),
+    ],
+)
+def test_less_than_one_block_from_the_given_weights(blocks, weights):
+    n = sum(blocks.values())
+    given = dict.fromkeys(blocks, 0)
+    for t, ((s, j, slot), wanted) in enumerate(zip(X.schedule(blocks, weights), ideal(blocks, weights, n), strict=True)):
+        assert slot == t and j == given[s]
+        given[s] += 1
+        assert all(abs(given[x] - wanted[x]) < 1 for x in blocks)
+    assert given == blocks
+
+
+def test_a_hot_source_among_a_thousand_keeps_its_target():
+    blocks, weights = {"hot": 3000, **{f"s{k}": 4 for k in range(999)}}, {"hot": 0.5, **{f"s{k}": 0.5 / 999 for k in range(999)}}
+    hot = 0
+    for t, (s, _, _) in enumerate(itertools.islice(X.schedule(blocks, weights), 5000)):
+        hot += s == "hot"
+        assert abs(hot - (t + 1) / 2) < 1 + 1e-6
+
+
+def test_more_sources_than_the_driver_took(spark):
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    assert sorted(r["slot"] for r in X.mix_sources(docs).collect()) == list(range(6000))
+
+
 # --- urls -----------------------------------------------------------------
 
 
