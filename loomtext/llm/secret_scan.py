@@ -14,8 +14,10 @@
    Findings may be given as (id, start, label) rows; by default rules label
    the plain cases: a credential word with an assignment before the string is
    1, plain numbers, parts of addresses and mostly dictionary words are 0.
-   Training takes at most about ``TRAIN_ROWS`` labelled findings, drawn by
-   hash; everything else is computed on all rows.
+   Training takes at most about ``TRAIN_ROWS`` labelled findings: all of a kind
+   up to half of that (more if the other kind has fewer), beyond it drawn by
+   hash.  Both kinds weigh the same in the forest, so rare secrets aren't
+   outvoted; everything else is computed on all rows.
 
 Edge cases: null or empty text has no candidates; null ids and sources are
 carried as they are; rows that repeat an id give their findings again; with
@@ -189,15 +191,28 @@ def vectors(found: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=[*NUMBERS, "words"], outputCol="features").transform(hashed).drop("before_word", "after_word", "path_name", "words")
 
 
-def train_forest(found: DataFrame, train_rows: int = TRAIN_ROWS):
-    """A forest from the labelled rows of vectors(), or None if they are all of one kind."""
-    labelled = found.filter("label is not null")
+def draw_training(labelled: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """At most about so many labelled rows: all of a kind up to half of them or what the other kind leaves free."""
     counts = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
+    total, drawn = sum(counts.values()), F.lit(False)
+    for label, n in counts.items():
+        room = max(train_rows // 2, train_rows - (total - n))
+        fits = F.lit(True) if n <= room else F.pmod(F.xxhash64("sha256", "start", "id"), F.lit(1 << 40)) < int(room / n * (1 << 40))
+        drawn = drawn | ((F.col("label") == label) & fits)
+    return labelled.filter(drawn)
+
+
+def train_forest(found: DataFrame, train_rows: int = TRAIN_ROWS):
+    """A forest from the labelled rows of vectors(), or None if those drawn are all of one kind."""
+    drawn = draw_training(found.filter("label is not null"), train_rows)
+    counts = {r["label"]: r["count"] for r in drawn.groupBy("label").count().collect()}
     if len(counts) < 2:
         return None
-    share = min(1.0, train_rows / sum(counts.values()))
-    drawn = labelled.filter(F.pmod(F.xxhash64("sha256", "start", "id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, labelCol="label").fit(drawn.select("features", F.col("label").cast("double").alias("label")))
+    weight = F.lit(None).cast("double")
+    for label, n in counts.items():
+        weight = F.when(F.col("label") == label, sum(counts.values()) / len(counts) / n).otherwise(weight)
+    rows = drawn.select("features", weight.alias("weight"), F.col("label").cast("double").alias("label"))
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, labelCol="label", weightCol="weight").fit(rows)
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source", labels: DataFrame | None = None, train_rows: int = TRAIN_ROWS) -> DataFrame:

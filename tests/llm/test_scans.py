@@ -64,6 +64,18 @@ def test_held_out_accuracy(spark):
     assert right / 120 >= 0.95
 
 
+def test_rare_secrets_train_the_forest(spark):
+    rng = random.Random(6)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows = [(k, f'{words_text(rng, 9)} api token = "{key()}" end' if k % 100 == 0 else f"{words_text(rng, 9)} card {rng.randrange(10**15, 10**16)} ok", "en", "s", 0) for k in range(1600)]
+    found = S.vectors(S.candidates(frame(spark, rows)))
+    found = found.withColumn("label", F.when(F.col("id") < 1200, F.col("label")))  # the rest is held out: 4 secrets
+    drawn = {r["label"]: r["count"] for r in S.draw_training(found.filter("label is not null"), 60).groupBy("label").count().collect()}
+    assert drawn[1] == 12 and 20 <= drawn[0] <= 80
+    scored = S.train_forest(found, 60).transform(found).filter("id >= 1200").collect()
+    assert {r["id"] for r in scored if r["prediction"] == 1} == {1200, 1300, 1400, 1500}
+
+
 def test_candidates_and_verdicts(spark):
     rows, real = secret_rows(80)
     got = S.scan_secrets(crowded(frame(spark, rows))).collect()
