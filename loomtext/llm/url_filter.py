@@ -5,7 +5,8 @@ the rule's; the longest fitting rule decides.  Urls that no rule fits are
 judged by association rules: the labelled urls (by default those the fixed
 rules decide) give transactions of tokens plus the label, FP-growth mines the
 frequent ones, and rules {tokens} -> label with enough support and confidence
-are kept.  A url is blocked when the most confident rule for "block" among
+are kept, however many tokens they have, unless a part of the tokens tells the
+label as surely.  A url is blocked when the most confident rule for "block" among
 those that fit is more confident than every fitting rule for "allow".
 
 Rules are matched by an inverted index on their rarest token.  Urls are
@@ -29,7 +30,7 @@ from .stage import Scratch
 
 # Fixed values: (host, path, verdict).
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
-MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.8, 2
+MIN_SUPPORT, MIN_CONFIDENCE = 0.01, 0.8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -61,16 +62,29 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return rule, verdict
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(antecedent, label, confidence, index_token) from rows (tokens, label)."""
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.select("antecedent", F.col("consequent")[0].alias("label"), "confidence")
-    rules = rules.filter(F.col("label").startswith("=") & (F.size("antecedent") <= max_tokens) & ~F.exists("antecedent", lambda x: x.startswith("=")))
+    rules = rules.filter(F.col("label").startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
     often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     rules = rules.select("antecedent", F.substring("label", 2, 100).alias("label"), "confidence")
     rarest = rules.select("antecedent", F.explode("antecedent").alias("token")).distinct().join(often, "token").groupBy("antecedent").agg(F.min(F.struct("n", "token")).alias("r"))
-    return rules.join(rarest, "antecedent").select("antecedent", "label", "confidence", F.col("r.token").alias("index_token"))
+    rules = rules.join(rarest, "antecedent").select("antecedent", "label", "confidence", F.col("r.token").alias("index_token"))
+    return without_redundant(Scratch(labelled.sparkSession, "url-rules").keep(rules))
+
+
+def without_redundant(rules: DataFrame) -> DataFrame:
+    """Rules of which no proper subset has the same label and at least the same confidence.
+
+    A subset fits wherever the rule does, so no verdict changes.
+    """
+    smaller = rules.toDF("subset", "label", "at_least", "index_token")
+    each = rules.select("antecedent", "label", "confidence", F.explode("antecedent").alias("index_token"))
+    found = each.join(smaller, ["index_token", "label"]).filter((F.size("subset") < F.size("antecedent")) & (F.col("at_least") >= F.col("confidence")))
+    redundant = found.filter(F.size(F.array_except("subset", "antecedent")) == 0).select("antecedent", "label").distinct()
+    return rules.join(redundant, ["antecedent", "label"], "left_anti").select(rules.columns)
 
 
 def match_rules(sets: DataFrame, rules: DataFrame) -> DataFrame:

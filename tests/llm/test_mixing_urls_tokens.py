@@ -148,6 +148,35 @@ def test_association_rules_judge_other_urls(spark):
     assert got == {1: "block", 2: "allow", 3: "allow"}
 
 
+def test_rules_of_three_tokens_decide(spark):
+    # "buy" pages of shops are blocked only with the query key "ref"; any two of the three tokens are mixed
+    known = []
+    for host, path, query in itertools.product(("shop", "news"), ("buy", "read"), ("ref", "page")):
+        label = "block" if (host, path, query) == ("shop", "buy", "ref") else "allow"
+        known += [(f"http://{host}.x{chr(97 + k)}.org/{path}?{query}=1", label) for k in range(12)]
+    frame_ = spark.createDataFrame(known, "url string, label string")
+    tokens = [({f"h:{u[7:11]}", f"h:{u[12:14]}", "h:org", f"d:{u[12:14]}.org", f"p:{u.split('/')[3].split('?')[0]}", f"q:{u.split('?')[1][:-2]}"}, label) for u, label in known]
+    sets = {frozenset(c) for t, _ in tokens for n in range(1, 7) for c in itertools.combinations(sorted(t), n)}
+
+    def confidence(rule, label):
+        fits = [x for t, x in tokens if rule <= t]
+        n = fits.count(label)
+        return n / len(fits) if n >= U.MIN_SUPPORT * len(tokens) and n / len(fits) >= U.MIN_CONFIDENCE else 0.0
+
+    pages = [f"http://{h}.other.org/{p}?{q}=7" for h in ("shop", "news", "blog") for p in ("buy", "read", "x") for q in ("ref", "page")]
+
+    def verdict(url):
+        t = {f"h:{url[7:11]}", "h:other", "h:org", "d:other.org", f"p:{url.split('/')[3].split('?')[0]}", f"q:{url.split('?')[1][:-2]}"}
+        best = {x: max((confidence(s, x) for s in sets if s <= t), default=0.0) for x in ("block", "allow")}
+        return "block" if best["block"] > best["allow"] else "allow"
+
+    got = {r["page_id"]: r["verdict"] for r in U.filter_urls(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), labelled=frame_).collect()}
+    assert got == {k: verdict(u) for k, u in enumerate(pages)}
+    assert got[pages.index("http://shop.other.org/buy?ref=7")] == "block"
+    rules = U.mine_rules(spark.createDataFrame([(sorted(t), x) for t, x in tokens], "tokens array<string>, label string")).collect()
+    assert {frozenset(r["antecedent"]) for r in rules if r["label"] == "block"} == {frozenset(("h:shop", "p:buy", "q:ref"))}
+
+
 # --- token files ----------------------------------------------------------
 
 
