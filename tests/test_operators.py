@@ -208,3 +208,15 @@ def test_long_documents_are_ingested_whole(spark, tmp_path):
     sums = {k: sum(r["tokens"] for r in got if r["doc_id"] == k) for k in (1, 2)}
     marks = 5000 // 2
     assert 25_000 <= sums[1] <= 25_000 + marks and sums[2] == 4
+
+
+def test_pagerank_query_takes_all_links(spark, tmp_path):
+    from loomtext.plans import registry
+
+    spark.createDataFrame([(1,), (2,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(k,) for k in range(1, 6)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    lines = [(1, 1), (1, 2), (2, 3), (2, 4), (2, 4)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    rank = {r["id"]: r["rank"] for r in registry.QUERIES["graph_pagerank"](spark, str(tmp_path)).collect()}
+    linked = [rank[1_000_000 + k] for k in (1, 2, 3, 4)]
+    assert max(linked) == pytest.approx(min(linked), abs=1e-8) and min(linked) > rank[1_000_005] + 1e-6
