@@ -24,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import uuid
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -150,12 +152,57 @@ class Reader:
 # --- tokens of texts ------------------------------------------------------
 
 
+# Byte classes of the pieces: letters, digits, other ASCII; words with a byte of class 0 stay whole.
+_LETTER, _DIGIT, _OTHER = 1, 2, 3
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = _OTHER
+_CLASS[0x30:0x3A] = _DIGIT
+_CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_CLASS[[ord("'"), ord("<")]] = 0  # contractions and special tokens
+
+
+class Pieces:
+    """The words of a slice, cut where the tokenizer cuts them whatever stands beside.
+
+    A word of ASCII letters, digits, other marks and Latin-1 letters is cut
+    where the class changes and at every digit, and lower-cased; a word with
+    any other byte, an apostrophe or "<" is one piece as it stands.
+    """
+
+    def __init__(self, docs: K.Docs):
+        data = docs.data
+        words = K.Words(docs, lower=False, hashed=False)
+        kind, low = _CLASS[data], K._LOWER[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3) if len(data) else np.zeros(0, np.int64)
+        second = data[lead + 1]
+        latin = (second & 0xC0 == 0x80) & (second != 0x97) & (second != 0xB7)  # all but the signs for times and divided by
+        kind[lead[latin]] = kind[lead[latin] + 1] = _LETTER
+        upper = lead[latin & (second < 0x9F)] + 1
+        low[upper] += 0x20
+        odd = np.concatenate([[0], np.cumsum(kind == 0)])
+        plain = odd[words.ends] == odd[words.starts]
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[words.starts[plain]] = 1
+        inside[words.ends[plain]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).astype(bool)
+        cut = np.zeros(len(data), bool)
+        cut[1:] = inside[1:] & inside[:-1] & ((kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))
+        cut[words.starts] = True
+        self.starts = np.flatnonzero(cut)
+        self.word = np.searchsorted(words.starts, self.starts, "right") - 1
+        self.ends = np.minimum(np.append(self.starts[1:], len(data)), words.ends[self.word]) if len(self.starts) else self.starts
+        self.text = np.where(inside, low, data)
+        self.hashes = K.spans_hash(K._BYTE[self.text], self.starts, self.ends)
+        self.per_doc = np.searchsorted(self.starts, docs.offsets)
+
+
 class WordTokens:
-    """Encodes texts word by word, each distinct word once while the cache holds it.
+    """Encodes texts piece by piece, each distinct piece once while the cache holds it.
 
-    Right for tokenizers whose text is cut at white space before merging and
-    which drop that white space (word_bpe_49k): the ids of a text are then the
-    ids of its words in a row.  The cache holds at most CACHE_WORDS words.
+    Right for tokenizers that lower-case, drop white space and cut a text
+    between letters, digits and other marks and at every digit before merging
+    (word_bpe_49k): the ids of a text are then the ids of its pieces in a row.
+    The cache is sorted by hash and holds at most CACHE_WORDS pieces.
     """
 
     def __init__(self, path: str):
@@ -166,42 +213,54 @@ class WordTokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.starts, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.n_ids = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        if len(self.keys) + len(keys) > CACHE_WORDS:
-            self._clear()
-        found = [e.ids for e in self.model.encode_batch(texts, add_special_tokens=False)]
+        """Adds sorted keys and their texts' ids."""
+        found = [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
         counts = np.array([len(x) for x in found], np.int64)
-        starts = len(self.ids) + np.cumsum(counts) - counts
-        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
-        self.keys, self.starts, self.counts = keys[order], np.concatenate([self.starts, starts])[order], np.concatenate([self.counts, counts])[order]
+        n = int(counts.sum())
+        while self.n_ids + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.n_ids : self.n_ids + n] = np.fromiter(itertools.chain.from_iterable(found), np.uint32, n)
+        starts = self.n_ids + np.cumsum(counts) - counts
+        self.n_ids += n
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.starts, self.counts = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
 
     def _places(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.keys, keys)
-        return np.where(at < len(self.keys), np.where(self.keys[np.minimum(at, max(0, len(self.keys) - 1))] == keys, at, -1), -1) if len(self.keys) else np.full(len(keys), -1)
+        """Places of keys in the cache, -1 where it hasn't one."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
     def encode(self, docs: K.Docs) -> tuple[np.ndarray, np.ndarray]:
         """(token ids of all documents in a row, token counts of the documents)."""
-        words = K.Words(docs, lower=False)
-        keys, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
+        pieces = Pieces(docs)
+        codes, keys = pd.factorize(pieces.hashes)
+        first = np.zeros(len(keys), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        order = np.argsort(keys)
+        keys, first = keys[order], first[order]
         at = self._places(keys)
         new = np.flatnonzero(at < 0)
         if len(new):
-            raw = docs.data.tobytes()
-            if len(self.keys) + len(new) > CACHE_WORDS:  # then the cache starts again with this slice's words
+            if len(self.keys) + len(new) > CACHE_WORDS:  # then the cache starts again with this slice's pieces
                 self._clear()
                 new = np.arange(len(keys))
-            self._learn(keys[new], [raw[words.starts[k] : words.ends[k]].decode("utf-8") for k in first[new]])
+            raw = pieces.text.tobytes()
+            self._learn(keys[new], [raw[pieces.starts[k] : pieces.ends[k]].decode("utf-8") for k in first[new]])
             at = self._places(keys)
-        at = at[inverse]
+        place = np.empty(len(keys), np.int64)
+        place[order] = at
+        at = place[codes]
         counts, starts = self.counts[at], self.starts[at]
         ends = np.cumsum(counts)
         flat = np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
         before = np.concatenate([[0], ends])
-        return self.ids[flat], before[words.per_doc[1:]] - before[words.per_doc[:-1]]
+        return self.ids[flat], before[pieces.per_doc[1:]] - before[pieces.per_doc[:-1]]
 
 
 _models: dict[str, WordTokens] = {}
@@ -273,7 +332,8 @@ def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Reads the files of a manifest: id, start (tokens of all documents before), n_tokens, ids_crc32."""
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     files = manifest.select("part", "file", "n_bytes", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("tokens_before"))
-    dealt = files.repartition("file")
+    # a number of partitions that is given isn't coalesced, however small the manifest is
+    dealt = files.repartitionByRange(max(1, manifest.count()), "part")
     out = dealt.select("file", "n_bytes", "tokens_before").mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("id", id_col)
 

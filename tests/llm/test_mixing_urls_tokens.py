@@ -252,6 +252,33 @@ def test_token_cache_may_start_again(spark, monkeypatch):
             assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [model.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_pieces_have_the_ids_of_the_text():
+    import pyarrow as pa
+
+    from loomtext.llm import kernel as K
+
+    model, words = Tokenizer.from_file(word_tokenizer()), B.WordTokens(word_tokenizer())
+    rng = random.Random(5)
+    letters = "ab AB\t\n'19<|>.,!éÉßÀ×÷ÿÞç–…’日本\u0301Σς_-/\x01\x7f\u017f\u212a\u0130\u0131'st"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(1500)] + ["a<|endoftext|>b", "it'S we'LL 'd"]
+    for docs in K.slices(pa.array(texts), 4000):
+        ids, counts = words.encode(docs)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [model.encode(texts[docs.first + i], add_special_tokens=False).ids for i in range(docs.n)]
+
+
+def test_files_are_read_back_by_a_task_each(spark, tmp_path):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else so little data makes one file
+    try:
+        manifest = B.write_tokens(docs, f"file://{tmp_path}", word_tokenizer(), ["doc_id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    back = B.read_tokens(manifest)
+    per_task = [n for n in back.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n]
+    assert len(per_task) == manifest.count() > 1 and sum(per_task) == 4000
+
+
 def test_odd_rows_as_tokens(spark):
     assert B.token_table(frame(spark, []), word_tokenizer()).count() == 0
     rows = [(None, "a", "en", "s", 0), (3, None, "en", "s", 0), (3, "b", "en", "s", 0), (1, "", "en", "s", 0)]
