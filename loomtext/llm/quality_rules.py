@@ -2,10 +2,10 @@
 
 Each line is judged by itself (navigation bars, symbol noise, shouting,
 repeated filler, running text without any sentence mark, boilerplate
-sentences); failing lines are removed; a document is rejected when removed
+sentences in a short line); failing lines are removed; a document is rejected when removed
 lines held more than ``max_lost`` of its code points in words, or when it
 fails the base rules on its whole text.  One map over the documents: no
-shuffle, whatever the sources' sizes.
+shuffle, whatever the sources' sizes; a verdict depends on its document alone.
 
 Edge cases: a null or empty text has no words, fails the base rules and is
 rejected; a null id stays null; repeated rows are judged one by one; an empty
@@ -30,6 +30,8 @@ NAV_BARS, NAV_SHARE = 3, 0.25  # separators in a line, and per word
 SYMBOL_SHARE = 0.5  # symbols per word
 FILLER_WORDS, FILLER_DISTINCT = 10, 1 / 3  # a line of so many words, so few distinct
 MARK_WORDS = 8  # a line of so many words needs a sentence mark somewhere
+MARKS = ".!?。！？…।؟۔"  # sentence marks of several scripts
+FURNITURE_WORDS = 30  # a boilerplate sentence fails a line of at most so many words, not running text about it
 MAX_LOST = 0.5
 MIN_WORDS = 50
 # Sentences of page furniture, matched on the lower-cased line.
@@ -40,7 +42,8 @@ _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 _BAR[ord("|")] = True
 _UPPER[0x41:0x5B] = True
 _LOWER[0x61:0x7B] = True
-_MARK[[ord(c) for c in ".!?"]] = True
+_MARK[[ord(c) for c in MARKS if ord(c) < 128]] = True
+_WIDE_MARKS = [c.encode() for c in MARKS if ord(c) >= 128]
 
 RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_failed_lines long, failed_chars long"
 
@@ -72,6 +75,17 @@ def groups(doc: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return counts[inverse], is_first
 
 
+def sentence_marks(data: np.ndarray) -> np.ndarray:
+    """True at the first byte of every sentence mark."""
+    marks = _MARK[data]
+    for mark in _WIDE_MARKS:
+        at = np.flatnonzero(data[: len(data) - len(mark) + 1] == mark[0])
+        for k in range(1, len(mark)):
+            at = at[data[at + k] == mark[k]]
+        marks[at] = True
+    return marks
+
+
 def _within(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     return sums[ends] - sums[starts]
@@ -106,7 +120,8 @@ def judge(docs: K.Docs, max_lost: float) -> tuple[dict[str, np.ndarray], Lines,
     # line rules
     line_of_word = np.searchsorted(lines.starts, words.starts, "right") - 1
     distinct = np.bincount(line_of_word[groups(line_of_word, words.hashes)[1]], minlength=len(lines.starts)) if len(words) else np.zeros(len(lines.starts), np.int64)
-    count = {name: _within(table[data], lines.starts, lines.ends) for name, table in (("bar", _BAR), ("symbol", _SYMBOL), ("upper", _UPPER), ("lower", _LOWER), ("mark", _MARK))}
+    count = {name: _within(table[data], lines.starts, lines.ends) for name, table in (("bar", _BAR), ("symbol", _SYMBOL), ("upper", _UPPER), ("lower", _LOWER))}
+    count["mark"] = _within(sentence_marks(data), lines.starts, lines.ends)
     line_chars = _within(letters, lines.starts, lines.ends)
     failed = (count["bar"] >= NAV_BARS) & (count["bar"] >= NAV_SHARE * line_words)
     failed |= count["symbol"] - count["bar"] >= np.maximum(1, SYMBOL_SHARE * line_words)
@@ -117,7 +132,10 @@ def judge(docs: K.Docs, max_lost: float) -> tuple[dict[str, np.ndarray], Lines,
     for phrase in BOILERPLATE:
         place = lowered.find(phrase.encode())
         while place >= 0:
-            failed[np.searchsorted(lines.starts, place, "right") - 1] = True
+            line = np.searchsorted(lines.starts, place, "right") - 1
+            # a slice holds one document behind the other, so the phrase must end inside its line
+            if place + len(phrase) <= lines.ends[line] and line_words[line] <= FURNITURE_WORDS:
+                failed[line] = True
             place = lowered.find(phrase.encode(), place + 1)
     failed &= full
     per_line = lines.per_doc

@@ -219,13 +219,13 @@ often AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY d
 repeated AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM often, range(0, 3) AS r(o) GROUP BY doc_id),
 lines AS (
   SELECT doc_id, line, regexp_extract_all(line, '{_SOLID}') AS w, {_count("line", "[|]")} AS bars, {_count("line", "[#*$%&<>]")} AS symbols,
-         {_count("line", "[A-Z]")} AS upper, {_count("line", "[a-z]")} AS lower, {_count("line", "[.!?]")} AS marks
+         {_count("line", "[A-Z]")} AS upper, {_count("line", "[a-z]")} AS lower, {_count("line", f"[{quality_rules.MARKS}]")} AS marks
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)),
 judged AS (
   SELECT *, len(w) AS n, length(array_to_string(w, '')) AS chars, len(w) > 0 AND (
     (bars >= {quality_rules.NAV_BARS} AND bars >= {quality_rules.NAV_SHARE} * len(w)) OR symbols >= greatest(1, {quality_rules.SYMBOL_SHARE} * len(w))
     OR (upper > lower AND len(w) > 2) OR (len(w) >= {quality_rules.FILLER_WORDS} AND 3 * len(list_distinct(w)) < len(w))
-    OR (len(w) >= {quality_rules.MARK_WORDS} AND marks = 0) OR regexp_matches({_LOWER.format("line")}, '{_BOILERPLATE}')) AS failed FROM lines),
+    OR (len(w) >= {quality_rules.MARK_WORDS} AND marks = 0) OR (len(w) <= {quality_rules.FURNITURE_WORDS} AND regexp_matches({_LOWER.format("line")}, '{_BOILERPLATE}'))) AS failed FROM lines),
 summed AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (failed) AS n_failed_lines, coalesce(sum(chars) FILTER (failed), 0)::BIGINT AS failed_chars,
          count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines FROM judged GROUP BY doc_id),

@@ -99,3 +99,23 @@ def test_lines_first(spark):
     assert {r["doc_id"]: r["n_chars"] for r in Q.clean(frame(spark, rows)).collect()} == {1: len(prose), 5: len(prose)}
     assert Q.assess(frame(spark, [])).count() == 0 and Q.clean(frame(spark, [])).count() == 0
     assert Q.clean(crowded(frame(spark, rows))).columns == crowded(frame(spark, rows)).columns
+
+
+def test_verdicts_do_not_depend_on_the_neighbours(spark):
+    prose = " ".join(f"Word{k} stands here." for k in range(40))
+    rows = [(k, f"{prose}\nNobody knows all rights" if k % 2 else f" reserved for later.\n{prose}", "en", "s", 0) for k in range(60)]
+    rows += [(100 + k, t, *rest) for k, (_, t, *rest) in enumerate(documents())]
+    got = []
+    for n in (1, 2, 7):
+        docs = frame(spark, rows).coalesce(1) if n == 1 else frame(spark, rows).repartition(n)
+        got.append((sorted(map(tuple, Q.assess(docs).collect()), key=str), sorted(map(tuple, Q.clean(docs).collect()), key=str)))
+    assert got[0] == got[1] == got[2]
+    assert all(r[9] == 0 for r in got[0][0] if r[0] < 60)
+
+
+def test_marks_of_other_scripts_and_talk_about_boilerplate(spark):
+    zh = " ".join(["这 是 一 个 很 长 的 句 子 。"] * 3)
+    long = "The privacy policy is under debate. " + " ".join(f"Word{k} stands near house{k}." for k in range(12))
+    text = "\n".join([f"{zh} {k}" for k in range(6)] + [long, "Read our privacy policy here"])
+    got = {r["doc_id"]: r["n_failed_lines"] for r in Q.assess(frame(spark, [(1, text, "zh", "s", 0)])).collect()}
+    assert got == {1: 1}
