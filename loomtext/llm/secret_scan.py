@@ -1,7 +1,8 @@
 """Secret scans: candidate strings, then a random forest that drops false positives.
 
 1. A map over the documents takes every run of at least ``MIN_LENGTH``
-   characters ``[A-Za-z0-9+/_=-]`` with a digit in it, with the words beside it.
+   characters ``[A-Za-z0-9+/_=-]`` with a digit in it, or with at least two
+   changes between small and capital letters, with the words beside it.
 2. Two statistics of all documents: how often one character class follows
    another (a fixed 63 x 63 table, summed map-side), and the words of at least
    four characters that occur in ``MIN_DOCS`` documents or more (the
@@ -13,7 +14,11 @@
 4. A random forest is trained on labelled findings and scores every candidate.
    Findings may be given as (id, start, label) rows; by default rules label
    the plain cases: a credential word with an assignment before the string is
-   1, plain numbers, parts of addresses and mostly dictionary words are 0.
+   1, plain numbers, parts of addresses and mostly dictionary words are 0; a
+   string of dictionary words behind a credential word stays without a label.
+   What the first rule looks at - credential words and the assignment - is no
+   feature, so the forest learns what such strings look like, finds ones that
+   no such word announces, and drops announced ones that look like none.
    Training takes at most about ``TRAIN_ROWS`` labelled findings: all of a kind
    up to half of that (more if the other kind has fewer), beyond it drawn by
    hash.  Both kinds weigh the same in the forest, so rare secrets aren't
@@ -35,6 +40,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
@@ -45,7 +51,7 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .stage import Scratch, small_batches
 
-MIN_LENGTH, MIN_DOCS, WORD_BYTES = 16, 5, 4
+MIN_LENGTH, MIN_DOCS, WORD_BYTES = 12, 5, 4
 TRAIN_ROWS, TREES, DEPTH, HASHED = 20_000, 20, 5, 64
 LEFT, RIGHT = 48, 24  # bytes of context
 
@@ -54,13 +60,17 @@ _RUN[[ord(c) for c in "+/_=-"]] = True
 _RUN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
+_CASE = np.zeros(256, np.int8)
+_CASE[0x61:0x7B], _CASE[0x41:0x5B] = 1, 2
 _CLASS = np.full(256, 62, np.int64)
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A] = np.arange(26), np.arange(26, 52), np.arange(52, 62)
 _CREDENTIAL = re.compile(r"(?i)(token|secret|passw\w*|pwd|api[_-]?key|private[_-]?key|access[_-]?key|credential)s?[\"']?\s*[:=]\s*[\"']?$")
+#: Neighbouring words that the labelling rule looks at; they are no feature.
+_ANNOUNCING = "^(tokens?|secrets?|passw.*|pwds?|api|key|keys|private|access|credentials?)$"
 _WORD = re.compile(r"[^\W\d_]+")
 
-FOUND = "id {kind}, path string, start long, length long, sha256 string, before string, after string, label int, digits double, capitals double, hex double, entropy double, changes double, assigned double, codes array<int>, pieces array<long>, piece_sizes array<int>"
-NUMBERS = ["length", "digits", "capitals", "hex", "entropy", "changes", "assigned", "transition", "covered"]
+FOUND = "id {kind}, path string, start long, length long, sha256 string, before string, after string, label int, digits double, capitals double, hex double, entropy double, changes double, codes array<int>, pieces array<long>, piece_sizes array<int>"
+NUMBERS = ["length", "digits", "capitals", "hex", "entropy", "changes", "transition", "covered"]
 
 
 def _entropy(s: str) -> float:
@@ -92,7 +102,6 @@ def describe(candidate: str, left: str, right: str) -> dict:
         "hex": sum(c in "0123456789abcdefABCDEF" for c in candidate) / n,
         "entropy": _entropy(candidate),
         "changes": float((kinds[1:] != kinds[:-1]).mean()),
-        "assigned": float(bool(re.search(r"[:=]\s*[\"']?$", left))),
         "codes": codes.tolist(),
         "pieces": _hashes(pieces).view(np.int64).tolist(),
         "piece_sizes": [len(p) for p in pieces],
@@ -115,7 +124,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterato
                 tail[-1] = run[-1]
             starts, ends = np.flatnonzero(head), np.flatnonzero(tail) + 1
             digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-            good = (ends - starts >= MIN_LENGTH) & (digits[ends] > digits[starts])
+            case = _CASE[data]
+            turns = np.concatenate([[0, 0], np.cumsum((case[1:] != case[:-1]) & (case[1:] > 0) & (case[:-1] > 0))]) if len(data) else np.zeros(1, np.int64)
+            good = (ends - starts >= MIN_LENGTH) & ((digits[ends] > digits[starts]) | (turns[ends] - turns[np.minimum(starts + 1, len(data))] >= 2))
             points = np.concatenate([[0], np.cumsum(K.code_points(data))])
             raw = data.tobytes()
             for a, b in zip(starts[good].tolist(), ends[good].tolist()):
@@ -133,7 +144,10 @@ def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for docs in K.slices(batch.column(0)):
             codes = _CLASS[docs.data]
-            counts += np.bincount(codes[:-1] * 63 + codes[1:], minlength=63 * 63) if len(codes) > 1 else 0
+            inside = np.ones(len(codes), bool)
+            inside[docs.offsets[:-1][docs.offsets[:-1] < len(codes)]] = False  # a document's first character follows nothing
+            at = np.flatnonzero(inside)
+            counts += np.bincount(codes[at - 1] * 63 + codes[at], minlength=63 * 63)
     at = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["pair", "n"])
 
@@ -174,19 +188,23 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     @F.pandas_udf("double")
     def transition(codes):
-        return codes.map(lambda c: float(log_p[np.asarray(c[:-1]) * 63 + np.asarray(c[1:])].mean()))
+        sizes, flat = codes.str.len().to_numpy(), np.concatenate(codes.to_numpy())
+        ends = np.cumsum(sizes)
+        steps = np.append(log_p[flat[:-1].astype(np.int64) * 63 + flat[1:]], 0.0)
+        steps[ends - 1] = 0.0  # from one string to the next
+        return pd.Series(np.add.reduceat(steps, ends - sizes) / (sizes - 1))
 
     words = text.mapInArrow(_dictionary, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_DOCS).select("word")
     pieces = found.select("n", F.explode(F.arrays_zip("pieces", "piece_sizes")).alias("p")).select("n", F.col("p.pieces").alias("word"), F.col("p.piece_sizes").alias("size"))
     covered = pieces.join(words, "word").groupBy("n").agg(F.sum("size").alias("covered"))
     out = found.join(covered, "n", "left").withColumn("covered", F.coalesce("covered", F.lit(0)) / F.col("length")).withColumn("transition", transition("codes"))
-    out = out.withColumn("label", F.when(F.col("label").isNull() & (F.col("covered") >= 0.5), 0).otherwise(F.col("label")))
+    out = out.withColumn("label", F.when((F.col("covered") >= 0.5) & F.col("label").isNull(), 0).when((F.col("covered") >= 0.5) & (F.col("label") == 1), None).otherwise(F.col("label")))
     return scratch.keep(out.drop("codes", "pieces", "piece_sizes", "n"))
 
 
 def vectors(found: DataFrame) -> DataFrame:
     """Adds the feature vector of the forest."""
-    named = found.withColumns({"before_word": F.coalesce("before", F.lit("")), "after_word": F.coalesce("after", F.lit("")), "path_name": F.coalesce("path", F.lit(""))})
+    named = found.withColumns({"before_word": F.when(F.col("before").rlike(_ANNOUNCING), "").otherwise(F.coalesce("before", F.lit(""))), "after_word": F.coalesce("after", F.lit("")), "path_name": F.coalesce("path", F.lit(""))})
     hashed = FeatureHasher(inputCols=["before_word", "after_word", "path_name"], outputCol="words", numFeatures=HASHED).transform(named)
     return VectorAssembler(inputCols=[*NUMBERS, "words"], outputCol="features").transform(hashed).drop("before_word", "after_word", "path_name", "words")
 

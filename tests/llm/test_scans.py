@@ -76,6 +76,37 @@ def test_rare_secrets_train_the_forest(spark):
     assert {r["id"] for r in scored if r["prediction"] == 1} == {1200, 1300, 1400, 1500}
 
 
+def test_candidates_equal_a_plain_scan(spark):
+    rng = random.Random(9)
+    rows = documents() + [(2000 + k, "".join(rng.choice("abXY09+/_=-.,\n é") for _ in range(rng.randint(0, 400))), "en", "s", 0) for k in range(80)]
+
+    def good(x):
+        return len(x) >= S.MIN_LENGTH and (re.search("[0-9]", x) or len(re.findall("(?=[a-z][A-Z]|[A-Z][a-z])", x)) >= 2)
+
+    expected = [(i, m.start(), len(m[0])) for i, t, *_ in rows for m in re.finditer(r"[A-Za-z0-9+/_=-]+", t or "") if good(m[0])]
+    got = [(r["id"], r["start"], r["length"]) for r in S.candidates(frame(spark, rows)).collect()]
+    assert sorted(got) == sorted(expected) and len(got) > 40
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rows, _ = secret_rows(60)
+    rows += [(1000 + k, "aaaa" if k % 2 else "bbbb", "en", "s", 0) for k in range(40)]
+    got = []
+    for n in (1, 2, 7):
+        found = S.candidates(frame(spark, rows).coalesce(1) if n == 1 else frame(spark, rows).repartition(n)).collect()
+        got.append(sorted((r["id"], r["start"], r["transition"], r["covered"], r["label"]) for r in found))
+    assert got[0] == got[1] == got[2]
+
+
+def test_secrets_without_a_credential_word(spark):
+    rows, real = secret_rows(200)
+    rng = random.Random(12)
+    key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows += [(1000 + k, f"{words_text(rng, 20)} seen {key()} there", "en", "src1", 0) for k in range(20)]
+    got = {r["doc_id"]: (r["label"], r["is_secret"]) for r in S.scan_secrets(frame(spark, rows)).collect()}
+    assert sum(got[1000 + k][1] for k in range(20)) >= 19 and all(got[1000 + k][0] is None for k in range(20))
+
+
 def test_candidates_and_verdicts(spark):
     rows, real = secret_rows(80)
     got = S.scan_secrets(crowded(frame(spark, rows))).collect()
