@@ -12,22 +12,32 @@ Documents are parsed into factors against every block of the corpus:
    so a block of a document either occurs in the reference index as a whole
    or lies at the end of a copied passage.
 2. The reference index holds, for each (anchor, block) hash, the first place
-   it occurs.  A greedy parse takes every block that has an earlier equal:
-   neighbouring ones join to one long factor, whose windows are all repeats.
-   Blocks are compared inside a task first, so a passage that a third of the
-   documents hold costs one row a task, then by one shuffle on the anchor.
+   it occurs.  The parse takes every block that has an earlier equal, and
+   greedily goes on with the next block while it follows in the reference as
+   well; such a factor is at least one window long, and all its windows are
+   repeats (``factors`` lists them with their place in the reference).
+   Matches thus grow by blocks, not by single words: the words at the ends are
+   what step 3 looks at.
 3. At factor boundaries - blocks that are the first of their kind while their
    anchor also occurs in other blocks - the windows are compared one by one,
    by their hash.  A window's equal has the same anchor, so no other window
    can have an earlier equal.
 
+Blocks and windows are compared inside a task first, in runs of about
+``RUN_BLOCKS``.  What goes to one key in a shuffle is at most one row a run
+for a block, a window or an anchor: if an anchor has several blocks in a run
+(a line that very many texts go around), these are dealt by block, and one
+row tells the anchor's task that it has several.
+
 The result is exact up to collisions of 64-bit hashes.  Texts are shuffled
 once, by id, and read from that one exchange by both joins.
 
 Edge cases: null or empty text has no words (its digest is that of the empty
-string); rows with a null id come before all others and keep a null id; rows
-that repeat an id are one document and must repeat its text (equal places are
-no earlier places, so such rows do not remove each other's words); an empty
+string); rows with a null id come before all others and keep a null id; each
+row is a document of its own: rows that repeat an id, or have none, aren't
+earlier than one another, so they don't remove each other's words, only
+their own repeats and those of smaller ids (rows with equal ids are told apart
+by a 32-bit hash of their text, so equal rows get equal results); an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -47,10 +57,11 @@ from . import kernel as K
 from .stage import Scratch, small_batches
 
 WINDOW, ANCHOR = 20, 8
-#: Blocks are compared within runs of this many before they are shuffled.
+#: Blocks, and windows at boundaries, are compared within runs of this many before they are shuffled.
 RUN_BLOCKS = 1 << 20
 _NO_ID = np.iinfo(np.int64).min
-_PLACES = "id long, start int, n int"
+_PLACES = "id long, tie int, start int, n int"
+_REFERENCE = "ref_id long, ref_start int"
 
 
 def blocks(words: K.Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -72,26 +83,41 @@ def blocks(words: K.Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
     return doc, at[first] - words.per_doc[doc], last - first + 1, by_word[smallest[first]], K.spans_hash(words.hashes, at[first], at[last] + window)
 
 
+class Run:
+    """Things of one run that are alike (equal keys), ordered by id, document and start.
+
+    later: has an earlier equal in the run; ref: the earliest of its equals.
+    """
+
+    def __init__(self, ids: np.ndarray, ties: np.ndarray, start: np.ndarray, *keys: np.ndarray):
+        self.order = np.lexsort((start, ties, ids, *reversed(keys)))
+        i, t, s = (x[self.order] for x in (ids, ties, start))
+        self.new = np.ones(len(i), bool)  # in this order: the first of its keys
+        if len(i):
+            self.new[1:] = np.logical_or.reduce([k[self.order][1:] != k[self.order][:-1] for k in keys])
+        own = self.new.copy()  # the first of its keys in its document
+        own[1:] |= (i[1:] != i[:-1]) | (t[1:] != t[:-1])
+        places = np.arange(len(i))
+        lead, mine = (np.maximum.accumulate(np.where(x, places, 0)) for x in (self.new, own))
+        smaller = i > i[lead]
+        self.later, self.ref = np.zeros(len(i), bool), np.zeros(len(i), np.int64)
+        self.later[self.order] = smaller | (s != s[mine])
+        self.ref[self.order] = self.order[np.where(smaller, lead, mine)]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Blocks of many documents: (id, start, n, anchor, block, has an earlier equal in this run)."""
-
-    def run(parts: list) -> tuple[np.ndarray, ...]:
-        ids, start, n, anchors, block = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, ids, block, anchors))
-        a, b, i, s = anchors[order], block[order], ids[order], start[order]
-        head = np.ones(len(order), bool)
-        head[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
-        later = np.zeros(len(order), bool)
-        later[order] = (i != i[lead]) | (s != s[lead])
-        return ids, start, n, anchors, block, later
+    """Blocks of many documents: id, tie, start, n, anchor, block; and the run they make."""
+
+    def run(parts: list) -> tuple:
+        columns = [np.concatenate(x) for x in zip(*parts)]
+        return *columns, Run(*columns[:3], *columns[4:])
 
     parts, held = [], 0
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for docs in K.slices(batch.column(1)):
+        ids, ties = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for docs in K.slices(batch.column(2)):
             doc, *rest = blocks(K.Words(docs, lower=False), window, anchor)
-            parts.append((ids[docs.first + doc], *rest))
+            parts.append((ids[docs.first + doc], ties[docs.first + doc], *rest))
             held += len(doc)
             if held >= RUN_BLOCKS:
                 yield run(parts)
@@ -100,23 +126,51 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterat
         yield run(parts)
 
 
+def _ints(values: np.ndarray) -> pa.Array:
+    return pa.array(values.astype(np.int32))
+
+
 def _heads(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    for ids, start, n, anchors, block, later in _runs(batches, window, anchor):
-        k = ~later
-        table = pa.table([pa.array(ids[k]), pa.array(start[k].astype(np.int32)), pa.array(n[k].astype(np.int32)), K.long_array(anchors[k]), K.long_array(block[k])], ["id", "start", "n", "anchor", "block"])
+    """The first of each kind of block of a run, each under the key that it is compared by."""
+    for ids, ties, start, n, anchors, block, run in _runs(batches, window, anchor):
+        a, b = anchors[run.order], block[run.order]
+        first = np.ones(len(a), bool)
+        first[1:] = a[1:] != a[:-1]
+        group, at = np.cumsum(first) - 1, np.flatnonzero(first)
+        several = (b[at] != b[np.append(at[1:], len(a)) - 1])[group]
+        settled = np.zeros(len(a), bool)
+        settled[run.order] = several
+        k = ~run.later
+        key = np.where(settled[k], K.mix(anchors[k] ^ K.mix(block[k])), anchors[k])
+        witness = a[first & several]  # tells that an anchor has several blocks
+        more = np.zeros(len(witness), np.int64)
+        table = pa.table(
+            [
+                pa.array(np.concatenate([ids[k], more])),
+                *(_ints(np.concatenate([x[k], more])) for x in (ties, start, n)),
+                K.long_array(np.concatenate([key, witness])),
+                K.long_array(np.concatenate([block[k], witness])),
+                pa.array(np.concatenate([settled[k], more == 0])),
+            ],
+            ["id", "tie", "start", "n", "key", "block", "settled"],
+        )
         yield from table.to_batches(1 << 16)
 
 
-def _local_repeats(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    for ids, start, n, _, _, later in _runs(batches, window, anchor):
-        ids, start, n = ids[later], start[later], n[later]
-        order = np.lexsort((start, ids))
-        ids, start, n = ids[order], start[order], n[order]
-        new = np.ones(len(ids), bool)
-        new[1:] = (ids[1:] != ids[:-1]) | (start[1:] != start[:-1] + n[:-1])
+def _local_factors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Blocks with an earlier equal in their run, joined while the next one follows in the reference as well."""
+    for ids, ties, start, n, _, _, run in _runs(batches, window, anchor):
+        k = np.flatnonzero(run.later)
+        k = k[np.lexsort((start[k], ties[k], ids[k]))]
+        ref = run.ref[k]
+        columns = ids[k], ties[k], start[k], n[k], ids[ref], ties[ref], start[ref]
+        i, t, s, m, ri, rt, rs = columns
+        new = np.ones(len(k), bool)
+        new[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + m[:-1])
+        new[1:] |= (ri[1:] != ri[:-1]) | (rt[1:] != rt[:-1]) | (rs[1:] != rs[:-1] + m[:-1])
         first = np.flatnonzero(new)
         if len(first):
-            table = pa.table([pa.array(ids[first]), pa.array(start[first].astype(np.int32)), pa.array(np.add.reduceat(n, first).astype(np.int32))], ["id", "start", "n"])
+            table = pa.table([pa.array(i[first]), _ints(t[first]), _ints(s[first]), _ints(np.add.reduceat(m, first)), pa.array(ri[first]), _ints(rs[first])], ["id", "tie", "start", "n", "ref_id", "ref_start"])
             yield from table.to_batches(1 << 16)
 
 
@@ -128,11 +182,24 @@ def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """The windows of the blocks named beside each text: (hash, id, start)."""
+    """The windows of the blocks named beside each text: hash, id, tie, start, later.
+
+    A window with an earlier equal in its run is settled (later); its hash is
+    exchanged for a value of its own, so that no common window makes a hot key.
+    """
+
+    def run(parts: list) -> Iterator[pa.RecordBatch]:
+        ids, ties, start, hashes = (np.concatenate(x) for x in zip(*parts))
+        later = Run(ids, ties, start, hashes).later
+        hashes[later] = K.mix(hashes[later] ^ K.mix(ids[later].view(np.uint64) ^ K.mix(ties[later].astype(np.uint64) << K.U64(32) ^ start[later].astype(np.uint64))))
+        table = pa.table([K.long_array(hashes), pa.array(ids), _ints(ties), _ints(start), pa.array(later)], ["hash", "id", "tie", "start", "later"])
+        yield from table.to_batches(1 << 16)
+
+    parts, held = [], 0
     for batch in batches:
-        offsets, start, n = _spans(batch.column(2))
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for docs in K.slices(batch.column(1)):
+        offsets, start, n = _spans(batch.column(3))
+        ids, ties = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for docs in K.slices(batch.column(2)):
             words = K.Words(docs, lower=False)
             lo, hi = offsets[docs.first], offsets[docs.first + docs.n]
             doc = np.repeat(np.arange(docs.n), np.diff(offsets[docs.first : docs.first + docs.n + 1]))
@@ -140,9 +207,13 @@ def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterato
             place = np.repeat(start[lo:hi], ns) + np.arange(ns.sum()) - np.repeat(np.cumsum(ns) - ns, ns)
             doc = np.repeat(doc, ns)
             at = place + words.per_doc[doc]
-            inside = at + window <= words.per_doc[doc + 1]
-            at, doc, place = at[inside], doc[inside], place[inside]
-            yield pa.RecordBatch.from_arrays([K.long_array(K.spans_hash(words.hashes, at, at + window)), pa.array(ids[docs.first + doc]), pa.array(place.astype(np.int32))], ["hash", "id", "start"])
+            parts.append((ids[docs.first + doc], ties[docs.first + doc], place, K.spans_hash(words.hashes, at, at + window)))
+            held += len(doc)
+            if held >= RUN_BLOCKS:
+                yield from run(parts)
+                parts, held = [], 0
+    if held:
+        yield from run(parts)
 
 
 def _remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> Iterator[pa.RecordBatch]:
@@ -177,28 +248,46 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) ->
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col)
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID))).alias("id"), F.hash(text).alias("tie"), text.alias("text"))
+
+
+def _parse(source: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
+    """(factors, blocks at factor boundaries): places, the factors' with where they copy from."""
+    parse = {"window": window, "anchor": anchor}
+    heads = source.mapInArrow(partial(_heads, **parse), f"{_PLACES}, key long, block long, settled boolean").repartition("key")
+    equal = Window.partitionBy("key", "block").orderBy("id", "tie", "start")
+    alike = Window.partitionBy("key")
+    judged = heads.select("*", F.first(F.struct("id", "start")).over(equal).alias("ref"))
+    judged = judged.select("*", (F.max("settled").over(alike) | (F.min("block").over(alike) != F.max("block").over(alike))).alias("several"))
+    later = F.col("id") > F.col("ref.id")
+    marks = judged.filter("n > 0").withColumn("later", later).filter("later or several")
+    marks = Scratch(source.sparkSession, "substring-dedup").keep(marks.select("id", "tie", "start", "n", "later", F.col("ref.id").alias("ref_id"), F.col("ref.start").alias("ref_start")))
+    local = source.mapInArrow(partial(_local_factors, **parse), f"{_PLACES}, {_REFERENCE}")
+    return local.unionByName(marks.filter("later").drop("later")), marks.filter("not later").select("id", "tie", "start", "n")
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """(id, start, words, ref_id, ref_start): every factor, and the place in the reference it copies; starts count words."""
+    small_batches(docs.sparkSession)
+    found, _ = _parse(_source(docs, id_col, text_col), window, anchor)
+    named = lambda c: F.when(F.col(c) != F.lit(int(_NO_ID)), F.col(c))
+    return found.select(named("id").alias(id_col), "start", (F.col("n") + window - 1).alias("words"), named("ref_id").alias("ref_id"), "ref_start")
+
+
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
     """One row per row of docs: id, n_words, n_removed, kept_sha256 (and kept_text if asked for)."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID))).alias("id"), F.col(text_col).alias("text"))
-    parse = {"window": window, "anchor": anchor}
-    heads = source.mapInArrow(partial(_heads, **parse), f"{_PLACES}, anchor long, block long").repartition("anchor")
-    equal = Window.partitionBy("anchor", "block").orderBy("id", "start")
-    alike = Window.partitionBy("anchor")
-    judged = heads.select("*", F.first("id").over(equal).alias("id_0"), F.first("start").over(equal).alias("start_0"))
-    judged = judged.select("*", (F.min("block").over(alike) != F.max("block").over(alike)).alias("several"))
-    judged = judged.select("id", "start", "n", ((F.col("id") != F.col("id_0")) | (F.col("start") != F.col("start_0"))).alias("later"), "several")
-    marks = Scratch(spark, "substring-dedup").keep(judged.filter("later or several").select("id", "start", "n", "later"))
+    small_batches(docs.sparkSession)
+    source = _source(docs, id_col, text_col)
+    found, boundary = _parse(source, window, anchor)
 
     place = F.struct("start", "n")
-    texts = source.repartition("id")
-    boundary = marks.filter("not later").groupBy("id").agg(F.collect_list(place).alias("blocks"))
-    windows = texts.join(boundary.hint("shuffle_hash"), "id").select("id", "text", "blocks").mapInArrow(partial(_boundary_windows, window=window), "hash long, id long, start int")
-    same = Window.partitionBy("hash").orderBy("id", "start")
-    repeats = windows.select("id", "start", F.first("id").over(same).alias("id_0"), F.first("start").over(same).alias("start_0")).filter("id <> id_0 or start <> start_0").select("id", "start", F.lit(1).alias("n"))
-    local = source.mapInArrow(partial(_local_repeats, **parse), _PLACES)
-    spans = local.unionByName(marks.filter("later").select("id", "start", "n")).unionByName(repeats).groupBy("id").agg(F.collect_list(place).alias("spans"))
+    texts = source.repartition("id", "tie")
+    boundary = boundary.groupBy("id", "tie").agg(F.collect_list(place).alias("blocks"))
+    windows = texts.join(boundary.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "blocks").mapInArrow(partial(_boundary_windows, window=window), "hash long, id long, tie int, start int, later boolean")
+    repeats = windows.withColumn("id_0", F.min("id").over(Window.partitionBy("hash"))).filter("later or id > id_0").select("id", "tie", "start", F.lit(1).alias("n"))
+    spans = found.select("id", "tie", "start", "n").unionByName(repeats).groupBy("id", "tie").agg(F.collect_list(place).alias("spans"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    out = texts.join(spans.hint("shuffle_hash"), "id", "left").select("id", "text", "spans").mapInArrow(partial(_remove, window=window, with_text=with_text), schema)
+    out = texts.join(spans.hint("shuffle_hash"), ["id", "tie"], "left").select("id", "text", "spans").mapInArrow(partial(_remove, window=window, with_text=with_text), schema)
     return out.withColumn("id", F.when(F.col("id") != F.lit(int(_NO_ID)), F.col("id"))).withColumnRenamed("id", id_col)
