@@ -15,9 +15,9 @@ lower-cased.  Keys of at least ``min_chars`` code points in at least
    is checked against their measured size; more are probed in more rounds,
    each of which writes its marks in the shared folder.
 
-Edge cases: null or empty text is one empty line; null ids count as one more
-document each and compare below every other id; repeated rows count as
-documents of their own (all rows of the largest id keep the line); an empty
+Edge cases: null or empty text is one empty line; each row is a document of
+its own, also where ids repeat (all rows of the largest id keep the line); null
+ids compare below every other id; an empty
 table gives an empty result; other columns are ignored.
 """
 

@@ -80,59 +80,63 @@ QUERIES = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+# A row is a document of its own (rid), whatever its id; a null id is smaller than all others.
+_ROWS = "docs AS (SELECT *, row_number() OVER () AS rid, coalesce(doc_id, -9223372036854775808) AS id FROM documents)"
+
 _OP3_SQL = rf"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+WITH {_ROWS}, lines AS (
+  SELECT rid, id, doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
-  FROM documents),
+  FROM docs),
 keyed AS (
   SELECT *, regexp_replace({_LOWER.format("line")}, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM lines),
 often AS (
-  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+  SELECT key, max(id) AS keeper FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT rid) >= 5),
 marked AS (
-  SELECT k.*, o.key IS NOT NULL AND o.keeper <> k.doc_id AS gone
+  SELECT k.*, o.key IS NOT NULL AND o.keeper <> k.id AS gone
   FROM keyed k LEFT JOIN often o ON k.key = o.key)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY rid
 """
 
+# For links an id is one node, and null ids are none.
 _OP1_SQL = rf"""
-WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH RECURSIVE {_ROWS}, words AS (
+  SELECT rid, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM docs),
 sets AS (
-  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  SELECT rid, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM words),
-items AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+items AS MATERIALIZED (SELECT rid, doc_id, len(s) AS n, unnest(s) AS g FROM sets WHERE doc_id IS NOT NULL),
 pairs AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.g = b.g AND a.doc_id < b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
-links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+  GROUP BY a.rid, b.rid, a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+links AS MATERIALIZED (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 reach(node, seen) AS (
-  SELECT doc_id, doc_id FROM documents
+  SELECT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL
   UNION
   SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
 component AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
-FROM sets JOIN component ON node = doc_id
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, coalesce(doc_id = component_id, true) AS kept
+FROM sets LEFT JOIN component ON node = doc_id
 """
 
-_OP4_SQL = r"""
-WITH words AS (
-  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+_OP4_SQL = rf"""
+WITH {_ROWS}, words AS (
+  SELECT rid, id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM docs),
 windows AS (
-  SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i+19], ' ')))) AS h FROM words),
+  SELECT rid, id, unnest(range(1, len(w) - 18)) AS p, unnest(list_transform(range(1, len(w) - 18), lambda i: md5(array_to_string(w[i:i+19], ' ')))) AS h FROM words),
 later AS (
-  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) AS k FROM windows) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, p + o AS p FROM later, range(0, 20) AS r(o)),
-each AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words),
-marked AS (SELECT e.*, g.p IS NOT NULL AS removed FROM each e LEFT JOIN gone g USING (doc_id, p)),
+  SELECT rid, p FROM (SELECT rid, p, id > min(id) OVER (PARTITION BY h) OR p > min(p) OVER (PARTITION BY h, rid) AS again FROM windows) WHERE again),
+gone AS (SELECT DISTINCT rid, p + o AS p FROM later, range(0, 20) AS r(o)),
+each AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM words),
+marked AS (SELECT e.*, g.p IS NOT NULL AS removed FROM each e LEFT JOIN gone g USING (rid, p)),
 summed AS (
-  SELECT doc_id, count(*) FILTER (removed) AS n_removed,
-         string_agg(word, ' ' ORDER BY p) FILTER (NOT removed) AS kept FROM marked GROUP BY doc_id)
+  SELECT rid, count(*) FILTER (removed) AS n_removed,
+         string_agg(word, ' ' ORDER BY p) FILTER (NOT removed) AS kept FROM marked GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM words LEFT JOIN summed USING (doc_id)
+FROM words LEFT JOIN summed USING (rid)
 """
 
 _TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(license_scan.TEMPLATES))
