@@ -2,27 +2,58 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Ids up to this many (8 bytes each) are broadcast.
+BROADCAST_IDS = 1_000_000
+#: The folders made since a cleared_after() began.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session has none (tests in local mode) a temporary folder
-    is made and put there.
+    Only where a local session has none (tests) a temporary folder is made and
+    put there; on a cluster the executors couldn't see one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def cleared_after(spark: SparkSession) -> Iterator[None]:
+    """Deletes what is written in the shared folder within the block, when it ends.
+
+    Operators give DataFrames that read such tables; a caller who writes the
+    result within the block needs none of them afterwards.  Tables of
+    ``Scratch(..., lasting=True)`` stay.
+    """
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get():
+            drop_folder(spark, path)
+        _made.reset(token)
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -33,12 +64,14 @@ def drop_folder(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written in the shared folder; each cuts the lineage behind it."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.paths = spark, name, {}
+    def __init__(self, spark: SparkSession, name: str, lasting: bool = False):
+        self.spark, self.name, self.lasting, self.paths = spark, name, lasting, {}
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Writes df and gives the written table."""
         path = new_folder(self.spark, self.name)
+        if self.lasting and (made := _made.get()) is not None:
+            made.remove(path)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (path, out)
@@ -49,6 +82,23 @@ class Scratch:
         path, _ = self.paths.pop(id(df))
         drop_folder(self.spark, path)
 
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        for key in [k for k in self.paths if k not in {id(x) for x in kept}]:
+            path, _ = self.paths.pop(key)
+            drop_folder(self.spark, path)
+
+
+def bounded(ids: DataFrame) -> DataFrame:
+    """ids (written, one narrow column) marked to be broadcast if there are at most BROADCAST_IDS of them."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of few rows: texts may be long, and a worker holds a batch whole."""
