@@ -15,11 +15,15 @@ similarity 75/100 are linked; a component is what links reach.
    full sets; links are contracted to components.  What is left are pairs of a
    bucket whose members still lie in different components, without the
    smallest id.  In buckets of at most ``SMALL`` members they are compared pair
-   by pair.  Larger ones are cut into blocks of about ``BLOCK`` texts; a task
-   gets two blocks, counts all intersections as a product of incidence
-   matrices and gives back only links that join components.  So no pair that
-   shares a bucket is lost, while a large group costs no row for each pair;
-   members of its main component are not compared with one another.
+   by pair.  The members of all larger buckets with one main component (the
+   one with most members) are a family: the bands of a family's texts meet
+   here, so that a pair is worked on once, not once a band.  Families are cut
+   by set size into groups, of which only neighbouring ones can hold links,
+   and these into blocks of about ``BLOCK`` texts; a task gets two blocks,
+   counts all intersections as a product of incidence matrices and gives back
+   only links that join components.  So no pair that shares a bucket is lost,
+   while a large group costs no row for each pair; members of its main
+   component are not compared with one another.
 
 Edge cases: null or empty text has the empty set (n_shingles 0) and is linked
 with nothing; rows with a null id are linked with nothing, component null,
@@ -29,18 +33,19 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.plans.components import connected_components
 
 from . import kernel as K
-from .stage import Scratch, small_batches
+from .stage import Scratch, bounded
 
 SHINGLE = 5
 PERMUTATIONS, ROWS = 80, 4
@@ -49,8 +54,6 @@ BANDS = 2 * PERMUTATIONS // ROWS
 SMALL, BLOCK = 64, 256
 #: A block holds about this many shingles at most, and a matrix so many columns.
 BLOCK_SHINGLES, COLUMNS = 400_000, 4096
-#: Ids up to this many (8 bytes each) are broadcast to pick texts.
-BROADCAST_IDS = 1_000_000
 #: Pairs are compared in runs of about this many bytes of text.
 PAIR_BYTES = 2 << 20
 
@@ -183,27 +186,38 @@ def _unit_links(unit: pa.Table, n: int, percent: int) -> pa.Table:
 
 
 def _by_blocks(members: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links in large buckets: members has bucket, id, component, is_main and the bucket's block counts."""
-    own = F.pmod(F.xxhash64("id", "bucket"), F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("blocks")))
-    placed = members.withColumn("own", own)
-    others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    mains = F.when(F.col("main_blocks") > 0, F.sequence(F.lit(0), F.col("main_blocks") - 1)).otherwise(F.array().cast("array<bigint>"))
-    unit = lambda kind, i, j, left, right: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    """Links in families: members has main (the family), id, n, component, each member once."""
+    # sizes of linked sets differ by at most the factor 100 / percent, so their groups by one
+    group = F.floor(F.ln(F.col("n")) / math.log(100 / percent) + 1e-9).cast("int") if percent < 100 else F.col("n").cast("int")
+    placed = members.withColumn("is_main", F.col("component") == F.col("main")).withColumn("group", group)
+    sizes = placed.groupBy("main", "is_main", "group").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks = lambda which: F.map_from_entries(F.collect_list(F.when(which, F.struct("group", "blocks"))))
+    placed = placed.join(sizes.groupBy("main").agg(blocks(F.col("is_main")).alias("main_blocks"), blocks(~F.col("is_main")).alias("blocks")), "main")
+    own = F.pmod(F.xxhash64("id"), F.try_element_at(F.when(F.col("is_main"), F.col("main_blocks")).otherwise(F.col("blocks")), F.col("group"))).cast("int")
+    placed = placed.withColumn("own", own)
+
+    def meets(others: str, step: int, kind: int, left: Column, right: Column, swap: bool) -> Column:
+        """The units in which a member meets the blocks of the group step further; swap: those come first."""
+        there = F.col("group") + F.lit(step)
+        count = F.coalesce(F.try_element_at(others, there), F.lit(0))
+        each = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+        first, second = ((there, lambda k: k), (F.col("group"), lambda k: F.col("own"))) if swap else ((F.col("group"), lambda k: F.col("own")), (there, lambda k: k))
+        return F.transform(each, lambda k: F.struct(F.lit(kind).alias("kind"), first[0].alias("g"), second[0].alias("h"), first[1](k).alias("i"), second[1](k).alias("j"), left.alias("left"), right.alias("right")))
+
     yes, no = F.lit(True), F.lit(False)
-    # an outside member meets each block of outside members and each block of the main component
-    outside = F.concat(
-        F.transform(others, lambda k: unit(0, F.least(F.col("own"), k), F.greatest(F.col("own"), k), F.col("own") <= k, F.col("own") >= k)),
-        F.transform(mains, lambda k: unit(1, F.col("own"), k, yes, no)),
-    )
-    main = F.transform(others, lambda k: unit(1, k, F.col("own"), no, yes))
-    units = placed.select("bucket", "id", "component", F.explode(F.when(F.col("is_main"), main).otherwise(outside)).alias("u")).select("bucket", "id", "component", "u.*")
-    return units.join(texts, "id").groupBy("bucket", "kind", "i", "j").applyInArrow(lambda unit: _unit_links(unit, n, percent), "a long, b long")
+    near = range(-1, 2) if percent < 100 else range(1)
+    same = F.col("group")
+    outside = [F.transform(F.sequence(F.lit(0), F.try_element_at("blocks", same) - 1), lambda k: F.struct(F.lit(0).alias("kind"), same.alias("g"), same.alias("h"), F.least("own", k).alias("i"), F.greatest("own", k).alias("j"), (F.col("own") <= k).alias("left"), (F.col("own") >= k).alias("right")))]
+    outside += [meets("blocks", step, 0, F.lit(step > 0), F.lit(step < 0), swap=step < 0) for step in near if step]
+    outside += [meets("main_blocks", step, 1, yes, no, swap=False) for step in near]
+    main = [meets("blocks", step, 1, no, yes, swap=True) for step in near]
+    units = placed.select("main", "id", "component", F.explode(F.when(F.col("is_main"), F.concat(*main)).otherwise(F.concat(*outside))).alias("u")).select("main", "id", "component", "u.*")
+    return units.join(texts, "id").groupBy("main", "kind", "g", "h", "i", "j").applyInArrow(lambda unit: _unit_links(unit, n, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, n: int = SHINGLE) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
-    small_batches(spark)
     scratch = Scratch(spark, "near-dedup")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = scratch.keep(source.mapInArrow(partial(_sketch, n=n), "id long, n long, d1 long, d2 long, bands array<long>"))
@@ -215,9 +229,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = entries.groupBy("bucket").agg(F.min(F.struct("id", "n")).alias("centre"), F.max("id").alias("last")).filter("centre.id <> last").select("bucket", F.col("centre.id").alias("centre"), F.col("centre.n").alias("centre_n"))
     buckets = scratch.keep(entries.join(shared, "bucket").filter("id <> centre"))
     fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)  # noqa: E731  else the sets' sizes rule a link out
-    ids = buckets.select("id").unionByName(buckets.select(F.col("centre").alias("id"))).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = scratch.keep(source.join(ids, "id", "left_semi"))
+    ids = scratch.keep(buckets.select("id").unionByName(buckets.select(F.col("centre").alias("id"))).distinct())
+    texts = scratch.keep(source.join(bounded(ids), "id", "left_semi"))
     # an id that repeats with several texts has classes of its own; they are one node
     several = named.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("id")
     same_id = named.join(several, "id", "left_semi").filter("rep <> id").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
@@ -226,17 +239,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = scratch.keep(connected_components(links, "a", "b"))
 
     left = buckets.select("bucket", "id", "n").join(component.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
-    parts = left.groupBy("bucket", "component").agg(F.count("*").alias("m"), F.sum("n").alias("n"))
-    open_ = parts.groupBy("bucket").agg(F.count("*").alias("components"), F.sum("m").alias("members"), F.max(F.struct("m", "component", "n")).alias("main"), F.sum("n").alias("n"))
-    blocks = lambda m, k: F.greatest(F.ceil(m / BLOCK), F.ceil(k / BLOCK_SHINGLES))
-    open_ = open_.filter("components > 1").select("bucket", "members", F.col("main.component").alias("main"), blocks(F.col("main.m"), F.col("main.n")).alias("main_blocks"), blocks(F.col("members") - F.col("main.m"), F.col("n") - F.col("main.n")).alias("blocks"))
+    parts = left.groupBy("bucket", "component").agg(F.count("*").alias("m"))
+    open_ = parts.groupBy("bucket").agg(F.count("*").alias("components"), F.sum("m").alias("members"), F.max(F.struct("m", "component")).alias("main"))
+    open_ = open_.filter("components > 1").select("bucket", "members", F.col("main.component").alias("main"))
     members = scratch.keep(left.join(open_, "bucket"))
     small = members.filter(F.col("members") <= SMALL).select("bucket", "id", "n", "component")
     other = small.toDF("bucket", "id_2", "n_2", "component_2")
     pairs = small.join(other, "bucket").filter("component < component_2").filter(fits(F.col("n"), F.col("n_2"))).select(F.least("id", "id_2").alias("a"), F.greatest("id", "id_2").alias("b")).distinct()
-    large = members.filter(F.col("members") > SMALL).withColumn("is_main", F.col("component") == F.col("main"))
+    large = members.filter(F.col("members") > SMALL).groupBy("main", "id", "n").agg(F.max("component").alias("component"))
     more = scratch.keep(_linked(pairs, texts, n, percent).unionByName(_by_blocks(large, texts, n, percent)))
     if not more.isEmpty():
         component = scratch.keep(connected_components(links.unionByName(more), "a", "b"))
+    scratch.drop_all_but(named, component)
     out = named.join(component.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
