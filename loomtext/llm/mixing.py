@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .stage import Scratch
 
-BLOCK_ROWS, PERIOD, BUCKET_ROWS = 64, 1000, 20_000
+BLOCK_ROWS, BUCKET_ROWS = 64, 20_000
 #: Rows of a batch of the plan.
 BATCH = 100_000
 
@@ -109,62 +109,11 @@ def _plan(batches: Iterator[pa.RecordBatch], weights: dict[str, float] | None, b
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), (pa.string(), pa.int64(), pa.int64()))], ["key", "block", "slot"])
 
 
-# The rounded plan of a repeating period; mix_sources doesn't use it.
-def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Weights as slots of a period: at least one each, the largest remainders rounded up."""
-    period = max(period, len(weights))
-    total = math.fsum(weights.values())
-    free = period - len(weights)
-    exact = {s: free * w / total for s, w in weights.items()}
-    shares = {s: 1 + int(x) for s, x in exact.items()}
-    rest = period - sum(shares.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:rest]:
-        shares[s] += 1
-    return shares
-
-
-def period_plan(shares: dict[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block within the period, slot) for one period, by earliest deadline first."""
-    period = sum(shares.values())
-    waiting = [(0, s, 0) for s in sorted(shares)]  # (release, source, block)
-    heapq.heapify(waiting)
-    ready, plan = [], []
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // shares[s]), s, j))
-        _, s, j = heapq.heappop(ready)
-        plan.append((s, j, slot))
-        if j + 1 < shares[s]:
-            heapq.heappush(waiting, ((j + 1) * period // shares[s], s, j + 1))
-    return plan
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """The phases: for each, its first slot, each source's first block and blocks, and the period plan."""
-    left = {s: n for s, n in blocks.items() if n > 0}
-    done = dict.fromkeys(left, 0)
-    out, slot = [], 0
-    while left:
-        wanted = {s: weights[s] for s in left if weights.get(s, 0) > 0} or {s: float(blocks[s]) for s in left}
-        shares = whole_shares(wanted, period)
-        rounds = min(-(-left[s] // shares[s]) for s in wanted)
-        take = {s: min(left[s], rounds * shares[s]) for s in wanted}
-        out.append({"slot": slot, "length": sum(shares.values()), "shares": shares, "first": {s: done[s] for s in wanted}, "take": take, "plan": period_plan(shares)})
-        slot += rounds * sum(shares.values())
-        for s, n in take.items():
-            left[s] -= n
-            done[s] += n
-        left = {s: n for s, n in left.items() if n}
-    return out
-
-
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per row of docs: id, source, block, slot, place (in the block); the mix is ordered by slot, place.
 
     weights: target weight by source ('' for null); by default the square
-    root of each source's number of documents.  period is accepted as before
-    and no longer needed.
+    root of each source's number of documents.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("key"), F.xxhash64(id_col, F.lit(11)).alias("draw"))

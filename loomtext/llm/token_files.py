@@ -37,12 +37,11 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .stage import Scratch, new_folder, small_batches
+from .stage import Scratch, new_folder
 
 # Of the public zstandard seekable format.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -50,7 +49,7 @@ FRAME_TOKENS = 1 << 16
 LEVEL = 3
 CACHE_WORDS = 2_000_000
 _NO_ID = np.iinfo(np.int64).min
-MANIFEST = "part int, file string, n_docs long, n_tokens long, n_bytes long"
+MANIFEST = "part long, first_row long, file string, n_docs long, n_tokens long, n_bytes long"
 
 
 # --- the file format ------------------------------------------------------
@@ -267,31 +266,42 @@ _models: dict[str, WordTokens] = {}
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Token files of rows (id, text, part, row): a new one for each part, and where row doesn't go on by one."""
     from pyarrow import fs
 
     if tokenizer not in _models:
         _models[tokenizer] = WordTokens(tokenizer)
     model = _models[tokenizer]
-    part, writer = TaskContext.get().partitionId(), None
     store, root = fs.FileSystem.from_uri(folder)
     end = np.array([end_id], np.uint32)
+    writer, done, at = None, [], (None, None)
+
+    def close() -> None:
+        writer.close()
+        stream.close()
+        done.append({"part": first[0], "first_row": first[1], "file": f"{folder}/{name}", "n_docs": writer.n_docs, "n_tokens": writer.n_tokens, "n_bytes": writer.n_bytes})
+
     for batch in batches:
         ids = batch.column(0).fill_null(int(_NO_ID)).to_numpy(zero_copy_only=False)
+        parts, rows = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         for docs in K.slices(batch.column(1)):
-            if writer is None:
-                store.create_dir(root, recursive=True)
-                # a lost or repeated attempt leaves a file that no manifest names
-                name = f"part-{part:06d}-{uuid.uuid4().hex}.tok.zst"
-                stream = store.open_output_stream(f"{root}/{name}", compression=None)
-                writer = Writer(stream, width)
             tokens, counts = model.encode(docs)
             ends = np.cumsum(counts)
             for i in range(docs.n):
-                writer.add(int(ids[docs.first + i]), np.append(tokens[ends[i] - counts[i] : ends[i]], end))
+                k = docs.first + i
+                if at != (parts[k], rows[k]):
+                    if writer is not None:
+                        close()
+                    store.create_dir(root, recursive=True)
+                    # a lost or repeated attempt leaves a file that no manifest names
+                    first, name = (parts[k], rows[k]), f"part-{parts[k]:09d}-{rows[k]:012d}-{uuid.uuid4().hex}.tok.zst"
+                    stream = store.open_output_stream(f"{root}/{name}", compression=None)
+                    writer = Writer(stream, width)
+                writer.add(int(ids[k]), np.append(tokens[ends[i] - counts[i] : ends[i]], end))
+                at = (parts[k], rows[k] + 1)
     if writer is not None:
-        writer.close()
-        stream.close()
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [f"{folder}/{name}"], "n_docs": [writer.n_docs], "n_tokens": [writer.n_tokens], "n_bytes": [writer.n_bytes]})
+        close()
+        yield pa.RecordBatch.from_pylist(done, schema=pa.schema([("part", pa.int64()), ("first_row", pa.int64()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())]))
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,30 +325,42 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     })
 
 
+def _written(rows: DataFrame, folder: str, tokenizer: str, end_id: int, width: int) -> DataFrame:
+    return Scratch(rows.sparkSession, "manifest").keep(rows.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, width=width), MANIFEST))
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order_by: list[str], id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: int = 2) -> DataFrame:
     """Writes docs in the order of order_by, one file a range partition; gives the manifest.
 
     The manifest (one row a file) is written before it is returned, so files
     are written once; a file counts only if its task succeeded.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
     ordered = docs.repartitionByRange(*order_by).sortWithinPartitions(*order_by, text_col)
-    rows = ordered.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return Scratch(spark, "manifest").keep(rows.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, width=width), MANIFEST))
+    part = F.spark_partition_id().cast("long")
+    row = F.monotonically_increasing_id() - F.shiftleft(part, 33)
+    return _written(ordered.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), part.alias("part"), row.alias("row")), folder, tokenizer, end_id, width)
+
+
+def write_tokens_as_stored(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: int = 2) -> DataFrame:
+    """Writes docs, a scan of Parquet files that Spark wrote, in the order of the files' numbers and rows; no shuffle."""
+    number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("long")
+    part = number(r"part-(\d+)") * 1000 + number(r"-c(\d+)")
+    return _written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), part.alias("part"), F.col("_metadata.row_index").alias("row")), folder, tokenizer, end_id, width)
 
 
 def read_tokens(manifest: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Reads the files of a manifest: id, start (tokens of all documents before), n_tokens, ids_crc32."""
-    order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    files = manifest.select("part", "file", "n_bytes", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("tokens_before"))
+    order = Window.orderBy("part", "first_row").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    files = manifest.select("part", "first_row", "file", "n_bytes", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("tokens_before"))
     # a number of partitions that is given isn't coalesced, however small the manifest is
-    dealt = files.repartitionByRange(max(1, manifest.count()), "part")
+    dealt = files.repartitionByRange(max(1, manifest.count()), "part", "first_row")
     out = dealt.select("file", "n_bytes", "tokens_before").mapInArrow(_read, "id long, start long, n_tokens long, ids_crc32 long")
     return out.withColumnRenamed("id", id_col)
 
 
-def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", order_by: list[str] | None = None) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", order_by: list[str] | None = None, as_stored: bool = False) -> DataFrame:
     """Writes docs as token files in the shared folder and reads them back."""
     folder = new_folder(docs.sparkSession, "tokens")
+    if as_stored:
+        return read_tokens(write_tokens_as_stored(docs, folder, tokenizer, id_col, text_col), id_col)
     return read_tokens(write_tokens(docs, folder, tokenizer, order_by or [id_col], id_col, text_col), id_col)

@@ -1,5 +1,6 @@
 import io
 import itertools
+import math
 import random
 import zlib
 from fractions import Fraction
@@ -20,36 +21,70 @@ from .helpers import crowded, documents, frame
 # --- mixing ---------------------------------------------------------------
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 0.7, "b": 0.2, "c": 0.1}, {f"s{k}": (k + 1) ** 2 for k in range(30)}, {"a": 1000, "b": 0.001}])
-def test_less_than_one_block_from_target(weights):
-    shares = X.whole_shares(weights, 500)
-    period = sum(shares.values())
-    assert period == 500 and min(shares.values()) >= 1
-    given = dict.fromkeys(shares, 0)
-    for t, (s, j, slot) in enumerate(X.period_plan(shares)):
-        assert slot == t and j == given[s]
-        given[s] += 1
-        for x, n in given.items():
-            assert abs(n - (t + 1) * shares[x] / period) < 1
-    assert given == shares
+def ideal_times(blocks, weights):
+    """{source: [time at which the ideal mix has done j blocks]}, by following the mix from one end of a source to the next."""
+    left, done, now = {s: Fraction(n) for s, n in blocks.items()}, dict.fromkeys(blocks, Fraction(0)), Fraction(0)
+    times = {s: [Fraction(0)] for s in blocks}
+    while left:
+        total = sum(Fraction(weights[s]) for s in left)
+        rate = {s: Fraction(weights[s]) / total for s in left}
+        step = min(left[s] / rate[s] for s in left)
+        for s in list(left):
+            while len(times[s]) <= done[s] + rate[s] * step:
+                times[s].append(now + (len(times[s]) - done[s]) / rate[s])
+            done[s] += rate[s] * step
+            left[s] -= rate[s] * step
+            if not left[s]:
+                del left[s]
+        now += step
+    return times
+
+
+def plain_schedule(blocks, weights):
+    """Earliest deadline first, looking at all sources for every slot."""
+    times, nxt, out = ideal_times(blocks, weights), dict.fromkeys(blocks, 0), []
+    for slot in range(sum(blocks.values())):
+        ready = [(math.ceil(times[s][j + 1]), s) for s, j in nxt.items() if j < blocks[s] and math.floor(times[s][j]) <= slot]
+        _, s = min(ready)
+        out.append((s, nxt[s], slot))
+        nxt[s] += 1
+    return out
 
 
-def test_phases_take_every_block_once():
-    blocks = {"a": 1000, "b": 3, "c": 40, "d": 0}
-    taken = dict.fromkeys(blocks, 0)
-    for p in X.phases(blocks, {"a": 0.1, "b": 0.5, "c": 0.4}, 20):
-        for s, n in p["take"].items():
-            assert p["first"][s] == taken[s]
-            taken[s] += n
-    assert taken == blocks
-    assert X.phases({}, {}, 10) == []
-    assert sum(sum(p["take"].values()) for p in X.phases({"a": 5, "z": 7}, {"a": 1.0}, 10)) == 12
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 0.7, "b": 0.2, "c": 0.1}, {f"s{k}": (k + 1) ** 2 for k in range(12)}, {"a": 1000, "b": 0.001}])
+def test_schedule_equals_the_plain_loop(weights):
+    rng = random.Random(3)
+    blocks = {s: rng.randint(1, 40) for s in weights}
+    assert list(X.schedule(blocks, weights)) == plain_schedule(blocks, weights)
+    assert list(X.schedule({}, {})) == []
+
+
+def test_mixed_table_equals_the_plain_loop(spark):
+    """Every block of the table stands in the slot of the plain loop, with the default weights and given ones."""
+    rng = random.Random(8)
+    sizes = {"hot": 900, "": 33, **{f"s{k}": rng.randint(1, 120) for k in range(9)}}
+    rows, k = [], 0
+    for s, n in sizes.items():
+        for _ in range(n):
+            rows.append((k, "t", "en", s or None, 0))
+            k += 1
+    rng.shuffle(rows)
+    blocks = {s: -(-n // 10) for s, n in sizes.items()}
+    for given in (None, {s: 1.0 + len(s) for s in sizes}):
+        got = X.mix_sources(frame(spark, rows), given, block_rows=10).collect()
+        wanted = {(s, j): slot for s, j, slot in plain_schedule(blocks, given or {s: n**0.5 for s, n in sizes.items()})}
+        held = {}
+        for r in got:
+            held.setdefault((r["source"] or "", r["block"]), []).append(r["place"])
+            assert r["slot"] == wanted[r["source"] or "", r["block"]]
+        assert set(held) == set(wanted)
+        assert all(sorted(p) == list(range(len(p))) for p in held.values()) and sum(map(len, held.values())) == len(rows)
 
 
 def test_mix_keeps_all_rows_and_targets(spark, monkeypatch):
     monkeypatch.setattr(X, "BUCKET_ROWS", 50)
     rows = [(k, "t", "en", "big" if k % 10 else "small", 0) for k in range(2000)] + [(9000 + k, None, None, None, None) for k in range(5)] + [(1, "t", "en", "big", 0)]
-    got = sorted(X.mix_sources(crowded(frame(spark, rows)), {"big": 0.5, "small": 0.5}, block_rows=10, period=10).collect(), key=lambda r: (r["slot"], r["place"]))
+    got = sorted(X.mix_sources(crowded(frame(spark, rows)), {"big": 0.5, "small": 0.5}, block_rows=10).collect(), key=lambda r: (r["slot"], r["place"]))
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
     assert len({(r["slot"], r["place"]) for r in got}) == len(got)
     head = [r["source"] for r in got[:390]]
