@@ -35,7 +35,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .stage import small_batches
 
 GRAM, SPREAD, THRESHOLD = 3, 3, 0.4
 BLOCK_GRAMS = 2_000_000
@@ -177,7 +176,6 @@ def _grams(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, spread: int = SPREAD) -> DataFrame:
     """(id, item id, score, near_word) of every document that holds a test item or an edited copy of one."""
     spark = docs.sparkSession
-    small_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     words = items.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).mapInArrow(_item_words, "item_id long, words array<long>").filter(F.size("words") >= GRAM)
     schema = "doc_id long, item_id long, score double, near_word long"

@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernel as K
-from .stage import small_batches
 
 # The rules' limits.
 NAV_BARS, NAV_SHARE = 3, 0.25  # separators in a line, and per word
@@ -166,7 +165,6 @@ def _assess(batches: Iterator[pa.RecordBatch], max_lost: float) -> Iterator[pa.R
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = MAX_LOST) -> DataFrame:
     """One row per row of docs: its id, the base figures and both verdicts."""
-    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(partial(_assess, max_lost=max_lost), f"`{id_col}` {kind}, {RESULT}")
 
@@ -196,7 +194,6 @@ def clean(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_ch
 
     chars_col, where docs has it, is set to the new number of code points.
     """
-    small_batches(docs.sparkSession)
     names = docs.columns
     chars_at = names.index(chars_col) if chars_col in names else None
     return docs.mapInArrow(partial(_clean, text_at=names.index(text_col), chars_at=chars_at, max_lost=max_lost), docs.schema)

@@ -7,7 +7,7 @@ import numpy as np
 from loomtext.llm import decontaminate as D
 from loomtext.llm import quality_rules as Q
 
-from .helpers import WORD, crowded, documents, frame, words_text
+from .helpers import WORD, crowded, documents, frame, lower, words_text
 
 
 def smith_waterman(a, b):
@@ -74,6 +74,40 @@ def base_figures(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w)
 
 
+def plain_clean(text):
+    """The text without its failing lines, or None if the document goes; line by line, without arrays."""
+    t = text or ""
+    if base_figures(t)[-1]:
+        return None
+    kept, lost, total = [], 0, 0
+    for line in t.split("\n"):
+        w = WORD.findall(line)
+        chars, bars, symbols = sum(map(len, w)), line.count("|"), len(re.findall("[#*$%&<>]", line))
+        failed = bool(w) and (
+            (bars >= 3 and bars >= 0.25 * len(w))
+            or symbols >= max(1, 0.5 * len(w))
+            or (len(w) > 2 and len(re.findall("[A-Z]", line)) > len(re.findall("[a-z]", line)))
+            or (len(w) >= 10 and 3 * len(set(w)) < len(w))
+            or (len(w) >= 8 and not re.search("[.!?。！？…।؟۔]", line))
+            or (len(w) <= 30 and any(x in lower(line) for x in Q.BOILERPLATE))
+        )
+        total += chars
+        lost += chars * failed
+        if not failed:
+            kept.append(line)
+    return "\n".join(kept) if lost <= 0.5 * total else None
+
+
+def test_cleaned_texts_equal_the_plain_version(spark):
+    rng = random.Random(5)
+    bits = ["Home | News | Shop | About", "All rights reserved", "Some prose stands here.", "one two three four five six seven eight nine", "SHOUTING ALL DAY", "w### x$$$", "same " * 12 + ".", "", "  ", "日本 語 。 a b c d e f g h i"]
+    rows = [(k, "\n".join(rng.choice(bits) if rng.random() < 0.3 else " ".join(f"Word{rng.randrange(999)}" for _ in range(rng.randint(1, 20))) + rng.choice(".!, ") for _ in range(rng.randint(1, 12))), "en", "s", 0) for k in range(300)]
+    rows += [(1000 + k, t, *rest) for k, (_, t, *rest) in enumerate(documents())]
+    got = {r["doc_id"]: r["text"] for r in Q.clean(frame(spark, rows)).collect()}
+    assert got == {i: c for i, t, *_ in rows if (c := plain_clean(t)) is not None}
+    assert 50 < len(got) < 300
+
+
 def test_base_figures(spark):
     rows = documents() + [(1000, "a | b\na | b\nx\n\n\n", "en", "s", 0), (1001, "#*$%&|<> " * 60, "en", "s", 0)]
     got = {r["doc_id"]: tuple(r)[1:7] for r in Q.assess(crowded(frame(spark, rows))).collect()}

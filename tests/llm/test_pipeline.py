@@ -4,10 +4,11 @@ import numpy as np
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomtext.llm import decontaminate, quality_rules
+from loomtext.llm import decontaminate
 from loomtext.llm.queries import word_tokenizer
 
 from .helpers import frame, words_text
+from .test_leaks_and_quality import plain_clean
 from .test_near_dedup import brute
 
 
@@ -30,7 +31,7 @@ def test_run_equals_the_stages_by_hand(spark, tmp_path):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
 
-    cleaned = [(r["doc_id"], r["text"]) for r in quality_rules.clean(frame(spark, rows)).collect()]
+    cleaned = [(i, c) for i, t, *_ in rows if (c := plain_clean(t)) is not None]
     assert {i for i, _ in cleaned} == set(range(40)) | {100, 101, 102, 106}
     kept = {i for i, _, _, k in brute(cleaned) if k}
     assert kept == set(range(40)) | {102, 106}
@@ -57,3 +58,24 @@ def test_empty_documents(spark, tmp_path):
     frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "a b c d")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids_and_what_is_left_behind(spark, tmp_path):
+    """A leak goes also under a null id or one that another text has too; only the token files stay in the shared folder."""
+    import random
+    from pathlib import Path
+
+    rng = random.Random(8)
+    item = prose(rng, 30)
+    clean = [prose(rng, 80) for _ in range(5)]
+    leak = lambda: f"{prose(rng, 60)}\n{item}"
+    rows = [(None, clean[0], "en", "s", 0), (None, leak(), "en", "s", 0), (None, clean[1], None, None, 0), (5, clean[2], "en", "s", 0), (5, leak(), "en", "t", 0), (6, clean[3], "en", None, 0)]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    model = Tokenizer.from_file(word_tokenizer())
+    expected = sorted((str(i), len(model.encode(t, add_special_tokens=False).ids) + 1) for i, t in [(None, clean[0]), (None, clean[1]), (5, clean[2]), (6, clean[3])])
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in got) == expected
+    assert {p.name.split("-")[0] for p in set(shared.iterdir()) - before} == {"tokens", "manifest"}
