@@ -3,7 +3,12 @@
 Each stage takes all its predecessor kept, as a Parquet table, and all but the
 last return the columns of `documents`.  Mixing changes no row: it writes the
 documents in the mixed order, and the token stage writes its files in the order
-of that table's files and rows.
+of that table's files and rows.  Rows with a null id are documents like others:
+they are linked with no near copy, and go if they fail the rules or leak.
+
+Ids to be dropped are broadcast while they are few (a checked count), so texts
+are shuffled for the mixed order only.  What a stage's operators write on the
+way is deleted when its result is written.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.sql import functions as F
 
 from loomtext.llm import decontaminate, mixing, near_dedup, quality_rules, token_files
 from loomtext.llm.queries import word_tokenizer
-from loomtext.llm.stage import Scratch
+from loomtext.llm.stage import Scratch, bounded, cleared_after, free_name
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,14 +29,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, the one with the smallest id."""
     dropped = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bounded(Scratch(spark, "dropped").keep(dropped)), "doc_id", "left_anti").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item or an edited copy of one go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.find_leaks(docs, items).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    key = free_name(docs, "key")  # of id and text, as ids may be null or repeat
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    leaks = decontaminate.find_leaks(keyed, items, id_col=key).select(key).distinct()
+    return keyed.join(bounded(Scratch(spark, "leaks").keep(leaks)), key, "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files in the order of the mixed table, read back."""
-    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
-    placed = docs.select("doc_id", "text", part.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return token_files.token_table(placed, word_tokenizer(), order_by=["part", "file", "row"])
+    return token_files.token_table(docs, word_tokenizer(), as_stored=True)
 
 
 STAGES = [
@@ -61,10 +66,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "pipeline")
+    scratch = Scratch(spark, "pipeline", lasting=True)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.keep(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with cleared_after(spark):
+            done = scratch.keep(stage(spark, docs, sf_dir))
+        if k:
+            scratch.drop(docs)
+        docs = done
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    if len(STAGES) > 1:
+        scratch.drop(docs)  # the token files are written by now
+    return out
