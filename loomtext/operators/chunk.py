@@ -2,7 +2,7 @@
 
 A chunker turns a document into units (words, sentences, paragraphs), a native
 fold over the units' token counts finds where chunks begin, and the chunks are
-sliced and exploded.  No shuffle, no Python.  Input has ``doc_id, text``;
+sliced and exploded.  No Python, and no shuffle but in chunk_semantic.  Input has ``doc_id, text``;
 output ``doc_id, chunk_no, text, tokens`` (chunk_no from 1).
 """
 
@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions import features as X
 from loomtext.functions import text as T
+from loomtext.functions import vectors as V
 
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -25,70 +27,109 @@ def register_strategy(name: str, chunker: Callable[[DataFrame], DataFrame]) -> N
 
 def split_sentences(c: Column) -> Column:
     """Sentences with their marks; cut after [.!?] and white space."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def split_paragraphs(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\n[ \t]*\n\s*"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"\n[ \t]*\n\s*"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def pack(sizes: Column, budget: int, max_units: int = 2**31 - 1, forced: Column | None = None) -> Column:
-    """Indexes (from 1) where greedy packing begins a chunk.
+def pack(sizes: Column, budget: int, max_units: int = 2**31 - 1, forced: Column | None = None, least: int = 1, back: Column | None = None) -> Column:
+    """Where greedy packing begins chunks: structs (open: index from 1 of the first new unit, back: units repeated before it).
 
-    A unit opens a chunk when the running tokens would pass the budget or the
-    chunk holds max_units.  With forced (an array of flags, one a unit), a
-    full chunk is cut only before a flagged unit, or at max_units.
+    A unit opens a chunk when the running tokens would pass the budget and the
+    chunk holds at least so many units, or when it holds max_units.  With
+    forced (an array of flags, one a unit), a full chunk is cut only before a
+    flagged unit, or at max_units.  With back (an array: how many of the units
+    before each one fit the overlap, and their tokens) a chunk begins with the
+    last units of the one before.
     """
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("tokens"), F.lit(0).alias("units"), F.array().cast("array<int>").alias("starts"))
-    units = F.zip_with(sizes, forced, lambda n, f: F.struct(n.cast("int").alias("n"), f.alias("f"))) if forced is not None else F.transform(sizes, lambda n: F.struct(n.cast("int").alias("n"), F.lit(True).alias("f")))
+    flags = forced if forced is not None else F.transform(sizes, lambda n: F.lit(True))
+    backs = back if back is not None else F.transform(sizes, lambda n: F.struct(F.array(F.lit(0)).alias("tokens")))
+    units = F.zip_with(F.zip_with(sizes, flags, lambda n, f: F.struct(n.cast("int").alias("n"), f.alias("f"))), backs, lambda u, b: F.struct(u["n"].alias("n"), u["f"].alias("f"), b["tokens"].alias("b")))
+    starts = "array<struct<open:int,back:int>>"
+    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("tokens"), F.lit(0).alias("units"), F.array().cast(starts).alias("starts"))
 
     def step(acc: Column, u: Column) -> Column:
-        over = (acc["tokens"] + u["n"] > budget) & u["f"]
+        over = (acc["tokens"] + u["n"] > budget) & u["f"] & (acc["units"] >= least)
         opens = (acc["i"] == 0) | over | (acc["units"] >= max_units)
+        again = F.least(F.size(u["b"]) - 1, acc["units"])  # not more than the chunk before holds
+        mark = F.array(F.struct((acc["i"] + 1).alias("open"), again.alias("back")))
         return F.struct(
             (acc["i"] + 1).alias("i"),
-            F.when(opens, u["n"]).otherwise(acc["tokens"] + u["n"]).alias("tokens"),
-            F.when(opens, 1).otherwise(acc["units"] + 1).alias("units"),
-            F.when(opens, F.concat(acc["starts"], F.array(acc["i"] + 1))).otherwise(acc["starts"]).alias("starts"),
+            F.when(opens, u["n"] + F.get(u["b"], again)).otherwise(acc["tokens"] + u["n"]).cast("int").alias("tokens"),
+            F.when(opens, again + 1).otherwise(acc["units"] + 1).alias("units"),
+            F.when(opens, F.concat(acc["starts"], mark)).otherwise(acc["starts"]).alias("starts"),
         )
 
     return F.aggregate(units, state, step)["starts"]
 
 
+def overlaps(sizes: Column, overlap: int) -> Column:
+    """For each unit (tokens): the tokens of the last 0, 1, 2, ... units before it, as long as they fit the overlap."""
+    # every unit has a token at least, so no more than overlap units fit
+    def before(n: Column, i: Column) -> Column:
+        first = F.greatest(i - F.lit(overlap) + 1, F.lit(1))
+        behind = F.reverse(F.slice(sizes, first, i - first + 1))
+        sums = F.aggregate(behind, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array((F.element_at(acc, -1) + x).cast("int"))))
+        return F.struct(F.filter(sums, lambda x: x <= overlap).alias("tokens"))
+
+    return F.transform(sizes, before)
+
+
 def cut(docs: DataFrame, joiner: str) -> DataFrame:
     """docs has doc_id, units, sizes, starts: one row per chunk."""
     # outer, and each array a column of its own, so that nothing is worked out twice
-    each = docs.filter(F.col("starts").isNotNull()).select("doc_id", "units", "sizes", "starts", F.posexplode_outer("starts").alias("k", "first"))
-    each = each.filter("first is not null")
-    after = F.coalesce(F.try_element_at("starts", F.col("k") + 2), F.size("units") + 1)
-    n = after - F.col("first")
-    return each.select("doc_id", (F.col("k") + 1).alias("chunk_no"), F.array_join(F.slice("units", F.col("first"), n), joiner).alias("text"), F.aggregate(F.slice("sizes", F.col("first"), n), F.lit(0), lambda acc, x: acc + x.cast("int")).alias("tokens"))
+    each = docs.filter(F.col("starts").isNotNull()).select("doc_id", "units", "sizes", "starts", F.posexplode_outer("starts").alias("k", "at"))
+    each = each.filter("at is not null")
+    after = F.coalesce(F.try_element_at("starts", F.col("k") + 2)["open"], F.size("units") + 1)
+    first = F.col("at.open") - F.col("at.back")
+    each = each.select("doc_id", "units", "sizes", (F.col("k") + 1).alias("chunk_no"), first.alias("first"), (after - first).alias("n"))
+    return each.select("doc_id", "chunk_no", F.array_join(F.slice("units", F.col("first"), F.col("n")), joiner).alias("text"), F.aggregate(F.slice("sizes", F.col("first"), F.col("n")), F.lit(0), lambda acc, x: acc + x.cast("int")).alias("tokens"))
 
 
-def _packed(docs: DataFrame, units: Column, joiner: str, budget: int, kind: str, max_units: int) -> DataFrame:
+def _packed(docs: DataFrame, units: Column, joiner: str, budget: int, kind: str, max_units: int, least: int = 1, overlap: int = 0) -> DataFrame:
     u = docs.select("doc_id", units.alias("units"))
     sized = u.select("doc_id", "units", F.transform("units", lambda s: T.count_tokens(s, kind).cast("int")).alias("sizes"))
-    return cut(sized.select("*", pack(F.col("sizes"), budget, max_units).alias("starts")), joiner)
+    back = None
+    if overlap > 0:
+        # an exploded column isn't merged into the expressions that use it, which would count tokens anew for each unit
+        sized = sized.select("doc_id", "units", F.explode_outer(F.array("sizes")).alias("sizes"))
+        sized = sized.select("doc_id", "units", "sizes", F.explode_outer(F.array(overlaps(F.col("sizes"), overlap))).alias("backs"))
+        back = F.col("backs")
+    return cut(sized.select("*", pack(F.col("sizes"), budget, max_units, None, least, back).alias("starts")), joiner)
+
 
+def chunk_fixed(docs: DataFrame, size: int = 512, kind: str = "word", overlap: int = 0) -> DataFrame:
+    """Words packed to size tokens; with overlap, a chunk begins with the last words of the one before that fit so many tokens."""
+    return _packed(docs, T.words(F.col("text")), " ", size, kind, 2**31 - 1, overlap=overlap)
 
-def chunk_fixed(docs: DataFrame, size: int = 512, kind: str = "word") -> DataFrame:
-    return _packed(docs, T.words(F.col("text")), " ", size, kind, 2**31 - 1)
 
+def chunk_sentence(docs: DataFrame, size: int = 512, kind: str = "word", max_sentences: int = 100, min_sentences: int = 1, overlap: int = 0) -> DataFrame:
+    return _packed(docs, split_sentences(F.col("text")), " ", size, kind, max_sentences, min_sentences, overlap)
 
-def chunk_sentence(docs: DataFrame, size: int = 512, kind: str = "word", max_sentences: int = 100) -> DataFrame:
-    return _packed(docs, split_sentences(F.col("text")), " ", size, kind, max_sentences)
 
+def chunk_paragraph(docs: DataFrame, size: int = 512, kind: str = "word", max_paragraphs: int = 2**31 - 1, overlap: int = 0) -> DataFrame:
+    return _packed(docs, split_paragraphs(F.col("text")), "\n\n", size, kind, max_paragraphs, overlap=overlap)
 
-def chunk_paragraph(docs: DataFrame, size: int = 512, kind: str = "word", max_paragraphs: int = 100) -> DataFrame:
-    return _packed(docs, split_paragraphs(F.col("text")), "\n\n", size, kind, max_paragraphs)
 
+def chunk_semantic(docs: DataFrame, size: int = 512, kind: str = "word", max_sentences: int = 100, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Sentences packed past the budget up to the next topic boundary.
 
-def chunk_semantic(docs: DataFrame, size: int = 512, kind: str = "word", max_sentences: int = 100) -> DataFrame:
-    """Sentences packed past the budget up to the next topic boundary."""
+    A boundary is told by the words; with embed (a function that adds a column
+    vector to rows with a text) also by a cosine below the document's mean
+    less its deviation.  One shuffle, by document.
+    """
     u = docs.select("doc_id", split_sentences(F.col("text")).alias("units"))
     each = u.select("doc_id", F.posexplode_outer("units").alias("k", "s")).filter("s is not null")
-    order = Window.partitionBy("doc_id").orderBy("k")
-    flagged = each.withColumn("before", F.lag("s").over(order)).withColumn("edge", F.coalesce(T.is_topic_boundary(F.col("before"), F.col("s")), F.lit(True)))
+    order, whole = Window.partitionBy("doc_id").orderBy("k"), Window.partitionBy("doc_id")
+    edge = F.coalesce(T.is_topic_boundary(F.col("before"), F.col("s")), F.lit(True))
+    if embed is not None:
+        each = embed(each.withColumnRenamed("s", "text")).withColumnRenamed("text", "s")
+        each = each.withColumn("near", V.cosine(F.lag("vector").over(order), F.col("vector"))).drop("vector")
+        each = each.withColumn("limit", F.avg("near").over(whole) - F.stddev_pop("near").over(whole))
+        edge = edge | F.coalesce(F.col("near") < F.col("limit"), F.lit(False))
+    flagged = each.withColumn("before", F.lag("s").over(order)).withColumn("edge", edge)
     rows = flagged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "s", "edge"))).alias("r"))
     sized = rows.select("doc_id", F.transform("r", lambda x: x["s"]).alias("units"), F.transform("r", lambda x: T.count_tokens(x["s"], kind).cast("int")).alias("sizes"), F.transform("r", lambda x: x["edge"]).alias("edges"))
     return cut(sized.select("doc_id", "units", "sizes", pack(F.col("sizes"), size, max_sentences, F.col("edges")).alias("starts")), " ")
@@ -107,7 +148,7 @@ def chunk_at_boundaries(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Cuts sentences at given indexes (doc_id, cuts ARRAY<INT>): sorted, in range, unique."""
     u = docs.select("doc_id", split_sentences(F.col("text")).alias("units")).join(boundaries, "doc_id", "left")
     inside = F.array_sort(F.array_distinct(F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda k: (k > 0) & (k < F.size("units")))))
-    sized = u.select("doc_id", "units", F.transform("units", lambda s: T.word_count(s)).alias("sizes"), F.when(F.size("units") > 0, F.concat(F.array(F.lit(1)), F.transform(inside, lambda k: k + 1))).alias("starts"))
+    sized = u.select("doc_id", "units", F.transform("units", lambda s: T.word_count(s)).alias("sizes"), F.when(F.size("units") > 0, F.transform(F.concat(F.array(F.lit(1)), F.transform(inside, lambda k: k + 1)), lambda k: F.struct(k.alias("open"), F.lit(0).alias("back")))).alias("starts"))
     return cut(sized, " ")
 
 
@@ -120,12 +161,20 @@ def propositions(docs: DataFrame, most: int = 10) -> DataFrame:
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """Markdown sections: a heading line opens one; what stands before the first is section 0."""
+    """(doc_id, section, title, lines): cut before Markdown headings, else before numbered ones, else at blank lines.
+
+    What stands before the first heading is section 0; a block at blank lines
+    has no title.
+    """
     lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("k", "line"))
-    order = Window.partitionBy("doc_id").orderBy("k")
-    numbered = lines.withColumn("head", F.col("line").rlike(r"^#{1,6}\s").cast("int")).withColumn("section", F.sum("head").over(order))
-    g = numbered.groupBy("doc_id", "section").agg(F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
-    return g.select("doc_id", "section", F.regexp_extract(F.col("l")[0]["line"], r"^#{1,6}\s+(.*)$", 1).alias("title"), F.size("l").alias("lines"))
+    order, whole = Window.partitionBy("doc_id").orderBy("k"), Window.partitionBy("doc_id")
+    marked, numbered = F.col("line").rlike(r"^#{1,6}\s"), F.col("line").rlike(r"^[0-9]+(\.[0-9]+)*\.\s+\S")
+    kind = F.when(F.max(marked).over(whole), "heading").when(F.max(numbered).over(whole), "number").otherwise("block")
+    blank = F.trim("line") == ""
+    opens = F.when(F.col("kind") == "heading", marked).when(F.col("kind") == "number", numbered).otherwise(~blank & F.coalesce(F.lag(blank).over(order), F.lit(False)))
+    placed = lines.withColumn("kind", kind).withColumn("head", opens.cast("int")).withColumn("section", F.sum("head").over(order)).filter((F.col("kind") != "block") | ~blank)
+    title = F.when(F.col("kind") == "heading", F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1)).when(F.col("kind") == "number", F.regexp_extract("line", r"^[0-9]+(\.[0-9]+)*\.\s+(.*)$", 2)).otherwise("")
+    return placed.groupBy("doc_id", "section").agg(F.min_by(title, "k").alias("title"), F.count("*").alias("lines"))
 
 
 # --- chunk statistics -----------------------------------------------------
@@ -137,36 +186,152 @@ def chunk_stats(chunks: DataFrame) -> DataFrame:
     return out.withColumn("overlap_estimate", F.when(F.col("n") > 1, (F.col("n") - 1) * per).otherwise(0))
 
 
+def keywords_of(c: Column) -> Column:
+    """Different lower-cased words of more than two bytes, edge marks trimmed, the commonest words left out."""
+    trimmed = T.trimmed_words(F.lower(c), r"""[.,!?;:"'()\[\]{}]""")
+    return F.array_distinct(F.filter(trimmed, lambda w: (F.octet_length(w) > 2) & ~w.isin(*T.STOP_WORDS[:20])))
+
+
 def adjacent_features(chunks: DataFrame) -> DataFrame:
-    """Per neighbouring pair: word similarity, and whether most of the smaller's sentences repeat."""
+    """Per neighbouring pair: keyword similarity, sentences of the first that the second repeats, and whether those are most of the smaller's.
+
+    Chunks with a column vector also get its cosine with the next one's.
+    """
     order = Window.partitionBy("doc_id").orderBy("chunk_no")
-    rows = chunks.select("doc_id", "chunk_no", F.array_distinct(T.words(F.lower("text"))).alias("w"), F.array_distinct(split_sentences(F.col("text"))).alias("s"))
-    both = rows.withColumn("w2", F.lead("w").over(order)).withColumn("s2", F.lead("s").over(order)).filter("w2 is not null")
-    shared = F.size(F.array_intersect("s", "s2"))
-    return both.select("doc_id", "chunk_no", T.set_jaccard(F.col("w"), F.col("w2")).alias("similarity"), shared.alias("shared"), (shared > 0.5 * F.least(F.size("s"), F.size("s2"))).alias("redundant"))
+    vector = ["vector"] if "vector" in chunks.columns else []
+    rows = chunks.select("doc_id", "chunk_no", *vector, keywords_of(F.col("text")).alias("w"), split_sentences(F.col("text")).alias("s"))
+    both = rows.withColumn("w2", F.lead("w").over(order)).withColumn("s2", F.lead("s").over(order))
+    cosine = []
+    if vector:
+        both = both.withColumn("v2", F.lead("vector").over(order))
+        cosine = [V.cosine(F.col("vector"), F.col("v2")).alias("cosine")]
+    both = both.filter("w2 is not null")
+    shared = F.size(F.filter("s", lambda x: F.array_contains("s2", x)))
+    return both.select("doc_id", "chunk_no", T.set_jaccard(F.col("w"), F.col("w2")).alias("similarity"), shared.alias("shared"), (shared > 0.5 * F.least(F.size("s"), F.size("s2"))).alias("redundant"), *cosine)
 
 
-def assess_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Completeness, size consistency, boundary quality and mean readability of each document's chunks."""
-    whole = docs.select("doc_id", F.octet_length("text").alias("bytes"), T.word_count(F.col("text")).alias("words"))
-    text = F.col("text")
-    parts = chunks.select("doc_id", F.octet_length(text).alias("b"), T.word_count(text).alias("w"), T.flesch(text).alias("f"), F.col("tokens").cast("double").alias("tokens"), text.rlike(r"[.!?]$").cast("double").alias("ends"))
-    g = parts.groupBy("doc_id").agg(F.sum("b").alias("b"), F.sum("w").alias("w"), F.avg("f").alias("f"), F.avg("tokens").alias("m"), F.stddev_pop("tokens").alias("sd"), F.avg("ends").alias("boundary"))
-    ratio = lambda a, b: F.least(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)), F.lit(1.0))
-    out = g.join(whole, "doc_id").select("doc_id", (0.3 * ratio("b", "bytes") + 0.7 * ratio("w", "words")).alias("completeness"), F.greatest(1 - F.coalesce(F.try_divide("sd", "m"), F.lit(0.0)), F.lit(0.0)).alias("consistency"), "boundary", (F.col("f") / 100).alias("readability"))
-    return out.withColumn("score", (F.col("completeness") + F.col("consistency") + F.col("boundary") + F.col("readability")) / 4)
+#: The metrics of a document's chunks and their weights.
+CHUNK_WEIGHTS = {"coherence": 0.20, "completeness": 0.15, "relevance": 0.15, "information": 0.10, "readability": 0.10, "integrity": 0.20, "structure": 0.05, "overlap": 0.05}
+
+
+def _elements(c: Column) -> Column:
+    """Number of headers, list items, paragraphs, code blocks and tables."""
+    count = lambda p: F.regexp_count(c, F.lit(p))
+    return (count("#") + count("<h") + count("- ") + count(r"\* ") + count("<li>") + count("\n\n") + 1 + F.floor(count("```") / 2) + F.floor(count(r"\|") / 3)).cast("long")
+
+
+def repeated_share(c: Column) -> Column:
+    """Twice the share of words (more than two bytes, edge marks trimmed) that repeat an earlier one, at most 1; 1 for a text of one sentence or no word."""
+    w = F.filter(T.trimmed_words(F.lower(c), r"""[.,!?;:"'()\[\]{}]"""), lambda x: F.octet_length(x) > 2)
+    share = F.try_divide(2.0 * (F.size(w) - F.size(F.array_distinct(w))), F.size(w))
+    return F.when(F.size(split_sentences(c)) <= 1, 1.0).otherwise(F.least(F.coalesce(share, F.lit(1.0)), F.lit(1.0)))
+
 
+def assess_chunks(docs: DataFrame, chunks: DataFrame, weights: dict[str, float] = CHUNK_WEIGHTS) -> DataFrame:
+    """Eight metrics of each document's chunks and their weighted mean.
 
-def evaluate_strategies(docs: DataFrame, names: list[str], min_score: float = 0.5) -> DataFrame:
-    """Mean scores of registered chunkers over one collection."""
+    coherence within and between neighbours, completeness, relevance,
+    information, readability, integrity (neighbours alone), structure kept and
+    overlap that isn't redundant; beside them the size consistency and the
+    share of chunks that end with a sentence.  With a column vector in chunks,
+    neighbours are compared by cosine.
+    """
+    text = F.col("text")
+    whole = docs.select("doc_id", F.octet_length("text").alias("bytes"), T.word_count(text).alias("words"), _elements(text).alias("elements"))
+    parts = chunks.select(
+        "doc_id",
+        (F.octet_length(text) + 1).alias("b"),
+        T.word_count(text).alias("w"),
+        repeated_share(text).alias("within"),
+        X.informativeness(text).alias("relevance"),
+        X.density(text, F.col("tokens")).alias("information"),
+        (T.flesch(text) / 100).alias("readability"),
+        _elements(text).alias("e"),
+        F.col("tokens").cast("double").alias("tokens"),
+        text.rlike(r"[.!?]$").cast("double").alias("ends"),
+    )
+    mean = lambda c: F.avg(c).alias(c)
+    g = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("b").alias("b"), F.sum("w").alias("w"), F.sum("e").alias("e"), mean("within"), mean("relevance"), mean("information"), mean("readability"), F.avg("tokens").alias("m"), F.stddev_pop("tokens").alias("sd"), F.avg("ends").alias("boundary"))
+    pairs = adjacent_features(chunks)
+    near = F.avg("cosine" if "vector" in chunks.columns else "similarity")
+    a = pairs.groupBy("doc_id").agg(near.alias("near"), F.sum("shared").alias("shared"), F.sum(F.when(F.col("redundant"), F.col("shared")).otherwise(0)).alias("redundant"))
+    out = g.join(whole, "doc_id").join(a, "doc_id", "left")
+    near = F.coalesce("near", F.lit(1.0))
+    out = out.select(
+        "doc_id",
+        F.when(F.col("n") <= 1, 1.0).otherwise(0.7 * F.col("within") + 0.3 * near).alias("coherence"),
+        F.least(F.coalesce(0.3 * F.try_divide("b", "bytes") + 0.7 * F.try_divide("w", "words"), F.lit(1.0)), F.lit(1.0)).alias("completeness"),
+        "relevance",
+        "information",
+        "readability",
+        near.alias("integrity"),
+        F.least(F.col("e") / F.col("elements"), F.lit(1.0)).alias("structure"),
+        F.coalesce(1 - F.try_divide("redundant", "shared"), F.lit(1.0)).alias("overlap"),
+        F.greatest(1 - F.coalesce(F.try_divide("sd", "m"), F.lit(0.0)), F.lit(0.0)).alias("consistency"),
+        "boundary",
+    )
+    return out.withColumn("score", sum(w * F.col(c) for c, w in weights.items()) / sum(weights.values()))
+
+
+#: Chunk issues: metric, least value, severity, and how much missing it weighs.
+CHUNK_ISSUES = (("completeness", 0.8, "high", 0.9), ("relevance", 0.4, "moderate", 0.3), ("information", 0.3, "low", 0.2), ("readability", 0.3, "moderate", 0.3), ("integrity", 0.6, "high", 0.8), ("structure", 0.7, "moderate", 0.6), ("overlap", 0.7, "moderate", 0.4))
+
+
+def chunk_issues(assessed: DataFrame) -> DataFrame:
+    """(doc_id, metric, severity, impact): the metrics of assess_chunks below their least values."""
+    found = [F.when(F.col(m) < least, F.struct(F.lit(m).alias("metric"), F.lit(severity).alias("severity"), ((least - F.col(m)) * weight).alias("impact"))) for m, least, severity, weight in CHUNK_ISSUES]
+    return assessed.select("doc_id", F.inline(F.array_compact(F.array(*found))))
+
+
+def weighted_quality(weights: dict[str, float] | None = None, columns: tuple[str, ...] = ("coherence", "completeness", "size_balance", "boundary_quality")) -> Column:
+    """The weighted mean of quality columns; the plain mean without weights, or if they sum to nothing."""
+    given = {c: w for c, w in (weights or {}).items() if c in columns}
+    if sum(given.values()) <= 0:
+        given = dict.fromkeys(columns, 1.0)
+    return sum(w * F.col(c) for c, w in given.items()) / sum(given.values())
+
+
+METRICS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {}
+
+
+def register_metric(name: str, metric: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+    """Adds a metric for evaluate_strategies(): (docs, chunks) to (doc_id, value)."""
+    METRICS[name] = metric
+
+
+def evaluate_strategies(docs: DataFrame, names: list[str], min_score: float = 0.5, metrics: list[str] | None = None) -> DataFrame:
+    """Mean scores of registered chunkers over one collection, with registered metrics beside them."""
     out = None
     for name in names:
-        scored = assess_chunks(docs, STRATEGIES[name](docs)).withColumn("strategy", F.lit(name))
+        chunks = STRATEGIES[name](docs)
+        scored = assess_chunks(docs, chunks)
+        for metric in metrics or []:
+            scored = scored.join(METRICS[metric](docs, chunks).select("doc_id", F.col("value").alias(metric)), "doc_id", "left")
+        scored = scored.withColumn("strategy", F.lit(name))
         out = scored if out is None else out.unionByName(scored)
-    g = out.groupBy("strategy").agg(F.count("*").alias("docs"), *[F.avg(c).alias(c) for c in ("completeness", "consistency", "boundary", "readability", "score")])
+    g = out.groupBy("strategy").agg(F.count("*").alias("docs"), *[F.avg(c).alias(c) for c in (*CHUNK_WEIGHTS, "consistency", "boundary", "score", *(metrics or []))])
     return g.withColumn("passed", F.col("score") >= min_score)
 
 
+def strategy_metrics(log: DataFrame, day_rows: str = "1 day") -> DataFrame:
+    """(strategy, successes, errors, avg_latency, health, enabled) of a run log (strategy, ts, id, ok, latency).
+
+    Health falls by a tenth at every error that makes errors outnumber the
+    successes so far; below 0.1 a strategy is off.  Counts so far are summed
+    over days first, then within a day, so that one strategy's log is many tasks' work.
+    """
+    dated = log.withColumn("day", F.window("ts", day_rows)["start"]) if day_rows else log
+    ok = F.col("ok").cast("int")
+    days = dated.groupBy("strategy", "day").agg(F.sum(2 * ok - 1).alias("gain"))
+    before = Window.partitionBy("strategy").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
+    days = days.select("strategy", "day", F.coalesce(F.sum("gain").over(before), F.lit(0)).alias("earlier"))
+    so_far = Window.partitionBy("strategy", "day").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = dated.withColumn("gain", F.sum(2 * ok - 1).over(so_far)).join(days, ["strategy", "day"])
+    falls = F.sum((~F.col("ok") & (F.col("gain") + F.col("earlier") < 0)).cast("int"))
+    g = rows.groupBy("strategy").agg(F.sum(ok).alias("successes"), F.sum(1 - ok).alias("errors"), F.avg(F.when(F.col("ok"), F.col("latency"))).alias("avg_latency"), F.pow(F.lit(0.9), falls).alias("health"))
+    return g.withColumn("enabled", F.col("health") >= 0.1)
+
+
 register_strategy("fixed", chunk_fixed)
 register_strategy("sentence", chunk_sentence)
 register_strategy("paragraph", chunk_paragraph)

@@ -6,13 +6,15 @@ frontier, so the plan never grows and a lost executor costs one round.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.plans.components import connected_components
 from loomtext.plans.shared import Scratch
 
-__all__ = ["connected_components", "degree", "traverse", "shortest_paths", "all_paths", "communities", "pagerank", "triangles", "clustering", "profile", "verified_edges"]
+__all__ = ["connected_components", "degree", "traverse", "shortest_paths", "all_paths", "communities", "pagerank", "triangles", "clustering", "profile", "verified_edges", "nodes_by_label", "relations", "update_nodes", "delete_nodes", "update_relations", "delete_relations", "betweenness"]
 
 
 def _directed(edges: DataFrame, direction: str) -> DataFrame:
@@ -33,9 +35,64 @@ def degree(vertices: DataFrame, edges: DataFrame, direction: str = "both") -> Da
     return vertices.select("id").join(counted, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("degree"))
 
 
-def traverse(starts: DataFrame, edges: DataFrame, depth: int = 5, direction: str = "out") -> DataFrame:
-    """(start, id, hops): nodes within 1..depth hops of each start, the start left out."""
+def nodes_by_label(vertices: DataFrame, label: str) -> DataFrame:
+    """Vertices (id, labels ARRAY, ...) that carry the label."""
+    return vertices.filter(F.array_contains("labels", label))
+
+
+def relations(edges: DataFrame, src: int | None = None, dst: int | None = None, type: str | None = None) -> DataFrame:
+    """Edges by their ends and type; what isn't given doesn't matter."""
+    for column, value in (("src", src), ("dst", dst), ("type", type)):
+        if value is not None:
+            edges = edges.filter(F.col(column) == value)
+    return edges
+
+
+def update_nodes(vertices: DataFrame, updates: DataFrame) -> DataFrame:
+    """Merges properties (id, properties MAP) into those of the vertices; new values win, unknown ids are ignored."""
+    fresh = updates.select("id", F.col("properties").alias("_fresh"))
+    merged = F.when(F.col("_fresh").isNull(), F.col("properties")).otherwise(F.map_concat(F.map_filter("properties", lambda k, v: ~F.map_contains_key("_fresh", k)), "_fresh"))
+    return vertices.join(fresh, "id", "left").withColumn("properties", merged).select(vertices.columns)
+
+
+def delete_nodes(vertices: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The vertices without the ids, and the edges without those that had an end there."""
+    gone = ids.select("id").distinct()
+    left = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    return vertices.join(gone, "id", "left_anti"), left.select(edges.columns)
+
+
+def update_relations(edges: DataFrame, updates: DataFrame) -> DataFrame:
+    """Merges properties (src, dst, type, properties MAP) into those of the edges."""
+    fresh = updates.select("src", "dst", "type", F.col("properties").alias("_fresh"))
+    merged = F.when(F.col("_fresh").isNull(), F.col("properties")).otherwise(F.map_concat(F.map_filter("properties", lambda k, v: ~F.map_contains_key("_fresh", k)), "_fresh"))
+    return edges.join(fresh, ["src", "dst", "type"], "left").withColumn("properties", merged).select(edges.columns)
+
+
+def delete_relations(edges: DataFrame, keys: DataFrame) -> DataFrame:
+    """Edges without those named by (src, dst, type)."""
+    return edges.join(keys.select("src", "dst", "type").distinct(), ["src", "dst", "type"], "left_anti").select(edges.columns)
+
+
+def traverse(
+    starts: DataFrame,
+    edges: DataFrame,
+    depth: int = 5,
+    direction: str = "out",
+    types: tuple[str, ...] | None = None,
+    nodes: DataFrame | None = None,
+    skip: int = 0,
+    limit: int | None = None,
+) -> DataFrame:
+    """(start, id, hops): nodes within 1..depth hops of each start, the start left out.
+
+    types: only edges of these types are followed; nodes: only these ids are
+    given back (they may be reached through others); skip and limit count each
+    start's nodes by hops, then id.
+    """
     scratch = Scratch(starts.sparkSession, "traverse")
+    if types is not None:
+        edges = edges.filter(F.col("type").isin(*types))
     steps = scratch.keep(_directed(edges, direction))
     seen = scratch.keep(starts.select(F.col("id").alias("start"), "id", F.lit(0).alias("hops")).distinct())
     frontier = seen
@@ -45,37 +102,58 @@ def traverse(starts: DataFrame, edges: DataFrame, depth: int = 5, direction: str
         if frontier.isEmpty():
             break
         seen = scratch.keep(seen.unionByName(frontier))
-    return seen.filter("hops > 0")
+    found = seen.filter("hops > 0")
+    if nodes is not None:
+        found = found.join(nodes.select("id").distinct(), "id", "left_semi").select("start", "id", "hops")
+    if skip or limit is not None:
+        place = F.row_number().over(Window.partitionBy("start").orderBy("hops", "id"))
+        found = found.withColumn("place", place).filter(F.col("place") > skip).filter(F.col("place") <= skip + limit if limit is not None else F.lit(True)).drop("place")
+    return found
 
 
-def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int = 10) -> DataFrame:
-    """(start, goal, length, path) for pairs joined by a path of at most depth undirected steps; the smallest parents win."""
+def shortest_paths(pairs: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, goal, length, path) for pairs joined by an undirected path, of at most depth steps if given; the smallest parents win."""
     scratch = Scratch(pairs.sparkSession, "paths")
     steps = scratch.keep(_directed(edges, "both"))
     goals = scratch.keep(pairs.select("start", "goal").distinct())
     seen = scratch.keep(goals.select("start", F.col("start").alias("id")).distinct().withColumn("path", F.array("id")))
-    frontier, found = seen, goals.filter("start = goal").join(seen, "start").select("start", "goal", "path")
-    for _ in range(depth):
+    frontier, found = seen, scratch.keep(goals.filter("start = goal").join(seen, "start").select("start", "goal", "path"))
+    for _ in itertools.count() if depth is None else range(depth):
         reached = frontier.withColumnRenamed("id", "src").join(steps, "src").groupBy("start", F.col("dst").alias("id")).agg(F.min("path").alias("path"))
         frontier = scratch.keep(reached.join(seen, ["start", "id"], "left_anti").withColumn("path", F.concat("path", F.array("id"))).select("start", "id", "path"))
         if frontier.isEmpty():
             break
-        found = found.unionByName(frontier.join(goals.withColumnRenamed("goal", "id"), ["start", "id"]).select("start", F.col("id").alias("goal"), "path"))
-        seen = scratch.keep(seen.unionByName(frontier))
+        found = found.unionByName(scratch.keep(frontier.join(goals.withColumnRenamed("goal", "id"), ["start", "id"]).select("start", F.col("id").alias("goal"), "path")))
+        seen = seen.unionByName(frontier)
         open_ = goals.join(found.select("start", "goal"), ["start", "goal"], "left_anti")
         frontier = frontier.join(open_.select("start").distinct(), "start", "left_semi")
     return found.select("start", "goal", (F.size("path") - 1).alias("length"), "path")
 
 
-def all_paths(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """(path): directed paths of 1..depth steps without a repeated node."""
-    steps = edges.select("src", "dst").distinct()
-    now = starts.select(F.array("id").alias("path"), F.col("id").alias("src"))
-    out = None
+def all_paths(starts: DataFrame, edges: DataFrame, depth: int, goals: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """(path): directed paths of 1..depth steps that use no edge twice.
+
+    goals: only paths that end at one of these ids; limit: the first so many
+    of each start and end, shorter ones first.  Each round is written in the
+    shared folder; the number of paths itself grows with the degrees to the
+    power of depth.
+    """
+    scratch = Scratch(starts.sparkSession, "all-paths")
+    steps = scratch.keep(edges.select("src", "dst").distinct())
+    now, out = starts.select(F.array("id").alias("path"), F.col("id").alias("src")), None
     for _ in range(depth):
-        now = now.join(steps, "src").filter(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src"))
-        out = now.select("path") if out is None else out.unionByName(now.select("path"))
-    return out
+        used = F.exists(F.sequence(F.lit(1), F.size("path") - 1), lambda k: (F.element_at("path", k) == F.col("src")) & (F.element_at("path", k + 1) == F.col("dst")))
+        fresh = F.when(F.size("path") > 1, ~used).otherwise(True)
+        now = scratch.keep(now.join(steps, "src").filter(fresh).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("src")))
+        out = now if out is None else out.unionByName(now)
+        if now.isEmpty():
+            break
+    if goals is not None:
+        out = out.join(goals.select(F.col("id").alias("src")).distinct(), "src", "left_semi")
+    if limit is not None:
+        order = Window.partitionBy(F.element_at("path", 1), "src").orderBy(F.size("path"), "path")
+        out = out.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= limit)
+    return out.select("path")
 
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
@@ -130,7 +208,55 @@ def clustering(edges: DataFrame) -> DataFrame:
 
 
 def profile(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(figure, value): node and edge counts, mean, largest and smallest degree."""
+    """(figure, value): node and edge counts, mean, largest and smallest degree.
+
+    Where the tables have them, the 20 most frequent labels and edge types too,
+    as "label:..." and "type:...".
+    """
     d = degree(vertices, edges).agg(F.count("*").cast("double").alias("nodes"), F.avg("degree").alias("avg_degree"), F.max("degree").cast("double").alias("max_degree"), F.min("degree").cast("double").alias("min_degree"))
     e = edges.agg(F.count("*").cast("double").alias("edges"))
-    return d.join(e).unpivot([], ["nodes", "edges", "avg_degree", "max_degree", "min_degree"], "figure", "value")  # one row each
+    out = d.join(e).unpivot([], ["nodes", "edges", "avg_degree", "max_degree", "min_degree"], "figure", "value")  # one row each
+    if "labels" in vertices.columns:
+        out = out.unionByName(_most_frequent(vertices.select(F.explode("labels").alias("x")), "label:"))
+    if "type" in edges.columns:
+        out = out.unionByName(_most_frequent(edges.select(F.col("type").alias("x")), "type:"))
+    return out
+
+
+def _most_frequent(df: DataFrame, kind: str, k: int = 20) -> DataFrame:
+    top = df.groupBy("x").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "x").limit(k)
+    return top.select(F.concat(F.lit(kind), F.col("x").cast("string")).alias("figure"), F.col("n").cast("double").alias("value"))
+
+
+def betweenness(starts: DataFrame, edges: DataFrame, direction: str = "both") -> DataFrame:
+    """(id, score): shortest paths from the given starts that run through a node, by Brandes' sums.
+
+    Level by level from all starts at once: a first pass counts the shortest
+    paths to each node, a second one, from the farthest level back, adds up
+    how much of them each node carries.  With all nodes as starts the score is
+    exact (each pair of ends counts in both directions); with a sample of them
+    it estimates the exact one times starts / nodes.
+    """
+    scratch = Scratch(starts.sparkSession, "betweenness")
+    steps = scratch.keep(_directed(edges, direction).filter("src <> dst"))
+    level = scratch.keep(starts.select(F.col("id").alias("start"), "id").distinct().withColumn("paths", F.lit(1.0)))
+    seen, levels = level.select("start", "id"), [level]
+    while True:
+        reached = level.withColumnRenamed("id", "src").join(steps, "src").groupBy("start", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        level = scratch.keep(reached.join(seen, ["start", "id"], "left_anti").select("start", "id", "paths"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        seen = scratch.keep(seen.unionByName(level.select("start", "id")))
+    carried, out = None, None
+    for upper, lower in zip(reversed(levels[:-1]), reversed(levels[1:])):
+        below = lower.withColumn("carried", F.lit(0.0)) if carried is None else lower.join(carried, ["start", "id"], "left").withColumn("carried", F.coalesce("carried", F.lit(0.0)))
+        below = below.select("start", F.col("id").alias("dst"), F.col("paths").alias("to_there"), "carried")
+        via = upper.withColumnRenamed("id", "src").join(steps, "src").join(below, ["start", "dst"])
+        carried = scratch.keep(via.groupBy("start", F.col("src").alias("id")).agg(F.sum(F.col("paths") / F.col("to_there") * (1 + F.col("carried"))).alias("carried")))
+        through = carried.filter("id <> start").groupBy("id").agg(F.sum("carried").alias("score"))
+        out = through if out is None else out.unionByName(through)
+    every = _directed(edges, "both").select(F.col("src").alias("id")).unionByName(starts.select("id")).distinct()
+    if out is None:
+        return every.withColumn("score", F.lit(0.0))
+    return every.join(out.groupBy("id").agg(F.sum("score").alias("score")), "id", "left").select("id", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -127,6 +127,12 @@ def cosine_pairs(vectors: DataFrame, threshold: float, mode: str = "exact", tabl
     return found.groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
+def semantic_relationships(memories: DataFrame, vectors: DataFrame | None = None, threshold: float = 0.6) -> DataFrame:
+    """(a, b, score, label) of related pairs of (id, text): by cosine of (id, vector) where there are vectors, else by shared words."""
+    pairs = cosine_pairs(vectors, threshold) if vectors is not None else token_jaccard_pairs(memories, threshold)
+    return pairs.withColumn("label", relationship_label(F.col("score")))
+
+
 def relationship_label(score) -> F.Column:
     return F.when(score > 0.9, "near_duplicate").when(score > 0.8, "highly_similar").when(score > 0.7, "similar").otherwise("related")
 

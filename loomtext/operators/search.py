@@ -153,8 +153,12 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine",
     return top_k(vector_scores(queries, vectors, k, metric, min_score), k)
 
 
-def semantic_search(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = 0.1) -> DataFrame:
-    return knn(queries, vectors, k, "cosine", min_score)
+def semantic_search(queries: DataFrame, vectors: DataFrame, k: int, min_score: float = 0.1, memories: DataFrame | None = None) -> DataFrame:
+    """Nearest vectors; queries without a vector fall back to the TF-IDF search of their text, if memories are given."""
+    if memories is None:
+        return knn(queries, vectors, k, "cosine", min_score)
+    found = knn(queries.filter("vector is not null"), vectors, k, "cosine", min_score)
+    return found.unionByName(tfidf_search(queries.filter("vector is null").select("query_id", "text"), memories, k).select(found.columns))
 
 
 def hybrid_merge(lexical: DataFrame, semantic: DataFrame, k: int) -> DataFrame:
@@ -197,6 +201,34 @@ def search_cubes(queries: DataFrame, memories: DataFrame, cubes: DataFrame, k: i
     return top_k(scored, k, "query_id", "cube_id")
 
 
+def retrieve_for_messages(messages: DataFrame, memories: DataFrame, users: DataFrame, cubes: DataFrame, links: DataFrame, k: int) -> DataFrame:
+    """(query_id, cube_id, id, score, rank): for each message (query_id, user_id, text) the k best memories of every cube its user may read.
+
+    All cubes in one job: word hits are joined with the message's cubes before
+    scores are summed, so memories of other cubes never reach a score.
+    """
+    active = users.filter("is_active").select("user_id")
+    reads = cubes.filter("is_active").select("cube_id", F.col("owner_id").alias("user_id")).unionByName(links.select("cube_id", "user_id").join(cubes.filter("is_active").select("cube_id"), "cube_id", "left_semi")).distinct()
+    allowed = messages.join(active, "user_id", "left_semi").join(reads, "user_id").select("query_id", "cube_id")
+    asked = messages.select("query_id", F.explode(T.clean_words(F.col("text"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    held = memories.select("cube_id", "id", F.explode(F.array_distinct(T.clean_words(F.col("text")))).alias("word"))
+    wanted = asked.join(allowed, "query_id")
+    scored = held.join(wanted, ["word", "cube_id"]).groupBy("query_id", "cube_id", "id").agg(F.sum("times").alias("score"))
+    return top_k(scored, k, "query_id", "cube_id")
+
+
+def memory_type_scope(memories: DataFrame, kind: str | None = None) -> DataFrame:
+    """Memories of one type (a filter on a column that tables can be partitioned by); all without a type."""
+    return memories if kind is None else memories.filter(F.col("memory_type") == kind)
+
+
+def replace_working_memory(memories: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The working memories of the cubes in fresh are exchanged for those; all else stays."""
+    mine = F.col("memory_type") == "WorkingMemory"
+    others = memories.filter(~F.coalesce(mine, F.lit(False))).unionByName(memories.filter(mine).join(fresh.select("cube_id").distinct(), "cube_id", "left_anti").select(memories.columns))
+    return others.unionByName(fresh.withColumn("memory_type", F.lit("WorkingMemory")).select(memories.columns))
+
+
 def hydrate(results: DataFrame, memories: DataFrame) -> DataFrame:
     return results.join(memories, "id")
 
@@ -221,6 +253,15 @@ def evidence_budget(evidence: DataFrame, k: int) -> DataFrame:
     return evidence.withColumn("quota", F.greatest(F.floor(F.lit(k) / n), F.lit(1)))
 
 
+def evidence_search(evidence: DataFrame, memories: DataFrame, k: int) -> DataFrame:
+    """(query_id, evidence_id, id, score, rank): for each evidence (query_id, evidence_id, text) its share of the k results."""
+    quotas = evidence_budget(evidence, k).select("query_id", "evidence_id", "quota")
+    key = F.struct("query_id", "evidence_id")
+    found = keyword_scores(evidence.select(key.alias("query_id"), "text"), memories)
+    scored = found.select("query_id.query_id", "query_id.evidence_id", "id", "score").join(quotas, ["query_id", "evidence_id"])
+    return top_k(scored, F.col("quota"), "query_id", "evidence_id").drop("quota")
+
+
 def build_context(results: DataFrame, memories: DataFrame, prompt: str) -> DataFrame:
     """One prompt per query: the base text and its numbered memories in rank order."""
     listed = results.join(memories.select("id", "text"), "id").groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("m"))

@@ -24,14 +24,19 @@ def content_blocks(docs: DataFrame) -> DataFrame:
 
 
 def chunk_multimodal(docs: DataFrame, size: int = 512) -> DataFrame:
-    """Blocks packed by kind: text by sentences, code and tables by lines (a table's header repeats)."""
+    """Blocks packed by kind: text by sentences, code and tables by lines; chunks of a table after its first begin with its header."""
     blocks = content_blocks(docs)
     lines = F.split("text", "\n")
     units = F.when(F.col("kind") == "text", K.split_sentences(F.col("text"))).otherwise(lines)
     u = blocks.select("doc_id", "block_no", "kind", units.alias("units"))
     keyed = u.select(F.struct("doc_id", "block_no", "kind").alias("doc_id"), "units", F.transform("units", lambda s: T.count_tokens(s, "word").cast("int")).alias("sizes"))
     cut = K.cut(keyed.select("*", K.pack(F.col("sizes"), size).alias("starts")), "\n")
-    return cut.select("doc_id.doc_id", "doc_id.block_no", "doc_id.kind", "chunk_no", "text", "tokens")
+    # a table's first line, and its second if that is the rule below the header
+    head = blocks.filter("kind = 'table'").select("doc_id", "block_no", F.regexp_extract("text", r"^([^\n]*(?:\n[ \t]*\|[ \t:|-]+(?=\n|$))?)", 1).alias("head"))
+    out = cut.select("doc_id.doc_id", "doc_id.block_no", "doc_id.kind", "chunk_no", "text", "tokens").join(head, ["doc_id", "block_no"], "left")
+    repeats = F.col("head").isNotNull() & (F.col("chunk_no") > 1)
+    tokens = F.col("tokens") + F.when(repeats, T.count_tokens(F.col("head"), "word").cast("int")).otherwise(0)
+    return out.select("doc_id", "block_no", "kind", "chunk_no", F.when(repeats, F.concat("head", F.lit("\n"), "text")).otherwise(F.col("text")).alias("text"), tokens.cast("int").alias("tokens"))
 
 
 def neighbour_types(blocks: DataFrame) -> DataFrame:
@@ -91,6 +96,35 @@ def boundary_threshold(scores: DataFrame, method: str = "percentile", p: float =
     return g.select("doc_id", value.alias("threshold"))
 
 
+def segment_coherence(segments: DataFrame, p: float = 0.3) -> DataFrame:
+    """(doc_id, segments, sequential, average, boundaries, score) of each document's segment vectors.
+
+    score = 0.6 * mean cosine of neighbours + 0.4 * mean cosine of all pairs,
+    less if more than half of the segments end at a boundary.  The sum over
+    all pairs comes from the sum of the unit vectors: (|sum|**2 - n) / 2, so no
+    pair is built.
+    """
+    near = boundary_scores(segments).groupBy("doc_id").agg(F.avg("score").alias("sequential"))
+    cuts = detect_boundaries(segments, "percentile", p).groupBy("doc_id").agg(F.count("*").alias("boundaries"))
+    unit = segments.select("doc_id", V.normalize(F.col("vector")).alias("u"))
+    sizes = unit.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_if(F.exists("u", lambda x: x != 0)).alias("whole"))
+    sums = unit.select("doc_id", F.posexplode("u").alias("k", "x")).groupBy("doc_id", "k").agg(F.sum("x").alias("x")).groupBy("doc_id").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    out = sizes.join(sums, "doc_id", "left").join(near, "doc_id", "left").join(cuts, "doc_id", "left")
+    pairs = F.col("segments") * (F.col("segments") - 1) / 2
+    out = out.select("doc_id", "segments", F.coalesce("sequential", F.lit(0.0)).alias("sequential"), F.coalesce(F.try_divide((F.col("square") - F.col("whole")) / 2, pairs), F.lit(0.0)).alias("average"), F.coalesce("boundaries", F.lit(0)).alias("boundaries"))
+    share = F.col("boundaries") / F.col("segments")
+    score = (0.6 * F.col("sequential") + 0.4 * F.col("average")) * F.when(share > 0.5, 1 - (share - 0.5) * 0.5).otherwise(1.0)
+    return out.withColumn("score", F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)))
+
+
+def chunk_contextual(docs: DataFrame, size: int = 512, embed=None) -> DataFrame:
+    """Semantic chunks with their place, neighbours' ends, structure and, with embed, vectors."""
+    chunks = K.chunk_semantic(docs, size, embed=embed)
+    placed = position_context(chunks)
+    rows = chunks.select("doc_id", "chunk_no", "text", "tokens", T.chunk_structure(F.col("text")).alias("structure")).join(placed, ["doc_id", "chunk_no"])
+    return embed(rows) if embed is not None else rows
+
+
 def detect_boundaries(segments: DataFrame, method: str = "percentile", p: float = 0.3) -> DataFrame:
     scores = boundary_scores(segments)
     return scores.join(boundary_threshold(scores, method, p), "doc_id").filter("score <= threshold").select("doc_id", "pos", "score")
@@ -105,6 +139,18 @@ def outline(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", (F.col("k") + 1).alias("line_no"), kind.alias("kind"))
 
 
+def title_references(nodes: DataFrame) -> DataFrame:
+    """(doc_id, src, dst): a node's text holds another's title; both are compared within their document.
+
+    Titles are looked up by their first word, so only nodes that hold that word are searched.
+    """
+    titled = nodes.filter(F.trim("title") != "").select("doc_id", F.col("node").alias("dst"), F.lower(F.trim("title")).alias("title")).withColumn("word", T.trim_marks(F.split("title", r"\s+")[0]))
+    low = nodes.select("doc_id", F.col("node").alias("src"), F.lower("text").alias("text"))
+    words = low.select("doc_id", "src", "text", F.array_distinct(T.trimmed_words(F.col("text"))).alias("w"))
+    hits = words.select("doc_id", "src", "text", F.explode("w").alias("word")).join(titled, ["doc_id", "word"])
+    return hits.filter((F.col("src") != F.col("dst")) & F.contains("text", "title")).select("doc_id", "src", "dst").distinct()
+
+
 def cross_references(nodes: DataFrame, share: float = 0.3) -> DataFrame:
     """(doc_id, src, dst): a node's keywords overlap another's of its document by more than a share of its own."""
     k = nodes.select("doc_id", "node", F.array_distinct(T.content_words(F.col("text"))).alias("w")).filter(F.size("w") > 0)

@@ -9,7 +9,11 @@ from loomtext.operators import chunk as K
 from loomtext.operators import graph as G
 from loomtext.operators import store as S
 
-from .catalog import Catalog, sql_words
+from loomtext.functions import features as X
+from loomtext.functions import text as T
+
+from .catalog import SQL_MARKS, SQL_N_WORDS, Catalog, sql_words
+from .text_queries import _SYLLABLES
 
 C = Catalog()
 
@@ -276,6 +280,41 @@ def _(t):
     return K.chunk_fixed(t("documents"), 256).withColumn("tokens", F.col("tokens").cast("long"))
 
 
+def _overlapping_sql(units: str, joiner: str, size: int, overlap: int, least: int, most: int) -> str:
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, {units} AS u FROM documents), y AS MATERIALIZED (SELECT doc_id, u, list_transform(u, lambda s: len(regexp_extract_all(s, '\\S+')) + {_PUNCT.format("s")}) AS n FROM d WHERE len(u) > 0),
+c AS MATERIALIZED (SELECT doc_id, u, n, list_transform(range(0, len(n) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)::BIGINT) AS sums FROM y),
+back AS MATERIALIZED (SELECT doc_id, k, n[k] AS n, sums, (SELECT count(*) FROM range(greatest(1, k - {overlap}), k) AS q(j) WHERE sums[k] - sums[j] <= {overlap})::INT AS back
+  FROM (SELECT doc_id, n, sums, unnest(range(1, len(n) + 1)) AS k FROM c)),
+p(doc_id, k, tokens, units, chunk, first) AS (
+  SELECT doc_id, k, n, 1, 1, 1 FROM back WHERE k = 1
+  UNION ALL
+  SELECT b.doc_id, b.k, CASE WHEN o THEN b.n + sums[b.k] - sums[b.k - least(back, units)] ELSE tokens + b.n END, CASE WHEN o THEN least(back, units) + 1 ELSE units + 1 END,
+         CASE WHEN o THEN chunk + 1 ELSE chunk END, CASE WHEN o THEN b.k - least(back, units) ELSE first END
+  FROM (SELECT p.tokens, p.units, p.chunk, p.first, b.*, (p.tokens + b.n > {size} AND p.units >= {least}) OR p.units >= {most} AS o FROM p JOIN back b ON b.doc_id = p.doc_id AND b.k = p.k + 1) b),
+z AS (SELECT doc_id, chunk AS chunk_no, first, max(k) AS last FROM p GROUP BY ALL)
+SELECT doc_id, chunk_no, array_to_string(u[first:last], '{joiner}') AS text, sums[last + 1] - sums[first] AS tokens FROM z JOIN c USING (doc_id)
+"""
+
+
+_PARAGRAPHS = "list_filter(list_transform(string_split(regexp_replace(text, '\\n[ \\t]*\\n\\s*', chr(30), 'g'), chr(30)), lambda s: trim(s)), lambda s: s <> '')"
+
+
+@C.add("chunk_sentence_overlap", _overlapping_sql(_SENTENCES, " ", 64, 24, 2, 6))
+def _(t):
+    return K.chunk_sentence(t("documents"), 64, max_sentences=6, min_sentences=2, overlap=24).withColumn("tokens", F.col("tokens").cast("long"))
+
+
+@C.add("chunk_fixed_overlap", _overlapping_sql(sql_words("text"), " ", 256, 16, 1, 10**9))
+def _(t):
+    return K.chunk_fixed(t("documents"), 256, overlap=16).withColumn("tokens", F.col("tokens").cast("long"))
+
+
+@C.add("chunk_paragraph_overlap", _overlapping_sql(_PARAGRAPHS, "\n\n", 128, 40, 1, 10**9))
+def _(t):
+    return K.chunk_paragraph(t("documents"), 128, overlap=40).withColumn("tokens", F.col("tokens").cast("long"))
+
+
 @C.add("chunk_semantic")
 def _(t):
     return K.chunk_semantic(t("documents"), 64)
@@ -310,19 +349,89 @@ def _(t):
     return K.chunk_stats(K.chunk_sentence(t("documents"), 64)).select("doc_id", "n", "total", "min", "max", *r("avg"), "overlap_estimate")
 
 
-@C.add("chunk_assessment")
+_TRIM = "list_transform({w}, lambda w: regexp_replace(regexp_replace(w, '^[.,!?;:\"''()\\[\\]{{}}]+', ''), '[.,!?;:\"''()\\[\\]{{}}]+$', ''))"
+_WORDS_OF = _TRIM.format(w=sql_words("lower(text)"))
+_KEYWORDS = f"list_distinct(list_filter({_WORDS_OF}, lambda w: strlen(w) > 2 AND NOT w IN ({', '.join(repr(w) for w in T.STOP_WORDS[:20])})))"
+
+
+def _adjacent_sql(chunks: str) -> str:
+    return f"""
+k AS (SELECT doc_id, chunk_no, {_KEYWORDS} AS w, {_SENTENCES} AS s FROM {chunks}),
+n AS (SELECT *, lead(w) OVER o AS w2, lead(s) OVER o AS s2 FROM k WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_no)),
+adjacent AS (SELECT doc_id, chunk_no, coalesce(len(list_intersect(w, w2)) / nullif(len(list_distinct(w || w2)), 0), 0.0) AS similarity,
+  len(list_filter(s, lambda x: list_contains(s2, x))) AS shared, len(list_filter(s, lambda x: list_contains(s2, x))) > 0.5 * least(len(s), len(s2)) AS redundant FROM n WHERE w2 IS NOT NULL)"""
+
+
+_ELEMENTS = "(" + " + ".join(f"len(regexp_extract_all(text, '{p}'))" for p in ("#", "<h", "- ", "[*] ", "<li>", "\\n\\n")) + " + 1 + len(regexp_extract_all(text, '```')) // 2 + len(regexp_extract_all(text, '[|]')) // 3)"
+_TELL = f"list_filter(list_transform({sql_words('lower(text)')}, lambda w: regexp_replace(regexp_replace(w, '^[.,!?;:\"''()\\[\\]]+', ''), '[.,!?;:\"''()\\[\\]]+$', '')), lambda w: strlen(w) > 3 AND NOT w IN ({', '.join(repr(w) for w in X.DULL)}))"
+_LONG = f"list_filter({_WORDS_OF}, lambda w: strlen(w) > 2)"
+
+
+def _assessed_sql(chunks: str) -> str:
+    """chunks: a table in parentheses; gives the CTE assessed."""
+    return f"""{_adjacent_sql(chunks)},
+parts AS (SELECT doc_id, tokens, strlen(text) + 1 AS b, {SQL_N_WORDS} AS w, {_ELEMENTS} AS e, regexp_matches(text, '[.!?]$')::INT AS ends,
+  CASE WHEN len({_SENTENCES}) <= 1 THEN 1.0 ELSE least(coalesce(2.0 * (len({_LONG}) - len(list_distinct({_LONG}))) / nullif(len({_LONG}), 0), 1.0), 1.0) END AS within,
+  coalesce((len({_TELL}) + len(list_distinct({_TELL}))) / nullif(2 * {SQL_N_WORDS}, 0), 0.0) AS relevance,
+  least(coalesce(5 * (len(regexp_extract_all(text, '(?:^|\\s)[A-Z]')) + len(regexp_extract_all(text, '[0-9]')) / 10) / nullif(tokens, 0), 0.0), 1.0) AS information,
+  CASE WHEN {SQL_N_WORDS} = 0 THEN 0.0 ELSE least(greatest(206.835 - 1.015 * {SQL_N_WORDS} / {SQL_MARKS} - 84.6 * {_SYLLABLES} / {SQL_N_WORDS}, 0.0), 100.0) END / 100 AS readability FROM {chunks}),
+g AS (SELECT doc_id, count(*) AS n, sum(b) AS b, sum(w) AS w, sum(e) AS e, avg(within) AS within, avg(relevance) AS relevance, avg(information) AS information, avg(readability) AS readability,
+  avg(tokens) AS m, stddev_pop(tokens) AS sd, avg(ends) AS boundary FROM parts GROUP BY doc_id),
+a AS (SELECT doc_id, avg(similarity) AS near, sum(shared) AS shared, coalesce(sum(shared) FILTER (redundant), 0) AS redundant FROM adjacent GROUP BY doc_id),
+whole AS (SELECT doc_id, strlen(text) AS bytes, {SQL_N_WORDS} AS words, {_ELEMENTS} AS elements FROM documents),
+metrics AS (SELECT doc_id, CASE WHEN n <= 1 THEN 1.0 ELSE 0.7 * within + 0.3 * coalesce(near, 1.0) END AS coherence, least(0.3 * b / bytes + 0.7 * w / words, 1.0) AS completeness, relevance, information, readability,
+  coalesce(near, 1.0) AS integrity, least(e / elements, 1.0) AS structure, coalesce(1 - redundant / nullif(shared, 0), 1.0) AS overlap, greatest(1 - coalesce(sd / nullif(m, 0), 0.0), 0.0) AS consistency, boundary
+  FROM g JOIN whole USING (doc_id) LEFT JOIN a USING (doc_id)),
+assessed AS (SELECT *, ({" + ".join(f"{w} * {c}" for c, w in K.CHUNK_WEIGHTS.items())}) / {sum(K.CHUNK_WEIGHTS.values())} AS score FROM metrics)"""
+
+
+_METRICS = (*K.CHUNK_WEIGHTS, "consistency", "boundary", "score")
+
+
+@C.add("chunk_assessment", f"WITH {_assessed_sql(_CHUNKS)} SELECT doc_id, {', '.join(f'round({c}, 6) AS {c}' for c in _METRICS)} FROM assessed")
+def _(t):
+    return K.assess_chunks(t("documents"), K.chunk_sentence(t("documents"), 64, max_sentences=10_000)).select("doc_id", *r(*_METRICS))
+
+
+@C.add("chunk_issues", f"""
+WITH {_assessed_sql(_CHUNKS)}, i AS ({" UNION ALL ".join(f"SELECT doc_id, '{m}' AS metric, '{s}' AS severity, ({least} - round({m}, 6)) * {w} AS impact FROM assessed WHERE round({m}, 6) < {least}" for m, least, s, w in K.CHUNK_ISSUES)})
+SELECT doc_id, metric, severity, round(impact, 5) AS impact FROM i
+""")
+def _(t):
+    scored = K.assess_chunks(t("documents"), K.chunk_sentence(t("documents"), 64, max_sentences=10_000))
+    return K.chunk_issues(scored.select("doc_id", *r(*_METRICS))).select("doc_id", "metric", "severity", F.round("impact", 5).alias("impact"))
+
+
+@C.add("weighted_quality", f"WITH {_assessed_sql(_CHUNKS)} SELECT doc_id, round((0.5 * coherence + 0.2 * completeness + 0.3 * boundary) / 1.0, 6) AS weighted, round((coherence + completeness + consistency + boundary) / 4, 6) AS plain FROM assessed")
+def _(t):
+    scored = K.assess_chunks(t("documents"), K.chunk_sentence(t("documents"), 64, max_sentences=10_000)).withColumnsRenamed({"consistency": "size_balance", "boundary": "boundary_quality"})
+    return scored.select("doc_id", F.round(K.weighted_quality({"coherence": 0.5, "completeness": 0.2, "boundary_quality": 0.3}), 6).alias("weighted"), F.round(K.weighted_quality(), 6).alias("plain"))
+
+
+@C.add("strategy_metrics", """
+WITH l AS (SELECT event_type AS strategy, value AS latency, value < 60 AS ok, sum(CASE WHEN value < 60 THEN 1 ELSE -1 END) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS gain FROM events)
+SELECT strategy, count(*) FILTER (ok) AS successes, count(*) FILTER (NOT ok) AS errors, round(avg(latency) FILTER (ok), 6) AS avg_latency,
+  round(0.9 ** count(*) FILTER (NOT ok AND gain < 0), 6) AS health, 0.9 ** count(*) FILTER (NOT ok AND gain < 0) >= 0.1 AS enabled FROM l GROUP BY strategy
+""")
 def _(t):
-    return K.assess_chunks(t("documents"), K.chunk_sentence(t("documents"), 64)).select("doc_id", *r("completeness", "consistency", "boundary", "readability", "score"))
+    log = t("events").select(F.col("event_type").alias("strategy"), "ts", F.col("event_id").alias("id"), (F.col("value") < 60).alias("ok"), F.col("value").alias("latency"))
+    return K.strategy_metrics(log).select("strategy", "successes", "errors", *r("avg_latency", "health"), "enabled")
 
 
-@C.add("adjacent_chunk_features")
+@C.add("adjacent_chunk_features", f"WITH {_adjacent_sql(_CHUNKS)} SELECT doc_id, chunk_no, round(similarity, 6) AS similarity, shared, redundant FROM adjacent")
 def _(t):
-    return K.adjacent_features(K.chunk_sentence(t("documents"), 64)).select("doc_id", "chunk_no", *r("similarity"), "shared", "redundant")
+    return K.adjacent_features(K.chunk_sentence(t("documents"), 64, max_sentences=10_000)).select("doc_id", "chunk_no", *r("similarity"), "shared", "redundant")
 
 
-@C.add("evaluate_strategies")
+def _mean_tokens(docs, chunks):
+    return chunks.groupBy("doc_id").agg(F.avg("tokens").alias("value"))
+
+
+@C.add("evaluate_strategies", " UNION ALL ".join(f"SELECT * FROM (WITH RECURSIVE c AS ({_packed_sql(units, ' ', 512)}), {_assessed_sql('c')}, t AS (SELECT doc_id, avg(tokens) AS tokens FROM c GROUP BY doc_id) SELECT '{name}' AS strategy, count(*) AS docs, {', '.join(f'round(avg({m}), 5) AS {m}' for m in _METRICS)}, round(avg(tokens), 5) AS tokens, avg(score) >= 0.5 AS passed FROM assessed JOIN t USING (doc_id))" for name, units in (("fixed", sql_words("text")), ("sentences", _SENTENCES))))
 def _(t):
-    return K.evaluate_strategies(t("documents"), ["fixed", "sentence", "semantic"]).select("strategy", "docs", *r("completeness", "consistency", "boundary", "readability", "score"), "passed")
+    K.register_metric("tokens", _mean_tokens)
+    K.register_strategy("sentences", lambda docs: K.chunk_sentence(docs, max_sentences=10_000))
+    return K.evaluate_strategies(t("documents"), ["fixed", "sentences"], metrics=["tokens"]).select("strategy", "docs", *[F.round(c, 5).alias(c) for c in (*_METRICS, "tokens")], "passed")
 
 
 @C.add("propositions", f"""
@@ -337,20 +446,26 @@ def _(t):
 # --- graphs ---------------------------------------------------------------
 
 
-def all_edges(t):
+def edges(t):
     return t("lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst")).distinct()
 
 
-def edges(t):
-    """The quarter of the edges that the SQL twins hold."""
-    return all_edges(t).filter("dst % 4 = 0")
+def typed_edges(t):
+    return t("lineitem").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + 1_000_000).alias("dst"), F.col("l_returnflag").alias("type")).distinct()
 
 
 def vertices(t):
     return t("supplier").select(F.col("s_suppkey").alias("id")).unionByName(t("part").select((F.col("p_partkey") + 1_000_000).alias("id")))
 
 
-_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem WHERE (l_partkey + 1000000) % 4 = 0), v AS (SELECT s_suppkey AS id FROM supplier UNION ALL SELECT p_partkey + 1000000 FROM part)"
+def labelled_vertices(t):
+    """Suppliers and parts with labels and properties."""
+    suppliers = t("supplier").select(F.col("s_suppkey").alias("id"), F.array(F.lit("supplier")).alias("labels"), F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("properties"))
+    parts = t("part").select((F.col("p_partkey") + 1_000_000).alias("id"), F.array(F.lit("part"), "p_brand").alias("labels"), F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("type"), F.col("p_type")).alias("properties"))
+    return suppliers.unionByName(parts)
+
+
+_EDGES = "e AS (SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst FROM lineitem), v AS (SELECT s_suppkey AS id FROM supplier UNION ALL SELECT p_partkey + 1000000 FROM part)"
 
 
 @C.add("graph_degree", f"WITH {_EDGES}, x AS (SELECT src AS id FROM e UNION ALL SELECT dst FROM e) SELECT v.id, count(x.id) AS degree FROM v LEFT JOIN x ON x.id = v.id GROUP BY v.id")
@@ -368,11 +483,11 @@ _SIM = "s AS MATERIALIZED (SELECT x.vec_id AS src, y.vec_id AS dst FROM embeddin
 
 
 @C.add("graph_traverse", f"""
-WITH RECURSIVE {_SIM}, w(start, id, hops) AS (SELECT vec_id, vec_id, 0 FROM embeddings WHERE vec_id < 20 UNION SELECT start, b.dst, hops + 1 FROM w JOIN b ON b.src = w.id WHERE hops < 3)
+WITH RECURSIVE {_SIM}, w(start, id, hops) AS (SELECT vec_id, vec_id, 0 FROM embeddings WHERE vec_id % 50 = 0 UNION SELECT start, b.dst, hops + 1 FROM w JOIN b ON b.src = w.id WHERE hops < 3)
 SELECT start, id, min(hops) AS hops FROM w WHERE id <> start GROUP BY start, id
 """)
 def _(t):
-    return G.traverse(t("embeddings").filter("vec_id < 20").select(F.col("vec_id").alias("id")), _similar(t), 3, "both")
+    return G.traverse(t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id")), _similar(t), 3, "both")
 
 
 @C.add("graph_components", f"""
@@ -384,22 +499,23 @@ def _(t):
 
 
 @C.add("graph_shortest_paths", f"""
-WITH RECURSIVE {_SIM}, w(start, id, hops) AS (SELECT vec_id, vec_id, 0 FROM embeddings WHERE vec_id < 10 UNION SELECT start, b.dst, hops + 1 FROM w JOIN b ON b.src = w.id WHERE hops < 6),
+WITH RECURSIVE {_SIM}, w(start, id, hops) AS (SELECT vec_id, vec_id, 0 FROM embeddings WHERE vec_id % 50 = 0 UNION SELECT start, b.dst, hops + 1 FROM w JOIN b ON b.src = w.id WHERE hops < 40),
 m AS (SELECT start, id, min(hops) AS hops FROM w GROUP BY ALL)
-SELECT start, id AS goal, hops AS length FROM m WHERE id BETWEEN 100 AND 199
+SELECT start, m.id AS goal, hops AS length FROM m JOIN embeddings x ON x.vec_id = start JOIN embeddings y ON y.vec_id = m.id AND y.label = x.label
 """)
 def _(t):
-    e = t("embeddings").select(F.col("vec_id").alias("id"))
-    pairs = e.filter("id < 10").select(F.col("id").alias("start")).join(e.filter("id between 100 and 199").select(F.col("id").alias("goal")))
-    return G.shortest_paths(pairs, _similar(t), 6).select("start", "goal", F.col("length").cast("long").alias("length"))
+    e = t("embeddings").select(F.col("vec_id").alias("id"), "label")
+    pairs = e.filter("id % 50 = 0").select(F.col("id").alias("start"), "label").join(e.select(F.col("id").alias("goal"), "label"), "label")
+    return G.shortest_paths(pairs, _similar(t)).select("start", "goal", F.col("length").cast("long").alias("length"))
 
 
 @C.add("graph_all_paths", f"""
-WITH {_SIM} SELECT a.src || '-' || a.dst AS path FROM s a WHERE a.src < 50 UNION ALL SELECT a.src || '-' || a.dst || '-' || c.dst FROM s a JOIN s c ON c.src = a.dst WHERE a.src < 50
+WITH {_SIM}, p AS (SELECT * FROM b WHERE src % 50 = 0) SELECT a.src || '-' || a.dst AS path FROM p a UNION ALL SELECT a.src || '-' || a.dst || '-' || c.dst FROM p a JOIN b c ON c.src = a.dst
+UNION ALL SELECT a.src || '-' || a.dst || '-' || c.dst || '-' || d.dst FROM p a JOIN b c ON c.src = a.dst JOIN b d ON d.src = c.dst WHERE NOT (d.src = a.src AND d.dst = a.dst)
 """)
 def _(t):
-    starts = t("embeddings").filter("vec_id < 50").select(F.col("vec_id").alias("id"))
-    return G.all_paths(starts, _similar(t), 2).select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
+    starts, s = t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id")), _similar(t)
+    return G.all_paths(starts, s.unionByName(s.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), 3).select(F.array_join(F.transform("path", lambda x: x.cast("string")), "-").alias("path"))
 
 
 @C.add("graph_triangles", f"""
@@ -419,14 +535,21 @@ def _(t):
     return G.clustering(_similar(t)).select("id", *r("coefficient"))
 
 
-@C.add("graph_communities")
+_VOTES = "l{n} AS MATERIALIZED (SELECT id, label AS community FROM (SELECT b.dst AS id, l.community AS label, row_number() OVER (PARTITION BY b.dst ORDER BY count(*) DESC, l.community) AS k FROM b JOIN l{m} l ON l.id = b.src GROUP BY b.dst, l.community) WHERE k = 1)"
+
+
+@C.add("graph_communities", f"WITH {_SIM}, l0 AS (SELECT DISTINCT src AS id, src AS community FROM b), {', '.join(_VOTES.format(n=n + 1, m=n) for n in range(4))} SELECT id, community FROM l4")
 def _(t):
     return G.communities(_similar(t), 4)
 
 
-@C.add("graph_pagerank")
+_RANKS = """r{n} AS MATERIALIZED (SELECT v.id, 0.15 / (SELECT count(*) FROM v) + 0.85 * (coalesce(g.got, 0.0) + (SELECT coalesce(sum(rank), 0.0) FROM r{m} WHERE id NOT IN (SELECT src FROM o)) / (SELECT count(*) FROM v)) AS rank
+  FROM v LEFT JOIN (SELECT e.dst AS id, sum(r.rank / o.n) AS got FROM e JOIN o ON o.src = e.src JOIN r{m} r ON r.id = e.src GROUP BY e.dst) g ON g.id = v.id)"""
+
+
+@C.add("graph_pagerank", f"WITH {_EDGES}, o AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY src), r0 AS (SELECT id, 1.0::DOUBLE / (SELECT count(*) FROM v) AS rank FROM v), {', '.join(_RANKS.format(n=n + 1, m=n) for n in range(5))} SELECT id, round(rank, 9) AS rank FROM r5")
 def _(t):
-    return G.pagerank(vertices(t), all_edges(t), rounds=5).select("id", F.round("rank", 9).alias("rank"))
+    return G.pagerank(vertices(t), edges(t), rounds=5).select("id", F.round("rank", 9).alias("rank"))
 
 
 @C.add("graph_profile", f"""
@@ -437,6 +560,70 @@ def _(t):
     return G.profile(vertices(t), edges(t)).select("figure", *r("value"))
 
 
+_TYPED = "SELECT DISTINCT l_suppkey AS src, l_partkey + 1000000 AS dst, l_returnflag AS type FROM lineitem"
+
+
+@C.add("graph_distributions", f"""
+WITH l AS (SELECT 'supplier' AS x FROM supplier UNION ALL SELECT unnest(['part', p_brand]) FROM part), e AS ({_TYPED}),
+a AS (SELECT 'label:' || x AS figure, count(*)::DOUBLE AS value FROM l GROUP BY x ORDER BY value DESC, x LIMIT 20), b AS (SELECT 'type:' || type AS figure, count(*)::DOUBLE AS value FROM e GROUP BY type ORDER BY value DESC, type LIMIT 20)
+SELECT * FROM a UNION ALL SELECT * FROM b
+""")
+def _(t):
+    return G.profile(labelled_vertices(t), typed_edges(t)).filter(F.col("figure").rlike("^(label|type):"))
+
+
+@C.add("graph_nodes_by_label", "SELECT p_partkey + 1000000 AS id, p_type AS type FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
+def _(t):
+    first = t("part").agg(F.min("p_brand")).first()[0]
+    return G.nodes_by_label(labelled_vertices(t), first).select("id", F.col("properties")["type"].alias("type"))
+
+
+@C.add("graph_relations", f"WITH e AS ({_TYPED}) SELECT * FROM e WHERE src = 7 AND type = 'R'")
+def _(t):
+    return G.relations(typed_edges(t), src=7, type="R")
+
+
+@C.add("graph_update_nodes", """
+SELECT s_suppkey AS id, 'nation=' || CASE WHEN s_acctbal < 0 THEN 'none' ELSE s_nationkey::VARCHAR END || CASE WHEN s_acctbal < 0 THEN ',red=yes' ELSE '' END AS properties FROM supplier
+UNION ALL SELECT p_partkey + 1000000, 'size=' || p_size || ',type=' || p_type FROM part
+""")
+def _(t):
+    red = t("supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("id"), F.create_map(F.lit("red"), F.lit("yes"), F.lit("nation"), F.lit("none")).alias("properties"))
+    u = G.update_nodes(labelled_vertices(t), red)
+    return u.select("id", F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("properties"))
+
+
+@C.add("graph_delete_nodes", f"WITH e AS ({_TYPED}) SELECT src, dst, type FROM e WHERE src NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0) AND dst NOT IN (SELECT p_partkey + 1000000 FROM part WHERE p_size > 40)")
+def _(t):
+    gone = t("supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("id")).unionByName(t("part").filter("p_size > 40").select((F.col("p_partkey") + 1_000_000).alias("id")))
+    return G.delete_nodes(vertices(t), typed_edges(t), gone)[1]
+
+
+@C.add("graph_delete_relations", f"WITH e AS ({_TYPED}) SELECT * FROM e WHERE type <> 'N'")
+def _(t):
+    e = typed_edges(t)
+    return G.delete_relations(e, e.filter("type = 'N'"))
+
+
+@C.add("graph_traverse_filtered", f"""
+WITH e AS MATERIALIZED (SELECT DISTINCT src, dst FROM ({_TYPED}) WHERE type IN ('R', 'A')), u AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+one AS (SELECT src AS start, dst AS id FROM u WHERE src % 50 = 0 AND src < 1000000), two AS (SELECT DISTINCT start, u.dst AS id FROM one JOIN u ON u.src = one.id WHERE u.dst <> start),
+f AS (SELECT start, id, 1 AS hops FROM one UNION ALL SELECT start, id, 2 FROM two WHERE (start, id) NOT IN (SELECT start, id FROM one)),
+k AS (SELECT *, row_number() OVER (PARTITION BY start ORDER BY hops, id) AS k FROM f WHERE id IN (SELECT p_partkey + 1000000 FROM part UNION ALL SELECT s_suppkey FROM supplier WHERE s_acctbal > 0))
+SELECT start, id, hops FROM k WHERE k > 5 AND k <= 105
+""")
+def _(t):
+    starts = t("supplier").filter("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("id"))
+    nodes = t("part").select((F.col("p_partkey") + 1_000_000).alias("id")).unionByName(t("supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("id")))
+    return G.traverse(starts, typed_edges(t), 2, "both", ("R", "A"), nodes, 5, 100)
+
+
+@C.add("graph_betweenness")
+def _(t):
+    starts = t("embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("id"))
+    return G.betweenness(starts, _similar(t)).select("id", *r("score"))
+
+
 @C.add("graph_verified_edges", f"WITH {_EDGES} SELECT src, dst FROM e WHERE src IN (SELECT id FROM v) AND dst IN (SELECT id FROM v)")
 def _(t):
     return G.verified_edges(vertices(t), edges(t)).select("src", "dst")

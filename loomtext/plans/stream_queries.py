@@ -40,7 +40,7 @@ def _(t):
 
 @C.add("json_paths", "SELECT event_id AS id, '$.' || unnest(json_keys(props)) AS path, json_extract_string(props, '$.' || unnest(json_keys(props))) AS value FROM events")
 def _(t):
-    return io.json_paths(t("events"), "event_id", "props", 3)
+    return io.json_paths(t("events"), "event_id", "props")
 
 
 @C.add("ingest_documents")

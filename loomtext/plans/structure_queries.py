@@ -39,10 +39,10 @@ def _(t):
 WITH e AS (SELECT doc_id, unnest({_SENTENCES}) AS s, generate_subscripts({_SENTENCES}, 1) AS k FROM documents)
 SELECT doc_id, k - 1 AS k, regexp_matches(s, '{"|".join(X.SUBJECTS)}') AND regexp_matches(s, '{"|".join(X.PREDICATES)}') AND regexp_matches(s, '^[A-Z]') AND regexp_matches(s, '[.!?]$') AS proposition,
   len(list_distinct(regexp_extract_all(s, '{X.ENTITY}'))) AS entities, {" + ".join(f"len(regexp_extract_all(s, '{p}'))" for p in X.RELATIONS)} AS relations,
-  regexp_matches(s, '\\d') AS has_numbers, regexp_matches(s, '{"|".join(X.DATES)}') AS has_dates, len(regexp_extract_all(s, '[,;]')) + 1 AS clauses FROM e WHERE k <= 5
+  regexp_matches(s, '\\d') AS has_numbers, regexp_matches(s, '{"|".join(X.DATES)}') AS has_dates, len(regexp_extract_all(s, '[,;]')) + 1 AS clauses FROM e
 """)
 def _(t):
-    s = t("documents").select("doc_id", F.posexplode_outer(F.slice(K.split_sentences(F.col("text")), 1, 5)).alias("k", "s")).filter("s is not null")
+    s = t("documents").select("doc_id", F.posexplode_outer(K.split_sentences(F.col("text"))).alias("k", "s")).filter("s is not null")
     f = s.select("doc_id", "k", X.is_proposition(F.col("s")).alias("proposition"), X.proposition_features(F.col("s")).alias("f"))
     return f.select("doc_id", "k", "proposition", F.size("f.entities").alias("entities"), F.size("f.relations").alias("relations"), "f.has_numbers", "f.has_dates", "f.clauses")
 

@@ -25,20 +25,20 @@ def r(c, n=6):
 
 
 @C.add("text_clean_words", f"""
-SELECT doc_id, len(w) AS n_words, array_to_string(w[1:20], ' ') AS first_words
+SELECT doc_id, len(w) AS n_words, sha256(array_to_string(w, ' ')) AS words_sha256
 FROM (SELECT doc_id, list_filter(list_transform({_LOW}, lambda w: regexp_replace(w, '[.,!?;:()\\[\\]{{}}"''\\-]', '', 'g')), lambda w: strlen(w) > 2) AS w FROM documents)
 """)
 def _(t):
-    return t("documents").select("doc_id", T.clean_words(text_(), 2).alias("w")).select("doc_id", F.size("w").alias("n_words"), F.array_join(F.slice("w", 1, 20), " ").alias("first_words"))
+    return t("documents").select("doc_id", T.clean_words(text_(), 2).alias("w")).select("doc_id", F.size("w").alias("n_words"), F.sha2(F.array_join("w", " "), 256).alias("words_sha256"))
 
 
 @C.add("text_content_words", f"""
-SELECT doc_id, len(w) AS n_words, array_to_string(list_sort(list_distinct(w))[1:20], ' ') AS some_words
+SELECT doc_id, len(w) AS n_words, sha256(array_to_string(list_sort(list_distinct(w)), ' ')) AS words_sha256
 FROM (SELECT doc_id, list_filter(list_transform({_LOW}, lambda w: regexp_replace(regexp_replace(w, '^[.,!?;:"''()\\[\\]{{}}]+', ''), '[.,!?;:"''()\\[\\]{{}}]+$', '')),
       lambda w: strlen(w) > 2 AND NOT w IN ({_quoted(T.STOP_WORDS)})) AS w FROM documents)
 """)
 def _(t):
-    return t("documents").select("doc_id", T.content_words(text_()).alias("w")).select("doc_id", F.size("w").alias("n_words"), F.array_join(F.slice(F.array_sort(F.array_distinct("w")), 1, 20), " ").alias("some_words"))
+    return t("documents").select("doc_id", T.content_words(text_()).alias("w")).select("doc_id", F.size("w").alias("n_words"), F.sha2(F.array_join(F.array_sort(F.array_distinct("w")), " "), 256).alias("words_sha256"))
 
 
 _THEME_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '{'|'.join(found)}') THEN '{name}' END" for name, found in T.THEMES.items()) + "], lambda x: x IS NOT NULL)"

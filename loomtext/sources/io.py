@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.operators import chunk as K
 from loomtext.operators import store as S
+from loomtext.plans.shared import Scratch
 
 MEMORIES = "id string, memory string, metadata map<string,string>, created_at string, updated_at string"
 
@@ -21,24 +24,49 @@ def read_memories(spark: SparkSession, path: str) -> DataFrame:
     return items.withColumns({c: F.try_to_timestamp(c) for c in ("created_at", "updated_at")})
 
 
-def write_memories(df: DataFrame, path: str, kind: str = "json") -> None:
-    df.write.mode("overwrite").format(kind).save(path)
+def write_memories(df: DataFrame, path: str, kind: str = "json", edges: DataFrame | None = None) -> None:
+    """The items; with edges a tree export: nodes, edges, and a header with their counts."""
+    if edges is None:
+        df.write.mode("overwrite").format(kind).save(path)
+        return
+    df.write.mode("overwrite").format(kind).save(f"{path}/nodes")
+    edges.write.mode("overwrite").format(kind).save(f"{path}/edges")
+    header = df.agg(F.count("*").alias("nodes")).join(edges.agg(F.count("*").alias("edges")))  # one row each
+    header.withColumn("exported_at", F.current_timestamp()).write.mode("overwrite").format(kind).save(f"{path}/header")
+
+
+CUBE_TABLES = ("textual", "activation", "parametric")
 
 
-def write_cube(memories: DataFrame, path: str) -> None:
-    """One folder per table, text memories partitioned by cube."""
-    memories.write.mode("overwrite").partitionBy("cube_id").parquet(f"{path}/textual")
+def write_cube(path: str, config: dict[str, str], **memories: DataFrame) -> None:
+    """One folder per memory table (textual, activation, parametric), partitioned by cube, and the configuration."""
+    for name, df in memories.items():
+        if name not in CUBE_TABLES:
+            raise ValueError(f"unknown memory table: {name}")
+        df.write.mode("overwrite").partitionBy("cube_id").parquet(f"{path}/{name}")
+        spark = df.sparkSession
+    spark.createDataFrame(sorted(config.items()), "key string, value string").write.mode("overwrite").json(f"{path}/config")
 
 
-def read_cube(spark: SparkSession, path: str, cube_id: str | None = None) -> DataFrame:
-    df = spark.read.parquet(f"{path}/textual")
+def read_cube(spark: SparkSession, path: str, table: str = "textual", cube_id: str | None = None) -> DataFrame:
+    df = spark.read.parquet(f"{path}/{table}")
     return df.filter(F.col("cube_id") == cube_id) if cube_id is not None else df
 
 
+def read_cube_config(spark: SparkSession, path: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.read.schema("key string, value string").json(f"{path}/config").collect()}
+
+
 def snapshot(df: DataFrame, path: str, stamp: str) -> None:
     df.withColumn("snapshot", F.lit(stamp)).write.mode("append").partitionBy("snapshot").parquet(path)
 
 
+def snapshot_and_clear(df: DataFrame, path: str, stamp: str) -> DataFrame:
+    """Writes a snapshot; what is left is an empty table of the same columns."""
+    snapshot(df, path, stamp)
+    return df.limit(0)
+
+
 def read_snapshots(spark: SparkSession, path: str, keep_last: int) -> DataFrame:
     """Rows of the newest snapshots."""
     df = spark.read.parquet(path)
@@ -70,6 +98,16 @@ def value_class(c: Column) -> Column:
     )
 
 
+def read_csv_profiled(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file as strings; its first line is a header if more columns hold text there over numbers below than the other way round."""
+    raw = spark.read.csv(path, header=False)
+    head = raw.first()
+    below = raw.limit(20).offset(1).select([F.coalesce(F.max(F.col(c).rlike(r"^\s*[+-]?[0-9.]+\s*$").cast("int")), F.lit(0)).alias(c) for c in raw.columns]).first() if head else None
+    number = lambda v: v is not None and v.strip().replace(".", "", 1).lstrip("+-").isdigit()
+    score = sum((not number(v)) * bool(b) - number(v) for v, b in zip(head, below)) if head else 0
+    return spark.read.csv(path, header=True) if score > 0 else raw
+
+
 def profile_columns(df: DataFrame) -> DataFrame:
     """(column, class, share): the most frequent class of each column's non-empty values, if over half."""
     strings = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
@@ -78,19 +116,31 @@ def profile_columns(df: DataFrame) -> DataFrame:
     return g.select("column", F.when(F.col("share") > 0.5, F.col("class")).otherwise("text").alias("class"), "share")
 
 
-def json_paths(df: DataFrame, id_col: str, json_col: str, depth: int = 10) -> DataFrame:
-    """(id, path, value): the scalars of a JSON column, level by level."""
-    level = df.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.try_parse_json(json_col).alias("v")).filter("v is not null")
+def json_paths(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """(id, path, value): the scalars of a JSON column, however deep, level by level.
+
+    Each level is written in the shared folder, as JSON texts; the loop ends
+    when nothing nested is left.
+    """
+    scratch = Scratch(df.sparkSession, "json")
+    level = df.select(F.col(id_col).alias("id"), F.lit("$").alias("path"), F.col(json_col).alias("json")).filter("json is not null")
     out = None
-    for _ in range(depth):
+    while True:
+        parsed = level.select("id", "path", F.try_parse_json("json").alias("v")).filter("v is not null")
         kind = F.schema_of_variant("v")
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        scalars = level.filter(~nested).select("id", "path", F.expr("cast(v as string)").alias("value"))
+        parsed = parsed.withColumn("nested", kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        name = "e_" + uuid.uuid4().hex
+        parsed.filter("nested").createOrReplaceTempView(name)
+        try:
+            below = df.sparkSession.sql(f"SELECT id, concat(path, coalesce(concat('.', e.key), concat('[', e.pos, ']'))) AS path, to_json(e.value) AS json FROM {name}, LATERAL variant_explode(v) AS e")
+            below = scratch.keep(below)
+        finally:
+            df.sparkSession.catalog.dropTempView(name)
+        scalars = parsed.filter("not nested").select("id", "path", F.expr("cast(v as string)").alias("value"))
         out = scalars if out is None else out.unionByName(scalars)
-        name = "_json_level"
-        level.filter(nested).createOrReplaceTempView(name)
-        level = df.sparkSession.sql(f"SELECT id, concat(path, coalesce(concat('.', e.key), concat('[', e.pos, ']'))) AS path, e.value AS v FROM {name}, LATERAL variant_explode(v) AS e")
-    return out
+        if below.isEmpty():
+            return out
+        level = below
 
 
 def ingest_documents(docs: DataFrame, least: int = 10, most: int = 1_000_000, size: int = 512) -> DataFrame:
@@ -112,9 +162,14 @@ def load_graph(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
     return once, verified_edges(once, edges)
 
 
-def export_graph_json(vertices: DataFrame, edges: DataFrame, path: str, limit: int = 10_000) -> None:
-    vertices.orderBy("id").limit(limit).write.mode("overwrite").json(f"{path}/nodes")
-    edges.orderBy("src", "dst").limit(limit).write.mode("overwrite").json(f"{path}/relations")
+def export_graph_json(vertices: DataFrame, edges: DataFrame, path: str, limit: int | None = None) -> None:
+    """All nodes and relations; with a limit the first so many nodes, and the relations between them."""
+    if limit is not None:
+        vertices = vertices.orderBy("id").limit(limit)
+        kept = vertices.select("id")
+        edges = edges.join(kept.withColumnRenamed("id", "src"), "src", "left_semi").join(kept.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    vertices.write.mode("overwrite").json(f"{path}/nodes")
+    edges.write.mode("overwrite").json(f"{path}/relations")
 
 
 def append_audit_log(entries: DataFrame, path: str) -> None:

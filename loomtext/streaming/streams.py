@@ -99,19 +99,78 @@ def latest_values(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").agg(F.max("revision").alias("revision"), F.max_by("value", "revision").alias("value"))
 
 
-def working_memory(stream: DataFrame, top: int, extra: int) -> DataFrame:
-    """(user_id, size): each user's working memory, unique texts in order of arrival, cut at top + extra."""
+def working_memory(stream: DataFrame, top: int, extra: int, idle_ms: int = 24 * 3_600_000) -> DataFrame:
+    """(user_id, size): each user's working memory, unique texts in order of arrival, cut at top + extra; dropped when idle."""
     cap = top + extra
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
         known = set(held)
-        for rows in batches:
-            for text in rows.sort_values("pos")["text"]:
-                if len(held) < cap and text not in known:
-                    held.append(text)
-                    known.add(text)
+        # a micro-batch brings a group in several Arrow batches; the first of a text counts over all of them
+        rows = pd.concat(batches).sort_values("pos").drop_duplicates("text")
+        for text in rows["text"]:
+            if len(held) < cap and text not in known:
+                held.append(text)
+                known.add(text)
         state.update((held,))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"user_id": [key[0]], "size": [len(held)]})
 
-    return stream.select("user_id", "pos", "text").groupBy("user_id").applyInPandasWithState(keep, "user_id long, size long", "held array<string>", "update", GroupStateTimeout.NoTimeout)
+    return stream.select("user_id", "pos", "text").groupBy("user_id").applyInPandasWithState(keep, "user_id long, size long", "held array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def throttle(stream: DataFrame, key: str, seconds: int, keep_for: str = "1 hour") -> DataFrame:
+    """(key, ts): of the events of each key those at least so many seconds after the last one that was let through.
+
+    A refresh at most every five minutes, or alerts with a cooldown.  State is
+    one time a key, which goes once the watermark (keep_for behind the newest
+    event) has passed the cooldown.
+    """
+
+    def pass_on(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        times = pd.concat(batches)["ts"].sort_values()
+        passed = []
+        for t in times:
+            us = t.value // 1000
+            if last is None or us - last >= seconds * 1_000_000:
+                passed.append(t)
+                last = us
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [name[0]] * len(passed), "ts": pd.Series(passed, dtype="datetime64[us]")})
+
+    kind = stream.schema[key].dataType.simpleString()
+    timed = stream.select(key, "ts").withWatermark("ts", keep_for)
+    return timed.groupBy(key).applyInPandasWithState(pass_on, f"`{key}` {kind}, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def node_health(stream: DataFrame) -> DataFrame:
+    """Latest beat of each node as a stream in complete mode; give its batches to health_of()."""
+    return stream.groupBy("node").agg(F.max("ts").alias("ts"), F.sum("tasks").alias("tasks"), F.sum("errors").alias("errors"))
+
+
+def health_of(beats: DataFrame, interval: int = 60) -> DataFrame:
+    """(node, healthy, tasks, errors, error_rate) of one table of latest beats, as of its newest beat."""
+    now = beats.agg(F.max("ts").alias("now"))
+    joined = beats.join(F.broadcast(now))  # one row
+    age = F.unix_timestamp(F.col("now").cast("timestamp")) - F.unix_timestamp(F.col("ts").cast("timestamp"))
+    return joined.select("node", (age <= 3 * interval).alias("healthy"), "tasks", "errors", F.coalesce(F.try_divide(100 * F.col("errors"), F.col("tasks")), F.lit(0.0)).alias("error_rate"))
+
+
+def health_alerts(health: DataFrame, rate: float = 10.0, unhealthy: int = 2) -> DataFrame:
+    """(alert, value): nodes above an error rate, more than so many unhealthy nodes, and the whole cluster above the rate."""
+    nodes = health.filter(F.col("error_rate") > rate).select(F.concat(F.lit("node "), F.col("node").cast("string")).alias("alert"), F.col("error_rate").alias("value"))
+    whole = health.agg(F.count_if(~F.col("healthy")).cast("double").alias("down"), F.coalesce(F.try_divide(100.0 * F.sum("errors"), F.sum("tasks")), F.lit(0.0)).alias("rate"))
+    return nodes.unionByName(whole.filter(F.col("down") > unhealthy).select(F.lit("unhealthy nodes").alias("alert"), F.col("down").alias("value"))).unionByName(whole.filter(F.col("rate") > rate).select(F.lit("cluster").alias("alert"), F.col("rate").alias("value")))
+
+
+def micro_batch_embed(spark: SparkSession, path: str, schema: str, embed: Callable[[DataFrame], DataFrame], files: int = 8) -> DataFrame:
+    """Texts that arrive in a folder with their vectors: so many files make a batch, at most a second apart if the caller triggers so."""
+    return embed(message_stream(spark, path, schema, files))
