@@ -26,10 +26,9 @@ def embedder(embed_fn: EmbedFn, column: str = "vector", text_col: str = "text")
     return lambda df: df.withColumn(column, run(F.col(text_col)))
 
 
-def letter_shares(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """A small embed_fn: how often a to p occur in the lower-cased text, for each 100 characters."""
+def letter_counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A small embed_fn: how often a to p occur in the lower-cased text."""
     letters = "abcdefghijklmnop"
     for texts in batches:
         low = texts.fillna("").str.lower()
-        size = low.str.len().clip(lower=1)
-        yield pd.Series(pd.concat([100 * low.str.count(x) / size for x in letters], axis=1).to_numpy("float32").tolist(), index=texts.index)
+        yield pd.Series(pd.concat([low.str.count(x) for x in letters], axis=1).to_numpy("float32").tolist(), index=texts.index)

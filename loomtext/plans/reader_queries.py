@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import markup as M
 from loomtext.functions import text as T
-from loomtext.functions.embed import embedder, letter_shares
+from loomtext.functions.embed import embedder, letter_counts
 from loomtext.operators import analyze as A
 from loomtext.operators import chunk as K
 from loomtext.operators import pairs as P
@@ -193,19 +193,18 @@ def _(t):
     return D.segment_coherence(s).select("doc_id", "segments", *[F.round(c, 5).alias(c) for c in ("sequential", "average")], "boundaries", F.round("score", 5).alias("score"))
 
 
-_SHARE = "[" + ", ".join(f"100.0 * len(regexp_extract_all(lower(text), '{x}')) / greatest(length(lower(text)), 1)" for x in "abcdefghijklmnop") + "]"
+_COUNTS = "[" + ", ".join(f"len(regexp_extract_all(lower(text), '{x}'))" for x in "abcdefghijklmnop") + "]"
 
 
-@C.add("embed_texts", f"SELECT conv_id, turn, round(list_sum({_SHARE}), 1) AS total, round(({_SHARE})[5], 2) AS e FROM conversations")
+@C.add("embed_texts", f"SELECT conv_id, turn, list_sum({_COUNTS})::DOUBLE AS total, ({_COUNTS})[5]::DOUBLE AS e FROM conversations")
 def _(t):
-    v = embedder(letter_shares)(t("conversations").select("conv_id", "turn", "text"))
-    wide = v.select("conv_id", "turn", F.transform("vector", lambda x: x.cast("double")).alias("v"))
-    return wide.select("conv_id", "turn", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 1).alias("total"), F.round(F.col("v")[4], 2).alias("e"))
+    v = embedder(letter_counts)(t("conversations").select("conv_id", "turn", "text"))
+    return v.select("conv_id", "turn", F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double")).alias("total"), F.col("vector")[4].cast("double").alias("e"))
 
 
 @C.add("chunk_contextual")
 def _(t):
-    c = D.chunk_contextual(t("documents"), 64, embedder(letter_shares))
+    c = D.chunk_contextual(t("documents"), 64, embedder(letter_counts))
     return c.select("doc_id", "chunk_no", "tokens", "band", "structure.sentences", F.size("vector").alias("dims"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomtext.functions import text as T
+from loomtext.functions.embed import embedder, letter_counts
 from loomtext.sources import io
 from loomtext.streaming import streams as S
 
@@ -56,7 +58,7 @@ def _(s):
 
 @_streaming("stream_metric_windows", "SELECT (time_bucket(INTERVAL 6 HOUR, ts))::VARCHAR AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max FROM events GROUP BY ALL", "events", S.EVENTS)
 def _(s):
-    out = S.run_available(S.metric_windows(s.withColumn("ts", F.col("ts").cast("timestamp")), "6 hours", None, "event_type"), "complete")
+    out = S.run_available(S.metric_windows(s.withColumn("ts", F.col("ts").cast("timestamp")), "6 hours", None, "event_type"), "update", keys=("start", "event_type"))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", *r("mean"), "max")
 
 
@@ -64,44 +66,101 @@ def _(s):
 SELECT (b - s * INTERVAL 6 HOUR)::VARCHAR AS start, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS max FROM (SELECT value, time_bucket(INTERVAL 6 HOUR, ts) AS b FROM events), range(0, 2) AS r(s) GROUP BY ALL
 """, "events", S.EVENTS)
 def _(s):
-    out = S.run_available(S.metric_windows(s.withColumn("ts", F.col("ts").cast("timestamp")), "12 hours", "6 hours"), "complete")
+    out = S.run_available(S.metric_windows(s.withColumn("ts", F.col("ts").cast("timestamp")), "12 hours", "6 hours"), "update", keys=("start",))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", *r("mean"), "max")
 
 
 @_streaming("stream_alerts", """
 WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY ALL)
-SELECT start::VARCHAR AS start, n, errors, round(errors / n, 6) AS rate FROM w WHERE errors / n > 0.1 AND n >= 5
+SELECT start::VARCHAR AS start, n, errors, round(errors / n, 6) AS rate FROM w WHERE errors / n > 0.1 AND n >= 5 AND start + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)
 """, "events", S.EVENTS)
 def _(s):
-    out = S.run_available(S.alerts(s.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", 0.1, 5), "complete")
+    out = S.run_available(S.alerts(s.withColumn("ts", F.col("ts").cast("timestamp")), "1 hour", 0.1, 5))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "errors", *r("rate"))
 
 
 @_streaming("stream_sessions", """
 WITH g AS (SELECT user_id, ts, (ts - lag(ts) OVER o >= INTERVAL 12 HOUR OR lag(ts) OVER o IS NULL)::INT AS cut FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
 s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts, cut DESC ROWS UNBOUNDED PRECEDING) AS k FROM g)
-SELECT user_id, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM s GROUP BY user_id, k
+SELECT user_id, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 13 HOUR <= (SELECT max(ts) FROM events)
 """, "events", S.EVENTS)
 def _(s):
-    out = S.run_available(S.sessions(s.withColumn("ts", F.col("ts").cast("timestamp")), "12 hours"), "complete")
+    out = S.run_available(S.sessions(s.withColumn("ts", F.col("ts").cast("timestamp")), "12 hours"))
     return out.select("user_id", "n", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"))
 
 
 @_streaming("stream_latest_kv", "SELECT user_id AS key, max(event_id) AS revision, arg_max(value, event_id) AS value FROM events GROUP BY user_id", "events", S.EVENTS)
 def _(s):
-    return S.run_available(S.latest_values(s.select(F.col("user_id").alias("key"), F.col("event_id").alias("revision"), "value")), "complete")
+    return S.run_available(S.latest_values(s.select(F.col("user_id").alias("key"), F.col("event_id").alias("revision"), "value")), "update", keys=("key",))
 
 
-@_streaming("stream_message_memories", "SELECT conv_id, turn, role, strlen(text) AS bytes, 'none' AS category FROM conversations", "conversations", S.MESSAGES)
+_RULES = "CASE " + " ".join(f"WHEN strlen(x) BETWEEN {lo} AND {hi} AND regexp_matches(lower(x), '{'|'.join(found)}') THEN '{category}'" for _, category, _, found, lo, hi in T.MEMORY_RULES) + " ELSE 'none' END"
+
+
+@_streaming("stream_message_memories", f"WITH c AS (SELECT *, CASE turn % 4 WHEN 0 THEN 'Remember: ' WHEN 1 THEN 'I prefer ' WHEN 2 THEN 'My name is ' ELSE '' END || substr(text, 1, 60) AS x FROM conversations) SELECT conv_id, turn, role, strlen(x) AS bytes, {_RULES} AS category FROM c", "conversations", S.MESSAGES)
+def _(s):
+    # the invented texts hold no keyword of a rule, so most turns are given one
+    opening = F.when(F.col("turn") % 4 == 0, "Remember: ").when(F.col("turn") % 4 == 1, "I prefer ").when(F.col("turn") % 4 == 2, "My name is ").otherwise("")
+    return S.run_available(S.message_memories(s.withColumn("text", F.concat(opening, F.substring("text", 1, 60)))))
+
+
+_THROTTLED = """
+WITH RECURSIVE e AS (SELECT {key} AS key, ts, row_number() OVER (PARTITION BY {key} ORDER BY ts) AS k FROM events WHERE {filter}),
+w AS (SELECT key, ts, k FROM e WHERE k = 1 UNION ALL SELECT key, ts, k FROM (SELECT e.*, row_number() OVER (PARTITION BY e.key ORDER BY e.ts) AS first FROM w JOIN e ON e.key = w.key AND e.ts >= w.ts + INTERVAL {seconds} SECOND) WHERE first = 1)
+SELECT key AS {key}, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM w
+"""
+
+
+@_streaming("stream_activation_refresh", _THROTTLED.format(key="user_id", filter="true", seconds=6 * 3600), "events", S.EVENTS)
+def _(s):
+    out = S.run_available(S.throttle(s.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", 6 * 3600))
+    return out.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@_streaming("stream_alert_cooldown", _THROTTLED.format(key="event_type", filter="event_type = 'error'", seconds=12 * 3600), "events", S.EVENTS)
+def _(s):
+    out = S.run_available(S.throttle(s.filter("event_type = 'error'").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", 12 * 3600))
+    return out.select("event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+
+
+@_streaming("stream_node_health", """
+WITH b AS (SELECT user_id AS node, max(ts) AS ts, count(*) AS tasks, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id)
+SELECT node, epoch((SELECT max(ts) FROM b))::BIGINT - epoch(ts)::BIGINT <= 43200 AS healthy, tasks, errors, round(100.0 * errors / tasks, 6) AS error_rate FROM b
+""", "events", S.EVENTS)
+def _(s):
+    beats = s.select(F.col("user_id").alias("node"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), F.lit(1).alias("tasks"), (F.col("event_type") == "error").cast("int").alias("errors"))
+    latest = S.run_available(S.node_health(beats), "update", keys=("node",))
+    return S.health_of(latest, 14400).select("node", "healthy", "tasks", "errors", *r("error_rate"))
+
+
+@_streaming("stream_health_alerts", """
+WITH b AS (SELECT user_id AS node, max(ts) AS ts, count(*) AS tasks, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id),
+h AS (SELECT *, epoch((SELECT max(ts) FROM b))::BIGINT - epoch(ts)::BIGINT <= 43200 AS healthy FROM b)
+SELECT 'node ' || node AS alert, round(100.0 * errors / tasks, 6) AS value FROM h WHERE 100.0 * errors / tasks > 10
+UNION ALL SELECT 'unhealthy nodes', count(*)::DOUBLE FROM h WHERE NOT healthy HAVING count(*) > 2
+UNION ALL SELECT 'cluster', round(100.0 * sum(errors) / sum(tasks), 6) FROM h HAVING 100.0 * sum(errors) / sum(tasks) > 10
+""", "events", S.EVENTS)
+def _(s):
+    beats = s.select(F.col("user_id").alias("node"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), F.lit(1).alias("tasks"), (F.col("event_type") == "error").cast("int").alias("errors"))
+    latest = S.run_available(S.node_health(beats), "update", keys=("node",))
+    return S.health_alerts(S.health_of(latest, 14400)).select("alert", *r("value"))
+
+
+@_streaming("stream_embed", "SELECT conv_id, turn, len(regexp_extract_all(lower(text), 'e'))::DOUBLE AS e FROM conversations", "conversations", S.MESSAGES)
+def _(s):
+    return S.run_available(embedder(letter_counts)(s).select("conv_id", "turn", F.col("vector")[4].cast("double").alias("e")))
+
+
+@_streaming("stream_retention", "SELECT count(*) AS n FROM events", "events", S.EVENTS)
 def _(s):
-    return S.run_available(S.message_memories(s))
+    kept = S.retention(s.withColumn("ts", F.col("ts").cast("timestamp")), 24 * 60).groupBy().agg(F.count("*").alias("n"))
+    return S.run_available(kept, "complete")
 
 
 @_streaming("stream_working_memory", "SELECT conv_id % 20 AS user_id, least(count(DISTINCT text), 12) AS size FROM conversations GROUP BY ALL", "conversations", S.MESSAGES)
 def _(s):
     m = s.select((F.col("conv_id") % 20).alias("user_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("pos"), "text")
-    out = S.run_available(S.working_memory(m, 10, 2), "update")
-    return out.groupBy("user_id").agg(F.max("size").alias("size"))
+    return S.run_available(S.working_memory(m, 10, 2), "update", keys=("user_id",))
 
 
 @_streaming("stream_route_by_label", "SELECT event_type AS label, count(*) AS n FROM events GROUP BY ALL", "events", S.EVENTS)

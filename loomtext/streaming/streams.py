@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from loomtext.functions import text as T
 from loomtext.plans.shared import new_folder
@@ -28,10 +29,11 @@ def message_stream(spark: SparkSession, path: str, schema: str, files_per_trigge
     return stream.option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
 
 
-def run_available(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Runs a stream over what is there and gives its result as a table in the shared folder.
 
-    In complete mode the last batch is the result; in append mode all batches.
+    In complete mode the last batch is the result; in append mode all batches;
+    in update mode the last row of each of the given keys.
     """
     spark = stream.sparkSession
     out, checkpoint = new_folder(spark, "stream"), new_folder(spark, "stream-state")
@@ -42,8 +44,11 @@ def run_available(stream: DataFrame, mode: str = "append", batch: Callable[[Data
 
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     writer.foreachBatch(batch or write).start().awaitTermination()
-    table = spark.read.schema(stream.schema).parquet(out)
-    return table.select(stream.columns)
+    if mode == "update" and keys:
+        table = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(out)
+        last = table.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("last"))
+        return last.select("last.*")
+    return spark.read.schema(stream.schema).parquet(out).select(stream.columns)
 
 
 def dedupe_messages(stream: DataFrame, key: str = "item_id", delay: str = "1 day") -> DataFrame:
@@ -69,21 +74,33 @@ def retention(stream: DataFrame, hours: int = 24) -> DataFrame:
     return stream.withWatermark("ts", f"{hours} hours")
 
 
-def metric_windows(stream: DataFrame, size: str, slide: str | None = None, *by: str) -> DataFrame:
-    """Count, mean and maximum of value per window (and group)."""
+def late_rows(batch: DataFrame, watermark: str | None) -> int:
+    """How many rows of a micro-batch are older than a watermark (a time as text), for a foreachBatch function to count."""
+    return batch.filter(F.col("ts") < F.lit(watermark).cast("timestamp")).count() if watermark else 0
+
+
+def metric_windows(stream: DataFrame, size: str, slide: str | None = None, *by: str, delay: str = "1 hour") -> DataFrame:
+    """Count, mean and maximum of value per window (and group).
+
+    Windows leave the state once the watermark, delay behind the newest event,
+    has passed them: use append or update mode.
+    """
+    stream = stream.withWatermark("ts", delay)
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
     return stream.groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.max("value").alias("max")).select(F.col("w.start").alias("start"), *by, "n", "mean", "max")
 
 
-def alerts(stream: DataFrame, size: str, rate: float = 0.1, least: int = 1) -> DataFrame:
-    """Windows in which more than rate of the events are errors."""
+def alerts(stream: DataFrame, size: str, rate: float = 0.1, least: int = 1, delay: str = "1 hour") -> DataFrame:
+    """Windows in which more than rate of the events are errors; in append mode, as they close behind the watermark."""
+    stream = stream.withWatermark("ts", delay)
     failed = F.count_if(F.col("event_type") == "error")
     g = stream.groupBy(F.window("ts", size).alias("w")).agg(F.count("*").alias("n"), failed.alias("errors"))
     return g.select(F.col("w.start").alias("start"), "n", "errors", (F.col("errors") / F.col("n")).alias("rate")).filter((F.col("rate") > rate) & (F.col("n") >= least))
 
 
-def sessions(stream: DataFrame, gap: str = "24 hours", by: str = "user_id") -> DataFrame:
-    """Sessions end after a gap without activity."""
+def sessions(stream: DataFrame, gap: str = "24 hours", by: str = "user_id", delay: str = "1 hour") -> DataFrame:
+    """Sessions end after a gap without activity; in append mode, as they close behind the watermark."""
+    stream = stream.withWatermark("ts", delay)
     g = stream.groupBy(F.session_window("ts", gap).alias("w"), by).agg(F.count("*").alias("n"))
     return g.select(by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
@@ -95,12 +112,16 @@ def message_memories(stream: DataFrame) -> DataFrame:
 
 
 def latest_values(stream: DataFrame) -> DataFrame:
-    """(key, revision, value): the newest revision of each key."""
+    """(key, revision, value): the newest revision of each key; in update mode a batch gives the keys it changed."""
     return stream.groupBy("key").agg(F.max("revision").alias("revision"), F.max_by("value", "revision").alias("value"))
 
 
-def working_memory(stream: DataFrame, top: int, extra: int, idle_ms: int = 24 * 3_600_000) -> DataFrame:
-    """(user_id, size): each user's working memory, unique texts in order of arrival, cut at top + extra; dropped when idle."""
+def working_memory(stream: DataFrame, top: int, extra: int, idle_hours: int | None = None) -> DataFrame:
+    """(user_id, size): each user's working memory, unique texts in order of arrival, cut at top + extra.
+
+    With idle_hours (and a column ts) a memory goes when the watermark is so
+    far past its last text; else it stays, at most top + extra texts a user.
+    """
     cap = top + extra
 
     def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -116,10 +137,14 @@ def working_memory(stream: DataFrame, top: int, extra: int, idle_ms: int = 24 *
                 held.append(text)
                 known.add(text)
         state.update((held,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_hours is not None:
+            newest = int(rows["ts"].max().value // 10**6)
+            state.setTimeoutTimestamp(max(newest + idle_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "size": [len(held)]})
 
-    return stream.select("user_id", "pos", "text").groupBy("user_id").applyInPandasWithState(keep, "user_id long, size long", "held array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.select("user_id", "pos", "text") if idle_hours is None else stream.select("user_id", "pos", "text", "ts").withWatermark("ts", "1 hour")
+    timeout = GroupStateTimeout.NoTimeout if idle_hours is None else GroupStateTimeout.EventTimeTimeout
+    return timed.groupBy("user_id").applyInPandasWithState(keep, "user_id long, size long", "held array<string>", "update", timeout)
 
 
 def throttle(stream: DataFrame, key: str, seconds: int, keep_for: str = "1 hour") -> DataFrame:
