@@ -9,6 +9,12 @@ are kept, however many tokens they have, unless a part of the tokens tells the
 label as surely.  A url is blocked when the most confident rule for "block" among
 those that fit is more confident than every fitting rule for "allow".
 
+Tokens that the labelled urls always have together (a host's labels, say) are
+one item for mining, so k of them don't make 2**k itemsets; a url with any of
+them has the item, since a rule with another one of them is as sure.  Only
+tokens frequent enough to be in a rule are mined; there are at most tokens a
+url / MIN_SUPPORT of them.
+
 Rules are matched by an inverted index on their rarest token.  Urls are
 matched once per distinct token set (numbers are folded), so a host with a
 third of all pages costs one set for each shape of its urls; the verdict is
@@ -62,14 +68,32 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return rule, verdict
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(antecedent, label, confidence, index_token) from rows (tokens, label)."""
+def frequent_items(labelled: DataFrame, min_support: float = MIN_SUPPORT) -> DataFrame:
+    """(token, item): the tokens of rows (tokens, label) that reach the support; those that always stand together share an item."""
+    least = labelled.agg(F.ceil(F.count("*") * min_support).alias("least"))
+    each = labelled.withColumn("row", F.xxhash64("tokens", "label")).select("row", F.explode("tokens").alias("token"))
+    # equal counts and equal sums of row hashes: the same rows (up to a chance of about 2**-64 a pair)
+    marks = each.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.col("row").cast("decimal(38,0)")).alias("rows"))
+    often = marks.join(F.broadcast(least)).filter("n >= least")  # one row
+    return often.groupBy("n", "rows").agg(F.collect_list("token").alias("tokens"), F.min("token").alias("item")).select(F.explode("tokens").alias("token"), "item")
+
+
+def as_items(rows: DataFrame, items: DataFrame, *keep: str) -> DataFrame:
+    """Rows with tokens, each set written as its items; sets without one drop out."""
+    each = rows.select(*keep, "tokens", F.explode("tokens").alias("token")).join(F.broadcast(items), "token")  # at most tokens a url / MIN_SUPPORT rows
+    return each.groupBy(*keep, "tokens").agg(F.array_sort(F.collect_set("item")).alias("items"))
+
+
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, support_of: int | None = None) -> DataFrame:
+    """(antecedent, label, confidence, index_token) from rows (tokens, label); support counts of support_of rows, by default these."""
+    if support_of is not None:
+        min_support = min(1.0, min_support * support_of / max(1, labelled.count()))
     items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.select("antecedent", F.col("consequent")[0].alias("label"), "confidence")
     rules = rules.filter(F.col("label").startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
     often = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    rules = rules.select("antecedent", F.substring("label", 2, 100).alias("label"), "confidence")
+    rules = rules.select("antecedent", F.expr("substring(label, 2)").alias("label"), "confidence")
     rarest = rules.select("antecedent", F.explode("antecedent").alias("token")).distinct().join(often, "token").groupBy("antecedent").agg(F.min(F.struct("n", "token")).alias("r"))
     rules = rules.join(rarest, "antecedent").select("antecedent", "label", "confidence", F.col("r.token").alias("index_token"))
     return without_redundant(Scratch(labelled.sparkSession, "url-rules").keep(rules))
@@ -114,7 +138,12 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     known = known.filter(F.size("tokens") > 0)
     verdicts = None
     if not known.isEmpty():
-        mined = scratch.keep(mine_rules(known))
-        verdicts = match_rules(seen.filter("fixed is null").select("tokens").distinct(), mined)
+        items = scratch.keep(frequent_items(known))
+        # rows are told apart by their number, as equal ones all count
+        numbered = known.withColumn("row", F.monotonically_increasing_id())
+        mined = scratch.keep(mine_rules(as_items(scratch.keep(numbered), items, "row", "label").select(F.col("items").alias("tokens"), "label"), support_of=known.count()))
+        open_sets = as_items(seen.filter("fixed is null").select("tokens").distinct(), items)
+        verdicts = match_rules(open_sets.select(F.col("items").alias("tokens")).distinct(), mined)
+        verdicts = open_sets.join(verdicts.withColumnRenamed("tokens", "items"), "items").select("tokens", "verdict")
     open_ = seen.join(verdicts, "tokens", "left") if verdicts is not None else seen.withColumn("verdict", F.lit(None).cast("string"))
     return open_.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("fixed", "verdict", F.lit("allow")).alias("verdict"))
