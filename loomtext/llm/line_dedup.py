@@ -12,8 +12,11 @@ lower-cased.  Keys of at least ``min_chars`` code points in at least
    hash, with arrays of fingerprints (the second hash), counts and keepers.
 3. Documents probe those arrays in a map; lines are never joined or shuffled.
    The arrays are broadcast, at most ``round_bytes`` of them at a time, which
-   is checked against their measured size; more are probed in more rounds,
-   each of which writes its marks in the shared folder.
+   is checked against their measured size.  If that is all of them, one pass
+   over the documents drops the lines.  Else each round is a pass of its own
+   that gives only the places of the lines it drops, for documents that lose
+   any; they are joined to the texts once, at the end, so no round writes or
+   shuffles a text.
 
 Edge cases: null or empty text is one empty line; each row is a document of
 its own, also where ids repeat (all rows of the largest id keep the line); null
@@ -153,40 +156,72 @@ def _count(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_pandas(out, preserve_index=False)
 
 
-def _drop(batches: Iterator[pa.RecordBatch], shards, n_shards: int, min_chars: int, last: bool) -> Iterator[pa.RecordBatch]:
-    unpacked = {r["shard"]: Shard(r["sizes"], r["bits"], r["prints"], r["counts"], r["keepers"]) for r in shards.value}
+def _lost(keys: Keys, ids: np.ndarray, shards: dict[int, Shard], n_shards: int) -> np.ndarray:
+    """For each line of a slice whether one of these shards drops it; ids of the slice's documents."""
+    dropped = np.zeros(len(keys.lines.starts), bool)
+    shard_of = (keys.first >> K.U64(32)) % K.U64(n_shards)
+    for k in np.unique(shard_of):
+        if int(k) in shards:
+            mine, shard = np.flatnonzero(shard_of == k), shards[int(k)]
+            at = shard.probe(keys.first[mine], keys.second[mine])
+            mine, at = mine[at >= 0], at[at >= 0]
+            lost = shard.keepers[at] != ids[keys.doc[mine]]
+            dropped[keys.line[mine[lost]]] = True
+    return dropped
+
+
+def _unpacked(shards) -> dict[int, Shard]:
+    return {r["shard"]: Shard(r["sizes"], r["bits"], r["prints"], r["counts"], r["keepers"]) for r in shards.value}
+
+
+def _kept(docs: K.Docs, lines: Lines, dropped: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    raw, out = docs.data.tobytes(), {"n_lines": [], "n_dropped": [], "kept_sha256": []}
+    for i in range(docs.n):
+        a, b = lines.per_doc[i], lines.per_doc[i + 1]
+        gone = int(dropped[a:b].sum())
+        kept = raw[docs.offsets[i] : docs.offsets[i + 1]] if not gone else b"\n".join(raw[lines.starts[k] : lines.ends[k]] for k in range(a, b) if not dropped[k])
+        out["n_lines"].append(b - a)
+        out["n_dropped"].append(gone)
+        out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
+    columns = [ids.slice(docs.first, docs.n), *(pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items())]
+    return pa.RecordBatch.from_arrays(columns, ["id", *out])
+
+
+def _drop(batches: Iterator[pa.RecordBatch], shards, n_shards: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+    """All in one pass: documents (id, text) without the lines that the shards drop."""
+    unpacked = _unpacked(shards)
     for batch in batches:
-        ids, before = _numbers(batch.column(0)), batch.column(2)
-        out = {"n_lines": [], "n_dropped": [], "kept_sha256": []} if last else {"dropped": []}
+        ids = _numbers(batch.column(0))
         for docs in K.slices(batch.column(1)):
             keys = Keys(docs, min_chars)
-            lines, n = keys.lines, len(keys.lines.starts)
-            dropped = np.zeros(n, bool)
-            for i in range(docs.n):
-                if (mask := before[docs.first + i].as_py()) is not None:
-                    dropped[lines.per_doc[i] : lines.per_doc[i + 1]] = np.frombuffer(mask, bool)
-            shard_of = (keys.first >> K.U64(32)) % K.U64(n_shards)
-            for k in np.unique(shard_of):
-                if int(k) in unpacked:
-                    mine, shard = np.flatnonzero(shard_of == k), unpacked[int(k)]
-                    at = shard.probe(keys.first[mine], keys.second[mine])
-                    mine, at = mine[at >= 0], at[at >= 0]
-                    lost = shard.keepers[at] != ids[docs.first + keys.doc[mine]]
-                    dropped[keys.line[mine[lost]]] = True
-            raw = docs.data.tobytes()
+            yield _kept(docs, keys.lines, _lost(keys, ids[docs.first :], unpacked, n_shards), batch.column(0))
+
+
+def _marks(batches: Iterator[pa.RecordBatch], shards, n_shards: int, min_chars: int) -> Iterator[pa.RecordBatch]:
+    """One round: (id, tie, places of the lines dropped) of documents (id, tie, text) that lose any."""
+    unpacked = _unpacked(shards)
+    for batch in batches:
+        ids = _numbers(batch.column(0))
+        for docs in K.slices(batch.column(2)):
+            keys = Keys(docs, min_chars)
+            gone = np.flatnonzero(_lost(keys, ids[docs.first :], unpacked, n_shards))
+            doc = keys.lines.doc[gone]
+            who, first = np.unique(doc, return_index=True)
+            rows = pa.array(docs.first + who)
+            places = K.lists(pa.array((gone - keys.lines.per_doc[doc]).astype(np.int32)), np.append(first, len(gone)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), places], ["id", "tie", "places"])
+
+
+def _drop_marked(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        marks = batch.column(2)
+        for docs in K.slices(batch.column(1)):
+            lines = Lines(docs)
+            dropped = np.zeros(len(lines.starts), bool)
             for i in range(docs.n):
-                a, b = lines.per_doc[i], lines.per_doc[i + 1]
-                if not last:
-                    out["dropped"].append(dropped[a:b].tobytes())
-                    continue
-                gone = int(dropped[a:b].sum())
-                kept = raw[docs.offsets[i] : docs.offsets[i + 1]] if not gone else b"\n".join(raw[lines.starts[k] : lines.ends[k]] for k in range(a, b) if not dropped[k])
-                out["n_lines"].append(b - a)
-                out["n_dropped"].append(gone)
-                out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-        columns = {"id": batch.column(0), **({} if last else {"text": batch.column(1)})}
-        columns |= {k: pa.array(v, {"dropped": pa.binary(), "kept_sha256": pa.string()}.get(k, pa.int64())) for k, v in out.items()}
-        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                if (places := marks[docs.first + i].as_py()) is not None:
+                    dropped[lines.per_doc[i] + np.array(places, np.int64)] = True
+            yield _kept(docs, lines, dropped, batch.column(0))
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
@@ -213,12 +248,26 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             room = round_bytes
         rounds[-1].append(r["shard"])
         room -= r["bytes"]
-    marked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("dropped"))
-    for k, part in enumerate(rounds):
-        last = k == len(rounds) - 1
-        held = spark.sparkContext.broadcast([r.asDict() for r in arrays.filter(F.col("shard").between(part[0], part[-1])).collect()] if part else [])
-        schema = "id long, n_lines long, n_dropped long, kept_sha256 string" if last else "id long, text string, dropped binary"
-        marked = marked.mapInArrow(partial(_drop, shards=held, n_shards=n_shards, min_chars=min_chars, last=last), schema)
-        if not last:
-            marked = scratch.keep(marked)
-    return marked.select(F.col("id").alias(id_col), "n_lines", "n_dropped", "kept_sha256")
+    text = F.col(text_col)
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tie"), text.alias("text"))
+    schema = "id long, n_lines long, n_dropped long, kept_sha256 string"
+
+    def held(part: list[int]):
+        return spark.sparkContext.broadcast([r.asDict() for r in arrays.filter(F.col("shard").between(part[0], part[-1])).collect()] if part else [])
+
+    probe = {"n_shards": n_shards, "min_chars": min_chars}
+    if len(rounds) == 1:
+        out = source.select("id", "text").mapInArrow(partial(_drop, shards=held(rounds[0]), **probe), schema)
+    else:
+        marks = None
+        for part in rounds:
+            # written before the next round's arrays are sent, so one round's are held at a time
+            arrays_now = held(part)
+            found = scratch.keep(source.mapInArrow(partial(_marks, shards=arrays_now, **probe), "id long, tie int, places array<int>"))
+            arrays_now.unpersist()
+            marks = found if marks is None else marks.unionByName(found)
+        # rows with equal ids are told apart by a hash of their text; equal rows lose the same lines
+        marks = marks.groupBy(F.coalesce("id", F.lit(int(_NO_ID))).alias("key"), "tie").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"))
+        keyed = source.withColumn("key", F.coalesce("id", F.lit(int(_NO_ID))))
+        out = keyed.join(marks, ["key", "tie"], "left").select("id", "text", "places").mapInArrow(partial(_drop_marked, min_chars=min_chars), schema)
+    return out.select(F.col("id").alias(id_col), "n_lines", "n_dropped", "kept_sha256")
