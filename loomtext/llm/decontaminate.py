@@ -1,7 +1,8 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of letters and digits, A-Z lower-cased, so punctuation and line
-breaks don't matter.
+breaks don't matter; in Han, Kana and Thai, which are written without spaces,
+each character is a word.
 
 1. Items are taken in blocks of at most ``BLOCK_GRAMS`` n-grams, so what is
    broadcast has a proven bound; a usual test set is one block.
@@ -18,9 +19,11 @@ A pair of document and item counts at score >= ``threshold``.  Texts are never
 shuffled.
 
 Edge cases: null or empty texts hold nothing; an item of fewer than n words
-matches nothing; null ids are carried as null; rows that repeat an id give one
-result row each unless equal; empty tables give an empty result; other columns
-are ignored.
+matches nothing (it tells no leak from everyday words); null ids of documents
+and items are carried as null; each row of docs and of items is looked at by
+itself, also where ids repeat, so such rows give one result row each; of several
+places of an item in a document the best counts, the first of equals; empty
+tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ CELLS = 1 << 19
 
 
 def _words(docs: K.Docs) -> K.Words:
-    return K.Words(docs, lower=True, separators=K.PUNCTUATION)
+    return K.Words(docs, lower=True, separators=K.PUNCTUATION, characters=True)
 
 
 class Lookup:
@@ -145,21 +148,21 @@ def _score(batches: Iterator[pa.RecordBatch], block, threshold: float) -> Iterat
             found.append(best[best["score"] >= threshold].assign(doc=lambda x: x["doc"] + docs.first))  # noqa: B023
         if found:
             rows = pd.concat(found)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows["doc"])), pa.array(ids[rows["item"]]), pa.array(rows["score"].to_numpy(float)), pa.array(rows["word"].to_numpy(np.int64))], ["doc_id", "item_id", "score", "near_word"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows["doc"])), pa.array([ids[k] for k in rows["item"]], pa.int64()), pa.array(rows["score"].to_numpy(float)), pa.array(rows["word"].to_numpy(np.int64))], ["doc_id", "item_id", "score", "near_word"])
 
 
-def _blocks(items: DataFrame) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+def _blocks(items: DataFrame) -> Iterator[tuple[list, list[np.ndarray]]]:
     """The items' ids and word hashes, in blocks of at most BLOCK_GRAMS words (or one longer item)."""
     ids, words, held = [], [], 0
     for row in items.toLocalIterator():
         if held and held + len(row["words"]) > BLOCK_GRAMS:
-            yield np.array(ids, np.int64), words
+            yield ids, words
             ids, words, held = [], [], 0
         ids.append(row["item_id"])
         words.append(np.array(row["words"], np.int64).view(np.uint64))
         held += len(row["words"])
     if ids:
-        yield np.array(ids, np.int64), words
+        yield ids, words
 
 
 def _grams(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,7 +180,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """(id, item id, score, near_word) of every document that holds a test item or an edited copy of one."""
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    words = items.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).mapInArrow(_item_words, "item_id long, words array<long>").filter(F.size("words") >= GRAM)
+    words = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).mapInArrow(_item_words, "item_id long, words array<long>").filter(F.size("words") >= GRAM)
     schema = "doc_id long, item_id long, score double, near_word long"
     out = None
     for ids, held in _blocks(words):
@@ -185,8 +188,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
         grams, code = np.unique(hashes, return_inverse=True)
         counted = source.select("text").mapInArrow(partial(_frequencies, grams=spark.sparkContext.broadcast(grams)), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
         frequency = np.zeros(len(grams), np.int64)
-        for row in counted.collect():  # at most one row for each n-gram of the block
-            frequency[row["gram"]] = row["n"]
+        found = counted.toArrow()  # at most one row (16 bytes) for each n-gram of the block
+        frequency[found.column("gram").to_numpy()] = found.column("n").to_numpy()
         table = pd.DataFrame({"item": item, "place": place, "code": code, "n": frequency[code], "hash": hashes})
         seed = np.zeros(len(table), bool)
         rank = np.empty(len(table), np.int64)

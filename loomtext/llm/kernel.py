@@ -79,11 +79,15 @@ def slices(texts: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Itera
     """Cuts a column of texts into slices of whole documents; null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = texts.cast(pa.large_string()).fill_null("")
+    if not pa.types.is_string(texts.type):
+        texts = texts.cast(pa.large_string())
+    if texts.null_count:
+        texts = texts.fill_null("")
     if len(texts) == 0:
         return
     _, offsets, data = texts.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    wide = pa.types.is_large_string(texts.type)
+    offsets = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(texts):
@@ -98,14 +102,23 @@ class Words:
     starts, ends: byte places in docs.data; per_doc: document i has the words
     per_doc[i]:per_doc[i+1]; hashes: of each word, of its lower-cased form
     (A-Z only) if asked for.  Other separators than white space can be given as
-    a table of bytes.
+    a table of bytes.  With characters, each character of a script that is
+    written without spaces is a word of its own, and its marks separate.
     """
 
-    def __init__(self, docs: Docs, lower: bool, hashed: bool = True, separators: np.ndarray = _SPACE):
+    def __init__(self, docs: Docs, lower: bool, hashed: bool = True, separators: np.ndarray = _SPACE, characters: bool = False):
         data, self.docs = docs.data, docs
         solid = ~separators[data]
+        single, marks = unspaced(data) if characters else (None, None)
+        if characters:
+            for k in range(3):
+                solid[marks + k] = False
         before = np.zeros(len(data), bool)
         before[1:] = solid[:-1]
+        if characters:
+            before[single] = False
+            after_them = single + 3
+            before[after_them[after_them < len(data)]] = False
         cuts = docs.offsets[:-1]
         before[cuts[cuts < len(data)]] = False
         after = np.zeros(len(data), bool)
@@ -131,6 +144,16 @@ class Words:
         return at, spans_hash(self.hashes, at, at + n)
 
 
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of (Han, Kana and Thai characters, ideographic and full-width marks); all have three bytes."""
+    at = np.flatnonzero(data >= 0xE0)
+    at = at[at + 2 < len(data)]
+    lead, second = data[at], data[at + 1]
+    han = (lead >= 0xE4) & (lead <= 0xE9) | (lead == 0xE3) & (second >= 0x81)
+    thai = (lead == 0xE0) & ((second == 0xB8) | (second == 0xB9))
+    return at[han | thai], at[(lead == 0xE3) & (second == 0x80) | (lead == 0xEF) & (second == 0xBC)]
+
+
 def words(texts: pa.Array, lower: bool, hashed: bool = True) -> Iterator[Words]:
     for docs in slices(texts):
         yield Words(docs, lower, hashed)

@@ -49,11 +49,52 @@ def test_leaks_are_found_and_clean_texts_left_alone(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(frame(spark, docs), items(spark, tests)).collect()} == expected
 
 
+def align_all(docs, tests, threshold=D.THRESHOLD):
+    """Every item aligned with every whole document, without seeds: {(doc, item): score}."""
+    split = lambda s: re.findall("[0-9a-z]+", lower(s))
+    codes, out = {}, {}
+    code = lambda w: codes.setdefault(w, len(codes) + 10)
+    right = {i: np.array([code(w) for w in split(t)], np.uint64) for i, t in docs}
+    left = {i: np.array([code(w) for w in split(t)], np.uint64) for i, t in tests}
+    for i, words in left.items():
+        scores = D.align([words] * len(right), list(right.values())) / (2 * len(words))
+        out |= {(d, i): s for d, s in zip(right, scores) if s >= threshold}
+    return out
+
+
+def test_recall_against_aligning_everything(spark):
+    """Copies with a growing share of words changed, put in or left out; seeds find at least 0.95 of what alignment scores."""
+    rng = random.Random(21)
+    tests = [(k, words_text(rng, rng.randint(15, 60), 3000)) for k in range(25)]
+    docs = []
+    for k in range(150):
+        w = tests[k % 25][1].split(" ")
+        for _ in range(int(len(w) * rng.uniform(0, 0.35))):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[], [f"x{rng.randrange(99)}"], [w[at], f"y{rng.randrange(99)}"]])
+            w = w or ["z"]
+        docs.append((k, f"{words_text(rng, 30, 3000)} {' '.join(w)} {words_text(rng, 30, 3000)}"))
+    want = align_all(docs, tests)
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.find_leaks(frame(spark, [(i, t, "en", "s", 0) for i, t in docs]), items(spark, tests)).collect()}
+    assert set(got) <= set(want) and len(want) > 100
+    assert len(got) >= 0.95 * len(want)
+    assert sum(abs(got[k] - want[k]) < 1e-9 for k in got) >= 0.95 * len(got)
+
+
+def test_scripts_without_spaces_and_long_texts(spark):
+    item = "春天来了，花园里的花都开了，孩子们在草地上玩耍。"
+    thai = "สวัสดีครับวันนี้อากาศดีมาก"
+    some = items(spark, [(1, item), (2, thai), (3, "alpha beta gamma delta epsilon zeta")])
+    long = " ".join(f"w{k}" for k in range(60000))
+    docs = [(1, f"他说：{item.replace('花园', '公园')}再见", "zh", "s", 0), (2, f"x {thai} y", "th", "s", 0), (3, "今天的会议讨论了预算问题", "zh", "s", 0), (4, f"{long} alpha beta gamma delta epsilon zeta {long}", "en", "s", 0)]
+    assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(frame(spark, docs), some).collect()} == {(1, 1), (2, 2), (4, 3)}
+
+
 def test_leaks_of_odd_rows(spark):
     some = items(spark, [(1, "alpha beta gamma delta epsilon zeta eta theta"), (2, None), (3, "too short"), (None, "alpha beta gamma delta"), (4, "")])
     docs = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "Alpha, beta gamma delta epsilon zeta eta theta!", "en", "s", 0), (7, "alpha beta gamma delta epsilon zeta eta theta " * 50, "en", "s", 0), (7, "nothing here", "en", "s", 0)]
     got = [(r["doc_id"], r["item_id"], r["score"]) for r in D.find_leaks(frame(spark, docs), some).collect()]
-    assert sorted(got, key=str) == sorted([(None, 1, 1.0), (7, 1, 1.0)], key=str)
+    assert sorted(got, key=str) == sorted([(None, 1, 1.0), (7, 1, 1.0), (None, None, 1.0), (7, None, 1.0)], key=str)
     assert D.find_leaks(frame(spark, []), some).count() == 0
     assert D.find_leaks(frame(spark, docs), items(spark, [])).count() == 0
 
