@@ -9,9 +9,11 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-c
    minus its place in the template.
 3. Votes are summed by document, template and diagonal; diagonals at most
    ``NEAR`` apart are one span, so a few words put in or left out do no harm.
-4. A span counts if its grams cover enough of the template's words and it is
-   not much longer than the template.  Gram hashes have 64 bits, so a matched
-   gram means three equal words.
+4. A span is verified by a second look at its matched grams in the order of the
+   document: only those that come later in the template than all before them
+   count, so moved or repeated pieces don't.  It counts if those cover enough of
+   the template's words and it is not much longer than the template.  Gram
+   hashes have 64 bits, so a matched gram means three equal words.
 
 Edge cases: null or empty text has no words, no labels (empty strings) and
 score 0; rows with a null id get base labels only; rows that repeat an id share
@@ -28,7 +30,7 @@ GRAM, NEAR, LEAST_COVER, LONGEST = 3, 2, 0.7, 1.5
 
 # Base phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-# Opening words of public license notices.
+# Words of public license texts and notices.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
@@ -42,6 +44,23 @@ TEMPLATES = (
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("all-rights-reserved", "all rights reserved"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("mpl", "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0"),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc0", "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0"),
 )
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -79,6 +98,17 @@ def _places(words: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(words) - F.lit(1)), stands)
 
 
+def in_order(votes: Column) -> Column:
+    """How many template words the votes (at, place), sorted, cover when only rising places count."""
+    start = F.struct(F.lit(-GRAM).alias("last"), F.lit(0).alias("n"))
+
+    def step(acc: Column, v: Column) -> Column:
+        further = v["place"] > acc["last"]
+        return F.struct(F.when(further, v["place"]).otherwise(acc["last"]).alias("last"), F.when(further, acc["n"] + F.least(v["place"] - acc["last"], F.lit(GRAM))).otherwise(acc["n"]).alias("n"))
+
+    return F.aggregate(votes, start, step)["n"]
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, template, label, first_place, last_place, cover) of every verified span."""
     words = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
@@ -87,13 +117,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     places = grams.select("id", F.posexplode_outer("grams").alias("at", "gram"))
     votes = places.join(F.broadcast(template_grams(docs.sparkSession)), "gram")
     diagonals = votes.withColumn("diagonal", F.col("at") - F.col("place")).groupBy("id", "template", "label", "length", "diagonal")
-    diagonals = diagonals.agg(F.collect_set("place").alias("places"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    diagonals = diagonals.agg(F.collect_list(F.struct("at", "place")).alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     order = Window.partitionBy("id", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True)).cast("int")
     merged = diagonals.withColumn("apart", apart).withColumn("span", F.sum("apart").over(order))
-    merged = merged.groupBy("id", "template", "label", "length", "span").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.min("lo").alias("first_place"), (F.max("hi") + GRAM - 1).alias("last_place"))
-    covered = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + F.lit(GRAM - 1)))))
-    merged = merged.withColumn("cover", F.size(covered) / F.col("length"))
+    merged = merged.groupBy("id", "template", "label", "length", "span").agg(F.array_sort(F.flatten(F.collect_list("votes"))).alias("votes"), F.min("lo").alias("first_place"), (F.max("hi") + GRAM - 1).alias("last_place"))
+    merged = merged.select("*", F.explode_outer(F.array(in_order(F.col("votes")))).alias("covered")).withColumn("cover", F.col("covered") / F.col("length"))
     return merged.filter((F.col("cover") >= LEAST_COVER) & (F.col("last_place") - F.col("first_place") + 1 <= LONGEST * F.col("length"))).select("id", "template", "label", "first_place", "last_place", "cover")
 
 

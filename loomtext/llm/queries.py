@@ -154,18 +154,18 @@ grams AS (
   SELECT template, label, len(tw) AS length, j, tw[j + 1] AS a, tw[j + 2] AS b, tw[j + 3] AS c
   FROM (SELECT *, unnest(range(0, len(tw) - 2)) AS j FROM templates)),
 diagonals AS (
-  SELECT doc_id, template, label, length, i - j AS d, list(DISTINCT j) AS js, min(i) AS lo, max(i) AS hi
+  SELECT doc_id, template, label, length, i - j AS d, list([i, j]) AS votes, min(i) AS lo, max(i) AS hi
   FROM each JOIN grams USING (a, b, c) GROUP BY ALL),
 marked AS (
   SELECT *, coalesce(d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) > 2, true)::INT AS apart FROM diagonals),
 numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY d) AS span FROM marked),
 merged AS (
   SELECT doc_id, template, label, length, span, min(lo) AS lo, max(hi) + 2 AS hi,
-         list_distinct(flatten(list_transform(flatten(list(js)), lambda j: [j, j + 1, j + 2]))) AS covered
+         list_reduce(list_transform(list_sort(flatten(list(votes))), lambda v: [v[2], 3]), lambda a, b: CASE WHEN b[1] > a[1] THEN [b[1], a[2] + least(3, b[1] - a[1])] ELSE a END)[2] AS covered
   FROM numbered GROUP BY doc_id, template, label, length, span),
 good AS (
-  SELECT doc_id, label, len(covered) / length AS cover FROM merged
-  WHERE len(covered) / length >= 0.7 AND hi - lo + 1 <= 1.5 * length),
+  SELECT doc_id, label, covered / length AS cover FROM merged
+  WHERE covered / length >= 0.7 AND hi - lo + 1 <= 1.5 * length),
 scored AS (SELECT doc_id, max(cover) AS score FROM good GROUP BY doc_id),
 labelled AS (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM good),
 named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM labelled GROUP BY doc_id),

@@ -41,6 +41,16 @@ def test_base_labels_and_templates(spark):
     assert L.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_order_of_the_words_counts(spark):
+    """Pieces of a template in another order, or one piece again and again, are no license; edits are."""
+    bsd = next(t for label, t in L.TEMPLATES if label == "bsd-3-clause").split(" ")
+    halves = bsd[len(bsd) // 2 :] + bsd[: len(bsd) // 2]
+    edited = [w for k, w in enumerate(bsd) if k % 11 != 5]
+    rows = [(1, " ".join(bsd), "en", "s", 0), (2, " ".join(halves), "en", "s", 0), (3, " ".join(bsd[:9] * 4), "en", "s", 0), (4, " ".join(edited), "en", "s", 0), (5, "x " * 30000 + " ".join(bsd), "en", "s", 0)]
+    got = {r["doc_id"]: r["labels"] for r in L.scan_licenses(frame(spark, rows)).collect()}
+    assert got == {1: "bsd-3-clause", 2: "", 3: "", 4: "bsd-3-clause", 5: "bsd-3-clause"}
+
+
 def secret_rows(n):
     rng = random.Random(4)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
