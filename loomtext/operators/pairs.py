@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.plans.shared import Scratch
 
-#: Vectors of a block of the exact cosine join.
-BLOCK = 2000
+#: Vectors of a block of the exact cosine join, and word sets of one of the Jaccard join.
+BLOCK, SET_BLOCK = 2000, 1024
+#: Above this threshold the prefix filter leaves few words to join.
+PREFIX_FROM = 0.6
+#: Words that this share of a unit's pairs have are counted by a matrix product, so many at a time.
+DENSE_SHARE, COLUMNS, EXPANDED = 0.01, 1024, 4_000_000
 #: LSH join: the chance to find a pair at the threshold, and what dealing a vector to a bucket
 #: and working on a bucket cost, in cells of a product.
 RECALL, MAX_BITS, ROW_COST, BUCKET_COST = 0.9, 20, 200, 100_000
@@ -29,18 +33,29 @@ RECALL, MAX_BITS, ROW_COST, BUCKET_COST = 0.9, 20, 200, 100_000
 def token_jaccard_pairs(df: DataFrame, threshold: float, strict: bool = True) -> DataFrame:
     """Pairs of (id, text) whose lower-cased word sets have a Jaccard similarity above the threshold.
 
-    Two such sets share one of their first n - ceil(t * n) + 1 words in order
-    of rising document frequency (the prefix filter), so only those words are
-    joined; sizes are compared before the exact check.
+    From PREFIX_FROM on: two such sets share one of their first n - ceil(t * n)
+    + 1 words in order of rising document frequency (the prefix filter), so
+    only those words are joined.  A hit is dropped if the sets' sizes, or the
+    words left after it in both, rule the pair out; at the first word that a
+    pair shares neither does, if it is one.  Below, most words are in a prefix
+    and most pairs share one, so blocks of sets meet once each, and a task
+    counts the words that its pairs share: frequent ones as a matrix product,
+    others from their places.
     """
     # 64-bit word hashes: smaller to shuffle and quicker to intersect than strings
     sets = df.select("id", F.array_distinct(F.transform(T.words(F.lower("text")), lambda w: F.xxhash64(w))).alias("words")).filter(F.size("words") > 0)
+    if threshold < PREFIX_FROM:
+        sets = Scratch(df.sparkSession, "word-sets").keep(sets)
+        n = max(1, -(-sets.count() // SET_BLOCK))
+        units = _units(sets.withColumnRenamed("words", "vector"), F.lit(n).cast("long"))
+        return units.groupBy("i", "j").applyInArrow(lambda unit: _set_pairs(unit, threshold, strict), "a long, b long, score double")
     each = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word"))
     df_ = each.groupBy("word").agg(F.count("*").alias("df"))
     ranked = each.join(df_, "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("w"))
-    prefix = ranked.select("id", "n", F.explode(F.slice("w", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n")) + 1).cast("int"))).alias("w")).select("id", "n", "w.word")
-    other = prefix.toDF("b", "n_b", "word")
-    pairs = prefix.toDF("a", "n_a", "word").join(other, "word").filter("a < b").filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).select("a", "b").distinct()
+    prefix = ranked.select("id", "n", F.posexplode(F.slice("w", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n")) + 1).cast("int"))).alias("k", "w")).select("id", "n", (F.col("n") - F.col("k")).alias("rest"), "w.word")
+    other = prefix.toDF("b", "n_b", "rest_b", "word")
+    possible = F.least("rest_a", "rest_b") >= threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9
+    pairs = prefix.toDF("a", "n_a", "rest_a", "word").join(other, "word").filter("a < b").filter(F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b")).filter(possible).select("a", "b").distinct()
     full = pairs.join(sets.toDF("a", "words_a"), "a").join(sets.toDF("b", "words_b"), "b")
     # the outer explode keeps the planner from working the intersection out again for the filter
     shared = full.select("a", "b", (F.size("words_a") + F.size("words_b")).alias("n"), F.explode_outer(F.array(F.size(F.array_intersect("words_a", "words_b")))).alias("shared"))
@@ -48,6 +63,55 @@ def token_jaccard_pairs(df: DataFrame, threshold: float, strict: bool = True) ->
     return full.filter(F.col("score") > threshold if strict else F.col("score") >= threshold).select("a", "b", "score")
 
 
+def _set_pairs(unit: pa.Table, threshold: float, strict: bool) -> pa.Table:
+    """Pairs of a left and a right set of a unit (words in the column vector) above the threshold."""
+    ids, left, right = unit.column("id").to_numpy(), np.array(unit.column("left")), np.array(unit.column("right"))
+    column = unit.column("vector").combine_chunks()
+    size = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    owner, words = np.repeat(np.arange(len(ids)), size), column.flatten().to_numpy()
+    _, words = np.unique(words, return_inverse=True)
+    sides = []
+    for mine in (left, right):
+        row = np.cumsum(mine) - 1
+        here = mine[owner]
+        order = np.argsort(words[here], kind="stable")
+        sides.append((row[owner[here]][order], words[here][order]))
+    (row_l, word_l), (row_r, word_r) = sides
+    n_words, n_l, n_r = int(words.max(initial=-1)) + 1, int(left.sum()), int(right.sum())
+    count_l, count_r = np.bincount(word_l, minlength=n_words), np.bincount(word_r, minlength=n_words)
+    shared = np.zeros((n_l, n_r), np.float32)
+    dense = np.flatnonzero(count_l * count_r >= max(1.0, DENSE_SHARE * n_l * n_r))
+    place = np.full(n_words, -1)
+    place[dense] = np.arange(len(dense))
+    for start in range(0, len(dense), COLUMNS):
+        parts = []
+        for row, word, n in ((row_l, word_l, n_l), (row_r, word_r, n_r)):
+            at = place[word] - start
+            here = (at >= 0) & (at < COLUMNS)
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[row[here], at[here]] = 1
+            parts.append(m)
+        shared += parts[0] @ parts[1].T
+    rare = np.flatnonzero((place[word_l] < 0) & (count_r[word_l] > 0))
+    first_r, many = np.cumsum(count_r) - count_r, count_r[word_l[rare]]
+    ends = np.cumsum(many)
+    cuts = np.searchsorted(ends, np.arange(0, int(ends[-1]) if len(ends) else 0, EXPANDED), "left")
+    for a, b in zip(cuts, [*cuts[1:], len(rare)]):
+        if a == b:
+            continue
+        k, m = rare[a:b], many[a:b]
+        other = np.repeat(first_r[word_l[k]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        shared += np.bincount(np.repeat(row_l[k], m) * n_r + row_r[other], minlength=n_l * n_r).reshape(n_l, n_r)
+    i, j = np.flatnonzero(left), np.flatnonzero(right)
+    score = shared.astype(np.float64)
+    score /= size[i][:, None] + size[j][None, :] - score
+    x, y = np.nonzero(score > threshold if strict else score >= threshold)
+    a, b, s = ids[i[x]], ids[j[y]], score[x, y]
+    if left.all() and right.all():  # a block with itself
+        a, b, s = a[a < b], b[a < b], s[a < b]
+    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": s})
+
+
 def _vectors(column: pa.ChunkedArray) -> np.ndarray:
     a = column.combine_chunks()
     v = np.array(pc.list_flatten(a), np.float64).reshape(len(a), -1)

@@ -2,10 +2,11 @@
 
 Queries and memories are DataFrames ``(query_id, text)`` and ``(id, text)``;
 results are ``(query_id, id, score, rank)``, ordered by score, then id.
-Lexical scores are equi-joins on words (an inverted index), never a product of
-queries and memories.  Vector search compares blocks of queries with the
-memories, a stated query set, and keeps k per query and partition before
-anything is shuffled.
+Top-k search sends blocks of queries, a stated query set of bounded size, over
+the memories and keeps k per query and task before anything is shuffled:
+products of vectors, or of the queries' words with the memories' word hashes.
+Scores of all pairs (``keyword_scores`` and the like) are equi-joins on words,
+an inverted index.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.plans.shared import Scratch
 
-#: Query vectors that are broadcast at a time.
-QUERY_BLOCK = 4096
+#: Queries that are broadcast at a time, and cells of their words' matrix (8 bytes each).
+QUERY_BLOCK, QUERY_CELLS = 4096, 4_000_000
+#: Cells of a matrix of memories or of scores that a task works on.
+CELLS = 2_000_000
 
 
 def top_k(scored: DataFrame, k: int | Column, *within: str) -> DataFrame:
@@ -39,8 +42,96 @@ def keyword_scores(queries: DataFrame, memories: DataFrame) -> DataFrame:
     return held.join(asked, "word").groupBy("query_id", "id").agg(F.sum("times").alias("score"))
 
 
+class Best:
+    """The k best (query, id, score) of what a task has seen; equal scores by id."""
+
+    def __init__(self, n_queries: int, k: int):
+        self.n, self.k = n_queries, k
+        self.rows = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def take(self, ids: np.ndarray, score: np.ndarray, least: float | None) -> None:
+        """score: one row a query, one column an id."""
+        wanted = np.ones(score.shape, bool) if least is None else score > least
+        if score.shape[1] > self.k:  # all that reach the k-th best, so that ids decide among equals
+            wanted &= score >= np.partition(score, score.shape[1] - self.k, axis=1)[:, [score.shape[1] - self.k]]
+        i, j = np.nonzero(wanted)
+        q, d, s = (np.concatenate(x) for x in zip(self.rows, (i, ids[j], score[i, j])))
+        order = np.lexsort((d, -s, q))
+        first = np.searchsorted(q[order], np.arange(self.n))
+        keep = order[np.arange(len(order)) - first[q[order]] < self.k]
+        self.rows = q[keep], d[keep], s[keep]
+
+    def batch(self, query_ids: np.ndarray) -> pa.RecordBatch:
+        q, d, s = self.rows
+        return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(d), pa.array(s)], ["query_id", "id", "score"])
+
+
+def _word_products(batches: Iterator[pa.RecordBatch], block, k: int, shares: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (id, words, norm) against a block of queries: sums of products of weights over shared words, by norm."""
+    ids_q, vocabulary, weights = block.value
+    best = Best(len(ids_q), k)
+    step = max(1, CELLS // max(1, len(vocabulary), len(ids_q)))
+    for batch in batches:
+        for lo in range(0, batch.num_rows, step):
+            part = batch.slice(lo, step)
+            n = part.num_rows
+            sizes = pc.list_value_length(part.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
+            words = part.column(1).flatten().to_numpy()
+            doc = np.repeat(np.arange(n), sizes)
+            at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
+            hit = np.flatnonzero(vocabulary[at] == words)
+            each = 1.0 / sizes[doc[hit]] if shares else np.ones(len(hit))
+            held = np.bincount(doc[hit] * len(vocabulary) + at[hit], each, n * len(vocabulary)).reshape(n, len(vocabulary))
+            score = weights @ held.T
+            norms = part.column(2).to_numpy(zero_copy_only=False)
+            score = np.divide(score, norms, out=np.zeros_like(score), where=norms > 0)
+            # equal texts must have equal scores, wherever they stand in a matrix
+            best.take(part.column(0).to_numpy(), np.round(score, 9), 0.0)
+    yield best.batch(ids_q)
+
+
+def word_search(asked: DataFrame, rows: DataFrame, k: int, shares: bool) -> DataFrame:
+    """The k best rows (id, words ARRAY<LONG>, norm) for each query of asked (query_id, word, weight).
+
+    Score: the sum over shared words of the query's weight times 1 (or, with
+    shares, the word's share of the row's words), over the row's norm.
+    """
+    spark, out, held, words = asked.sparkSession, None, {}, set()
+    schema = "query_id long, id long, score double"
+
+    def scored() -> DataFrame:
+        vocabulary, ids = np.array(sorted(words), np.int64), np.array(list(held), np.int64)
+        weights = np.zeros((len(ids), len(vocabulary)))
+        for i, found in enumerate(held.values()):
+            weights[i, np.searchsorted(vocabulary, list(found))] = list(found.values())
+        block = spark.sparkContext.broadcast((ids, vocabulary, weights))
+        return rows.select("id", "words", "norm").mapInArrow(partial(_word_products, block=block, k=k, shares=shares), schema)
+
+    listed = asked.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("w"))
+    for r in listed.toLocalIterator():
+        more = words | set(r["w"])
+        if held and (len(held) == QUERY_BLOCK or (len(held) + 1) * len(more) > QUERY_CELLS):
+            out = scored() if out is None else out.unionByName(scored())
+            held, more = {}, set(r["w"])
+        held[r["query_id"]], words = r["w"], more
+    if held:
+        out = scored() if out is None else out.unionByName(scored())
+    return top_k(out if out is not None else spark.createDataFrame([], schema), k)
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _asked(queries: DataFrame, words: Column) -> DataFrame:
+    """(query_id, word, times): word hashes of the queries."""
+    return queries.select("query_id", F.explode(_hashed(words)).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+
+
 def keyword_search(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    return top_k(keyword_scores(queries, memories), k)
+    asked = _asked(queries, T.clean_words(F.col("text"))).select("query_id", "word", F.col("times").cast("double").alias("weight"))
+    rows = memories.select("id", F.array_distinct(_hashed(T.clean_words(F.col("text")))).alias("words"), F.lit(1.0).alias("norm"))
+    return word_search(asked, rows, k, shares=False).withColumn("score", F.col("score").cast("long"))
 
 
 def substring_search(query: str, memories: DataFrame, k: int) -> DataFrame:
@@ -75,13 +166,46 @@ def tfidf_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
     return scored.filter("score > 0")
 
 
-def stored_tfidf(memories: DataFrame) -> DataFrame:
-    """The index written once in the shared folder; terms, norms and products then read it."""
-    return Scratch(memories.sparkSession, "tfidf").keep(build_tfidf(memories))
+def stored_tfidf(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index for top-k search, written once in the shared folder: rows (id, words, norm) and (word, idf), by word hash."""
+    scratch = Scratch(memories.sparkSession, "tfidf")
+    rows = scratch.keep(memories.select("id", _hashed(T.clean_words(F.col("text"), 2)).alias("words")))
+    n = rows.agg(F.count("*").alias("n_memories"))
+    counted = rows.select("id", F.size("words").alias("total"), F.explode("words").alias("word")).groupBy("id", "total", "word").agg(F.count("*").alias("tf"))
+    counted = scratch.keep(counted)
+    idf = counted.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("word", F.ln(F.col("n_memories") / F.col("df")).alias("idf"))  # one row
+    idf = scratch.keep(idf)
+    weight = F.col("tf") / F.col("total") * F.col("idf")
+    norms = counted.join(idf, "word").groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    index = scratch.keep(rows.join(norms, "id").filter("norm > 0"))
+    scratch.drop_all_but(index, idf)
+    return index, idf
+
+
+def search_tfidf(queries: DataFrame, index: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
+    """Top-k over a stored index: no shuffle but that of the queries' words and of k rows a task."""
+    rows, idf = index
+    asked = _asked(queries, T.clean_words(F.col("text"), 2)).join(idf, "word").withColumn("q", F.col("times") * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query_id")))
+    # a row's weight of a word is its share times the idf
+    asked = asked.withColumn("q_norm", norm).filter("q_norm > 0").select("query_id", "word", (F.col("q") * F.col("idf") / F.col("q_norm")).alias("weight"))
+    return word_search(asked, rows, k, shares=True)
 
 
 def tfidf_search(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    return top_k(tfidf_scores(queries, stored_tfidf(memories)), k)
+    return search_tfidf(queries, stored_tfidf(memories), k)
+
+
+def fast_search(queries: DataFrame, memories: DataFrame, k: int, scope: Column | None = None) -> DataFrame:
+    """top_k of fast_scores, with a memory counted once for each word it holds."""
+    rows = memories.select("id", (scope if scope is not None else F.lit(True)).alias("inside"), _hashed(T.words(F.lower("text"))).alias("words"), F.lit(1.0).alias("norm"))
+    asked = _asked(queries, T.words(F.lower("text")))
+    n = memories.agg(F.count("*").alias("n_memories"))
+    # only the queries' words are counted
+    df = rows.select(F.explode(F.array_distinct("words")).alias("word")).join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
+    weighted = asked.join(df, "word").join(F.broadcast(n))  # one row
+    weighted = weighted.select("query_id", "word", (F.col("times") * F.ln(F.col("n_memories") / (1 + F.col("df")))).alias("weight"))
+    return word_search(weighted, rows.filter("inside"), k, shares=True)
 
 
 def fast_scores(queries: DataFrame, memories: DataFrame, scope: Column | None = None, df_mode: str = "documents") -> DataFrame:
@@ -105,8 +229,9 @@ def fast_scores(queries: DataFrame, memories: DataFrame, scope: Column | None =
 
 def _nearest(batches: Iterator[pa.RecordBatch], block, k: int, metric: str, least: float | None) -> Iterator[pa.RecordBatch]:
     ids_q, q = block.value
-    best: tuple = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    for batch in batches:
+    best = Best(len(ids_q), k)
+    step = max(1, CELLS // len(ids_q))
+    for batch in (b.slice(lo, step) for b in batches for lo in range(0, b.num_rows, step)):
         sizes = pc.list_value_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
         rows = np.flatnonzero(sizes == q.shape[1])
         if not len(rows):
@@ -119,13 +244,8 @@ def _nearest(batches: Iterator[pa.RecordBatch], block, k: int, metric: str, leas
             score = np.divide(score, norms, out=np.zeros_like(score), where=norms > 0)
         elif metric == "euclidean":
             score = 1 / (1 + np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * score)))
-        i, j = np.nonzero(score > least) if least is not None else (np.repeat(np.arange(len(q)), len(v)), np.tile(np.arange(len(v)), len(q)))
-        best = tuple(np.concatenate(x) for x in zip(best, (i, ids[j], score[i, j])))
-        order = np.lexsort((best[1], -best[2], best[0]))
-        first = np.searchsorted(best[0][order], np.arange(len(q)))
-        keep = order[np.arange(len(order)) - first[best[0][order]] < k]
-        best = tuple(x[keep] for x in best)
-    yield pa.RecordBatch.from_arrays([pa.array(ids_q[best[0]]), pa.array(best[1]), pa.array(best[2])], ["query_id", "id", "score"])
+        best.take(ids, score, least)
+    yield best.batch(ids_q)
 
 
 def vector_scores(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", min_score: float | None = None) -> DataFrame:
@@ -172,7 +292,7 @@ def hybrid_merge(lexical: DataFrame, semantic: DataFrame, k: int) -> DataFrame:
 
 def two_stage_search(queries: DataFrame, memories: DataFrame, k: int, rerank: Column) -> DataFrame:
     """3k fast candidates, reordered by a score over (text, score), cut at k."""
-    first = top_k(fast_scores(queries, memories), 3 * k).drop("rank")
+    first = fast_search(queries, memories, 3 * k).drop("rank")
     scored = first.join(memories.select("id", "text"), "id").withColumn("score", rerank).select("query_id", "id", "score")
     return top_k(scored, k)
 

@@ -69,8 +69,7 @@ scores AS (
 
 @C.add("search_tfidf", f"WITH {_TFIDF}, r AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scores) SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= {K}")
 def _(t):
-    scored = S.tfidf_scores(asked(t), S.stored_tfidf(memories(t))).withColumn("score", F.round("score", 9))
-    return r(S.top_k(scored, K), "query_id", "id")
+    return r(S.tfidf_search(asked(t), memories(t), K), "query_id", "id")
 
 
 @C.add("build_tfidf", f"WITH {_TFIDF} SELECT id, count(*) AS terms, round(sum(weight), 6) AS total FROM weights GROUP BY id")
@@ -92,7 +91,7 @@ SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= {K}
 """)
 def _(t):
     m = t("documents").select(F.col("doc_id").alias("id"), "text", "lang")
-    return r(S.top_k(S.fast_scores(asked(t), m, F.col("lang") == "en").withColumn("score", F.round("score", 9)), K), "query_id", "id")
+    return r(S.fast_search(asked(t), m, K, F.col("lang") == "en"), "query_id", "id")
 
 
 @C.add("search_two_stage", f"""
@@ -170,7 +169,7 @@ o AS (SELECT query_id, id, source, row_number() OVER (PARTITION BY query_id, id
 r AS (SELECT query_id, id, source, row_number() OVER (PARTITION BY query_id ORDER BY source, rank, id) AS rank FROM o WHERE seen = 1) SELECT * FROM r WHERE rank <= 4
 """)
 def _(t):
-    lexical = S.top_k(S.fast_scores(asked(t), memories(t)).withColumn("score", F.round("score", 9)), 8)
+    lexical = S.fast_search(asked(t), memories(t), 8)
     semantic = S.semantic_search(query_vectors(t), vectors(t), 8).withColumn("query_id", F.floor(F.col("query_id") / 50))
     return S.hybrid_merge(lexical, semantic, 4)
 
