@@ -10,13 +10,15 @@ from loomtext.functions import vectors as V
 
 from . import chunk as K
 
+#: Fenced code, table rows, images and html blocks.
+BLOCK_PATTERN = r"(?s)```.*?(?:```|$)|(?m:^\|[^\n]*\|[ \t]*$)(?:\n(?m:^\|[^\n]*\|[ \t]*$))*|!\[[^\]]*\]\([^)]*\)|<(?:div|table|section)\b.*?</(?:div|table|section)>"
 # Separators of the recursive chunker, from coarse to fine.
 SEPARATORS = ("\n\n\n", "\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 
 
 def content_blocks(docs: DataFrame) -> DataFrame:
     """(doc_id, block_no, kind, text): fenced code, tables, images, html blocks and the text between."""
-    pattern = r"(?s)```.*?(?:```|$)|(?m:^\|[^\n]*\|[ \t]*$)(?:\n(?m:^\|[^\n]*\|[ \t]*$))*|!\[[^\]]*\]\([^)]*\)|<(?:div|table|section)\b.*?</(?:div|table|section)>"
+    pattern = BLOCK_PATTERN
     marked = docs.select("doc_id", F.split(F.regexp_replace("text", rf"({pattern})", "\x1e$1\x1e"), "\x1e").alias("parts"))
     each = marked.select("doc_id", F.posexplode_outer("parts").alias("k", "text")).filter(F.trim("text") != "")
     kind = F.when(F.col("text").startswith("```"), "code").when(F.col("text").startswith("|"), "table").when(F.col("text").startswith("!["), "image").when(F.col("text").rlike("^<(table|div|section)"), "html").otherwise("text")

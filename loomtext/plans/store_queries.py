@@ -280,9 +280,9 @@ def _(t):
     return K.chunk_fixed(t("documents"), 256).withColumn("tokens", F.col("tokens").cast("long"))
 
 
-def _overlapping_sql(units: str, joiner: str, size: int, overlap: int, least: int, most: int) -> str:
+def _overlapping_sql(units: str, joiner: str, size: int, overlap: int, least: int, most: int, table: str = "documents") -> str:
     return f"""
-WITH RECURSIVE d AS (SELECT doc_id, {units} AS u FROM documents), y AS MATERIALIZED (SELECT doc_id, u, list_transform(u, lambda s: len(regexp_extract_all(s, '\\S+')) + {_PUNCT.format("s")}) AS n FROM d WHERE len(u) > 0),
+WITH RECURSIVE d AS (SELECT doc_id, {units} AS u FROM {table}), y AS MATERIALIZED (SELECT doc_id, u, list_transform(u, lambda s: len(regexp_extract_all(s, '\\S+')) + {_PUNCT.format("s")}) AS n FROM d WHERE len(u) > 0),
 c AS MATERIALIZED (SELECT doc_id, u, n, list_transform(range(0, len(n) + 1), lambda i: coalesce(list_sum(n[1:i]), 0)::BIGINT) AS sums FROM y),
 back AS MATERIALIZED (SELECT doc_id, k, n[k] AS n, sums, (SELECT count(*) FROM range(greatest(1, k - {overlap}), k) AS q(j) WHERE sums[k] - sums[j] <= {overlap})::INT AS back
   FROM (SELECT doc_id, n, sums, unnest(range(1, len(n) + 1)) AS k FROM c)),

@@ -10,6 +10,7 @@ from loomtext.sources import io
 from loomtext.streaming import streams as S
 
 from .catalog import Catalog
+from .store_queries import _SENTENCES, _overlapping_sql
 
 C = Catalog()
 
@@ -45,7 +46,16 @@ def _(t):
     return io.json_paths(t("events"), "event_id", "props")
 
 
-@C.add("ingest_documents")
+_CHUNKED = _overlapping_sql(_SENTENCES, " ", 128, 0, 1, 100, "fit")
+_INGESTED = _CHUNKED.replace("WITH RECURSIVE", "WITH RECURSIVE t AS (SELECT doc_id, trim(text, ' ') AS text FROM documents), fit AS (SELECT * FROM t WHERE strlen(text) BETWEEN 10 AND 1000000),", 1)
+
+
+@C.add("ingest_documents", f"""
+SELECT doc_id, chunk_no, tokens, round(coalesce(strlen(regexp_replace(text, '[ \\t\\n\\r]', '', 'g')) / nullif(strlen(text), 0), 0.0), 6) AS density,
+  CASE WHEN regexp_matches(text, 'function|class |import |```') THEN 'code' WHEN regexp_matches(text, 'https?://|www\\.') THEN 'web_content' WHEN contains(text, '@') AND contains(text, '.') THEN 'contact_info' ELSE 'text' END AS content_type, NULL AS error
+FROM ({_INGESTED})
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, 'length out of bounds' FROM documents WHERE NOT coalesce(strlen(trim(text, ' ')) BETWEEN 10 AND 1000000, false)
+""")
 def _(t):
     return io.ingest_documents(t("documents"), size=128).select("doc_id", "chunk_no", "tokens", *r("density"), "content_type", "error")
 

@@ -113,7 +113,14 @@ def _(t):
     return D.outline(t("documents"))
 
 
-@C.add("content_blocks")
+_BLOCK = D.BLOCK_PATTERN
+_BLOCKS_OF = lambda table, id_, text: f"""
+e AS (SELECT {id_} AS doc_id, unnest(string_split(regexp_replace({text}, '({_BLOCK})', chr(30) || '\\1' || chr(30), 'g'), chr(30))) AS x, generate_subscripts(string_split(regexp_replace({text}, '({_BLOCK})', chr(30) || '\\1' || chr(30), 'g'), chr(30)), 1) AS k FROM {table}),
+blocks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS block_no, CASE WHEN starts_with(x, '```') THEN 'code' WHEN starts_with(x, '|') THEN 'table' WHEN starts_with(x, '![') THEN 'image' WHEN regexp_matches(x, '^<(table|div|section)') THEN 'html' ELSE 'text' END AS kind, trim(x, ' ') AS text
+  FROM e WHERE trim(x, ' ') <> '')"""
+
+
+@C.add("content_blocks", f"WITH {_BLOCKS_OF('documents', 'doc_id', 'text')} SELECT doc_id, block_no, kind, text FROM blocks")
 def _(t):
     return D.content_blocks(t("documents"))
 
@@ -123,7 +130,7 @@ def _(t):
     return D.chunk_multimodal(t("documents"), 64)
 
 
-@C.add("neighbour_types")
+@C.add("neighbour_types", f"WITH {_BLOCKS_OF('pages', 'page_id', 'html')} SELECT doc_id, block_no, count(*) OVER w AS total, lag(kind) OVER o AS preceded_by, lead(kind) OVER o AS followed_by FROM blocks WINDOW w AS (PARTITION BY doc_id), o AS (PARTITION BY doc_id ORDER BY block_no)")
 def _(t):
     return D.neighbour_types(D.content_blocks(t("pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))))
 
@@ -136,9 +143,12 @@ def _(t):
     return p.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"), (F.max("tokens") <= 64).alias("within"))
 
 
-@C.add("chunk_hierarchy")
+_LEVELS = " UNION ALL ".join(f"SELECT doc_id, {k}, (n - 1) // {5**k} + 1, min(n), max(n) FROM c GROUP BY doc_id, (n - 1) // {5**k} HAVING count(DISTINCT (n - 1) // {5 ** (k - 1)}) > 1" for k in (1, 2, 3))
+
+
+@C.add("chunk_hierarchy", f"WITH c AS (SELECT doc_id, chunk_no::BIGINT AS n FROM {_CHUNKS}) SELECT doc_id, 0 AS level, n AS node_no, n AS first, n AS last FROM c UNION ALL {_LEVELS} UNION ALL SELECT doc_id, 4, 1, min(n), max(n) FROM c GROUP BY doc_id")
 def _(t):
-    return D.hierarchy(K.chunk_sentence(t("documents"), 64)).select("doc_id", "level", "node_no", "first", "last")
+    return D.hierarchy(K.chunk_sentence(t("documents"), 64, max_sentences=10_000)).select("doc_id", "level", "node_no", "first", "last")
 
 
 @C.add("position_context", f"""
