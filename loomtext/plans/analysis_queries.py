@@ -8,7 +8,9 @@ from loomtext.functions import text as T
 from loomtext.operators import analyze as A
 from loomtext.operators import pairs as P
 
-from .catalog import SQL_N_WORDS, Catalog, sql_words
+from loomtext.plans.shared import Scratch
+
+from .catalog import SQL_MARKS, SQL_N_WORDS, Catalog, sql_words
 from .text_queries import _QUALITY, _THEME_SQL, _quoted
 
 C = Catalog()
@@ -75,21 +77,35 @@ def _(t):
 
 def _groups(t):
     pairs = P.token_jaccard_pairs(memories(t), 0.3)
+    pairs = Scratch(pairs.sparkSession, "pairs").keep(pairs)  # read by the groups and by their summaries
     return P.duplicate_groups(memories(t), pairs), pairs
 
 
-@C.add("duplicate_groups")
+_GROUPS = f"""
+{_JACCARD}, close AS MATERIALIZED (SELECT a, b, score FROM jac WHERE score > 0.3),
+lower_ones AS (SELECT d.doc_id AS id, coalesce(list(c.a) FILTER (c.a IS NOT NULL), []) AS lows FROM documents d LEFT JOIN close c ON c.b = d.doc_id GROUP BY d.doc_id),
+numbered AS MATERIALIZED (SELECT id, lows, row_number() OVER (ORDER BY id) AS k FROM lower_ones WHERE len(lows) > 0 OR id IN (SELECT a FROM close)),
+run(k, id, leader, leaders) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] UNION ALL
+  SELECT n.k, n.id, coalesce(list_min(list_intersect(n.lows, r.leaders)), n.id), CASE WHEN len(list_intersect(n.lows, r.leaders)) = 0 THEN list_append(r.leaders, n.id) ELSE r.leaders END FROM run r JOIN numbered n ON n.k = r.k + 1),
+led AS (SELECT d.doc_id AS id, coalesce(r.leader, d.doc_id) AS leader FROM documents d LEFT JOIN run r ON r.id = d.doc_id)"""
+
+
+@C.add("duplicate_groups", f"WITH RECURSIVE {_GROUPS} SELECT id, leader FROM led")
 def _(t):
     return _groups(t)[0]
 
 
-@C.add("duplicate_group_summary")
+@C.add("duplicate_group_summary", f"WITH RECURSIVE {_GROUPS} SELECT leader, count(*) + 1 AS members, round(min(score), 6) AS similarity FROM led JOIN close ON a = leader AND b = id WHERE id <> leader GROUP BY leader")
 def _(t):
     groups, pairs = _groups(t)
     return P.group_summary(groups, pairs).select("leader", "members", *r("similarity"))
 
 
-@C.add("cluster_themes")
+@C.add("cluster_themes", f"""
+WITH RECURSIVE {_GROUPS}, t AS (SELECT leader, coalesce({_THEME_SQL}[1], 'general') AS theme, strlen(text) AS n, CASE WHEN strlen(text) = 0 THEN 0.0 ELSE least({SQL_N_WORDS} / {SQL_MARKS} / 20, 1.0) END AS c FROM led JOIN documents ON doc_id = id),
+g AS (SELECT leader, theme, count(*) AS k, sum(n) AS n, sum(c) AS c FROM t GROUP BY ALL)
+SELECT leader, sum(k)::BIGINT AS members, first(theme ORDER BY k DESC, theme DESC) AS theme, round(sum(n) / sum(k), 6) AS avg_length, round(sum(c) / sum(k), 6) AS avg_complexity FROM g GROUP BY leader HAVING sum(k) > 1
+""")
 def _(t):
     groups, _ = _groups(t)
     first = F.coalesce(F.try_element_at(T.themes(F.col("text")), F.lit(1)), F.lit("general"))
