@@ -38,17 +38,17 @@ def write_memories(df: DataFrame, path: str, kind: str = "json", edges: DataFram
 CUBE_TABLES = ("textual", "activation", "parametric")
 
 
-def write_cube(path: str, config: dict[str, str], **memories: DataFrame) -> None:
-    """One folder per memory table (textual, activation, parametric), partitioned by cube, and the configuration."""
-    for name, df in memories.items():
+def write_cube(memories: DataFrame, path: str, config: dict[str, str] | None = None, **more: DataFrame) -> None:
+    """One folder per memory table (textual, and activation or parametric if given), partitioned by cube, and the configuration."""
+    for name, df in {"textual": memories, **more}.items():
         if name not in CUBE_TABLES:
             raise ValueError(f"unknown memory table: {name}")
         df.write.mode("overwrite").partitionBy("cube_id").parquet(f"{path}/{name}")
-        spark = df.sparkSession
-    spark.createDataFrame(sorted(config.items()), "key string, value string").write.mode("overwrite").json(f"{path}/config")
+    rows = memories.sparkSession.createDataFrame(sorted((config or {}).items()), "key string, value string")
+    rows.write.mode("overwrite").json(f"{path}/config")
 
 
-def read_cube(spark: SparkSession, path: str, table: str = "textual", cube_id: str | None = None) -> DataFrame:
+def read_cube(spark: SparkSession, path: str, cube_id: str | None = None, table: str = "textual") -> DataFrame:
     df = spark.read.parquet(f"{path}/{table}")
     return df.filter(F.col("cube_id") == cube_id) if cube_id is not None else df
 

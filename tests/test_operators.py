@@ -134,7 +134,8 @@ def test_packing_equals_a_loop(spark):
     for _ in range(5):
         sizes = [rng.randint(0, 9) for _ in range(rng.randint(0, 30))]
         df = spark.createDataFrame([(sizes,)], "s array<int>")
-        assert df.select(K.pack(F.col("s"), 12).alias("x")).first()["x"] == _greedy(sizes, 12)
+        got = df.select(K.pack(F.col("s"), 12).alias("x")).first()["x"]
+        assert [r["open"] for r in got] == _greedy(sizes, 12) and not any(r["back"] for r in got)
 
 
 def test_chunkers_keep_every_word(spark):

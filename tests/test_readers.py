@@ -138,7 +138,7 @@ def test_files(spark, tmp_path):
     io.export_graph_json(v, e, str(tmp_path / "some"), 3)
     assert spark.read.json(str(tmp_path / "all" / "nodes")).count() == 5 and spark.read.json(str(tmp_path / "some" / "relations")).count() == 1
     m = spark.createDataFrame([("c1", 1), ("c2", 2)], "cube_id string, id long")
-    io.write_cube(str(tmp_path / "cube"), {"name": "x"}, textual=m, activation=m.limit(1))
+    io.write_cube(m, str(tmp_path / "cube"), {"name": "x"}, activation=m.limit(1))
     assert io.read_cube(spark, str(tmp_path / "cube"), cube_id="c2").count() == 1 and io.read_cube_config(spark, str(tmp_path / "cube")) == {"name": "x"}
     io.write_memories(m, str(tmp_path / "tree"), edges=e)
     assert spark.read.json(str(tmp_path / "tree" / "header")).first()["edges"] == 2
@@ -154,3 +154,15 @@ def test_evidence_and_fallback(spark):
     queries = spark.createDataFrame([(7, "alpha", None), (8, "alpha", [0.0, 1.0])], "query_id long, text string, vector array<double>")
     got = {(r["query_id"], r["id"]) for r in S.semantic_search(queries, vectors, 1, memories=memories).collect()}
     assert got == {(7, 1), (8, 2)}
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_recall_of_the_registered_lsh_join(spark):
+    """The registered query on the table against all pairs: at least 0.9 of them, and none else."""
+    from loomtext.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    want = {(r["a"], r["b"]) for r in P.cosine_pairs(v, 0.35).collect()}
+    got = {(r["a"], r["b"]) for r in registry.QUERIES["pairs_cosine_lsh"](spark, sf).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) > 0
