@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from loomtext.plans.components import connected_components
 
 from . import kernel as K
-from .stage import Scratch, bounded
+from .stage import Scratch, bounded, small_batches
 
 SHINGLE = 5
 PERMUTATIONS, ROWS = 80, 4
@@ -218,6 +218,7 @@ def _by_blocks(members: DataFrame, texts: DataFrame, n: int, percent: int) -> Da
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, n: int = SHINGLE) -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "near-dedup")
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketch = scratch.keep(source.mapInArrow(partial(_sketch, n=n), "id long, n long, d1 long, d2 long, bands array<long>"))

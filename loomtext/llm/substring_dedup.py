@@ -54,7 +54,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .stage import Scratch
+from .stage import Scratch, small_batches
 
 WINDOW, ANCHOR = 20, 8
 #: Blocks, and windows at boundaries, are compared within runs of this many before they are shuffled.
@@ -255,6 +255,7 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _parse(source: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
     """(factors, blocks at factor boundaries): places, the factors' with where they copy from."""
+    small_batches(source.sparkSession)
     parse = {"window": window, "anchor": anchor}
     heads = source.mapInArrow(partial(_heads, **parse), f"{_PLACES}, key long, block long, settled boolean").repartition("key")
     equal = Window.partitionBy("key", "block").orderBy("id", "tie", "start")

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .stage import Scratch, new_folder
+from .stage import Scratch, new_folder, small_batches
 
 # Of the public zstandard seekable format.
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -326,6 +326,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _written(rows: DataFrame, folder: str, tokenizer: str, end_id: int, width: int) -> DataFrame:
+    small_batches(rows.sparkSession)
     return Scratch(rows.sparkSession, "manifest").keep(rows.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, width=width), MANIFEST))
 
 
