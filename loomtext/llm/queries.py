@@ -1,10 +1,11 @@
-"""The registered queries of the ten operators, and their SQL where there is one."""
+"""The registered queries of the thirteen operators, and their SQL where there is one."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, token_files, url_filter
+from . import decontaminate, license_scan, line_dedup, merkle, mixing, near_dedup, quality_rules, ranked_search, secret_scan, substring_dedup, token_files, url_filter, winnowing
 from .stage import tables
 
 
@@ -65,6 +66,23 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(docs)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 2 divides the checksum of the id, the text loses its line ends before its leaf is folded."""
+    (docs,) = tables(spark, sf_dir, "documents")
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    return merkle.merkle_manifest(docs, F.when(tampered, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text")))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = tables(spark, sf_dir, "documents", "benchmark")
+    return ranked_search.search(docs, items)
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (docs,) = tables(spark, sf_dir, "documents")
+    return winnowing.compare_edits(docs)
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -76,6 +94,9 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_license_scan": op9_license_scan,
     "op10_secret_scan": op10_secret_scan,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -241,7 +262,74 @@ failing AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS bas
 SELECT *, NOT base_failed AND failed_chars <= {quality_rules.MAX_LOST} * word_chars AS kept FROM failing
 """
 
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}")) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """The nodes of trees of runs of three: {name}(tree, level, i, h) from a query of (tree, i, h), and {name}_top(tree, h)."""
+    return f"""{name}(tree, level, i, h, n) AS (
+  SELECT tree, 0, i, h, count(*) OVER (PARTITION BY tree) FROM ({leaves})
+  UNION ALL
+  SELECT tree, level + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM {name} WHERE n > 1 GROUP BY tree, level, i // 3),
+{name}_runs AS MATERIALIZED (SELECT tree, level, i // 3 AS run, list(h ORDER BY i) AS hs FROM {name} WHERE n > 1 GROUP BY ALL),
+{name}_top AS MATERIALIZED (SELECT tree, h FROM {name} WHERE n = 1)"""
+
+
+def _proof_sql(name: str, starts: str) -> str:
+    """{name}_proof(rid, proof, top): the ways of a query of (rid, tree, i, h) to the tops, h folded with the siblings."""
+    return f"""{name}_way(rid, tree, level, i, h, proof) AS (
+  SELECT rid, tree, 0, i, h, '' FROM ({starts})
+  UNION ALL
+  SELECT rid, tree, level + 1, i // 3,
+         sha256(array_to_string(list_transform(hs, lambda x, k: CASE WHEN k = i % 3 + 1 THEN h ELSE x END), '')),
+         proof || array_to_string(list_filter(hs, lambda x, k: k <> i % 3 + 1), '')
+  FROM {name}_way JOIN {name}_runs USING (tree, level) WHERE run = i // 3),
+{name}_proof AS MATERIALIZED (SELECT rid, arg_max(proof, level) AS proof, arg_max(h, level) AS top FROM {name}_way GROUP BY rid)"""
+
+
+_OP11_SQL = f"""
+WITH RECURSIVE crc_bits(i, k, c) AS (
+  SELECT range, 0, range FROM range(256)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM crc_bits WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS t FROM crc_bits WHERE k = 8),
+docs AS (SELECT *, row_number() OVER () AS rid FROM documents),
+altered AS (
+  SELECT rid, doc_id, coalesce(source, '') AS name, source IS NOT NULL AS named, {_LEAF.format("text")} AS leaf,
+         CASE WHEN coalesce(list_reduce([4294967295::BIGINT] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda k: ascii(substr(doc_id::VARCHAR, k::INT, 1))::BIGINT),
+                   lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])) & 1 = 1, false)
+           THEN {_LEAF.format("replace(text, chr(10), '')")} ELSE {_LEAF.format("text")} END AS changed
+  FROM docs, crc_table),
+placed AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY named, name) - 1 AS tree,
+         row_number() OVER (PARTITION BY named, name ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS i FROM altered),
+{_tree_sql("nodes", "SELECT tree, i, leaf AS h FROM placed")},
+{_tree_sql("upper", "SELECT 0 AS tree, tree AS i, h FROM nodes_top")},
+{_proof_sql("own", "SELECT rid, tree, i, leaf AS h FROM placed")},
+{_proof_sql("new", "SELECT rid, tree, i, changed AS h FROM placed").replace("new_runs", "nodes_runs")},
+{_proof_sql("above", "SELECT rid, 0 AS tree, tree AS i, h FROM placed JOIN nodes_top USING (tree)")},
+{_proof_sql("last", "SELECT p.rid, 0 AS tree, tree AS i, n.top AS h FROM placed p JOIN new_proof n USING (rid)")}
+SELECT p.doc_id, p.leaf, s.h AS subroot, r.h AS root, sha256(o.proof || a.proof) AS proof_sha256, l.top AS folded_root, l.top = r.h AS verified
+FROM placed p JOIN nodes_top s USING (tree) CROSS JOIN upper_top r JOIN own_proof o USING (rid) JOIN above_proof a USING (rid) JOIN last_proof l USING (rid)
+""".replace("own_runs", "nodes_runs").replace("above_runs", "upper_runs").replace("last_runs", "upper_runs")
+
+_OP12_SQL = rf"""
+WITH docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS rid FROM documents),
+items AS (SELECT item_id, list_distinct(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w, row_number() OVER () AS item FROM benchmark),
+total AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM docs WHERE len(w) > 0),
+tf AS MATERIALIZED (SELECT rid, doc_id, any_value(n) AS n, term, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS n, unnest(w) AS term FROM docs) GROUP BY rid, doc_id, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, n_docs),
+scored AS (
+  SELECT item, item_id, rid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM (SELECT item, item_id, unnest(w) AS term FROM items) JOIN weights USING (term) JOIN tf USING (term), total GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS FIRST) AS INT) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= {ranked_search.K_BEST}
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_ranked_search": _OP12_SQL,
+    "op11_merkle_manifest": _OP11_SQL,
     "op8_quality_rules": _OP8_SQL,
     "op6_url_filter": _OP6_SQL,
     "op9_license_scan": _OP9_SQL,
