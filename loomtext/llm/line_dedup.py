@@ -250,7 +250,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rounds[-1].append(r["shard"])
         room -= r["bytes"]
     text = F.col(text_col)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tie"), text.alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     schema = "id long, n_lines long, n_dropped long, kept_sha256 string"
 
     def held(part: list[int]):
@@ -264,7 +264,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for part in rounds:
             # written before the next round's arrays are sent, so one round's are held at a time
             arrays_now = held(part)
-            found = scratch.keep(source.mapInArrow(partial(_marks, shards=arrays_now, **probe), "id long, tie int, places array<int>"))
+            found = scratch.keep(source.mapInArrow(partial(_marks, shards=arrays_now, **probe), "id long, tie long, places array<int>"))
             arrays_now.unpersist()
             marks = found if marks is None else marks.unionByName(found)
         # rows with equal ids are told apart by a hash of their text; equal rows lose the same lines

@@ -29,6 +29,10 @@ for a block, a window or an anchor: if an anchor has several blocks in a run
 (a line that very many texts go around), these are dealt by block, and one
 row tells the anchor's task that it has several.
 
+One map forms the runs and writes both what they settle and what they leave to
+the shuffle, so a run is never formed twice: another order of the rows in a
+second scan (input behind a shuffle, a stage done again) would form other runs.
+
 The result is exact up to collisions of 64-bit hashes.  Texts are shuffled
 once, by id, and read from that one exchange by both joins.
 
@@ -37,7 +41,7 @@ string); rows with a null id come before all others and keep a null id; each
 row is a document of its own: rows that repeat an id, or have none, aren't
 earlier than one another, so they don't remove each other's words, only
 their own repeats and those of smaller ids (rows with equal ids are told apart
-by a 32-bit hash of their text, so equal rows get equal results); an empty
+by a 64-bit hash of their text, so equal rows get equal results); an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -60,8 +64,8 @@ WINDOW, ANCHOR = 20, 8
 #: Blocks, and windows at boundaries, are compared within runs of this many before they are shuffled.
 RUN_BLOCKS = 1 << 20
 _NO_ID = np.iinfo(np.int64).min
-_PLACES = "id long, tie int, start int, n int"
-_REFERENCE = "ref_id long, ref_start int"
+_PLACES = "id long, tie long, start int, n int"
+_PARSED = f"{_PLACES}, key long, block long, settled boolean, ref_id long, ref_start int"
 
 
 def blocks(words: K.Words, window: int, anchor: int) -> tuple[np.ndarray, ...]:
@@ -130,48 +134,50 @@ def _ints(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.int32))
 
 
-def _heads(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _heads(ids, ties, start, n, anchors, block, run: Run) -> pa.Table:
     """The first of each kind of block of a run, each under the key that it is compared by."""
-    for ids, ties, start, n, anchors, block, run in _runs(batches, window, anchor):
-        a, b = anchors[run.order], block[run.order]
-        first = np.ones(len(a), bool)
-        first[1:] = a[1:] != a[:-1]
-        group, at = np.cumsum(first) - 1, np.flatnonzero(first)
-        several = (b[at] != b[np.append(at[1:], len(a)) - 1])[group]
-        settled = np.zeros(len(a), bool)
-        settled[run.order] = several
-        k = ~run.later
-        key = np.where(settled[k], K.mix(anchors[k] ^ K.mix(block[k])), anchors[k])
-        witness = a[first & several]  # tells that an anchor has several blocks
-        more = np.zeros(len(witness), np.int64)
-        table = pa.table(
-            [
-                pa.array(np.concatenate([ids[k], more])),
-                *(_ints(np.concatenate([x[k], more])) for x in (ties, start, n)),
-                K.long_array(np.concatenate([key, witness])),
-                K.long_array(np.concatenate([block[k], witness])),
-                pa.array(np.concatenate([settled[k], more == 0])),
-            ],
-            ["id", "tie", "start", "n", "key", "block", "settled"],
-        )
-        yield from table.to_batches(1 << 16)
+    a, b = anchors[run.order], block[run.order]
+    first = np.ones(len(a), bool)
+    first[1:] = a[1:] != a[:-1]
+    group, at = np.cumsum(first) - 1, np.flatnonzero(first)
+    several = (b[at] != b[np.append(at[1:], len(a)) - 1])[group]
+    settled = np.zeros(len(a), bool)
+    settled[run.order] = several
+    k = ~run.later
+    key = np.where(settled[k], K.mix(anchors[k] ^ K.mix(block[k])), anchors[k])
+    witness = a[first & several]  # tells that an anchor has several blocks
+    more = np.zeros(len(witness), np.int64)
+    return pa.table(
+        [
+            *(pa.array(np.concatenate([x[k], more])) for x in (ids, ties)),
+            *(_ints(np.concatenate([x[k], more])) for x in (start, n)),
+            K.long_array(np.concatenate([key, witness])),
+            K.long_array(np.concatenate([block[k], witness])),
+            pa.array(np.concatenate([settled[k], more == 0])),
+        ],
+        ["id", "tie", "start", "n", "key", "block", "settled"],
+    )
+
+
+def _local_factors(ids, ties, start, n, run: Run) -> pa.Table:
+    """Blocks with an earlier equal in their run, joined while the next one follows in the reference as well."""
+    k = np.flatnonzero(run.later)
+    k = k[np.lexsort((start[k], ties[k], ids[k]))]
+    ref = run.ref[k]
+    i, t, s, m, ri, rt, rs = ids[k], ties[k], start[k], n[k], ids[ref], ties[ref], start[ref]
+    new = np.ones(len(k), bool)
+    new[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + m[:-1])
+    new[1:] |= (ri[1:] != ri[:-1]) | (rt[1:] != rt[:-1]) | (rs[1:] != rs[:-1] + m[:-1])
+    first = np.flatnonzero(new)
+    sums = np.add.reduceat(m, first) if len(first) else m
+    return pa.table([pa.array(i[first]), pa.array(t[first]), _ints(s[first]), _ints(sums), pa.array(ri[first]), _ints(rs[first])], ["id", "tie", "start", "n", "ref_id", "ref_start"])
 
 
-def _local_factors(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
-    """Blocks with an earlier equal in their run, joined while the next one follows in the reference as well."""
-    for ids, ties, start, n, _, _, run in _runs(batches, window, anchor):
-        k = np.flatnonzero(run.later)
-        k = k[np.lexsort((start[k], ties[k], ids[k]))]
-        ref = run.ref[k]
-        columns = ids[k], ties[k], start[k], n[k], ids[ref], ties[ref], start[ref]
-        i, t, s, m, ri, rt, rs = columns
-        new = np.ones(len(k), bool)
-        new[1:] = (i[1:] != i[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + m[:-1])
-        new[1:] |= (ri[1:] != ri[:-1]) | (rt[1:] != rt[:-1]) | (rs[1:] != rs[:-1] + m[:-1])
-        first = np.flatnonzero(new)
-        if len(first):
-            table = pa.table([pa.array(i[first]), _ints(t[first]), _ints(s[first]), _ints(np.add.reduceat(m, first)), pa.array(ri[first]), _ints(rs[first])], ["id", "tie", "start", "n", "ref_id", "ref_start"])
-            yield from table.to_batches(1 << 16)
+def _parse_runs(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    """Of each run: the blocks to be compared with other runs' (ref_id null), and the factors found in it (key null)."""
+    for ids, ties, start, n, anchors, block, run in _runs(batches, window, anchor):
+        parts = [_heads(ids, ties, start, n, anchors, block, run), _local_factors(ids, ties, start, n, run)]
+        yield from pa.concat_tables(parts, promote_options="default").to_batches(1 << 16)
 
 
 def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -191,8 +197,8 @@ def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterato
     def run(parts: list) -> Iterator[pa.RecordBatch]:
         ids, ties, start, hashes = (np.concatenate(x) for x in zip(*parts))
         later = Run(ids, ties, start, hashes).later
-        hashes[later] = K.mix(hashes[later] ^ K.mix(ids[later].view(np.uint64) ^ K.mix(ties[later].astype(np.uint64) << K.U64(32) ^ start[later].astype(np.uint64))))
-        table = pa.table([K.long_array(hashes), pa.array(ids), _ints(ties), _ints(start), pa.array(later)], ["hash", "id", "tie", "start", "later"])
+        hashes[later] = K.mix(hashes[later] ^ K.mix(ids[later].view(np.uint64) ^ K.mix(ties[later].view(np.uint64) ^ K.mix(start[later].astype(np.uint64)))))
+        table = pa.table([K.long_array(hashes), pa.array(ids), pa.array(ties), _ints(start), pa.array(later)], ["hash", "id", "tie", "start", "later"])
         yield from table.to_batches(1 << 16)
 
     parts, held = [], 0
@@ -250,22 +256,23 @@ def _remove(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) ->
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID))).alias("id"), F.hash(text).alias("tie"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(_NO_ID))).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
 def _parse(source: DataFrame, window: int, anchor: int) -> tuple[DataFrame, DataFrame]:
     """(factors, blocks at factor boundaries): places, the factors' with where they copy from."""
     small_batches(source.sparkSession)
-    parse = {"window": window, "anchor": anchor}
-    heads = source.mapInArrow(partial(_heads, **parse), f"{_PLACES}, key long, block long, settled boolean").repartition("key")
+    scratch = Scratch(source.sparkSession, "substring-dedup")
+    parsed = scratch.keep(source.mapInArrow(partial(_parse_runs, window=window, anchor=anchor), _PARSED))
+    heads = parsed.filter("key is not null").select("id", "tie", "start", "n", "key", "block", "settled").repartition("key")
     equal = Window.partitionBy("key", "block").orderBy("id", "tie", "start")
     alike = Window.partitionBy("key")
     judged = heads.select("*", F.first(F.struct("id", "start")).over(equal).alias("ref"))
     judged = judged.select("*", (F.max("settled").over(alike) | (F.min("block").over(alike) != F.max("block").over(alike))).alias("several"))
     later = F.col("id") > F.col("ref.id")
     marks = judged.filter("n > 0").withColumn("later", later).filter("later or several")
-    marks = Scratch(source.sparkSession, "substring-dedup").keep(marks.select("id", "tie", "start", "n", "later", F.col("ref.id").alias("ref_id"), F.col("ref.start").alias("ref_start")))
-    local = source.mapInArrow(partial(_local_factors, **parse), f"{_PLACES}, {_REFERENCE}")
+    marks = scratch.keep(marks.select("id", "tie", "start", "n", "later", F.col("ref.id").alias("ref_id"), F.col("ref.start").alias("ref_start")))
+    local = parsed.filter("ref_id is not null").select("id", "tie", "start", "n", "ref_id", "ref_start")
     return local.unionByName(marks.filter("later").drop("later")), marks.filter("not later").select("id", "tie", "start", "n")
 
 
@@ -284,7 +291,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     place = F.struct("start", "n")
     texts = source.repartition("id", "tie")
     boundary = boundary.groupBy("id", "tie").agg(F.collect_list(place).alias("blocks"))
-    windows = texts.join(boundary.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "blocks").mapInArrow(partial(_boundary_windows, window=window), "hash long, id long, tie int, start int, later boolean")
+    windows = texts.join(boundary.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "blocks").mapInArrow(partial(_boundary_windows, window=window), "hash long, id long, tie long, start int, later boolean")
     repeats = windows.withColumn("id_0", F.min("id").over(Window.partitionBy("hash"))).filter("later or id > id_0").select("id", "tie", "start", F.lit(1).alias("n"))
     spans = found.select("id", "tie", "start", "n").unionByName(repeats).groupBy("id", "tie").agg(F.collect_list(place).alias("spans"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
