@@ -15,10 +15,14 @@ Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the text with A-Z lower-c
    the template's words and it is not much longer than the template.  Gram
    hashes have 64 bits, so a matched gram means three equal words.
 
+A row is a document of its own, known by hashes of its id and text, so rows that
+repeat an id, or have none, don't share votes; rows that are equal in both have
+equal spans.
+
 Edge cases: null or empty text has no words, no labels (empty strings) and
-score 0; rows with a null id get base labels only; rows that repeat an id share
-their template labels; an empty table gives an empty result; other columns are
-ignored.
+score 0; null and repeated ids are labelled as all others; several templates of
+one label give it once, the best cover is the score; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -109,42 +113,51 @@ def in_order(votes: Column) -> Column:
     return F.aggregate(votes, start, step)["n"]
 
 
+def row_key(id_: Column, text: Column) -> Column:
+    """What tells rows apart: 96 bits of hashes and the length."""
+    return F.struct(F.xxhash64(id_, text).alias("a"), F.hash(text).alias("b"), F.coalesce(F.octet_length(text), F.lit(-1)).alias("n"))
+
+
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, template, label, first_place, last_place, cover) of every verified span."""
-    words = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    grams = words.select("id", grams_of(F.col("words")).alias("grams"))  # a column of its own, else each lambda splits the text anew
+    """(id, key, template, label, first_place, last_place, cover) of every verified span; key tells rows of one id apart."""
+    id_, text = F.col(id_col), F.col(text_col)
+    words = docs.select(id_.alias("id"), row_key(id_, text).alias("key"), words_of(text).alias("words"))
+    grams = words.select("id", "key", grams_of(F.col("words")).alias("grams"))  # a column of its own, else each lambda splits the text anew
     # the outer form: for the other one the planner would add a filter on the grams' size and push it below the split
-    places = grams.select("id", F.posexplode_outer("grams").alias("at", "gram"))
+    places = grams.select("id", "key", F.posexplode_outer("grams").alias("at", "gram"))
     votes = places.join(F.broadcast(template_grams(docs.sparkSession)), "gram")
-    diagonals = votes.withColumn("diagonal", F.col("at") - F.col("place")).groupBy("id", "template", "label", "length", "diagonal")
-    diagonals = diagonals.agg(F.collect_list(F.struct("at", "place")).alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    order = Window.partitionBy("id", "template").orderBy("diagonal")
+    span = ["id", "key", "template", "label", "length"]
+    # sets: equal rows give equal votes
+    diagonals = votes.withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*span, "diagonal")
+    diagonals = diagonals.agg(F.collect_set(F.struct("at", "place")).alias("votes"), F.min("at").alias("lo"), F.max("at").alias("hi"))
+    order = Window.partitionBy("id", "key", "template").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > NEAR, F.lit(True)).cast("int")
     merged = diagonals.withColumn("apart", apart).withColumn("span", F.sum("apart").over(order))
-    merged = merged.groupBy("id", "template", "label", "length", "span").agg(F.array_sort(F.flatten(F.collect_list("votes"))).alias("votes"), F.min("lo").alias("first_place"), (F.max("hi") + GRAM - 1).alias("last_place"))
+    merged = merged.groupBy(*span, "span").agg(F.array_sort(F.flatten(F.collect_list("votes"))).alias("votes"), F.min("lo").alias("first_place"), (F.max("hi") + GRAM - 1).alias("last_place"))
     merged = merged.select("*", F.explode_outer(F.array(in_order(F.col("votes")))).alias("covered")).withColumn("cover", F.col("covered") / F.col("length"))
-    return merged.filter((F.col("cover") >= LEAST_COVER) & (F.col("last_place") - F.col("first_place") + 1 <= LONGEST * F.col("length"))).select("id", "template", "label", "first_place", "last_place", "cover")
+    return merged.filter((F.col("cover") >= LEAST_COVER) & (F.col("last_place") - F.col("first_place") + 1 <= LONGEST * F.col("length"))).select("id", "key", "template", "label", "first_place", "last_place", "cover")
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     text = F.col(text_col)
     words = words_of(text)
-    base = docs.select(F.col(id_col).alias("id"), text.alias("text"), words.alias("words"))
+    base = docs.select(F.col(id_col).alias("id"), row_key(F.col(id_col), text).alias("key"), text.alias("text"), words.alias("words"))
     asked = F.contains(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), F.lit("license"))
     found = [F.when(asked & (F.size("words") > 0), _places(F.col("words"), phrase)).otherwise(F.array().cast("array<int>")) for phrase, _ in PHRASES]
-    base = base.select("id", F.size("words").cast("long").alias("n_words"), *[f.alias(f"at{k}") for k, f in enumerate(found)])
+    base = base.select("id", "key", F.size("words").cast("long").alias("n_words"), *[f.alias(f"at{k}") for k, f in enumerate(found)])
     names = [F.when(F.size(f"at{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)]
     places = F.concat(*[F.col(f"at{k}") for k in range(len(PHRASES))])
     base = base.select(
         "id",
+        "key",
         "n_words",
         F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"),
         F.array_max(places).cast("long").alias("last_word"),
         F.array_sort(F.array_compact(F.array(*names))).alias("own"),
     )
-    by_template = spans(docs, id_col, text_col).groupBy("id").agg(F.collect_set("label").alias("more"), F.max("cover").alias("score"))
-    out = base.join(by_template, "id", "left")
+    by_template = spans(docs, id_col, text_col).groupBy("key").agg(F.collect_set("label").alias("more"), F.max("cover").alias("score"))
+    out = base.join(by_template, "key", "left")
     every = F.array_sort(F.array_union("own", F.coalesce("more", F.array().cast("array<string>"))))
     return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join("own", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -163,39 +163,39 @@ FROM words LEFT JOIN summed USING (rid)
 _TEMPLATE_ROWS = ", ".join(f"({k}, '{label}', '{text}')" for k, (label, text) in enumerate(license_scan.TEMPLATES))
 _OP9_SQL = rf"""
 WITH words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 each AS (
-  SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c
-  FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM words)),
+  SELECT rid, i, w[i + 1] AS a, w[i + 2] AS b, w[i + 3] AS c
+  FROM (SELECT rid, w, unnest(range(0, len(w))) AS i FROM words)),
 base AS (
-  SELECT doc_id, i, CASE WHEN a = 'mit' THEN 'mit' WHEN a = 'apache' THEN 'apache' ELSE 'gpl' END AS label FROM each
+  SELECT rid, i, CASE WHEN a = 'mit' THEN 'mit' WHEN a = 'apache' THEN 'apache' ELSE 'gpl' END AS label FROM each
   WHERE (a IN ('mit', 'apache') AND b = 'license') OR (a = 'general' AND b = 'public' AND c = 'license')),
 templates AS (SELECT t.*, string_split(text, ' ') AS tw FROM (VALUES {_TEMPLATE_ROWS}) AS t(template, label, text)),
 grams AS (
   SELECT template, label, len(tw) AS length, j, tw[j + 1] AS a, tw[j + 2] AS b, tw[j + 3] AS c
   FROM (SELECT *, unnest(range(0, len(tw) - 2)) AS j FROM templates)),
 diagonals AS (
-  SELECT doc_id, template, label, length, i - j AS d, list([i, j]) AS votes, min(i) AS lo, max(i) AS hi
+  SELECT rid, template, label, length, i - j AS d, list([i, j]) AS votes, min(i) AS lo, max(i) AS hi
   FROM each JOIN grams USING (a, b, c) GROUP BY ALL),
 marked AS (
-  SELECT *, coalesce(d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) > 2, true)::INT AS apart FROM diagonals),
-numbered AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY d) AS span FROM marked),
+  SELECT *, coalesce(d - lag(d) OVER (PARTITION BY rid, template ORDER BY d) > 2, true)::INT AS apart FROM diagonals),
+numbered AS (SELECT *, sum(apart) OVER (PARTITION BY rid, template ORDER BY d) AS span FROM marked),
 merged AS (
-  SELECT doc_id, template, label, length, span, min(lo) AS lo, max(hi) + 2 AS hi,
+  SELECT rid, template, label, length, span, min(lo) AS lo, max(hi) + 2 AS hi,
          list_reduce(list_transform(list_sort(flatten(list(votes))), lambda v: [v[2], 3]), lambda a, b: CASE WHEN b[1] > a[1] THEN [b[1], a[2] + least(3, b[1] - a[1])] ELSE a END)[2] AS covered
-  FROM numbered GROUP BY doc_id, template, label, length, span),
+  FROM numbered GROUP BY rid, template, label, length, span),
 good AS (
-  SELECT doc_id, label, covered / length AS cover FROM merged
+  SELECT rid, label, covered / length AS cover FROM merged
   WHERE covered / length >= 0.7 AND hi - lo + 1 <= 1.5 * length),
-scored AS (SELECT doc_id, max(cover) AS score FROM good GROUP BY doc_id),
-labelled AS (SELECT doc_id, label FROM base UNION SELECT doc_id, label FROM good),
-named AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM labelled GROUP BY doc_id),
+scored AS (SELECT rid, max(cover) AS score FROM good GROUP BY rid),
+labelled AS (SELECT rid, label FROM base UNION SELECT rid, label FROM good),
+named AS (SELECT rid, string_agg(label, ',' ORDER BY label) AS labels FROM labelled GROUP BY rid),
 summed AS (
-  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
-         array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM base GROUP BY doc_id)
+  SELECT rid, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         array_to_string(list_sort(list_distinct(list(label))), ',') AS base_labels FROM base GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
-FROM words LEFT JOIN summed USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN scored USING (doc_id)
+FROM words LEFT JOIN summed USING (rid) LEFT JOIN named USING (rid) LEFT JOIN scored USING (rid)
 """
 
 _RULE_ROWS = ", ".join(f"('{host}', '{path}', '{what}')" for host, path, what in url_filter.RULES)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomtext.llm import license_scan as L
 from loomtext.llm import secret_scan as S
 
-from .helpers import crowded, documents, frame, lower, words_text
+from .helpers import crowded, documents, frame, lower, plain, words_text
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -36,7 +36,7 @@ def test_base_labels_and_templates(spark):
     assert got[1001]["labels"] == "mit" and got[1001]["base_labels"] == "" and got[1001]["score"] == 1.0
     assert got[1002]["labels"] == "mit" and got[1003]["labels"] == "" and got[1003]["score"] == 0.0
     assert got[1004]["labels"] == "all-rights-reserved"
-    assert got[None]["labels"] == "apache"
+    assert got[None]["labels"] == "apache" and got[None]["score"] == 0.0
     assert all(0 <= r["score"] <= 1 and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) for r in got.values())
     assert L.scan_licenses(frame(spark, [])).count() == 0
 
@@ -51,6 +51,52 @@ def test_order_of_the_words_counts(spark):
     assert got == {1: "bsd-3-clause", 2: "", 3: "", 4: "bsd-3-clause", 5: "bsd-3-clause"}
 
 
+def plain_labels(text):
+    """Labels and best cover by a plain loop over templates, places and diagonals."""
+    w = WORD.findall(lower(text or ""))
+    labels, best = {label for phrase, label in L.PHRASES for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()}, 0.0
+    for label, template in L.TEMPLATES:
+        t = template.split(" ")
+        votes = [(i, j) for i in range(len(w) - 2) for j in range(len(t) - 2) if w[i : i + 3] == t[j : j + 3]]
+        spans, last = [], None
+        for i, j in sorted(votes, key=lambda v: v[0] - v[1]):
+            if last is None or i - j - last > L.NEAR:
+                spans.append([])
+            spans[-1].append((i, j))
+            last = i - j
+        for span in spans:
+            covered, end = 0, -3
+            for _, j in sorted(span):
+                if j > end:
+                    covered, end = covered + min(j - end, 3), j
+            places = [i for i, _ in span]
+            if covered / len(t) >= L.LEAST_COVER and max(places) + 2 - min(places) + 1 <= L.LONGEST * len(t):
+                labels.add(label)
+                best = max(best, covered / len(t))
+    return ",".join(sorted(labels)), best
+
+
+def test_labels_of_null_and_repeated_ids(spark):
+    """A row is labelled by its own text, whatever its id."""
+    import duckdb
+    import pandas as pd
+
+    from loomtext.llm import queries as Q
+
+    free = next(t for label, t in L.TEMPLATES if label == "unlicense")
+    half = len(free.split(" ")) // 2
+    first, second = " ".join(free.split(" ")[:half]), " ".join(free.split(" ")[half:])
+    isc = next(t for label, t in L.TEMPLATES if label == "isc")
+    texts = [free, f"so {free} ends", first, second, "clean words only", isc, isc, f"{isc}. {free}", "", None, " ".join([free] * 5)]
+    rows = [(i, t, "en", "s", 0) for i in (None, 7) for t in texts] + [(8, first, "en", "s", 0), (8, second, "en", "s", 0), (9, isc, "en", "s", 0), (9, "clean", "en", "s", 0)]
+    got = L.scan_licenses(crowded(frame(spark, rows)).repartition(4))
+    assert plain(got.select("doc_id", "labels", "score")) == sorted(((i, *plain_labels(t)) for i, t, *_ in rows), key=str)
+    documents_ = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": "Int64"})  # noqa: F841
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM documents_")
+    assert plain(got) == sorted(con.execute(f"SELECT {', '.join(got.columns)} FROM ({Q.ORACLE_SQL['op9_license_scan']})").fetchall(), key=str)
+
+
 def secret_rows(n):
     rng = random.Random(4)
     key = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
