@@ -1,9 +1,9 @@
 """Chunkers: one row per document in, one row per chunk out.
 
-A chunker turns a document into units (words, sentences, paragraphs), a native
-fold over the units' token counts finds where chunks begin, and the chunks are
-sliced and exploded.  No Python, and no shuffle but in chunk_semantic.  Input has ``doc_id, text``;
-output ``doc_id, chunk_no, text, tokens`` (chunk_no from 1).
+A chunker turns a document into units (words, sentences, paragraphs) and their
+token counts by built-in functions; one Arrow map packs the units into chunks, in
+time linear in them (``packing``).  No shuffle but in chunk_semantic.  Input has
+``doc_id, text``; output ``doc_id, chunk_no, text, tokens`` (chunk_no from 1).
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from loomtext.functions import features as X
 from loomtext.functions import text as T
 from loomtext.functions import vectors as V
 
+from .packing import NO_LIMIT, Rule, cut_at, packed, windows
+
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
@@ -34,83 +36,22 @@ def split_paragraphs(c: Column) -> Column:
     return F.filter(F.transform(F.split(c, r"\n[ \t]*\n\s*"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def pack(sizes: Column, budget: int, max_units: int = 2**31 - 1, forced: Column | None = None, least: int = 1, back: Column | None = None) -> Column:
-    """Where greedy packing begins chunks: structs (open: index from 1 of the first new unit, back: units repeated before it).
-
-    A unit opens a chunk when the running tokens would pass the budget and the
-    chunk holds at least so many units, or when it holds max_units.  With
-    forced (an array of flags, one a unit), a full chunk is cut only before a
-    flagged unit, or at max_units.  With back (an array: how many of the units
-    before each one fit the overlap, and their tokens) a chunk begins with the
-    last units of the one before.
-    """
-    flags = forced if forced is not None else F.transform(sizes, lambda n: F.lit(True))
-    backs = back if back is not None else F.transform(sizes, lambda n: F.struct(F.array(F.lit(0)).alias("tokens")))
-    units = F.zip_with(F.zip_with(sizes, flags, lambda n, f: F.struct(n.cast("int").alias("n"), f.alias("f"))), backs, lambda u, b: F.struct(u["n"].alias("n"), u["f"].alias("f"), b["tokens"].alias("b")))
-    starts = "array<struct<open:int,back:int>>"
-    state = F.struct(F.lit(0).alias("i"), F.lit(0).alias("tokens"), F.lit(0).alias("units"), F.array().cast(starts).alias("starts"))
-
-    def step(acc: Column, u: Column) -> Column:
-        over = (acc["tokens"] + u["n"] > budget) & u["f"] & (acc["units"] >= least)
-        opens = (acc["i"] == 0) | over | (acc["units"] >= max_units)
-        again = F.least(F.size(u["b"]) - 1, acc["units"])  # not more than the chunk before holds
-        mark = F.array(F.struct((acc["i"] + 1).alias("open"), again.alias("back")))
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            F.when(opens, u["n"] + F.get(u["b"], again)).otherwise(acc["tokens"] + u["n"]).cast("int").alias("tokens"),
-            F.when(opens, again + 1).otherwise(acc["units"] + 1).alias("units"),
-            F.when(opens, F.concat(acc["starts"], mark)).otherwise(acc["starts"]).alias("starts"),
-        )
-
-    return F.aggregate(units, state, step)["starts"]
-
-
-def overlaps(sizes: Column, overlap: int) -> Column:
-    """For each unit (tokens): the tokens of the last 0, 1, 2, ... units before it, as long as they fit the overlap."""
-    # every unit has a token at least, so no more than overlap units fit
-    def before(n: Column, i: Column) -> Column:
-        first = F.greatest(i - F.lit(overlap) + 1, F.lit(1))
-        behind = F.reverse(F.slice(sizes, first, i - first + 1))
-        sums = F.aggregate(behind, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array((F.element_at(acc, -1) + x).cast("int"))))
-        return F.struct(F.filter(sums, lambda x: x <= overlap).alias("tokens"))
-
-    return F.transform(sizes, before)
-
-
-def cut(docs: DataFrame, joiner: str) -> DataFrame:
-    """docs has doc_id, units, sizes, starts: one row per chunk."""
-    # outer, and each array a column of its own, so that nothing is worked out twice
-    each = docs.filter(F.col("starts").isNotNull()).select("doc_id", "units", "sizes", "starts", F.posexplode_outer("starts").alias("k", "at"))
-    each = each.filter("at is not null")
-    after = F.coalesce(F.try_element_at("starts", F.col("k") + 2)["open"], F.size("units") + 1)
-    first = F.col("at.open") - F.col("at.back")
-    each = each.select("doc_id", "units", "sizes", (F.col("k") + 1).alias("chunk_no"), first.alias("first"), (after - first).alias("n"))
-    return each.select("doc_id", "chunk_no", F.array_join(F.slice("units", F.col("first"), F.col("n")), joiner).alias("text"), F.aggregate(F.slice("sizes", F.col("first"), F.col("n")), F.lit(0), lambda acc, x: acc + x.cast("int")).alias("tokens"))
-
-
-def _packed(docs: DataFrame, units: Column, joiner: str, budget: int, kind: str, max_units: int, least: int = 1, overlap: int = 0) -> DataFrame:
+def _packed(docs: DataFrame, units: Column, joiner: str, kind: str, rule: Rule) -> DataFrame:
     u = docs.select("doc_id", units.alias("units"))
-    sized = u.select("doc_id", "units", F.transform("units", lambda s: T.count_tokens(s, kind).cast("int")).alias("sizes"))
-    back = None
-    if overlap > 0:
-        # an exploded column isn't merged into the expressions that use it, which would count tokens anew for each unit
-        sized = sized.select("doc_id", "units", F.explode_outer(F.array("sizes")).alias("sizes"))
-        sized = sized.select("doc_id", "units", "sizes", F.explode_outer(F.array(overlaps(F.col("sizes"), overlap))).alias("backs"))
-        back = F.col("backs")
-    return cut(sized.select("*", pack(F.col("sizes"), budget, max_units, None, least, back).alias("starts")), joiner)
+    return packed(u.select("doc_id", "units", F.transform("units", lambda s: T.count_tokens(s, kind).cast("int")).alias("sizes")), joiner, rule)
 
 
 def chunk_fixed(docs: DataFrame, size: int = 512, kind: str = "word", overlap: int = 0) -> DataFrame:
     """Words packed to size tokens; with overlap, a chunk begins with the last words of the one before that fit so many tokens."""
-    return _packed(docs, T.words(F.col("text")), " ", size, kind, 2**31 - 1, overlap=overlap)
+    return _packed(docs, T.words(F.col("text")), " ", kind, Rule(size, overlap=overlap))
 
 
 def chunk_sentence(docs: DataFrame, size: int = 512, kind: str = "word", max_sentences: int = 100, min_sentences: int = 1, overlap: int = 0) -> DataFrame:
-    return _packed(docs, split_sentences(F.col("text")), " ", size, kind, max_sentences, min_sentences, overlap)
+    return _packed(docs, split_sentences(F.col("text")), " ", kind, Rule(size, max_sentences, min_sentences, overlap))
 
 
-def chunk_paragraph(docs: DataFrame, size: int = 512, kind: str = "word", max_paragraphs: int = 2**31 - 1, overlap: int = 0) -> DataFrame:
-    return _packed(docs, split_paragraphs(F.col("text")), "\n\n", size, kind, max_paragraphs, overlap=overlap)
+def chunk_paragraph(docs: DataFrame, size: int = 512, kind: str = "word", max_paragraphs: int = NO_LIMIT, overlap: int = 0) -> DataFrame:
+    return _packed(docs, split_paragraphs(F.col("text")), "\n\n", kind, Rule(size, max_paragraphs, overlap=overlap))
 
 
 def chunk_semantic(docs: DataFrame, size: int = 512, kind: str = "word", max_sentences: int = 100, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -131,25 +72,22 @@ def chunk_semantic(docs: DataFrame, size: int = 512, kind: str = "word", max_sen
         edge = edge | F.coalesce(F.col("near") < F.col("limit"), F.lit(False))
     flagged = each.withColumn("before", F.lag("s").over(order)).withColumn("edge", edge)
     rows = flagged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "s", "edge"))).alias("r"))
-    sized = rows.select("doc_id", F.transform("r", lambda x: x["s"]).alias("units"), F.transform("r", lambda x: T.count_tokens(x["s"], kind).cast("int")).alias("sizes"), F.transform("r", lambda x: x["edge"]).alias("edges"))
-    return cut(sized.select("doc_id", "units", "sizes", pack(F.col("sizes"), size, max_sentences, F.col("edges")).alias("starts")), " ")
+    sized = rows.select("doc_id", F.transform("r", lambda x: x["s"]).alias("units"), F.transform("r", lambda x: T.count_tokens(x["s"], kind).cast("int")).alias("sizes"), F.transform("r", lambda x: x["edge"]).alias("flags"))
+    return packed(sized, " ", Rule(size, max_sentences))
 
 
 def window_words(docs: DataFrame, size: int, overlap: int = 0) -> DataFrame:
     """Word windows with step size - overlap (overlap of size or more counts as size / 2)."""
     step = size - (overlap if overlap < size else size // 2)
     u = docs.select("doc_id", T.words(F.col("text")).alias("units"))
-    starts = F.when(F.size("units") > 0, F.sequence(F.lit(1), F.greatest(F.size("units") - F.lit(size - step), F.lit(1)), F.lit(step)))
-    each = u.select("doc_id", "units", F.posexplode_outer(starts).alias("k", "first")).filter("first is not null")
-    return each.select("doc_id", (F.col("k") + 1).alias("chunk_no"), F.array_join(F.slice("units", F.col("first"), size), " ").alias("text"))
+    return windows(u.select("doc_id", "units", F.transform("units", lambda w: F.lit(1)).alias("sizes")), " ", size, step).select("doc_id", "chunk_no", "text")
 
 
 def chunk_at_boundaries(docs: DataFrame, boundaries: DataFrame) -> DataFrame:
     """Cuts sentences at given indexes (doc_id, cuts ARRAY<INT>): sorted, in range, unique."""
     u = docs.select("doc_id", split_sentences(F.col("text")).alias("units")).join(boundaries, "doc_id", "left")
     inside = F.array_sort(F.array_distinct(F.filter(F.coalesce("cuts", F.array().cast("array<int>")), lambda k: (k > 0) & (k < F.size("units")))))
-    sized = u.select("doc_id", "units", F.transform("units", lambda s: T.word_count(s)).alias("sizes"), F.when(F.size("units") > 0, F.transform(F.concat(F.array(F.lit(1)), F.transform(inside, lambda k: k + 1)), lambda k: F.struct(k.alias("open"), F.lit(0).alias("back")))).alias("starts"))
-    return cut(sized, " ")
+    return cut_at(u.select("doc_id", "units", F.transform("units", lambda s: T.word_count(s)).alias("sizes"), inside.alias("cuts")), " ")
 
 
 def propositions(docs: DataFrame, most: int = 10) -> DataFrame:

@@ -32,7 +32,7 @@ def chunk_multimodal(docs: DataFrame, size: int = 512) -> DataFrame:
     units = F.when(F.col("kind") == "text", K.split_sentences(F.col("text"))).otherwise(lines)
     u = blocks.select("doc_id", "block_no", "kind", units.alias("units"))
     keyed = u.select(F.struct("doc_id", "block_no", "kind").alias("doc_id"), "units", F.transform("units", lambda s: T.count_tokens(s, "word").cast("int")).alias("sizes"))
-    cut = K.cut(keyed.select("*", K.pack(F.col("sizes"), size).alias("starts")), "\n")
+    cut = K.packed(keyed, "\n", K.Rule(size))
     # a table's first line, and its second if that is the rule below the header
     head = blocks.filter("kind = 'table'").select("doc_id", "block_no", F.regexp_extract("text", r"^([^\n]*(?:\n[ \t]*\|[ \t:|-]+(?=\n|$))?)", 1).alias("head"))
     out = cut.select("doc_id.doc_id", "doc_id.block_no", "doc_id.kind", "chunk_no", "text", "tokens").join(head, ["doc_id", "block_no"], "left")
