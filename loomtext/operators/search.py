@@ -2,11 +2,10 @@
 
 Queries and memories are DataFrames ``(query_id, text)`` and ``(id, text)``;
 results are ``(query_id, id, score, rank)``, ordered by score, then id.
-Top-k search sends blocks of queries, a stated query set of bounded size, over
-the memories and keeps k per query and task before anything is shuffled:
-products of vectors, or of the queries' words with the memories' word hashes.
-Scores of all pairs (``keyword_scores`` and the like) are equi-joins on words,
-an inverted index.
+Top-k search by words asks an inverted index in shards, stored or made on the
+way, which keeps k per query and shard (``inverted``); top-k search by vectors
+sends blocks of queries over the memories and keeps k per query and task.
+Scores of all pairs (``keyword_scores`` and the like) are equi-joins on words.
 """
 
 from __future__ import annotations
@@ -23,8 +22,10 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.plans.shared import Scratch
 
-#: Queries that are broadcast at a time, and cells of their words' matrix (8 bytes each).
-QUERY_BLOCK, QUERY_CELLS = 4096, 4_000_000
+from . import inverted
+
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 4096
 #: Cells of a matrix of memories or of scores that a task works on.
 CELLS = 2_000_000
 
@@ -66,57 +67,13 @@ class Best:
         return pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(d), pa.array(s)], ["query_id", "id", "score"])
 
 
-def _word_products(batches: Iterator[pa.RecordBatch], block, k: int, shares: bool) -> Iterator[pa.RecordBatch]:
-    """Rows (id, words, norm) against a block of queries: sums of products of weights over shared words, by norm."""
-    ids_q, vocabulary, weights = block.value
-    best = Best(len(ids_q), k)
-    step = max(1, CELLS // max(1, len(vocabulary), len(ids_q)))
-    for batch in batches:
-        for lo in range(0, batch.num_rows, step):
-            part = batch.slice(lo, step)
-            n = part.num_rows
-            sizes = pc.list_value_length(part.column(1)).fill_null(0).to_numpy(zero_copy_only=False)
-            words = part.column(1).flatten().to_numpy()
-            doc = np.repeat(np.arange(n), sizes)
-            at = np.minimum(np.searchsorted(vocabulary, words), len(vocabulary) - 1)
-            hit = np.flatnonzero(vocabulary[at] == words)
-            each = 1.0 / sizes[doc[hit]] if shares else np.ones(len(hit))
-            held = np.bincount(doc[hit] * len(vocabulary) + at[hit], each, n * len(vocabulary)).reshape(n, len(vocabulary))
-            score = weights @ held.T
-            norms = part.column(2).to_numpy(zero_copy_only=False)
-            score = np.divide(score, norms, out=np.zeros_like(score), where=norms > 0)
-            # equal texts must have equal scores, wherever they stand in a matrix
-            best.take(part.column(0).to_numpy(), np.round(score, 9), 0.0)
-    yield best.batch(ids_q)
-
-
 def word_search(asked: DataFrame, rows: DataFrame, k: int, shares: bool) -> DataFrame:
     """The k best rows (id, words ARRAY<LONG>, norm) for each query of asked (query_id, word, weight).
 
     Score: the sum over shared words of the query's weight times 1 (or, with
     shares, the word's share of the row's words), over the row's norm.
     """
-    spark, out, held, words = asked.sparkSession, None, {}, set()
-    schema = "query_id long, id long, score double"
-
-    def scored() -> DataFrame:
-        vocabulary, ids = np.array(sorted(words), np.int64), np.array(list(held), np.int64)
-        weights = np.zeros((len(ids), len(vocabulary)))
-        for i, found in enumerate(held.values()):
-            weights[i, np.searchsorted(vocabulary, list(found))] = list(found.values())
-        block = spark.sparkContext.broadcast((ids, vocabulary, weights))
-        return rows.select("id", "words", "norm").mapInArrow(partial(_word_products, block=block, k=k, shares=shares), schema)
-
-    listed = asked.groupBy("query_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("w"))
-    for r in listed.toLocalIterator():
-        more = words | set(r["w"])
-        if held and (len(held) == QUERY_BLOCK or (len(held) + 1) * len(more) > QUERY_CELLS):
-            out = scored() if out is None else out.unionByName(scored())
-            held, more = {}, set(r["w"])
-        held[r["query_id"]], words = r["w"], more
-    if held:
-        out = scored() if out is None else out.unionByName(scored())
-    return top_k(out if out is not None else spark.createDataFrame([], schema), k)
+    return top_k(inverted.search(asked, inverted.postings(rows, shares), k), k)
 
 
 def _hashed(words: Column) -> Column:
@@ -167,7 +124,7 @@ def tfidf_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def stored_tfidf(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The index for top-k search, written once in the shared folder: rows (id, words, norm) and (word, idf), by word hash."""
+    """The index for top-k search, written once in the shared folder: postings in shards and (word, idf), by word hash."""
     scratch = Scratch(memories.sparkSession, "tfidf")
     rows = scratch.keep(memories.select("id", _hashed(T.clean_words(F.col("text"), 2)).alias("words")))
     n = rows.agg(F.count("*").alias("n_memories"))
@@ -177,19 +134,19 @@ def stored_tfidf(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     idf = scratch.keep(idf)
     weight = F.col("tf") / F.col("total") * F.col("idf")
     norms = counted.join(idf, "word").groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-    index = scratch.keep(rows.join(norms, "id").filter("norm > 0"))
+    index = scratch.keep(inverted.postings(rows.join(norms, "id").filter("norm > 0"), shares=True))
     scratch.drop_all_but(index, idf)
     return index, idf
 
 
 def search_tfidf(queries: DataFrame, index: tuple[DataFrame, DataFrame], k: int) -> DataFrame:
-    """Top-k over a stored index: no shuffle but that of the queries' words and of k rows a task."""
-    rows, idf = index
+    """Top-k over a stored index: of the memories, only the postings of the queries' words are shuffled."""
+    postings, idf = index
     asked = _asked(queries, T.clean_words(F.col("text"), 2)).join(idf, "word").withColumn("q", F.col("times") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("q") * F.col("q")).over(Window.partitionBy("query_id")))
     # a row's weight of a word is its share times the idf
     asked = asked.withColumn("q_norm", norm).filter("q_norm > 0").select("query_id", "word", (F.col("q") * F.col("idf") / F.col("q_norm")).alias("weight"))
-    return word_search(asked, rows, k, shares=True)
+    return top_k(inverted.search(asked, postings, k), k)
 
 
 def tfidf_search(queries: DataFrame, memories: DataFrame, k: int) -> DataFrame:
@@ -314,27 +271,35 @@ def merge_dedup(local: DataFrame, remote: DataFrame, k: int) -> DataFrame:
     return top_k(once, k)
 
 
+def scoped_search(queries: DataFrame, memories: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, cube_id, id, score, rank): keyword_search of queries in memories (id, cube_id, text), for each pair (query_id, cube_id).
+
+    A word and its cube make one key, so memories of other cubes never reach a score.
+    """
+    pairs = Scratch(queries.sparkSession, "pairs").keep(pairs.select("query_id", "cube_id").withColumn("pair", F.monotonically_increasing_id()))
+    words = queries.select("query_id", F.explode(T.clean_words(F.col("text"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
+    asked = words.join(pairs, "query_id").select(F.col("pair").alias("query_id"), F.xxhash64("word", "cube_id").alias("word"), F.col("times").cast("double").alias("weight"))
+    held = F.transform(F.array_distinct(T.clean_words(F.col("text"))), lambda w: F.xxhash64(w, F.col("cube_id")))
+    found = word_search(asked, memories.select("id", held.alias("words"), F.lit(1.0).alias("norm")), k, shares=False)
+    found = found.withColumnRenamed("query_id", "pair").join(pairs, "pair")
+    return found.select("query_id", "cube_id", "id", F.col("score").cast("long").alias("score"), "rank")
+
+
 def search_cubes(queries: DataFrame, memories: DataFrame, cubes: DataFrame, k: int) -> DataFrame:
     """k keyword results for each query and cube, all cubes in one job; unknown cubes drop out."""
-    inside = memories.join(cubes.select("cube_id"), "cube_id", "left_semi")
-    scored = keyword_scores(queries, inside.select("id", "text")).join(inside.select("id", "cube_id"), "id")
-    return top_k(scored, k, "query_id", "cube_id")
+    cubes = cubes.select("cube_id").distinct()
+    inside = memories.join(cubes, "cube_id", "left_semi").select("id", "cube_id", "text")
+    listed = cubes.agg(F.collect_list("cube_id").alias("cubes"))
+    each = queries.select("query_id").distinct().join(F.broadcast(listed)).select("query_id", F.explode("cubes").alias("cube_id"))  # one row
+    return scoped_search(queries, inside, each, k)
 
 
 def retrieve_for_messages(messages: DataFrame, memories: DataFrame, users: DataFrame, cubes: DataFrame, links: DataFrame, k: int) -> DataFrame:
-    """(query_id, cube_id, id, score, rank): for each message (query_id, user_id, text) the k best memories of every cube its user may read.
-
-    All cubes in one job: word hits are joined with the message's cubes before
-    scores are summed, so memories of other cubes never reach a score.
-    """
+    """(query_id, cube_id, id, score, rank): for each message (query_id, user_id, text) the k best memories of every cube its user may read."""
     active = users.filter("is_active").select("user_id")
     reads = cubes.filter("is_active").select("cube_id", F.col("owner_id").alias("user_id")).unionByName(links.select("cube_id", "user_id").join(cubes.filter("is_active").select("cube_id"), "cube_id", "left_semi")).distinct()
     allowed = messages.join(active, "user_id", "left_semi").join(reads, "user_id").select("query_id", "cube_id")
-    asked = messages.select("query_id", F.explode(T.clean_words(F.col("text"))).alias("word")).groupBy("query_id", "word").agg(F.count("*").alias("times"))
-    held = memories.select("cube_id", "id", F.explode(F.array_distinct(T.clean_words(F.col("text")))).alias("word"))
-    wanted = asked.join(allowed, "query_id")
-    scored = held.join(wanted, ["word", "cube_id"]).groupBy("query_id", "cube_id", "id").agg(F.sum("times").alias("score"))
-    return top_k(scored, k, "query_id", "cube_id")
+    return scoped_search(messages.select("query_id", "text"), memories.select("id", "cube_id", "text"), allowed, k)
 
 
 def memory_type_scope(memories: DataFrame, kind: str | None = None) -> DataFrame:
@@ -375,11 +340,10 @@ def evidence_budget(evidence: DataFrame, k: int) -> DataFrame:
 
 def evidence_search(evidence: DataFrame, memories: DataFrame, k: int) -> DataFrame:
     """(query_id, evidence_id, id, score, rank): for each evidence (query_id, evidence_id, text) its share of the k results."""
-    quotas = evidence_budget(evidence, k).select("query_id", "evidence_id", "quota")
-    key = F.struct("query_id", "evidence_id")
-    found = keyword_scores(evidence.select(key.alias("query_id"), "text"), memories)
-    scored = found.select("query_id.query_id", "query_id.evidence_id", "id", "score").join(quotas, ["query_id", "evidence_id"])
-    return top_k(scored, F.col("quota"), "query_id", "evidence_id").drop("quota")
+    numbered = Scratch(evidence.sparkSession, "evidence").keep(evidence.select("query_id", "evidence_id", "text").withColumn("nth", F.monotonically_increasing_id()))
+    quotas = evidence_budget(numbered.select("query_id", "evidence_id", "nth"), k)
+    found = keyword_search(numbered.select(F.col("nth").alias("query_id"), "text"), memories, k).withColumnRenamed("query_id", "nth")
+    return found.join(quotas, "nth").filter("rank <= quota").select("query_id", "evidence_id", "id", "score", "rank")
 
 
 def build_context(results: DataFrame, memories: DataFrame, prompt: str) -> DataFrame:

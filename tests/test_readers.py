@@ -91,10 +91,8 @@ def test_word_search_in_blocks_of_queries(spark, monkeypatch):
     scored = S.keyword_scores(queries, memories)
     want = sorted(tuple(r) for r in S.top_k(scored, 4).select("query_id", "id", "score", "rank").collect())
     fast = sorted((r["query_id"], r["id"], round(r["score"], 6)) for r in S.top_k(S.fast_scores(queries, memories).withColumn("score", F.round("score", 9)), 4).collect())
-    for block, cells in ((4096, 4_000_000), (7, 60)):
-        monkeypatch.setattr(S, "QUERY_BLOCK", block)
-        monkeypatch.setattr(S, "QUERY_CELLS", cells)
-        monkeypatch.setattr(S, "CELLS", 200)
+    for block in (2048, 7):
+        monkeypatch.setattr(S.inverted, "QUERIES", block)
         assert sorted(tuple(r) for r in S.keyword_search(queries, memories, 4).select("query_id", "id", "score", "rank").collect()) == want
         assert sorted((r["query_id"], r["id"], round(r["score"], 6)) for r in S.fast_search(queries, memories, 4).collect()) == fast
     assert S.keyword_search(queries.limit(0), memories, 4).count() == 0
