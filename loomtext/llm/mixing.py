@@ -18,7 +18,9 @@ ranks of documents within their source are counted in hash buckets of about
 task.
 
 Edge cases: a null source is a source of its own; text isn't looked at;
-repeated rows are documents of their own; sources without a target weight come
+repeated rows, and rows of a null or repeated id, are documents of their own,
+drawn by their place in the table as well; of blocks that are due at once, the
+one of the source that is first by name goes first; sources without a target weight come
 after all others, in proportion to their size; an empty table gives an empty
 result; other columns are ignored.
 """
@@ -116,7 +118,10 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, id_col
     root of each source's number of documents.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("key"), F.xxhash64(id_col, F.lit(11)).alias("draw"))
+    # written, so that a row keeps its place, and its draw, in all that reads it
+    nth = F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("key"), F.xxhash64(id_col, nth).alias("draw"))
+    rows = scratch.keep(rows)
     counts = scratch.keep(rows.groupBy("key").agg(F.count("*").alias("n")))
     buckets = max(1, -(-(counts.agg(F.max("n")).first()[0] or 0) // BUCKET_ROWS))
     bucketed = rows.withColumn("bucket", F.pmod("draw", F.lit(buckets)))

@@ -109,7 +109,7 @@ class Run:
         self.ref[self.order] = self.order[np.where(smaller, lead, mine)]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
+def _runs(batches: Iterator[pa.RecordBatch], window: int, anchor: int, run_blocks: int) -> Iterator[tuple[np.ndarray, ...]]:
     """Blocks of many documents: id, tie, start, n, anchor, block; and the run they make."""
 
     def run(parts: list) -> tuple:
@@ -123,7 +123,7 @@ def _runs(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterat
             doc, *rest = blocks(K.Words(docs, lower=False), window, anchor)
             parts.append((ids[docs.first + doc], ties[docs.first + doc], *rest))
             held += len(doc)
-            if held >= RUN_BLOCKS:
+            if held >= run_blocks:
                 yield run(parts)
                 parts, held = [], 0
     if held:
@@ -173,9 +173,9 @@ def _local_factors(ids, ties, start, n, run: Run) -> pa.Table:
     return pa.table([pa.array(i[first]), pa.array(t[first]), _ints(s[first]), _ints(sums), pa.array(ri[first]), _ints(rs[first])], ["id", "tie", "start", "n", "ref_id", "ref_start"])
 
 
-def _parse_runs(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _parse_runs(batches: Iterator[pa.RecordBatch], window: int, anchor: int, run_blocks: int) -> Iterator[pa.RecordBatch]:
     """Of each run: the blocks to be compared with other runs' (ref_id null), and the factors found in it (key null)."""
-    for ids, ties, start, n, anchors, block, run in _runs(batches, window, anchor):
+    for ids, ties, start, n, anchors, block, run in _runs(batches, window, anchor, run_blocks):
         parts = [_heads(ids, ties, start, n, anchors, block, run), _local_factors(ids, ties, start, n, run)]
         yield from pa.concat_tables(parts, promote_options="default").to_batches(1 << 16)
 
@@ -187,7 +187,7 @@ def _spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([[0], np.cumsum(sizes)]), flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
 
 
-def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int, run_blocks: int) -> Iterator[pa.RecordBatch]:
     """The windows of the blocks named beside each text: hash, id, tie, start, later.
 
     A window with an earlier equal in its run is settled (later); its hash is
@@ -215,7 +215,7 @@ def _boundary_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterato
             at = place + words.per_doc[doc]
             parts.append((ids[docs.first + doc], ties[docs.first + doc], place, K.spans_hash(words.hashes, at, at + window)))
             held += len(doc)
-            if held >= RUN_BLOCKS:
+            if held >= run_blocks:
                 yield from run(parts)
                 parts, held = [], 0
     if held:
@@ -263,7 +263,7 @@ def _parse(source: DataFrame, window: int, anchor: int) -> tuple[DataFrame, Data
     """(factors, blocks at factor boundaries): places, the factors' with where they copy from."""
     small_batches(source.sparkSession)
     scratch = Scratch(source.sparkSession, "substring-dedup")
-    parsed = scratch.keep(source.mapInArrow(partial(_parse_runs, window=window, anchor=anchor), _PARSED))
+    parsed = scratch.keep(source.mapInArrow(partial(_parse_runs, window=window, anchor=anchor, run_blocks=RUN_BLOCKS), _PARSED))
     heads = parsed.filter("key is not null").select("id", "tie", "start", "n", "key", "block", "settled").repartition("key")
     equal = Window.partitionBy("key", "block").orderBy("id", "tie", "start")
     alike = Window.partitionBy("key")
@@ -271,9 +271,11 @@ def _parse(source: DataFrame, window: int, anchor: int) -> tuple[DataFrame, Data
     judged = judged.select("*", (F.max("settled").over(alike) | (F.min("block").over(alike) != F.max("block").over(alike))).alias("several"))
     later = F.col("id") > F.col("ref.id")
     marks = judged.filter("n > 0").withColumn("later", later).filter("later or several")
-    marks = scratch.keep(marks.select("id", "tie", "start", "n", "later", F.col("ref.id").alias("ref_id"), F.col("ref.start").alias("ref_start")))
-    local = parsed.filter("ref_id is not null").select("id", "tie", "start", "n", "ref_id", "ref_start")
-    return local.unionByName(marks.filter("later").drop("later")), marks.filter("not later").select("id", "tie", "start", "n")
+    marks = marks.select("id", "tie", "start", "n", "later", F.col("ref.id").alias("ref_id"), F.col("ref.start").alias("ref_start"))
+    local = parsed.filter("ref_id is not null").select("id", "tie", "start", "n", F.lit(True).alias("later"), "ref_id", "ref_start")
+    found = scratch.keep(marks.unionByName(local))
+    scratch.drop(parsed)
+    return found.filter("later").drop("later"), found.filter("not later").select("id", "tie", "start", "n")
 
 
 def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
@@ -291,7 +293,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     place = F.struct("start", "n")
     texts = source.repartition("id", "tie")
     boundary = boundary.groupBy("id", "tie").agg(F.collect_list(place).alias("blocks"))
-    windows = texts.join(boundary.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "blocks").mapInArrow(partial(_boundary_windows, window=window), "hash long, id long, tie long, start int, later boolean")
+    windows = texts.join(boundary.hint("shuffle_hash"), ["id", "tie"]).select("id", "tie", "text", "blocks").mapInArrow(partial(_boundary_windows, window=window, run_blocks=RUN_BLOCKS), "hash long, id long, tie long, start int, later boolean")
     repeats = windows.withColumn("id_0", F.min("id").over(Window.partitionBy("hash"))).filter("later or id > id_0").select("id", "tie", "start", F.lit(1).alias("n"))
     spans = found.select("id", "tie", "start", "n").unionByName(repeats).groupBy("id", "tie").agg(F.collect_list(place).alias("spans"))
     schema = "id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text

@@ -4,7 +4,7 @@ Layout of a file (all integers little-endian):
 
 * data frames: each a complete zstandard frame whose content is a count n
   (u32), n document ids (i64), n token counts (u32), then the token ids of
-  the n documents, as u16 or u32;
+  the n documents, as u16 or, if the tokenizer has ids over 65,535, u32;
 * an index frame: the id width in bytes (u32), then for each data frame its
   smallest and largest document id (i64) and the number of tokens before it
   in the file (i64);
@@ -80,7 +80,10 @@ class Writer:
             ids = np.array(self.ids, "<i8")
             counts = np.array([len(t) for t in self.tokens], "<u4")
             self.index.append((int(ids.min()), int(ids.max()), self.n_tokens))
-            self._frame(struct.pack("<I", len(ids)) + ids.tobytes() + counts.tobytes() + np.concatenate(self.tokens).astype(self.kind).tobytes())
+            tokens = np.concatenate(self.tokens)
+            if int(tokens.max()) > np.iinfo(self.kind).max:
+                raise ValueError(f"token id {tokens.max()} needs more than {self.width} bytes")
+            self._frame(struct.pack("<I", len(ids)) + ids.tobytes() + counts.tobytes() + tokens.astype(self.kind).tobytes())
             self.n_docs += len(ids)
             self.n_tokens += self.held
         self._clear()
@@ -325,14 +328,25 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     })
 
 
-def _written(rows: DataFrame, folder: str, tokenizer: str, end_id: int, width: int) -> DataFrame:
+def id_width(tokenizer: str, end_id: int) -> int:
+    """Bytes that every id of the tokenizer, and the end id, fits."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(*Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values(), end_id) < 1 << 16 else 4
+
+
+def _written(rows: DataFrame, folder: str, tokenizer: str, end_id: int, width: int | None) -> DataFrame:
     small_batches(rows.sparkSession)
+    width = id_width(tokenizer, end_id) if width is None else width
     return Scratch(rows.sparkSession, "manifest").keep(rows.mapInArrow(partial(_write, folder=folder, tokenizer=tokenizer, end_id=end_id, width=width), MANIFEST))
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order_by: list[str], id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: int = 2) -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order_by: list[str], id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: int | None = None) -> DataFrame:
     """Writes docs in the order of order_by, one file a range partition; gives the manifest.
 
+    width: bytes of an id, by default as many as the tokenizer's ids need; an id
+    that doesn't fit is an error.
+
     The manifest (one row a file) is written before it is returned, so files
     are written once; a file counts only if its task succeeded.
     """
@@ -342,7 +356,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, order_by: list[st
     return _written(ordered.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), part.alias("part"), row.alias("row")), folder, tokenizer, end_id, width)
 
 
-def write_tokens_as_stored(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: int = 2) -> DataFrame:
+def write_tokens_as_stored(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1, width: int | None = None) -> DataFrame:
     """Writes docs, a scan of Parquet files that Spark wrote, in the order of the files' numbers and rows; no shuffle."""
     number = lambda pattern: F.regexp_extract("_metadata.file_name", pattern, 1).cast("long")
     part = number(r"part-(\d+)") * 1000 + number(r"-c(\d+)")

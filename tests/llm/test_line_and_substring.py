@@ -126,6 +126,28 @@ def test_windows_of_null_and_repeated_ids(spark):
         assert plain(S.dedup_substrings(frame(spark, rows))) == brute_windows(rows), ids
 
 
+def test_windows_when_every_scan_has_another_order(spark, monkeypatch):
+    """Rows behind a random sort: what a run settles must not depend on a second scan."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(13)
+    passages = [" ".join(f"p{k}x{rng.randrange(999)}" for _ in range(24)) for k in range(6)]
+    rows = [(k, " ".join([f"a{rng.randrange(9999)}" for _ in range(6)] + [passages[rng.randrange(6)]] + [f"b{rng.randrange(9999)}" for _ in range(6)]), "en", "s", 0) for k in range(60)]
+    expected = brute_windows(rows)
+    monkeypatch.setattr(S, "RUN_BLOCKS", 20)
+    for _ in range(3):
+        assert plain(S.dedup_substrings(frame(spark, rows).repartition(1).withColumn("r", F.rand()).orderBy("r"))) == expected
+
+
+def test_windows_of_a_thousand_null_ids(spark):
+    """Rows without an id keep each other's words, and lose their own repeats; rows with ids lose theirs to them."""
+    rng = random.Random(14)
+    common = " ".join(f"c{rng.randrange(999)}" for _ in range(22))
+    rows = [(None, f"n{k} {common if k % 3 == 0 else ''} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(21)), "en", "s", 0) for k in range(1500)]
+    rows += [(None, f"{common} {common}", "en", "s", 0), (5, f"x {common}", "en", "s", 0)]
+    assert plain(S.dedup_substrings(frame(spark, rows))) == brute_windows(rows)
+
+
 def test_windows_around_a_common_line(spark, monkeypatch):
     """A line that most texts hold, each in other words: many blocks on one anchor, over several runs."""
     rng = random.Random(11)

@@ -319,3 +319,32 @@ def test_odd_rows_as_tokens(spark):
     rows = [(None, "a", "en", "s", 0), (3, None, "en", "s", 0), (3, "b", "en", "s", 0), (1, "", "en", "s", 0)]
     got = [(r["doc_id"], r["start"], r["n_tokens"]) for r in B.token_table(frame(spark, rows), word_tokenizer()).orderBy("start").collect()]
     assert got == [(None, 0, 2), (1, 2, 1), (3, 3, 1), (3, 4, 2)]
+
+
+def test_ids_wider_than_two_bytes(spark, tmp_path):
+    """The width follows the tokenizer and the end id; an id that doesn't fit is an error, never another id."""
+    rows = [(1, "some words here", "en", "s", 0), (2, None, "en", "s", 0)]
+    path = word_tokenizer()
+    assert B.id_width(path, 1) == 2 and B.id_width(path, 70_000) == 4
+    manifest = B.write_tokens(frame(spark, rows), f"file://{tmp_path}/wide", path, ["doc_id"], end_id=70_000)
+    ids = Tokenizer.from_file(path).encode("some words here", add_special_tokens=False).ids
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in B.read_tokens(manifest).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in ((1, [*ids, 70_000]), (2, [70_000]))}
+    with pytest.raises(Exception, match="needs more than 2 bytes"):
+        B.write_tokens(frame(spark, rows), f"file://{tmp_path}/narrow", path, ["doc_id"], end_id=70_000, width=2)
+
+
+def test_mixing_of_null_and_repeated_ids(spark, monkeypatch):
+    """Each row has a place of its own, no bucket holds most rows, and the order keeps to the weights."""
+    monkeypatch.setattr(X, "BUCKET_ROWS", 200)
+    rows = [(None if k % 5 else 7 if k % 2 else k, f"t{k}", "en", "big" if k % 3 else None, 0) for k in range(6000)]
+    got = X.mix_sources(frame(spark, rows), {"big": 0.5, "": 0.5}, block_rows=10)
+    places = got.collect()
+    assert len({(r["source"], r["block"], r["place"]) for r in places}) == 6000
+    ordered = sorted(places, key=lambda r: (r["slot"], r["place"]))
+    big = 0
+    for n, r in enumerate(ordered[:3900]):  # both sources last as long
+        big += r["source"] == "big"
+        assert abs(big - 0.5 * (n + 1)) <= 10
+    drawn = X.Scratch(spark, "x").keep(frame(spark, rows).select(F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("d")))
+    assert max(r["count"] for r in drawn.groupBy(F.pmod("d", F.lit(20))).count().collect()) < 2 * 300
