@@ -43,8 +43,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the source mix."""
-    turns = mixing.mix_sources(docs).groupBy(F.col("doc_id").alias("turn_of")).agg(F.min(F.struct("slot", "place")).alias("turn"))
-    ordered = docs.join(turns, F.col("doc_id").eqNullSafe(F.col("turn_of"))).select(*docs.columns, "turn.slot", "turn.place")
+    key = free_name(docs, "key")  # of id and text, as ids may be null or repeat
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    # rows that are equal in both stand at the first one's turn
+    turns = mixing.mix_sources(keyed, id_col=key).groupBy(key).agg(F.min(F.struct("slot", "place")).alias("turn"))
+    ordered = keyed.join(turns, key).select(*docs.columns, "turn.slot", "turn.place")
     return ordered.repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select(docs.columns)
 
 
