@@ -58,12 +58,21 @@ def document_type(c: Column, least: float = 0.1) -> Column:
     return F.when(best < least, "unknown").otherwise(out)
 
 
+# Marks of code, of which one is enough, and of tables, of which two kinds must stand in a text.
+CODE_MARKS = ("function", "class", "import", "def ", "var ", "const ", "let ", "public ", "private ")
+TABLE_MARKS = ("|", "\t", "Table", "Column", "Row")
+
+
+def _kinds(c: Column, marks: tuple[str, ...]) -> Column:
+    return sum(F.contains(c, F.lit(m)).cast("int") for m in marks)
+
+
 def has_code(c: Column) -> Column:
-    return c.rlike(r"```|def |function |class |import |#include")
+    return _kinds(c, CODE_MARKS) >= 1
 
 
 def has_tables(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"\|")) >= 2
+    return _kinds(c, TABLE_MARKS) >= 2
 
 
 def strategy_score(strategy: Column, health: Column, weight: Column, c: Column) -> Column:

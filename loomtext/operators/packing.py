@@ -27,12 +27,15 @@ NO_LIMIT = 2**31 - 1
 class Rule:
     """A unit opens a chunk when the running tokens would pass the budget and the
     chunk holds at least `least` units, or when it holds max_units.  A chunk begins
-    with the last units of the one before that fit `overlap` tokens."""
+    with the last units of the one before that fit `overlap` tokens.  With
+    merge_below, two neighbouring chunks that are both smaller become one if it
+    keeps to the budget; a merged chunk isn't merged again."""
 
     budget: int
     max_units: int = NO_LIMIT
     least: int = 1
     overlap: int = 0
+    merge_below: float = 0
 
 
 def openings(sizes: np.ndarray, rule: Rule, flags: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -99,6 +102,28 @@ def _by_rule(sizes: np.ndarray, flags: np.ndarray | None, rule: Rule) -> tuple[n
     return opens - backs, np.append(opens[1:], len(sizes))
 
 
+def _merged(first: np.ndarray, last: np.ndarray, sizes: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    sums = np.append(0, np.cumsum(sizes))
+    tokens, begins, ends, k = sums[last] - sums[first], [], [], 0
+    while k < len(first):
+        both = k + 1 < len(first) and max(tokens[k], tokens[k + 1]) < rule.merge_below and tokens[k] + tokens[k + 1] <= rule.budget
+        begins.append(first[k])
+        ends.append(last[k + both])
+        k += 1 + both
+    return np.array(begins, np.int64), np.array(ends, np.int64)
+
+
+def _in_sections(sizes: np.ndarray, cuts: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """Each section between cuts packed by itself; texts without cuts are one section."""
+    edges, first, last = np.concatenate([[0], cuts, [len(sizes)]]).astype(np.int64), [], []
+    for a, b in zip(edges[:-1], edges[1:]):
+        begins, ends = _by_rule(sizes[a:b], None, rule)
+        first.append(a + begins)
+        last.append(a + ends)
+    first, last = np.concatenate(first), np.concatenate(last)
+    return _merged(first, last, sizes, rule) if rule.merge_below and not len(cuts) else (first, last)
+
+
 def _at_cuts(sizes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.append(0, cuts).astype(np.int64), np.append(cuts, len(sizes)).astype(np.int64)
 
@@ -121,6 +146,11 @@ def packed(docs: DataFrame, joiner: str, rule: Rule) -> DataFrame:
     return _chunks(docs.select("doc_id", "units", "sizes", *flags), joiner, partial(_by_rule, rule=rule))
 
 
+def packed_sections(docs: DataFrame, joiner: str, rule: Rule) -> DataFrame:
+    """docs has doc_id, units, sizes, cuts: units packed by rule between the cuts; what no cut divides may be merged."""
+    return _chunks(docs.select("doc_id", "units", "sizes", "cuts"), joiner, partial(_in_sections, rule=rule))
+
+
 def cut_at(docs: DataFrame, joiner: str) -> DataFrame:
     """docs has doc_id, units, sizes, cuts (indexes of units before which a chunk begins, ascending, over 0): one row per chunk."""
     return _chunks(docs.select("doc_id", "units", "sizes", "cuts"), joiner, _at_cuts)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.functions import vectors as V
 
 from . import chunk as K
+from .packing import packed_sections
 
 #: Fenced code, table rows, images and html blocks.
 BLOCK_PATTERN = r"(?s)```.*?(?:```|$)|(?m:^\|[^\n]*\|[ \t]*$)(?:\n(?m:^\|[^\n]*\|[ \t]*$))*|!\[[^\]]*\]\([^)]*\)|<(?:div|table|section)\b.*?</(?:div|table|section)>"
@@ -25,14 +28,38 @@ def content_blocks(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")).alias("block_no"), kind.alias("kind"), F.trim("text").alias("text"))
 
 
+def begins_section(line: Column, language: Column) -> Column:
+    """Whether a line of code begins a function, class or other block, by the language that its fence names."""
+    t = F.regexp_replace(line, r"^\s+|\s+$", "")
+    holds = lambda *found: functools.reduce(lambda x, y: x | y, [F.contains(t, F.lit(x)) for x in found])
+    starts = lambda *found: functools.reduce(lambda x, y: x | y, [t.startswith(x) for x in found])
+    # What begins a section in each language.
+    return (
+        F.when(language == "python", starts("def ", "class "))
+        .when(language.isin("javascript", "js"), holds("function ") | holds("const ", "let ", "var ") & holds("=>"))
+        .when(language == "go", starts("func ", "type "))
+        .when(language == "java", holds("public ", "private ", "protected ") & holds("class ", "interface ", "void ", "int ", "String "))
+        .otherwise(t.endswith("{") | holds("//") & holds("Function", "Method"))
+    )
+
+
 def chunk_multimodal(docs: DataFrame, size: int = 512) -> DataFrame:
-    """Blocks packed by kind: text by sentences, code and tables by lines; chunks of a table after its first begin with its header."""
+    """Blocks packed by kind: text by sentences, code by functions, tables by lines.
+
+    Code is cut where a function, class or block begins, and by lines within one
+    that is too large.  Of text, two neighbouring chunks of under half the size
+    become one if they fit.  Chunks of a table after its first begin with its header.
+    """
     blocks = content_blocks(docs)
     lines = F.split("text", "\n")
     units = F.when(F.col("kind") == "text", K.split_sentences(F.col("text"))).otherwise(lines)
-    u = blocks.select("doc_id", "block_no", "kind", units.alias("units"))
-    keyed = u.select(F.struct("doc_id", "block_no", "kind").alias("doc_id"), "units", F.transform("units", lambda s: T.count_tokens(s, "word").cast("int")).alias("sizes"))
-    cut = K.packed(keyed, "\n", K.Rule(size))
+    language = F.lower(F.regexp_extract("text", r"^```[ \t]*([A-Za-z0-9_+#-]*)", 1))
+    u = blocks.select(F.struct("doc_id", "block_no", "kind").alias("doc_id"), units.alias("units"), language.alias("language"))
+    begins = F.transform("units", lambda x, i: F.when((i > 0) & begins_section(x, F.col("language")), i))
+    cuts = F.when(F.col("doc_id.kind") == "code", F.array_compact(begins)).otherwise(F.array().cast("array<int>"))
+    keyed = u.select("doc_id", "units", F.transform("units", lambda s: T.count_tokens(s, "word").cast("int")).alias("sizes"), cuts.alias("cuts"))
+    is_text = F.col("doc_id.kind") == "text"
+    cut = packed_sections(keyed.filter(is_text), "\n", K.Rule(size, merge_below=size / 2)).unionByName(packed_sections(keyed.filter(~is_text), "\n", K.Rule(size)))
     # a table's first line, and its second if that is the rule below the header
     head = blocks.filter("kind = 'table'").select("doc_id", "block_no", F.regexp_extract("text", r"^([^\n]*(?:\n[ \t]*\|[ \t:|-]+(?=\n|$))?)", 1).alias("head"))
     out = cut.select("doc_id.doc_id", "doc_id.block_no", "doc_id.kind", "chunk_no", "text", "tokens").join(head, ["doc_id", "block_no"], "left")

@@ -395,11 +395,11 @@ def _(t):
 
 @C.add("chunk_issues", f"""
 WITH {_assessed_sql(_CHUNKS)}, i AS ({" UNION ALL ".join(f"SELECT doc_id, '{m}' AS metric, '{s}' AS severity, ({least} - round({m}, 6)) * {w} AS impact FROM assessed WHERE round({m}, 6) < {least}" for m, least, s, w in K.CHUNK_ISSUES)})
-SELECT doc_id, metric, severity, round(impact, 5) AS impact FROM i
+SELECT doc_id, metric, severity, round(impact + 1e-9, 4) AS impact FROM i
 """)
 def _(t):
     scored = K.assess_chunks(t("documents"), K.chunk_sentence(t("documents"), 64, max_sentences=10_000))
-    return K.chunk_issues(scored.select("doc_id", *r(*_METRICS))).select("doc_id", "metric", "severity", F.round("impact", 5).alias("impact"))
+    return K.chunk_issues(scored.select("doc_id", *r(*_METRICS))).select("doc_id", "metric", "severity", F.round(F.col("impact") + 1e-9, 4).alias("impact"))  # no product of six places lies on a half then
 
 
 @C.add("weighted_quality", f"WITH {_assessed_sql(_CHUNKS)} SELECT doc_id, round((0.5 * coherence + 0.2 * completeness + 0.3 * boundary) / 1.0, 6) AS weighted, round((coherence + completeness + consistency + boundary) / 4, 6) AS plain FROM assessed")

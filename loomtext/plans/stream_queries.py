@@ -107,11 +107,11 @@ def _(s):
 _RULES = "CASE " + " ".join(f"WHEN strlen(x) BETWEEN {lo} AND {hi} AND regexp_matches(lower(x), '{'|'.join(found)}') THEN '{category}'" for _, category, _, found, lo, hi in T.MEMORY_RULES) + " ELSE 'none' END"
 
 
-@_streaming("stream_message_memories", f"WITH c AS (SELECT *, CASE turn % 4 WHEN 0 THEN 'Remember: ' WHEN 1 THEN 'I prefer ' WHEN 2 THEN 'My name is ' ELSE '' END || substr(text, 1, 60) AS x FROM conversations) SELECT conv_id, turn, role, strlen(x) AS bytes, {_RULES} AS category FROM c", "conversations", S.MESSAGES)
+@_streaming("stream_message_memories", f"WITH c AS (SELECT *, CASE turn % 4 WHEN 0 THEN 'Remember: ' WHEN 1 THEN 'I prefer ' WHEN 2 THEN 'My name is ' ELSE '' END || text AS x FROM conversations) SELECT conv_id, turn, role, strlen(x) AS bytes, {_RULES} AS category FROM c", "conversations", S.MESSAGES)
 def _(s):
     # the invented texts hold no keyword of a rule, so most turns are given one
     opening = F.when(F.col("turn") % 4 == 0, "Remember: ").when(F.col("turn") % 4 == 1, "I prefer ").when(F.col("turn") % 4 == 2, "My name is ").otherwise("")
-    return S.run_available(S.message_memories(s.withColumn("text", F.concat(opening, F.substring("text", 1, 60)))))
+    return S.run_available(S.message_memories(s.withColumn("text", F.concat(opening, "text"))))
 
 
 _THROTTLED = """

@@ -60,7 +60,7 @@ def _(t):
 
 
 @C.add("choose_strategy", f"""
-WITH d AS (SELECT doc_id, least(0.5 * {SQL_N_WORDS} / {SQL_MARKS} / 20 + 0.5 * {_DIVERSITY}, 1.0) AS c, regexp_matches(text, '```|def |function |class |import |#include') OR len(regexp_extract_all(text, '[|]')) >= 2 AS mixed, strlen(text) AS n FROM documents),
+WITH d AS (SELECT doc_id, least(0.5 * {SQL_N_WORDS} / {SQL_MARKS} / 20 + 0.5 * {_DIVERSITY}, 1.0) AS c, regexp_matches(text, 'function|class|import|def |var |const |let |public |private ') OR contains(text, '|')::INT + contains(text, chr(9))::INT + contains(text, 'Table')::INT + contains(text, 'Column')::INT + contains(text, 'Row')::INT >= 2 AS mixed, strlen(text) AS n FROM documents),
 s AS (SELECT doc_id, strategy, 0.9 * CASE WHEN strategy = 'sentence' AND c < 0.5 THEN 1.2 WHEN strategy = 'semantic' AND c > 0.5 THEN 1.3 WHEN strategy = 'multimodal' AND mixed THEN 1.5 WHEN strategy = 'contextual' AND n > 1000 THEN 1.2 ELSE 1.0 END AS score
   FROM d, (VALUES ('sentence'), ('semantic'), ('multimodal'), ('contextual')) AS v(strategy))
 SELECT doc_id, first(strategy ORDER BY round(score, 9) DESC, strategy) AS strategy FROM s GROUP BY doc_id
