@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as T
 from loomtext.functions.embed import embedder, letter_counts
 from loomtext.sources import io
+from loomtext.streaming import stateful as Z
 from loomtext.streaming import streams as S
 
 from .catalog import Catalog
@@ -156,6 +157,30 @@ def _(s):
     return S.health_alerts(S.health_of(latest, 14400)).select("alert", *r("value"))
 
 
+@_streaming("stream_node_changes", """
+WITH b AS (SELECT user_id AS node, epoch_us(ts) // 1000 AS ms FROM events),
+cut AS (SELECT node, ms, coalesce(ms - lag(ms) OVER (PARTITION BY node ORDER BY ms) > 43200000, true)::INT AS new FROM b),
+stretch AS (SELECT node, min(ms) AS first, max(ms) AS last FROM (SELECT node, ms, sum(new) OVER (PARTITION BY node ORDER BY ms ROWS UNBOUNDED PRECEDING) AS k FROM cut) GROUP BY node, k),
+change AS (SELECT node, first AS ms, true AS healthy FROM stretch UNION ALL SELECT node, last + 43200000, false FROM stretch)
+SELECT node, ms, healthy FROM change WHERE ms + 1 <= (SELECT max(ms) - 3600000 FROM b)
+""", "events", S.EVENTS)
+def _(s):
+    beats = s.select(F.col("user_id").alias("node"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1).alias("tasks"), (F.col("event_type") == "error").cast("int").alias("errors"))
+    return S.run_available(Z.node_changes(beats, 14400, "1 hour")).select("node", F.unix_millis("ts").alias("ms"), "healthy")
+
+
+@_streaming("stream_working_memory_events", """
+WITH e AS (SELECT user_id, event_type AS cube_id, event_id AS pos, epoch_us(ts) // 1000 AS ms, event_id % 3 = 0 AS is_query, floor(value)::BIGINT::VARCHAR AS text FROM events),
+c AS (SELECT user_id, cube_id, text, min({'ms': ms, 'pos': pos}) AS seen FROM e WHERE NOT is_query AND text IS NOT NULL GROUP BY ALL),
+q AS (SELECT user_id, cube_id, pos, {'ms': ms, 'pos': pos} AS asked FROM e WHERE is_query AND ms + 1 <= (SELECT max(ms) - 3600000 FROM e)),
+r AS (SELECT q.user_id, q.cube_id, q.pos, text, seen, row_number() OVER (PARTITION BY q.user_id, q.cube_id, q.pos ORDER BY seen) AS k FROM q LEFT JOIN c ON q.user_id = c.user_id AND q.cube_id = c.cube_id AND seen < asked)
+SELECT user_id, cube_id, pos, coalesce(string_agg(text, ',' ORDER BY seen), '') AS texts FROM r WHERE k <= 5 GROUP BY ALL
+""", "events", S.EVENTS)
+def _(s):
+    m = s.select("user_id", F.col("event_type").alias("cube_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("pos"), (F.col("event_id") % 3 == 0).alias("is_query"), F.floor("value").cast("string").alias("text"))
+    return S.run_available(Z.working_memory_events(m, 3, 2, "40 days")).select("user_id", "cube_id", "pos", F.array_join("texts", ",").alias("texts"))
+
+
 @_streaming("stream_embed", "SELECT conv_id, turn, len(regexp_extract_all(lower(text), 'e'))::DOUBLE AS e FROM conversations", "conversations", S.MESSAGES)
 def _(s):
     return S.run_available(embedder(letter_counts)(s).select("conv_id", "turn", F.col("vector")[4].cast("double").alias("e")))
