@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.functions.embed import embedder, letter_counts
+from loomtext.functions.embed import letter_counts
 from loomtext.sources import io
 from loomtext.streaming import stateful as Z
 from loomtext.streaming import streams as S
@@ -181,15 +182,27 @@ def _(s):
     return S.run_available(Z.working_memory_events(m, 3, 2, "40 days")).select("user_id", "cube_id", "pos", F.array_join("texts", ",").alias("texts"))
 
 
-@_streaming("stream_embed", "SELECT conv_id, turn, len(regexp_extract_all(lower(text), 'e'))::DOUBLE AS e FROM conversations", "conversations", S.MESSAGES)
-def _(s):
-    return S.run_available(embedder(letter_counts)(s).select("conv_id", "turn", F.col("vector")[4].cast("double").alias("e")))
+def _letters(texts: list[str]) -> list[list[float]]:
+    return next(letter_counts(iter([pd.Series(texts)]))).tolist()
 
 
-@_streaming("stream_retention", "SELECT count(*) AS n FROM events", "events", S.EVENTS)
-def _(s):
-    kept = S.retention(s.withColumn("ts", F.col("ts").cast("timestamp")), 24 * 60).groupBy().agg(F.count("*").alias("n"))
-    return S.run_available(kept, "complete")
+C.queries["stream_embed"] = lambda spark, sf_dir: S.run_available(S.micro_batch_embed(spark, f"{sf_dir}/conversations.parquet", S.MESSAGES, _letters)).select("conv_id", "turn", F.col("vector")[4].cast("double").alias("e"))
+C.sql["stream_embed"] = "SELECT conv_id, turn, len(regexp_extract_all(lower(text), 'e'))::DOUBLE AS e FROM conversations"
+
+
+@C.add("stream_retention", """
+WITH e AS (SELECT event_id % 3 AS batch, epoch_us(ts) AS us FROM events),
+m AS (SELECT batch, (max(max(us)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) // 1000 - 86400000) * 1000 AS watermark FROM e GROUP BY batch)
+SELECT count(*) FILTER (kept) AS n, count(*) FILTER (NOT kept) AS dropped FROM (SELECT coalesce(us > watermark, true) AS kept FROM e JOIN m USING (batch))
+""")
+def _(t):
+    # three batches that each go over the whole time, so that most of the third comes too late
+    events = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"))
+    folder = S.new_folder(events.sparkSession, "deliveries")
+    for k in range(3):
+        events.filter(F.col("event_id") % 3 == k).coalesce(1).write.parquet(f"{folder}/part{k}.parquet")
+    kept, dropped = S.run_counted(S.retention(S.message_stream(events.sparkSession, f"{folder}/part", "event_id long, ts timestamp", 1), "event_id"))
+    return kept.agg(F.count("*").alias("n")).withColumn("dropped", F.lit(dropped).cast("long"))
 
 
 @_streaming("stream_working_memory", "SELECT conv_id % 20 AS user_id, least(count(DISTINCT text), 12) AS size FROM conversations GROUP BY ALL", "conversations", S.MESSAGES)

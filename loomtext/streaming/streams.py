@@ -7,13 +7,16 @@ caller.  Event time is the column ``ts``.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, FloatType, LongType, StructField, StructType
 
 from loomtext.functions import text as T
 from loomtext.plans.shared import new_folder
@@ -29,6 +32,58 @@ def message_stream(spark: SparkSession, path: str, schema: str, files_per_trigge
     return stream.option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
 
 
+class LateRows(StreamingQueryListener):
+    """Counts, by query id, the rows that stateful steps have dropped as later than the watermark.
+
+    Add it to ``spark.streams`` before the queries start; ``of`` waits for the end
+    of a query, so that all its progress has been told.
+    """
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+        self.changed = threading.Condition()
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        with self.changed:
+            n = sum(state.numRowsDroppedByWatermark for state in progress.stateOperators)
+            self.dropped[str(progress.id)] = self.dropped.get(str(progress.id), 0) + n
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        with self.changed:
+            self.ended.add(str(event.id))
+            self.changed.notify_all()
+
+    def of(self, query: str, seconds: float = 60) -> int:
+        with self.changed:
+            if not self.changed.wait_for(lambda: query in self.ended, seconds):
+                raise TimeoutError(f"the end of query {query} has not been told")
+            return self.dropped.get(query, 0)
+
+
+def run_counted(stream: DataFrame) -> tuple[DataFrame, int]:
+    """Runs an append-mode stream over what is there: its result, and how many rows came too late for it."""
+    spark, late = stream.sparkSession, LateRows()
+    out = new_folder(spark, "stream")
+    spark.streams.addListener(late)
+    try:
+        # a repeated batch overwrites its own folder
+        writer = stream.writeStream.option("checkpointLocation", new_folder(spark, "stream-state")).trigger(availableNow=True)
+        query = writer.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{out}/batch={number}")).start()
+        query.awaitTermination()
+        dropped = late.of(str(query.id))
+    finally:
+        spark.streams.removeListener(late)
+    return spark.read.schema(stream.schema).parquet(out).select(stream.columns), dropped
+
+
 def run_available(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Runs a stream over what is there and gives its result as a table in the shared folder.
 
@@ -69,14 +124,15 @@ def route_by_label(stream: DataFrame, label: str, handlers: dict[str, Callable[[
     return batch
 
 
-def retention(stream: DataFrame, hours: int = 24) -> DataFrame:
-    """Rows later than the newest by more than so many hours drop out of stateful steps that follow."""
-    return stream.withWatermark("ts", f"{hours} hours")
+def retention(stream: DataFrame, key: str, hours: int = 24) -> DataFrame:
+    """Each key once, without rows that are older than the watermark by which the batch before was run.
 
-
-def late_rows(batch: DataFrame, watermark: str | None) -> int:
-    """How many rows of a micro-batch are older than a watermark (a time as text), for a foreachBatch function to count."""
-    return batch.filter(F.col("ts") < F.lit(watermark).cast("timestamp")).count() if watermark else 0
+    The watermark is so many hours behind the newest event; a batch is judged by
+    the one before its own, as Spark does for all steps of a query.  Late rows are
+    dropped, and counted: run it by ``run_counted``, or with a ``LateRows``
+    listener.  State is one entry a key, which goes after the same time.
+    """
+    return stream.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark([key])
 
 
 def metric_windows(stream: DataFrame, size: str, slide: str | None = None, *by: str, delay: str = "1 hour") -> DataFrame:
@@ -129,16 +185,18 @@ def working_memory(stream: DataFrame, top: int, extra: int, idle_hours: int | No
         if state.hasTimedOut:
             state.remove()
             return
-        known = set(held)
-        # a micro-batch brings a group in several Arrow batches; the first of a text counts over all of them
-        rows = pd.concat(batches).sort_values("pos").drop_duplicates("text")
-        for text in rows["text"]:
-            if len(held) < cap and text not in known:
-                held.append(text)
-                known.add(text)
+        # a micro-batch brings a group in several data frames: of all their new texts the first ones by pos are kept, no more than fit
+        known, first, newest = set(held), {}, 0
+        for rows in batches:
+            for text, pos in zip(rows["text"], rows["pos"]):
+                if text not in known:
+                    first[text] = min(pos, first.get(text, pos))
+            first = dict(sorted(first.items(), key=lambda x: x[1])[: cap - len(held)])
+            if idle_hours is not None:
+                newest = max(newest, int(rows["ts"].max().value // 10**6))
+        held += first
         state.update((held,))
         if idle_hours is not None:
-            newest = int(rows["ts"].max().value // 10**6)
             state.setTimeoutTimestamp(max(newest + idle_hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"user_id": [key[0]], "size": [len(held)]})
 
@@ -160,16 +218,18 @@ def throttle(stream: DataFrame, key: str, seconds: int, keep_for: str = "1 hour"
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        times = pd.concat(batches)["ts"].sort_values()
-        passed = []
-        for t in times:
-            us = t.value // 1000
-            if last is None or us - last >= seconds * 1_000_000:
-                passed.append(t)
-                last = us
+        # of a micro-batch's rows only the times are held, 8 bytes each
+        times = np.sort(np.concatenate([b["ts"].to_numpy("datetime64[us]").astype(np.int64) for b in batches]))
+        passed, k = [], 0 if last is None else int(np.searchsorted(times, last + seconds * 1_000_000))
+        while k < len(times):  # a search for each time that passes
+            last = int(times[k])
+            passed.append(last)
+            k = max(k + 1, int(np.searchsorted(times, last + seconds * 1_000_000)))
+        if last is None:
+            return
         state.update((last,))
         state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({key: [name[0]] * len(passed), "ts": pd.Series(passed, dtype="datetime64[us]")})
+        yield pd.DataFrame({key: [name[0]] * len(passed), "ts": np.array(passed, "datetime64[us]")})
 
     kind = stream.schema[key].dataType.simpleString()
     timed = stream.select(key, "ts").withWatermark("ts", keep_for)
@@ -196,6 +256,40 @@ def health_alerts(health: DataFrame, rate: float = 10.0, unhealthy: int = 2) ->
     return nodes.unionByName(whole.filter(F.col("down") > unhealthy).select(F.lit("unhealthy nodes").alias("alert"), F.col("down").alias("value"))).unionByName(whole.filter(F.col("rate") > rate).select(F.lit("cluster").alias("alert"), F.col("rate").alias("value")))
 
 
-def micro_batch_embed(spark: SparkSession, path: str, schema: str, embed: Callable[[DataFrame], DataFrame], files: int = 8) -> DataFrame:
-    """Texts that arrive in a folder with their vectors: so many files make a batch, at most a second apart if the caller triggers so."""
-    return embed(message_stream(spark, path, schema, files))
+def embed_in_batches(stream: DataFrame, embed: Callable[[list[str]], list[list[float]]], texts: int = 32) -> DataFrame:
+    """A stream (or table) with a text, each row with its vector: embed sees so many texts at a time.
+
+    What is left at the end of a task's share of a micro-batch goes as a smaller
+    batch, so with ``trigger(processingTime="1 second")`` no text waits longer than
+    that for others.  A null text has a null vector and isn't sent.
+    """
+    schema = StructType([*stream.schema.fields, StructField("vector", ArrayType(FloatType()))])
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+
+        def done(rows: pd.DataFrame) -> pd.DataFrame:
+            given = rows["text"].notna()
+            vectors = pd.Series([None] * len(rows), index=rows.index, dtype=object)
+            if given.any():
+                found = embed(rows.loc[given, "text"].tolist())
+                vectors[given] = pd.Series(found, index=rows.index[given])
+            return rows.assign(vector=vectors)
+
+        for frame in frames:
+            while n + len(frame) >= texts:
+                first, frame = frame.iloc[: texts - n], frame.iloc[texts - n :]
+                yield done(pd.concat([*held, first], ignore_index=True))
+                held, n = [], 0
+            if len(frame):
+                held.append(frame)
+                n += len(frame)
+        if held:
+            yield done(pd.concat(held, ignore_index=True))
+
+    return stream.mapInPandas(batches, schema)
+
+
+def micro_batch_embed(spark: SparkSession, path: str, schema: str, embed: Callable[[list[str]], list[list[float]]], texts: int = 32, files: int = 8) -> DataFrame:
+    """Texts that arrive in a folder with their vectors; at most so many files make a micro-batch, texts of them a call of embed."""
+    return embed_in_batches(message_stream(spark, path, schema, files), embed, texts)

@@ -124,3 +124,50 @@ def test_state_is_one_row_a_key(spark, tmp_path):
     rows = [(1, "x", at(k), k, k % 500 == 499, f"t{k % 40}") for k in range(6000)]
     found = S.run_available(Z.working_memory_events(stream_of(spark, [rows, [(2, "x", at(90_000), 1, False, "z")]], MESSAGES, tmp_path), 8, 2, "1 day", "10 seconds"))
     assert found.count() == 12 and found.agg(F.min(F.size("texts")), F.max(F.size("texts"))).first() == (10, 10)
+
+
+# late rows, batches of texts, throttling
+
+
+def test_late_rows_are_dropped_and_counted(spark, tmp_path):
+    schema = "event_id long, ts timestamp"
+    batches = [[(1, at(0)), (2, at(90_000))], [(3, at(100))], [(4, at(100)), (5, at(5000)), (2, at(90_000))], [(6, at(3600)), (7, at(3601))], [(8, at(200_000))]]
+    late = {4, 6}  # a day and more behind the newest of all batches but the last before theirs
+    kept, dropped = S.run_counted(S.retention(stream_of(spark, batches, schema, tmp_path), "event_id"))
+    assert sorted(r["event_id"] for r in kept.collect()) == [1, 2, 3, 5, 7, 8] and dropped == len(late)
+
+
+def test_embedding_sees_batches_of_a_size(spark, tmp_path):
+    from pyspark.sql.types import ArrayType, FloatType, LongType, StringType, StructField, StructType
+
+    def embed(texts):  # tells each text how many it came with
+        return [[float(len(texts)), float(len(t))] for t in texts]
+
+    rows = [(k, None if k % 10 == 3 else "x" * (k % 7)) for k in range(103)]
+    table = spark.createDataFrame(rows, StructType([StructField("id", LongType()), StructField("text", StringType())])).coalesce(1)
+    out = S.embed_in_batches(table, embed, 20)
+    assert out.schema["vector"].dataType == ArrayType(FloatType())
+    got = {r["id"]: r["vector"] for r in out.collect()}
+    assert all(got[k] is None if t is None else got[k][1] == len(t) for k, t in rows)
+    assert {got[k][0] for k, t in rows if t is not None and k < 100} == {18.0} and {got[k][0] for k in (100, 101, 102)} == {3.0}
+    for k in range(3):
+        table.filter(F.col("id") % 3 == k).write.parquet(f"{tmp_path}/texts{k}.parquet")
+    found = S.run_available(S.micro_batch_embed(spark, f"{tmp_path}/texts", "id long, text string", embed, 5, 1))
+    assert found.count() == 103 and found.filter("vector is null").count() == sum(t is None for _, t in rows)
+
+
+def test_throttle_over_batches_and_frames(spark, tmp_path, monkeypatch):
+    rng = random.Random(7)
+    times = sorted(rng.sample(range(20_000), 1500))
+    batches = [[("k", at(t)) for t in rng.sample(times[k : k + 300], len(times[k : k + 300]))] for k in range(0, 1500, 300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        found = S.run_available(S.throttle(stream_of(spark, batches, "name string, ts timestamp", tmp_path), "name", 300)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = [], None
+    for t in times:
+        if last is None or t - last >= 300:
+            want.append(t)
+            last = t
+    assert sorted(int((r["ts"] - START).total_seconds()) for r in found) == want
