@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 
+from . import ordered as O
+
 DAY = 86_400_000_000
 
 
@@ -99,13 +101,18 @@ def memory_size(df: DataFrame) -> DataFrame:
 # --- ordered analyses, by group -------------------------------------------
 
 
+def _gaps(df: DataFrame) -> DataFrame:
+    """Rows with the hours since the one before in their group; a group may be many tasks' work."""
+    rows = O.stretches(df.select("group", "id", "ts"), ["group"], ["ts", "id"])
+    near = O.neighbours(rows, ["group"], ["ts", "id"], ["ts"], back=1)
+    return near.withColumn("gap", (micros("ts") - micros("prev1.ts")) / 3_600_000_000).filter("gap is not null")
+
+
 def regular_creation(df: DataFrame) -> DataFrame:
     """(group, id, ts): share of gaps within one sample deviation of the mean gap."""
-    order = Window.partitionBy("group").orderBy("ts", "id")
-    gaps = df.withColumn("gap", (micros("ts") - F.lag(micros("ts")).over(order)) / 3_600_000_000).filter("gap is not null")
-    whole = Window.partitionBy("group")
-    near = F.abs(F.col("gap") - F.avg("gap").over(whole)) <= F.stddev_samp("gap").over(whole)
-    return gaps.withColumn("near", near.cast("double")).groupBy("group").agg(F.avg("near").alias("regularity"), F.count("*").alias("gaps"))
+    gaps = O.with_totals(_gaps(df).select("group", "gap"), ["group"], mean=F.avg("gap"), sd=F.stddev_samp("gap"))
+    near = F.abs(F.col("gap") - F.col("mean")) <= F.col("sd")
+    return gaps.groupBy("group").agg(F.avg(near.cast("double")).alias("regularity"), F.count("*").alias("gaps"))
 
 
 def activity_bursts(df: DataFrame) -> DataFrame:
@@ -117,10 +124,12 @@ def activity_bursts(df: DataFrame) -> DataFrame:
 
 def related_runs(df: DataFrame, hours: float = 24, overlap: float = 0.5, least: int = 3) -> DataFrame:
     """The longest run of each group: neighbours less than so many hours and above an overlap of words apart."""
-    order = Window.partitionBy("group").orderBy("ts", "id")
-    close = (micros("ts") - F.lag(micros("ts")).over(order)) / 3_600_000_000 < hours
-    alike = T.word_jaccard(F.col("text"), F.lag("text").over(order)) > overlap
-    runs = df.withColumn("cut", (~F.coalesce(close & alike, F.lit(False))).cast("int")).withColumn("run", F.sum("cut").over(order))
+    rows = O.stretches(df.select("group", "id", "ts", F.array_distinct(T.words(F.lower("text"))).alias("w")), ["group"], ["ts", "id"])
+    near = O.neighbours(rows, ["group"], ["ts", "id"], ["ts", "w"], back=1)
+    close = (micros("ts") - micros("prev1.ts")) / 3_600_000_000 < hours
+    alike = T.set_jaccard(F.col("w"), F.col("prev1.w")) > overlap
+    cut = near.select("group", O.STRETCH, "id", "ts", (~F.coalesce(close & alike, F.lit(False))).cast("int").alias("cut"))
+    runs = O.running_sum(cut, ["group"], ["ts", "id"], F.col("cut"), "earlier").withColumn("run", F.col("earlier") + F.col("cut"))
     sizes = runs.groupBy("group", "run").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     best = sizes.groupBy("group").agg(F.max(F.struct("n", -F.col("first_id"))).alias("b"))
     return best.select("group", F.col("b.n").alias("n")).filter(F.col("n") >= least)
@@ -128,12 +137,19 @@ def related_runs(df: DataFrame, hours: float = 24, overlap: float = 0.5, least:
 
 def theme_trigrams(df: DataFrame) -> DataFrame:
     """First themes of three neighbours in a group that occur more than once."""
-    order = Window.partitionBy("group").orderBy("id")
     first = F.coalesce(F.try_element_at(T.themes(F.col("text")), F.lit(1)), F.lit("general"))
-    t = df.withColumn("a", first).withColumn("b", F.lead("a").over(order)).withColumn("c", F.lead("a", 2).over(order)).filter("c is not null")
+    rows = O.stretches(df.select("group", "id", first.alias("a")), ["group"], ["id"])
+    t = O.neighbours(rows, ["group"], ["id"], ["a"], ahead=2).select("a", F.col("next1.a").alias("b"), F.col("next2.a").alias("c")).filter("c is not null")
     return t.groupBy("a", "b", "c").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def thematic_progression(df: DataFrame) -> DataFrame:
+    """(group, id): memories that share a theme with the next of their group, which shares one with the one after."""
+    rows = O.stretches(df.select("group", "id", T.themes(F.col("text")).alias("a")), ["group"], ["id"])
+    t = O.neighbours(rows, ["group"], ["id"], ["a"], ahead=2)
+    return t.filter(F.arrays_overlap("a", "next1.a") & F.arrays_overlap("next1.a", "next2.a")).select("group", "id")
+
+
 def length_outliers(df: DataFrame) -> DataFrame:
     """Memories whose length is more than two deviations from the mean, both in whole numbers."""
     n = F.octet_length("text")
@@ -143,9 +159,7 @@ def length_outliers(df: DataFrame) -> DataFrame:
 
 def time_gap_anomalies(df: DataFrame) -> DataFrame:
     """Gaps above mean + 2 deviations of their group; severity min(0.8, gap / limit)."""
-    order, whole = Window.partitionBy("group").orderBy("ts", "id"), Window.partitionBy("group")
-    gaps = df.withColumn("gap", (micros("ts") - F.lag(micros("ts")).over(order)) / 3_600_000_000).filter("gap is not null")
-    limited = gaps.withColumn("limit", F.avg("gap").over(whole) + 2 * F.stddev_pop("gap").over(whole))
+    limited = O.with_totals(_gaps(df).select("group", "id", "gap"), ["group"], limit=F.avg("gap") + 2 * F.stddev_pop("gap"))
     return limited.filter("gap > limit").select("group", "id", "gap", F.least(F.lit(0.8), F.col("gap") / F.col("limit")).alias("severity"))
 
 
@@ -157,9 +171,9 @@ def turn_window(messages: DataFrame, turns: int = 10) -> DataFrame:
 
 def evict_lru(df: DataFrame, max_bytes: int) -> DataFrame:
     """(owner, id, accessed, size): the rows to drop, oldest first, until each owner's excess is covered."""
-    whole = Window.partitionBy("owner")
-    before = Window.partitionBy("owner").orderBy("accessed", "id").rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("excess", F.sum("size").over(whole) - max_bytes).withColumn("freed", F.coalesce(F.sum("size").over(before), F.lit(0))).filter("freed < excess").drop("excess", "freed")
+    rows = O.stretches(df, ["owner"], ["accessed", "id"])
+    freed = O.running_sum(rows, ["owner"], ["accessed", "id"], F.col("size"), "freed")
+    return O.with_totals(freed, ["owner"], total=F.sum("size")).filter(F.col("freed") < F.col("total") - max_bytes).select(df.columns)
 
 
 def keep_last_versions(df: DataFrame, n: int) -> DataFrame:

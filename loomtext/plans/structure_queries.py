@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import features as X
 from loomtext.functions import text as T
+from loomtext.operators import analyze as A
 from loomtext.operators import chunk as K
 from loomtext.operators import search as S
 from loomtext.operators import structure as D
@@ -197,10 +198,8 @@ WITH f AS (SELECT source, doc_id, {_THEME_SQL} AS a FROM documents), l AS (SELEC
 SELECT source, doc_id FROM l WHERE list_has_any(a, b) AND list_has_any(b, c)
 """)
 def _(t):
-    o = Window.partitionBy("source").orderBy("doc_id")
-    f = t("documents").select("source", "doc_id", T.themes(F.col("text")).alias("a"))
-    f = f.withColumn("b", F.lead("a").over(o)).withColumn("c", F.lead("a", 2).over(o))
-    return f.filter(F.arrays_overlap("a", "b") & F.arrays_overlap("b", "c")).select("source", "doc_id")
+    found = A.thematic_progression(t("documents").select(F.col("source").alias("group"), F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("group").alias("source"), F.col("id").alias("doc_id"))
 
 
 @C.add("benchmark_summary", """
