@@ -98,21 +98,35 @@ def propositions(docs: DataFrame, most: int = 10) -> DataFrame:
     return good.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most).select("doc_id", "n", "s")
 
 
-def sections(docs: DataFrame) -> DataFrame:
-    """(doc_id, section, title, lines): cut before Markdown headings, else before numbered ones, else at blank lines.
-
-    What stands before the first heading is section 0; a block at blank lines
-    has no title.
-    """
+def _section_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, line, kind, section): the lines of each section, without those that part blocks."""
     lines = docs.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("k", "line"))
     order, whole = Window.partitionBy("doc_id").orderBy("k"), Window.partitionBy("doc_id")
     marked, numbered = F.col("line").rlike(r"^#{1,6}\s"), F.col("line").rlike(r"^[0-9]+(\.[0-9]+)*\.\s+\S")
     kind = F.when(F.max(marked).over(whole), "heading").when(F.max(numbered).over(whole), "number").otherwise("block")
     blank = F.trim("line") == ""
     opens = F.when(F.col("kind") == "heading", marked).when(F.col("kind") == "number", numbered).otherwise(~blank & F.coalesce(F.lag(blank).over(order), F.lit(False)))
-    placed = lines.withColumn("kind", kind).withColumn("head", opens.cast("int")).withColumn("section", F.sum("head").over(order)).filter((F.col("kind") != "block") | ~blank)
-    title = F.when(F.col("kind") == "heading", F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1)).when(F.col("kind") == "number", F.regexp_extract("line", r"^[0-9]+(\.[0-9]+)*\.\s+(.*)$", 2)).otherwise("")
-    return placed.groupBy("doc_id", "section").agg(F.min_by(title, "k").alias("title"), F.count("*").alias("lines"))
+    placed = lines.withColumn("kind", kind).withColumn("head", opens.cast("int")).withColumn("section", F.sum("head").over(order))
+    return placed.filter((F.col("kind") != "block") | ~blank).select("doc_id", "k", "line", "kind", "section")
+
+
+def _title() -> Column:
+    return F.when(F.col("kind") == "heading", F.regexp_extract("line", r"^#{1,6}\s+(.*)$", 1)).when(F.col("kind") == "number", F.regexp_extract("line", r"^[0-9]+(\.[0-9]+)*\.\s+(.*)$", 2)).otherwise("")
+
+
+def sections(docs: DataFrame) -> DataFrame:
+    """(doc_id, section, title, lines): cut before Markdown headings, else before numbered ones, else at blank lines.
+
+    What stands before the first heading is section 0; a block at blank lines
+    has no title.
+    """
+    return _section_lines(docs).groupBy("doc_id", "section").agg(F.min_by(_title(), "k").alias("title"), F.count("*").alias("lines"))
+
+
+def section_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, section, title, text): the sections with their lines."""
+    g = _section_lines(docs).groupBy("doc_id", "section").agg(F.min_by(_title(), "k").alias("title"), F.array_sort(F.collect_list(F.struct("k", "line"))).alias("l"))
+    return g.select("doc_id", "section", "title", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
 # --- chunk statistics -----------------------------------------------------

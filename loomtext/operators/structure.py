@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 from loomtext.functions import vectors as V
+from loomtext.plans.shared import Scratch
 
 from . import chunk as K
 from .packing import packed_sections
@@ -102,6 +103,52 @@ def hierarchy(chunks: DataFrame, fan: int = 5, levels: int = 3) -> DataFrame:
     return out.unionByName(root.select("doc_id", F.lit(levels + 1).alias("level"), F.lit(1).cast("long").alias("node_no"), "first", "last", F.lit("").alias("text")))
 
 
+#: A child's first sentence counts for a summary if it is longer than so many bytes.
+LEAST_POINT = 10
+
+
+def extractive_summary(points: Column, tokens: Column, ratio: float) -> Column:
+    """The children's first sentences, cut to three quarters as many words as ratio of the tokens if they are more tokens than that."""
+    joined = F.array_join(F.filter(points, lambda s: F.octet_length(s) > LEAST_POINT), " ")
+    target = F.floor(tokens * ratio).cast("int")
+    words, keep = T.words(joined), F.floor(target * 3 / 4).cast("int")
+    cut = (T.count_tokens(joined, "word") > target) & (keep > 0) & (keep < F.size(words))
+    return F.when(cut, F.concat(F.array_join(F.slice(words, 1, F.greatest(keep, F.lit(1))), " "), F.lit("..."))).otherwise(joined)
+
+
+def section_tree(docs: DataFrame, size: int = 512, fan: int = 5, levels: int = 3, ratio: float = 0.3, least: int = 2) -> DataFrame:
+    """(doc_id, level, node_no, first, last, children, tokens, titles, point, summary): chunks of sections as leaves of a tree.
+
+    Each section (``chunk.section_texts``) is chunked by itself, so no leaf
+    crosses its end; leaves count through the document.  A level groups so many
+    nodes in a row into a parent, which covers the leaves first to last and the
+    sections titled so; a group of fewer than least nodes goes up as it is (its
+    node has no row on the level).  What is left over gets a root, on the level
+    above the last.  point is the first sentence of a node's first leaf, summary
+    the points of its children, to ratio of its tokens.
+    """
+    chunks = K.chunk_sentence(K.section_texts(docs).select(F.struct("doc_id", "section", "title").alias("doc_id"), "text"), size)
+    order = Window.partitionBy("doc_id").orderBy("section", "chunk_no")
+    leaves = chunks.select("doc_id.*", "chunk_no", "text", "tokens").withColumn("node_no", F.row_number().over(order).cast("long"))
+    point = F.coalesce(F.get(K.split_sentences(F.col("text")), F.lit(0)), F.lit(""))
+    no = F.col("node_no")
+    now = leaves.select("doc_id", F.lit(0).alias("level"), no, no.alias("first"), no.alias("last"), F.lit(0).cast("long").alias("children"), F.col("tokens").cast("long").alias("tokens"), F.array("title").alias("titles"), point.alias("point"))
+    now = now.withColumn("summary", F.lit(""))
+    scratch = Scratch(docs.sparkSession, "section-tree")
+    out = now = scratch.keep(now)
+    for level in range(1, levels + 2):
+        root = level == levels + 1
+        parent = F.lit(1).cast("long") if root else (F.floor((F.col("node_no") - 1) / fan) + 1)
+        g = now.groupBy("doc_id", parent.alias("parent")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("node_no", "first", "last", "tokens", "titles", "point"))).alias("c"))
+        points, titles = F.transform("c", lambda x: x["point"]), F.array_distinct(F.flatten(F.transform("c", lambda x: x["titles"])))
+        tokens = F.aggregate("c", F.lit(0).cast("long"), lambda acc, x: acc + x["tokens"])
+        made = g.select("doc_id", F.lit(level).alias("level"), F.col("parent").alias("node_no"), F.array_min(F.transform("c", lambda x: x["first"])).alias("first"), F.array_max(F.transform("c", lambda x: x["last"])).alias("last"), F.col("n").alias("children"), tokens.alias("tokens"), titles.alias("titles"), points[0].alias("point"), points.alias("points"))
+        made = made.withColumn("summary", F.when(F.col("children") >= least, extractive_summary(F.col("points"), F.col("tokens"), ratio)).otherwise("")).drop("points")
+        now = scratch.keep(made)
+        out = out.unionByName(now.filter(F.col("children") >= least))
+    return out
+
+
 def position_context(chunks: DataFrame) -> DataFrame:
     """Relative place, section band, and the ends of the neighbouring chunks (100 characters)."""
     order, whole = Window.partitionBy("doc_id").orderBy("chunk_no"), Window.partitionBy("doc_id")

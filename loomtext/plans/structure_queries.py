@@ -152,6 +152,15 @@ def _(t):
     return D.hierarchy(K.chunk_sentence(t("documents"), 64, max_sentences=10_000)).select("doc_id", "level", "node_no", "first", "last")
 
 
+# the invented documents have no headings, so a document is one section
+_TREE = " UNION ALL ".join(f"SELECT doc_id, {k}, {f'(n - 1) // {5**k} + 1' if k < 4 else '1'}, min(n), max(n), count(DISTINCT (n - 1) // {5 ** (k - 1)}), sum(tokens)::BIGINT FROM c GROUP BY doc_id{f', (n - 1) // {5**k}' if k < 4 else ''} HAVING count(DISTINCT (n - 1) // {5 ** (k - 1)}) > 1" for k in (1, 2, 3, 4))
+
+
+@C.add("section_tree", f"WITH c AS (SELECT doc_id, chunk_no::BIGINT AS n, tokens FROM {_CHUNKS}) SELECT doc_id, 0 AS level, n AS node_no, n AS first, n AS last, 0 AS children, tokens FROM c UNION ALL {_TREE}")
+def _(t):
+    return D.section_tree(t("documents"), 64).select("doc_id", "level", "node_no", "first", "last", "children", "tokens")
+
+
 @C.add("position_context", f"""
 WITH c AS (SELECT *, (chunk_no - 1) / count(*) OVER (PARTITION BY doc_id) AS rel FROM {_CHUNKS})
 SELECT doc_id, chunk_no, round(rel, 6) AS \"at\", CASE WHEN rel < 0.1 THEN 'introduction' WHEN rel < 0.3 THEN 'early' WHEN rel < 0.7 THEN 'middle' WHEN rel < 0.9 THEN 'late' ELSE 'conclusion' END AS band,

@@ -97,3 +97,57 @@ def test_marks_of_tables_and_code(spark):
     assert got == tables
     got = {r["t"]: r["v"] for r in spark.createDataFrame([(t,) for t in code], "t string").select("t", X.has_code(F.col("t")).alias("v")).collect()}
     assert got == code
+
+
+def plain_tree(sections, chunked, fan, levels, ratio, least=2):
+    """One document's tree: leaves by section, then groups of fan nodes, then the root."""
+    sentences = lambda s: [x.strip() for x in re.split(r"(?<=[.!?])\s+", s) if x.strip()]
+    nodes = []
+    for title, chunks in zip(sections, chunked):
+        for text, n in chunks:
+            k = len(nodes) + 1
+            nodes.append((k, k, k, 0, n, [title], sentences(text)[0], ""))
+    out = [(0, *x) for x in nodes]
+    for level in range(1, levels + 2):
+        groups = {}
+        for x in nodes:
+            groups.setdefault(1 if level > levels else (x[0] - 1) // fan + 1, []).append(x)
+        nodes = []
+        for k, c in sorted(groups.items()):
+            tokens_, points = sum(x[4] for x in c), [x[6] for x in c]
+            joined = " ".join(p for p in points if len(p.encode()) > 10)
+            target = int(tokens_ * ratio + 1e-9)
+            keep = target * 3 // 4
+            if tokens(joined) > target and 0 < keep < len(joined.split()):
+                joined = " ".join(joined.split()[:keep]) + "..."
+            titles = list(dict.fromkeys(t for x in c for t in x[5]))
+            nodes.append((k, c[0][1], c[-1][2], len(c), tokens_, titles, points[0], joined if len(c) >= least else ""))
+        out += [(level, *x) for x in nodes if x[3] >= least]
+    return out
+
+
+def test_section_tree_equals_a_plain_one(spark):
+    from loomtext.operators import chunk as K
+
+    rng = random.Random(9)
+    sentence = lambda: f"{rng.choice(['Alpha', 'Beta', 'No'])} " + " ".join(f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 9))) + "."
+    docs, parts = [], {}
+    for d in range(6):
+        held = [(f"Title {k}", " ".join(sentence() for _ in range(rng.randint(1, 14)))) for k in range(rng.choice([1, 3, 9]))]
+        docs.append((d, "\n".join(f"# {t}\n{x}" for t, x in held)))
+        parts[d] = held
+    docs += [(6, None), (7, ""), (8, "One line alone.")]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = {(r["doc_id"], r["title"]): r["text"] for r in K.section_texts(table).collect()}
+    assert texts[0, "Title 0"] == f"# Title 0\n{parts[0][0][1]}"
+    for fan, levels in ((2, 3), (5, 1)):
+        got = {}
+        for r in D.section_tree(table, 20, fan, levels).collect():
+            got.setdefault(r["doc_id"], []).append((r["level"], r["node_no"], r["first"], r["last"], r["children"], r["tokens"], r["titles"], r["point"], r["summary"]))
+        for d, held in parts.items():
+            chunked = []
+            for title, x in held:
+                rows = K.chunk_sentence(spark.createDataFrame([(1, f"# {title}\n{x}")], "doc_id long, text string"), 20).orderBy("chunk_no").collect()
+                chunked.append([(r["text"], r["tokens"]) for r in rows])
+            assert sorted(got[d]) == sorted(plain_tree([t for t, _ in held], chunked, fan, levels, 0.3)), (d, fan)
+        assert 6 not in got and 7 not in got and [x[:2] for x in got[8]] == [(0, 1)]
