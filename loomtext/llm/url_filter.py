@@ -9,6 +9,9 @@ are kept, however many tokens they have, unless a part of the tokens tells the
 label as surely.  A url is blocked when the most confident rule for "block" among
 those that fit is more confident than every fitting rule for "allow".
 
+A token that only urls of one label have is a rule of its own, as sure as can be,
+so no larger set with it can change a verdict: it is left out of the mining, and
+any number of such tokens that often stand together cost nothing.
 Tokens that the labelled urls always have together (a host's labels, say) are
 one item for mining, so k of them don't make 2**k itemsets; a url with any of
 them has the item, since a rule with another one of them is as sure.  Only
@@ -28,6 +31,8 @@ ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,7 +93,12 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     """(antecedent, label, confidence, index_token) from rows (tokens, label); support counts of support_of rows, by default these."""
     if support_of is not None:
         min_support = min(1.0, min_support * support_of / max(1, labelled.count()))
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("="), "label"))).alias("items"))
+    scratch = Scratch(labelled.sparkSession, "url-rules")
+    least = F.lit(math.ceil(min_support * labelled.count() - 1e-9))
+    each = labelled.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.min("label").alias("label"), F.max("label").alias("other"))
+    pure = scratch.keep(each.filter((F.col("label") == F.col("other")) & (F.col("n") >= least)).select("token", "label"))
+    listed = pure.agg(F.collect_list("token").alias("pure"))  # at most tokens a url / MIN_SUPPORT
+    items = labelled.join(F.broadcast(listed)).select(F.concat(F.array_except("tokens", "pure"), F.array(F.concat(F.lit("="), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.select("antecedent", F.col("consequent")[0].alias("label"), "confidence")
     rules = rules.filter(F.col("label").startswith("=") & ~F.exists("antecedent", lambda x: x.startswith("=")))
@@ -96,7 +106,8 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     rules = rules.select("antecedent", F.expr("substring(label, 2)").alias("label"), "confidence")
     rarest = rules.select("antecedent", F.explode("antecedent").alias("token")).distinct().join(often, "token").groupBy("antecedent").agg(F.min(F.struct("n", "token")).alias("r"))
     rules = rules.join(rarest, "antecedent").select("antecedent", "label", "confidence", F.col("r.token").alias("index_token"))
-    return without_redundant(Scratch(labelled.sparkSession, "url-rules").keep(rules))
+    alone = pure.select(F.array("token").alias("antecedent"), "label", F.lit(1.0).alias("confidence"), F.col("token").alias("index_token"))
+    return without_redundant(scratch.keep(rules)).unionByName(alone)
 
 
 def without_redundant(rules: DataFrame) -> DataFrame:

@@ -348,3 +348,64 @@ def test_mixing_of_null_and_repeated_ids(spark, monkeypatch):
         assert abs(big - 0.5 * (n + 1)) <= 10
     drawn = X.Scratch(spark, "x").keep(frame(spark, rows).select(F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("d")))
     assert max(r["count"] for r in drawn.groupBy(F.pmod("d", F.lit(20))).count().collect()) < 2 * 300
+
+
+def judged(known, sets, support, confidence):
+    """Verdicts by all frequent sets of tokens, without any rule left out."""
+    counts = {}
+    for tokens, label in known:
+        for n in range(1, len(tokens) + 1):
+            for x in itertools.combinations(sorted(tokens), n):
+                counts.setdefault(x, []).append(label)
+    least = math.ceil(support * len(known) - 1e-9)
+    out = []
+    for tokens in sets:
+        best = {"block": 0.0, "allow": 0.0}
+        for n in range(1, len(tokens) + 1):
+            for x in itertools.combinations(sorted(tokens), n):
+                for label in best:
+                    m = counts.get(x, []).count(label)
+                    if m >= least and m / len(counts[x]) >= confidence:
+                        best[label] = max(best[label], m / len(counts[x]))
+        out.append("block" if best["block"] > best["allow"] else "allow")
+    return out
+
+
+def segments(rng, k, share):
+    return [f"s{i}" for i in range(k) if rng.random() < share]
+
+
+@pytest.mark.parametrize("mixed", [False, True])
+def test_near_equal_tokens_give_the_verdicts_of_all_sets(spark, mixed):
+    rng = random.Random(15)
+    letter = "abcdefghij"
+    urls = []
+    for k in range(260):
+        if k % 2:  # ten segments that nearly always stand together
+            label = "block" if not mixed or rng.random() < 0.85 else "allow"
+            urls.append(("http://h.test/" + "/".join(letter[int(s[1:])] * 3 for s in segments(rng, 7, 0.95)), label))
+        else:
+            urls.append((f"http://o.test/{rng.choice('xyz')}/{rng.choice('uv')}", rng.choice(["allow", "allow", "block"])))
+    labelled = spark.createDataFrame(urls, "url string, label string")
+    asked = [(k, f"http://q.test/{'/'.join(rng.sample([c * 3 for c in letter[:7]] + list('xyzuv'), rng.randint(0, 4)))}") for k in range(60)]
+    got = {r["page_id"]: r["verdict"] for r in U.filter_urls(spark.createDataFrame(asked, "page_id long, url string"), rules=(), labelled=labelled).collect()}
+
+    def tokens(url):
+        host, _, path = url.split("://")[1].partition("/")
+        return {"h:" + x for x in host.split(".")} | {"d:" + host} | {"p:" + x for x in path.split("/") if x}
+
+    want = judged([(tokens(u), x) for u, x in urls], [tokens(u) for _, u in asked], U.MIN_SUPPORT, U.MIN_CONFIDENCE)
+    assert [got[k] for k in range(60)] == want and set(want) == {"allow", "block"}
+
+
+def test_many_near_equal_tokens_of_one_label(spark):
+    """25 segments, each missing from 1 % of the urls that hold them: 2**25 frequent sets, 25 rules."""
+    import time
+
+    rng = random.Random(16)
+    urls = [("http://h.test/" + "/".join(f"{chr(97 + int(s[1:]))}seg" for s in segments(rng, 25, 0.99)), "block") for _ in range(400)]
+    urls += [(f"http://o.test/{rng.choice('xyz')}", "allow") for _ in range(400)]
+    began = time.time()
+    asked = spark.createDataFrame([(1, "http://n.test/cseg/other"), (2, "http://n.test/x"), (3, None)], "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in U.filter_urls(asked, rules=(), labelled=spark.createDataFrame(urls, "url string, label string")).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow"} and time.time() - began < 60
