@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtext.functions import text as T
+
 # What each role may do, as role -> actions; root may do all.
 PERMISSIONS = {"admin": ("read", "write", "delete", "manage"), "user": ("read", "write"), "guest": ("read",)}
 # Token scopes from wide to narrow; each holds those after it.
@@ -121,17 +123,71 @@ def cluster_health(beats: DataFrame, now: Column, interval: int = 60) -> DataFra
 
 
 def pool_vectors(tokens: DataFrame, how: str = "mean") -> DataFrame:
-    """(id, pos, vector): the first, the mean or the maximum of each id's token vectors."""
+    """(id, pos, vector): the first (cls), the mean, the maximum, or mean and maximum one behind the other (mean_max) of each id's token vectors.
+
+    With a column mask, tokens where it isn't true are padding: they count for no
+    mean (an id of padding alone has zeros), but for the maximum, as do all.
+    """
     if how == "cls":
         return tokens.groupBy("id").agg(F.min_by("vector", "pos").alias("vector"))
-    each = tokens.select("id", F.posexplode_outer("vector").alias("k", "x")).filter("k is not null").groupBy("id", "k").agg((F.avg if how == "mean" else F.max)(F.col("x").cast("double")).alias("x"))
-    return each.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")).select("id", F.transform("v", lambda e: e["x"]).alias("vector"))
+    if how not in ("mean", "max", "mean_max"):
+        raise ValueError(f"unknown pooling: {how}")
+    counts = F.coalesce(F.col("mask").cast("boolean"), F.lit(False)) if "mask" in tokens.columns else F.lit(True)
+    x = F.col("x").cast("double")
+    each = tokens.select("id", counts.alias("counts"), F.posexplode_outer("vector").alias("k", "x")).filter("k is not null")
+    g = each.groupBy("id", "k").agg(F.coalesce(F.avg(F.when(F.col("counts"), x)), F.lit(0.0)).alias("mean"), F.max(x).alias("max"))
+    listed = g.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("k", "mean", "max"))).alias("v"))
+    part = lambda name: F.transform("v", lambda e: e[name])
+    return listed.select("id", (F.concat(part("mean"), part("max")) if how == "mean_max" else part(how)).alias("vector"))
 
 
 def concat_arrays(parts: DataFrame) -> DataFrame:
-    """(id, pos, vector): the arrays of each id, one behind the other."""
-    g = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("p"))
-    return g.select("id", F.flatten(F.transform("p", lambda e: e["vector"])).alias("vector"))
+    """(id, pos, vector): the arrays of each id, one behind the other.
+
+    With a column shape, parts of one id must have the same: the result then has
+    the columns length (of all parts) and fits; where they differ, or one is null,
+    fits is false and the vector null.
+    """
+    shaped = ["shape"] if "shape" in parts.columns else []
+    more = [F.sum(F.size("vector")).alias("length"), ((F.count_distinct("shape") == 1) & (F.count("shape") == F.count("*"))).alias("fits")] if shaped else []
+    g = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "vector"))).alias("p"), *more)
+    joined = F.flatten(F.transform("p", lambda e: e["vector"]))
+    if not shaped:
+        return g.select("id", joined.alias("vector"))
+    return g.select("id", F.when(F.col("fits"), joined).alias("vector"), "length", "fits")
+
+
+# --- sizes of a memory, kept with each write --------------------------------
+
+
+def size_counts(memories: DataFrame, vectors: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(measure, n) and (term, n): what a table of memories (id, memory_type, text), vectors, nodes and edges adds to the sizes.
+
+    Both are sums, so the counts of a write are added to the stored ones by
+    ``merge_sizes``; terms are counted by memory, which makes them removable.
+    """
+    total = memories.agg(F.count("*").alias("n")).select(F.lit("total").alias("measure"), "n")
+    types = memories.groupBy(F.concat(F.lit("type:"), F.coalesce("memory_type", F.lit(""))).alias("measure")).agg(F.count("*").alias("n"))
+    counts = total.unionByName(types)
+    for name, table in (("embeddings", vectors), ("graph_nodes", nodes), ("graph_edges", edges)):
+        if table is not None:
+            counts = counts.unionByName(table.agg(F.count("*").alias("n")).select(F.lit(name).alias("measure"), "n"))
+    terms = memories.select(F.explode(F.array_distinct(T.clean_words(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return counts, terms
+
+
+def merge_sizes(stored: tuple[DataFrame, DataFrame], change: tuple[DataFrame, DataFrame], removed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Stored counts with those of rows that were added, or removed; what falls to nothing drops out."""
+    sign, out = -1 if removed else 1, []
+    for key, old, new in zip(("measure", "term"), stored, change):
+        both = old.unionByName(new.select(key, (F.col("n") * sign).alias("n")))
+        out.append(both.groupBy(key).agg(F.sum("n").alias("n")).filter("n > 0"))
+    return out[0], out[1]
+
+
+def memory_sizes(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(measure, n): memories in all and by type, vectors, nodes, edges, and the different terms of the index (index_size)."""
+    return counts.unionByName(terms.agg(F.count("*").alias("n")).select(F.lit("index_size").alias("measure"), "n"))
 
 
 def newest(df: DataFrame, by: str, order: list, k: int = 1) -> DataFrame:

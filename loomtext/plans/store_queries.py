@@ -191,6 +191,39 @@ def _folded(p):
     return each.groupBy("id").agg(F.round(F.sum("x"), 6).alias("total"), F.round(F.sum(F.col("x") * (F.col("k") + 1)), 5).alias("weighted"))
 
 
+@C.add("pool_vectors_mean_max", """
+WITH e AS (SELECT label AS id, vec_id % 4 <> 0 AS mask, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
+m AS (SELECT id, k, avg(x) FILTER (mask) AS x FROM e GROUP BY ALL UNION ALL SELECT id, k + 64, max(x) FROM e GROUP BY ALL)
+SELECT id, round(sum(x), 6) AS total, round(sum(x * k), 5) AS weighted FROM m GROUP BY id
+""")
+def _(t):
+    tokens = t("embeddings").select(F.col("label").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"), (F.col("vec_id") % 4 != 0).alias("mask"))
+    return _folded(S.pool_vectors(tokens, "mean_max"))
+
+
+@C.add("concat_vectors_checked", """
+SELECT label AS id, sum(len(embedding))::BIGINT AS length, count(DISTINCT CASE WHEN vec_id = 17 THEN 'odd' ELSE 'even' END) = 1 AS fits,
+  CASE WHEN count(DISTINCT CASE WHEN vec_id = 17 THEN 'odd' ELSE 'even' END) = 1 THEN len(flatten(list(embedding ORDER BY vec_id))) END AS n FROM embeddings GROUP BY label
+""")
+def _(t):
+    parts = t("embeddings").select(F.col("label").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector"), F.when(F.col("vec_id") == 17, "odd").otherwise("even").alias("shape"))
+    return S.concat_arrays(parts).select("id", "length", "fits", F.when(F.col("fits"), F.size("vector")).alias("n"))
+
+
+@C.add("memory_sizes", r"""
+WITH w AS (SELECT doc_id, lang, list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[.,!?;:()\[\]{}"''\-]', '', 'g'), '\s+'), lambda x: x <> '')) AS w FROM documents WHERE doc_id % 5 <> 0 OR doc_id % 2 = 1)
+SELECT 'total' AS measure, count(*) AS n FROM w UNION ALL SELECT 'type:' || lang, count(*) FROM w GROUP BY lang
+UNION ALL SELECT 'embeddings', count(*) FROM embeddings UNION ALL SELECT 'graph_nodes', count(*) FROM supplier UNION ALL SELECT 'graph_edges', count(*) FROM lineitem
+UNION ALL SELECT 'index_size', count(DISTINCT x) FROM (SELECT unnest(w) AS x FROM w)
+""")
+def _(t):
+    # all memories are written in two parts, then a tenth of them is deleted
+    m = t("documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("memory_type"), "text")
+    stored = S.size_counts(m.filter("id % 2 = 0"), t("embeddings"), t("supplier"), t("lineitem"))
+    stored = S.merge_sizes(stored, S.size_counts(m.filter("id % 2 = 1")))
+    return S.memory_sizes(*S.merge_sizes(stored, S.size_counts(m.filter("id % 10 = 0")), removed=True))
+
+
 @C.add("concat_vectors", "SELECT label AS id, len(flatten(list(embedding ORDER BY vec_id))) AS n, round(flatten(list(embedding ORDER BY vec_id))[100]::DOUBLE, 6) AS x FROM embeddings GROUP BY label")
 def _(t):
     c = S.concat_arrays(t("embeddings").select(F.col("label").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vector")))
