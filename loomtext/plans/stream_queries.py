@@ -21,6 +21,11 @@ def r(*cols):
     return [F.round(c, 6).alias(c) for c in cols]
 
 
+def nearest_second(ts):
+    """A timestamp at its nearest whole second (halves to the even one), as the twins' cast of seconds to BIGINT gives it."""
+    return F.timestamp_seconds(F.rint(F.unix_micros(ts.cast("timestamp")) / 1_000_000).cast("long"))
+
+
 def _streaming(name: str, sql: str | None, table: str, schema: str):
     """Registers fn(stream): the query reads the table as a stream."""
 
@@ -140,7 +145,7 @@ WITH b AS (SELECT user_id AS node, max(ts) AS ts, count(*) AS tasks, count(*) FI
 SELECT node, epoch((SELECT max(ts) FROM b))::BIGINT - epoch(ts)::BIGINT <= 43200 AS healthy, tasks, errors, round(100.0 * errors / tasks, 6) AS error_rate FROM b
 """, "events", S.EVENTS)
 def _(s):
-    beats = s.select(F.col("user_id").alias("node"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), F.lit(1).alias("tasks"), (F.col("event_type") == "error").cast("int").alias("errors"))
+    beats = s.select(F.col("user_id").alias("node"), nearest_second(F.col("ts")).alias("ts"), F.lit(1).alias("tasks"), (F.col("event_type") == "error").cast("int").alias("errors"))
     latest = S.run_available(S.node_health(beats), "update", keys=("node",))
     return S.health_of(latest, 14400).select("node", "healthy", "tasks", "errors", *r("error_rate"))
 
@@ -153,7 +158,7 @@ UNION ALL SELECT 'unhealthy nodes', count(*)::DOUBLE FROM h WHERE NOT healthy HA
 UNION ALL SELECT 'cluster', round(100.0 * sum(errors) / sum(tasks), 6) FROM h HAVING 100.0 * sum(errors) / sum(tasks) > 10
 """, "events", S.EVENTS)
 def _(s):
-    beats = s.select(F.col("user_id").alias("node"), F.date_trunc("second", F.col("ts").cast("timestamp")).alias("ts"), F.lit(1).alias("tasks"), (F.col("event_type") == "error").cast("int").alias("errors"))
+    beats = s.select(F.col("user_id").alias("node"), nearest_second(F.col("ts")).alias("ts"), F.lit(1).alias("tasks"), (F.col("event_type") == "error").cast("int").alias("errors"))
     latest = S.run_available(S.node_health(beats), "update", keys=("node",))
     return S.health_alerts(S.health_of(latest, 14400)).select("alert", *r("value"))
 

@@ -3,10 +3,12 @@
 import random
 from datetime import datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from loomtext.operators import search
+from loomtext.plans import registry
 from loomtext.streaming import stateful as Z
 from loomtext.streaming import streams as S
 
@@ -71,6 +73,19 @@ def test_one_batch_of_all_beats(spark, tmp_path):
     assert got == changes(beats, 30, 9000 - 5) and len(got) == 4
 
 
+@pytest.mark.parametrize("name", ["stream_node_health", "stream_health_alerts"])
+def test_health_rounds_seconds_as_its_sql_does(spark, tmp_path, name):
+    """Ages about 12 hours, with the newest beat and the last ones on both sides of half a second."""
+    rows = [(k, datetime(2024, 5, 1, 12, 0, 0, 700_000) - timedelta(seconds=43199 + k // 4, microseconds=[0, 300_000, 600_000, 900_000][k % 4]), k, "view", 1.0, "{}") for k in range(12)]
+    rows.append((99, datetime(2024, 5, 1, 12, 0, 0, 700_000), 99, "error", 1.0, "{}"))
+    spark.createDataFrame(rows, S.EVENTS).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(registry.SQL[name]).df()
+    got = registry.QUERIES[name](spark, str(tmp_path)).toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
 # working memory
 
 MESSAGES = "user_id long, cube_id string, ts timestamp, pos long, is_query boolean, text string"
