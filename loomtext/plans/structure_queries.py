@@ -11,6 +11,7 @@ from loomtext.operators import analyze as A
 from loomtext.operators import chunk as K
 from loomtext.operators import search as S
 from loomtext.operators import structure as D
+from loomtext.plans.shared import Scratch
 
 from .catalog import SQL_MARKS, SQL_N_WORDS, Catalog, sql_words
 from .store_queries import _CHUNKS
@@ -244,5 +245,5 @@ def _(t):
 
     v = t("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     core = S.knn(v.filter("id = 0").withColumnRenamed("id", "query_id"), v, 5).select("id")
-    edges = cosine_pairs(v, 0.33).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    edges = Scratch(v.sparkSession, "similar").keep(cosine_pairs(v, 0.33).select(F.col("a").alias("src"), F.col("b").alias("dst")))
     return G.traverse(core, edges, 2, "both")
