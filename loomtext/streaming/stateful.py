@@ -1,8 +1,10 @@
 """Streams with state and timers of their own: working memory by event, node health by beats.
 
-Both run on ``transformWithStateInPandas``: state lives in RocksDB beside the
-executors, is saved with each batch, and goes by event-time timers.  Rows of a
-group are taken a data frame at a time and leave nothing behind but the state,
+Both run on ``applyInPandasWithState``: a key's state comes and goes with its rows,
+many keys to an Arrow batch, so a key costs no calls to the store of its own.
+State lives in RocksDB beside the executors, is saved with each batch, and goes by
+event-time timers: one a key, at the next thing that is due; all that is due by the
+watermark is done in one call.  Rows of a group are taken a data frame at a time,
 so a micro-batch may hold any number of rows of one key, in any order.
 """
 
@@ -10,12 +12,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: The only kind of store that holds such state.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -23,86 +25,63 @@ def use_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-class _WorkingMemory(StatefulProcessor):
-    """State: the texts held, candidates by text with their first place, and the queries that wait for the watermark."""
-
-    def __init__(self, cap: int, idle_ms: int):
-        self.cap, self.idle_ms = cap, idle_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.held = handle.getListState("held", "text string")
-        self.candidates = handle.getMapState("candidates", "text string", "ms long, pos long")
-        self.queries = handle.getMapState("queries", "pos long", "ms long")
-        self.goes = handle.getValueState("goes", "ms long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        old = self.goes.get()[0] if self.goes.exists() else None
-        if old is not None and old <= now:  # the timer would come after these rows
-            answers = self._answers(old)
-            self.handle.deleteTimer(old)
-            self._forget()
-            old = None
-            yield self._rows(key, answers)
-        newest = 0
-        for part in rows:
-            ms = part["ts"].astype("datetime64[ms]").astype("int64")
-            newest = max(newest, int(ms.max()))
-            for is_query, text, pos, at in zip(part["is_query"], part["text"], part["pos"], ms):
-                if is_query:
-                    self.queries.updateValue((int(pos),), (int(at),))
-                    self.handle.registerTimer(int(at) + 1)
-                elif text is not None:
-                    before = self.candidates.getValue((text,)) if self.candidates.containsKey((text,)) else None
-                    if before is None or (int(at), int(pos)) < tuple(before):
-                        self.candidates.updateValue((text,), (int(at), int(pos)))
-        goes = newest + self.idle_ms
-        if old is None or goes > old:
-            if old is not None:
-                self.handle.deleteTimer(old)
-            self.goes.update((goes,))
-            self.handle.registerTimer(goes)
-        yield pd.DataFrame()
-
-    def _forget(self) -> None:
-        for state in (self.held, self.candidates, self.queries, self.goes):
-            state.clear()
-
-    @staticmethod
-    def _rows(key, answers: list[tuple]) -> pd.DataFrame:
-        if not answers:
-            return pd.DataFrame()
-        n = len(answers)
-        return pd.DataFrame({"user_id": [key[0]] * n, "cube_id": [key[1]] * n, "pos": [p for p, _ in answers], "texts": [t for _, t in answers]})
-
-    def _answers(self, upto: int) -> list[tuple]:
-        due = sorted((at, pos) for (pos,), (at,) in self.queries.iterator() if at <= upto)
-        held = [t for (t,) in self.held.get()] if self.held.exists() else []
-        waiting = sorted((at, pos, text) for (text,), (at, pos) in self.candidates.iterator()) if due else []
-        out, k = [], 0
-        for at, pos in due:
-            while k < len(waiting) and waiting[k][:2] < (at, pos):
-                text = waiting[k][2]
-                if len(held) < self.cap and text not in held:
-                    held.append(text)
-                self.candidates.removeKey((text,))
-                k += 1
-            out.append((pos, list(held)))
-            self.queries.removeKey((pos,))
-        if held and out:
-            self.held.put([(t,) for t in held])
-        return out
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        answers = self._answers(now - 1)
-        if self.goes.exists() and self.goes.get()[0] == now:
-            self._forget()
-        yield self._rows(key, answers)
-
-    def close(self) -> None:
-        pass
+def _wake(state: GroupState, due: int) -> None:
+    """Calls again once the watermark is at due or past it (Spark's timeouts need it past)."""
+    state.setTimeoutTimestamp(max(due - 1, 1))
+
+
+#: The texts held, candidates by text with their first place, the queries that wait for the watermark, and when all goes.
+_MEMORY = "held array<string>, texts array<string>, ms array<long>, pos array<long>, asked array<long>, asked_ms array<long>, goes long"
+
+
+def _answers(held: list, candidates: dict, queries: dict, upto: int, cap: int) -> list[tuple]:
+    """The queries up to a time, in order, each with what is held after the candidates before it."""
+    due = sorted((at, pos) for pos, at in queries.items() if at <= upto)
+    waiting = sorted((at, pos, text) for text, (at, pos) in candidates.items()) if due else []
+    out, k = [], 0
+    for at, pos in due:
+        while k < len(waiting) and waiting[k][:2] < (at, pos):
+            text = waiting[k][2]
+            if len(held) < cap and text not in held:
+                held.append(text)
+            del candidates[text]
+            k += 1
+        out.append((pos, list(held)))
+        del queries[pos]
+    return out
+
+
+def _working_memory(cap: int, idle_ms: int):
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, answers = state.getCurrentWatermarkMs(), []
+        held, candidates, queries, goes = [], {}, {}, None
+        if state.exists:
+            held, texts, ms, pos, asked, asked_ms, goes = state.get
+            held, candidates, queries = list(held), dict(zip(texts, zip(ms, pos))), dict(zip(asked, asked_ms))
+            if goes <= now:  # before these rows
+                answers += _answers(held, candidates, queries, goes, cap)
+                held, candidates, queries, goes = [], {}, {}, None
+        if not state.hasTimedOut:
+            for part in rows:
+                for is_query, text, pos, at in zip(part["is_query"], part["text"], part["pos"].tolist(), part["ms"].tolist()):
+                    if is_query:
+                        queries[pos] = at
+                    elif text is not None and (text not in candidates or (at, pos) < candidates[text]):
+                        candidates[text] = (at, pos)
+                goes = max(goes or 0, int(part["ms"].max()) + idle_ms)
+        answers += _answers(held, candidates, queries, now - 1, cap)
+        if goes is None or goes <= now:
+            if state.exists:
+                state.remove()
+        else:
+            places = list(candidates.values())
+            state.update((held, list(candidates), [a for a, _ in places], [p for _, p in places], list(queries), list(queries.values()), goes))
+            _wake(state, min([goes, *(at + 1 for at in queries.values())]))
+        if answers:
+            n = len(answers)
+            yield pd.DataFrame({"user_id": [key[0]] * n, "cube_id": [key[1]] * n, "pos": [p for p, _ in answers], "texts": [t for _, t in answers]})
+
+    return step
 
 
 def working_memory_events(stream: DataFrame, top: int, extra: int, idle: str = "1 day", delay: str = "1 hour") -> DataFrame:
@@ -119,73 +98,50 @@ def working_memory_events(stream: DataFrame, top: int, extra: int, idle: str = "
     use_store(stream.sparkSession)
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     users, cubes = (stream.schema[c].dataType.simpleString() for c in ("user_id", "cube_id"))
-    timed = stream.select("user_id", "cube_id", "ts", F.col("pos").cast("long").alias("pos"), "is_query", "text").filter("ts is not null").withWatermark("ts", delay)
+    timed = stream.select("user_id", "cube_id", "ts", F.col("pos").cast("long").alias("pos"), "is_query", "text", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")).filter("ts is not null").withWatermark("ts", delay)
     schema = f"user_id {users}, cube_id {cubes}, pos long, texts array<string>"
-    return timed.groupBy("user_id", "cube_id").transformWithStateInPandas(_WorkingMemory(top + extra, idle_ms), schema, "append", "eventTime")
-
-
-class _NodeHealth(StatefulProcessor):
-    """State: the stretches in which beats follow each other closely enough, as (first beat, last beat) by first beat, and the totals."""
-
-    def __init__(self, grace_ms: int):
-        self.grace = grace_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.stretches = handle.getListState("stretches", "first long, last long, told boolean")
-        self.totals = handle.getValueState("totals", "tasks long, errors long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        held = [tuple(s) for s in self.stretches.get()] if self.stretches.exists() else []
-        tasks, errors = self.totals.get() if self.totals.exists() else (0, 0)
-        ends = {last for _, last, _ in held}
-        for part in rows:  # a data frame becomes stretches, these are joined with those held
-            ms = part["ts"].astype("datetime64[ms]").astype("int64").sort_values()
-            cut = (ms.diff() > self.grace).cumsum()
-            held += [(int(g.iloc[0]), int(g.iloc[-1]), False) for _, g in ms.groupby(cut)]
-            tasks, errors = tasks + int(part["tasks"].sum()), errors + int(part["errors"].sum())
-            joined: list[tuple] = []
-            for first, last, told in sorted(held):
-                if joined and first - joined[-1][1] <= self.grace:
-                    joined[-1] = (joined[-1][0], max(joined[-1][1], last), joined[-1][2] or told)
-                else:
-                    joined.append((first, last, told))
-            held = joined
-        now = {last for _, last, _ in held}
-        for last in ends - now:
-            self.handle.deleteTimer(last + self.grace + 1)
-        for first, last, told in held:
-            if last not in ends:
-                self.handle.registerTimer(last + self.grace + 1)
-            if not told:
-                self.handle.registerTimer(first + 1)
-        self.stretches.put(held)
-        self.totals.update((tasks, errors))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+    return timed.groupBy("user_id", "cube_id").applyInPandasWithState(_working_memory(top + extra, idle_ms), schema, _MEMORY, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: The stretches in which beats follow each other closely enough, by first beat, whether their start has been told, and the totals.
+_STRETCHES = "firsts array<long>, lasts array<long>, told array<boolean>, tasks long, errors long"
+
+
+def _node_health(grace: int):
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now, held, tasks, errors = state.getCurrentWatermarkMs(), [], 0, 0
+        if state.exists:
+            firsts, lasts, told, tasks, errors = state.get
+            held = list(zip(firsts, lasts, told))
+        if not state.hasTimedOut:
+            for part in rows:  # a data frame becomes stretches, these are joined with those held
+                ms = np.sort(part["ms"].to_numpy())
+                cut = np.flatnonzero(np.diff(ms) > grace) + 1
+                held += [(a, b, False) for a, b in zip(ms[np.append(0, cut)].tolist(), ms[np.append(cut, len(ms)) - 1].tolist())]
+                tasks, errors = tasks + int(part["tasks"].sum()), errors + int(part["errors"].sum())
+                joined: list[tuple] = []
+                for first, last, told in sorted(held):
+                    if joined and first - joined[-1][1] <= grace:
+                        joined[-1] = (joined[-1][0], max(joined[-1][1], last), joined[-1][2] or told)
+                    else:
+                        joined.append((first, last, told))
+                held = joined
         out, left = [], []
-        for first, last, told in (tuple(s) for s in self.stretches.get()) if self.stretches.exists() else ():
+        for first, last, told in held:
             if not told and first + 1 <= now:
                 out.append((first, True))
                 told = True
-            if last + self.grace + 1 <= now:
-                out.append((last + self.grace, False))
+            if last + grace + 1 <= now:
+                out.append((last + grace, False))
             else:
                 left.append((first, last, told))
+        state.update(([x[0] for x in left], [x[1] for x in left], [x[2] for x in left], tasks, errors))
         if left:
-            self.stretches.put(left)
-        else:
-            self.stretches.clear()
-        tasks, errors = self.totals.get()
+            _wake(state, min(last + grace + 1 if told else first + 1 for first, last, told in left))
         if out:
-            yield pd.DataFrame({"node": [key[0]] * len(out), "ts": pd.to_datetime([t for t, _ in out], unit="ms"), "healthy": [h for _, h in out], "tasks": tasks, "errors": errors})
-        else:
-            yield pd.DataFrame()
+            yield pd.DataFrame({"node": [key[0]] * len(out), "ms": [t for t, _ in out], "healthy": [h for _, h in out], "tasks": tasks, "errors": errors})
 
-    def close(self) -> None:
-        pass
+    return step
 
 
 def node_changes(beats: DataFrame, interval: int = 60, delay: str = "1 minute") -> DataFrame:
@@ -198,5 +154,7 @@ def node_changes(beats: DataFrame, interval: int = 60, delay: str = "1 minute")
     """
     use_store(beats.sparkSession)
     node = beats.schema["node"].dataType.simpleString()
-    timed = beats.select("node", "ts", F.col("tasks").cast("long").alias("tasks"), F.col("errors").cast("long").alias("errors")).filter("ts is not null").withWatermark("ts", delay)
-    return timed.groupBy("node").transformWithStateInPandas(_NodeHealth(3000 * interval), f"node {node}, ts timestamp, healthy boolean, tasks long, errors long", "append", "eventTime")
+    timed = beats.select("node", "ts", F.col("tasks").cast("long").alias("tasks"), F.col("errors").cast("long").alias("errors"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ms")).filter("ts is not null").withWatermark("ts", delay)
+    schema = f"node {node}, ms long, healthy boolean, tasks long, errors long"
+    changes = timed.groupBy("node").applyInPandasWithState(_node_health(3000 * interval), schema, _STRETCHES, "append", GroupStateTimeout.EventTimeTimeout)
+    return changes.select("node", F.timestamp_millis("ms").alias("ts"), "healthy", "tasks", "errors")

@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,43 @@ def test_throttle_over_batches_and_frames(spark, tmp_path, monkeypatch):
             want.append(t)
             last = t
     assert sorted(int((r["ts"] - START).total_seconds()) for r in found) == want
+
+
+class _State:
+    """One key's state with a watermark, as a stream gives it."""
+
+    def __init__(self, now, held=None, out=False):
+        self.now, self.get, self.hasTimedOut, self.wakes = now, held, out, None
+
+    exists = property(lambda self: self.get is not None)
+
+    def getCurrentWatermarkMs(self):
+        return self.now
+
+    def update(self, held):
+        self.get = held
+
+    def remove(self):
+        self.get = None
+
+    def setTimeoutTimestamp(self, at):
+        assert at >= self.now
+        self.wakes = at
+
+
+def test_all_that_is_due_is_one_call():
+    """A hundred queries of a key (a timer and calls to the store each before) are answered in one call, in order."""
+    rows = pd.DataFrame({"is_query": [k % 2 == 1 for k in range(200)], "text": [f"t{k // 20}" for k in range(200)], "pos": range(200), "ms": [1000 + k for k in range(200)]})
+    step, state = Z._working_memory(5, 10_000), _State(0)
+    assert list(step((1, "x"), iter([rows]), state)) == [] and state.wakes == 1001
+    out = list(step((1, "x"), iter([]), _State(1190, state.get, True)))
+    assert len(out) == 1 and out[0]["pos"].tolist() == list(range(1, 190, 2))
+    assert out[0]["texts"].tolist()[-1] == [f"t{k}" for k in range(5)]
+
+
+def test_a_stretch_is_told_once_and_ends_once():
+    step, state = Z._node_health(100), _State(0)
+    beats = pd.DataFrame({"ms": [1050, 1000, 1090, 5000], "tasks": [1] * 4, "errors": [0] * 4})
+    assert list(step(("n",), iter([beats]), state)) == [] and state.wakes == 1000
+    out = list(step(("n",), iter([]), _State(1191, state.get, True)))
+    assert out[0][["ms", "healthy"]].values.tolist() == [[1000, True], [1190, False]] and out[0]["tasks"].tolist() == [4, 4]
