@@ -16,6 +16,8 @@ from .packing import packed_sections
 
 #: Fenced code, table rows, images and html blocks.
 BLOCK_PATTERN = r"(?s)```.*?(?:```|$)|(?m:^\|[^\n]*\|[ \t]*$)(?:\n(?m:^\|[^\n]*\|[ \t]*$))*|!\[[^\]]*\]\([^)]*\)|<(?:div|table|section)\b.*?</(?:div|table|section)>"
+#: A document's titles are handed to its nodes in a row up to so many.
+MOST_TITLES = 64
 # Separators of the recursive chunker, from coarse to fine.
 SEPARATORS = ("\n\n\n", "\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ")
 
@@ -218,13 +220,25 @@ def outline(docs: DataFrame) -> DataFrame:
 def title_references(nodes: DataFrame) -> DataFrame:
     """(doc_id, src, dst): a node's text holds another's title; both are compared within their document.
 
-    Titles are looked up by their first word, so only nodes that hold that word are searched.
+    A document's nodes get its titles in a row, if they are at most MOST_TITLES; a title is
+    searched where its first word is among the node's.  In larger documents titles are looked
+    up by that word, so only nodes that hold it are searched.
     """
-    titled = nodes.filter(F.trim("title") != "").select("doc_id", F.col("node").alias("dst"), F.lower(F.trim("title")).alias("title")).withColumn("word", T.trim_marks(F.split("title", r"\s+")[0]))
+    title = F.lower(F.trim("title"))
+    titled = nodes.filter(F.trim("title") != "").select("doc_id", F.col("node").alias("dst"), title.alias("title"), T.trim_marks(F.split(title, r"\s+")[0]).alias("word"))
+    titled = titled.withColumn("n", F.count("*").over(Window.partitionBy("doc_id")))
     low = nodes.select("doc_id", F.col("node").alias("src"), F.lower("text").alias("text"))
-    words = low.select("doc_id", "src", "text", F.array_distinct(T.trimmed_words(F.col("text"))).alias("w"))
-    hits = words.select("doc_id", "src", "text", F.explode("w").alias("word")).join(titled, ["doc_id", "word"])
-    return hits.filter((F.col("src") != F.col("dst")) & F.contains("text", "title")).select("doc_id", "src", "dst").distinct()
+    holds = lambda word: F.array_contains(F.col("w"), word)
+    listed = titled.filter(F.col("n") <= MOST_TITLES).groupBy("doc_id").agg(F.collect_list(F.struct("dst", "title", "word")).alias("titles"))
+    words = F.array_distinct(T.trimmed_words(F.col("text")))
+    near = low.join(listed, "doc_id").withColumn("w", words).select("doc_id", "src", F.filter("titles", lambda x: (F.col("src") != x["dst"]) & F.contains("text", x["title"]) & holds(x["word"])).alias("hits"))
+    few = near.select("doc_id", "src", F.explode("hits").alias("hit")).select("doc_id", "src", "hit.dst")
+    large = titled.filter(F.col("n") > MOST_TITLES).select("doc_id", "dst", "title", "word")
+    # the texts stay behind while words are looked up
+    each = low.join(large.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "src", F.explode(words).alias("word"))
+    found = each.join(large, ["doc_id", "word"]).filter("src <> dst").distinct()
+    many = found.join(low, ["doc_id", "src"]).filter(F.contains("text", "title")).withColumn("w", words).filter(holds(F.col("word"))).select("doc_id", "src", "dst")
+    return few.unionByName(many).distinct()
 
 
 def cross_references(nodes: DataFrame, share: float = 0.3) -> DataFrame:

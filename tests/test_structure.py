@@ -151,3 +151,26 @@ def test_section_tree_equals_a_plain_one(spark):
                 chunked.append([(r["text"], r["tokens"]) for r in rows])
             assert sorted(got[d]) == sorted(plain_tree([t for t, _ in held], chunked, fan, levels, 0.3)), (d, fan)
         assert 6 not in got and 7 not in got and [x[:2] for x in got[8]] == [(0, 1)]
+
+
+def test_title_references_send_no_text_with_each_word(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(40)]
+    nodes = [(d, n, f"{rng.choice(words)} {rng.choice(words)}", " ".join(rng.choices(words, k=30)) + rng.choice(["", ".", " x" + words[0]])) for d, many in ((1, 5), (2, 40)) for n in range(many)]
+    df = spark.createDataFrame(nodes, "doc_id long, node long, title string, text string")
+    edges = lambda w: re.sub(r"""^[.,!?;:"'()\[\]]+|[.,!?;:"'()\[\]]+$""", "", w)
+    expected = sorted((d, n, m) for d, n, _, x in nodes for e, m, title, _ in nodes if d == e and n != m and title in x and title.split()[0] in {edges(w) for w in x.split()})
+    for most in (0, 8, 64):
+        monkeypatch.setattr(D, "MOST_TITLES", most, raising=False)
+        assert expected and sorted(map(tuple, D.title_references(df).collect())) == expected
+    # what is joined has texts or one row a word, not both
+    plan = D.title_references(df)._jdf.queryExecution().optimizedPlan()
+    both, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        below = [node.children().apply(k) for k in range(node.children().size())]
+        todo += below
+        if node.nodeName() == "Join":
+            names = [{x.split("#")[0] for x in re.findall(r"\w+#\d+", side.output().toString())} for side in below]
+            both += [x for x in names if {"text", "word"} <= x and "title" not in x]
+    assert not both
