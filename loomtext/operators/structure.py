@@ -77,32 +77,39 @@ def neighbour_types(blocks: DataFrame) -> DataFrame:
 
 
 def chunk_recursive(docs: DataFrame, size: int = 512) -> DataFrame:
-    """(doc_id, chunk_no, text): pieces over the size are split at ever finer separators, which stay with the text before."""
-    pieces = docs.select("doc_id", F.array().cast("array<int>").alias("path"), "text").filter("text <> ''")
-    done = None
-    for separator in SEPARATORS:
-        fits = T.count_tokens(F.col("text"), "word") <= size
-        small = pieces.filter(fits)
-        done = small if done is None else done.unionByName(small)
-        literal = "".join(f"\\x{ord(ch):02x}" for ch in separator)
-        each = pieces.filter(~fits).select("doc_id", "path", F.posexplode_outer(F.split("text", f"(?<={literal})")).alias("k", "text"))
-        pieces = each.filter("text <> ''").select("doc_id", F.concat("path", F.array("k")).alias("path"), "text")
-    done = done.unionByName(pieces)
-    order = Window.partitionBy("doc_id").orderBy("path")
-    return done.select("doc_id", F.row_number().over(order).alias("piece_no"), "text", T.count_tokens(F.col("text"), "word").alias("tokens"))
+    """(doc_id, piece_no, text, tokens): pieces over the size are split at ever finer separators, which stay with the text before.
+
+    A document's pieces are an array, so a level reads the pieces of the one before; no shuffle.
+    """
+    sized = lambda s: F.struct(s.alias("text"), T.count_tokens(s, "word").alias("tokens"))
+
+    def split(pieces: Column, separator: str) -> Column:
+        after = "(?<=" + "".join(f"\\x{ord(ch):02x}" for ch in separator) + ")"
+        parts = lambda s: F.transform(F.filter(F.split(s, after), lambda x: x != ""), sized)
+        return F.flatten(F.transform(pieces, lambda p: F.when(p["tokens"] <= size, F.array(p)).otherwise(parts(p["text"]))))
+
+    pieces = functools.reduce(split, SEPARATORS, F.array(sized(F.col("text"))))
+    each = docs.filter("text <> ''").select("doc_id", F.posexplode(pieces).alias("k", "p"))
+    return each.select("doc_id", (F.col("k") + 1).alias("piece_no"), "p.text", "p.tokens")
 
 
 def hierarchy(chunks: DataFrame, fan: int = 5, levels: int = 3) -> DataFrame:
-    """(doc_id, level, node_no, first, last, text): leaves, parents of fan nodes each, and a root."""
-    now = chunks.select("doc_id", F.lit(0).alias("level"), F.col("chunk_no").cast("long").alias("node_no"), F.col("chunk_no").cast("long").alias("first"), F.col("chunk_no").cast("long").alias("last"), F.substring_index("text", ". ", 1).alias("text"))
-    out = now
-    for level in range(1, levels + 1):
-        group = F.floor((F.col("node_no") - 1) / fan) + 1
-        merged = now.groupBy("doc_id", group.alias("parent")).agg(F.count("*").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("text", "node_no").alias("text"))
-        now = merged.select("doc_id", F.lit(level).alias("level"), F.col("parent").alias("node_no"), "first", "last", "text")
-        out = out.unionByName(now.join(merged.filter("n > 1").select("doc_id", F.col("parent").alias("node_no")), ["doc_id", "node_no"], "left_semi").select(now.columns))
-    root = chunks.groupBy("doc_id").agg(F.min("chunk_no").cast("long").alias("first"), F.max("chunk_no").cast("long").alias("last"))
-    return out.unionByName(root.select("doc_id", F.lit(levels + 1).alias("level"), F.lit(1).cast("long").alias("node_no"), "first", "last", F.lit("").alias("text")))
+    """(doc_id, level, node_no, first, last, text): leaves, parents of fan nodes each, and a root.
+
+    A leaf gives a row for each node above it, so the chunks are read once; a
+    node with one child has no row on its level.
+    """
+    no = F.col("chunk_no").cast("long")
+    above = lambda level: F.floor((no - 1) / fan**level) + 1
+    node = lambda level, number, child, text, own: F.struct(F.lit(level).alias("level"), number.cast("long").alias("node_no"), child.cast("long").alias("child"), text.alias("text"), own.cast("long").alias("own"))
+    none, opening = F.lit(None), F.substring_index("text", ". ", 1)
+    # leaves stay rows of their own, if ids repeat too
+    nodes = [node(0, no, no, opening, F.monotonically_increasing_id())]
+    nodes += [node(level, above(level), above(level - 1), opening, none) for level in range(1, levels + 1)]
+    nodes.append(node(levels + 1, F.lit(1), no, F.lit(""), none))
+    each = chunks.select("doc_id", no.alias("no"), F.explode(F.array(*nodes)).alias("x")).select("doc_id", "no", "x.*")
+    g = each.groupBy("doc_id", "level", "node_no", "own").agg(F.min("no").alias("first"), F.max("no").alias("last"), F.min_by("text", "no").alias("text"), (F.min("child") < F.max("child")).alias("parts"))
+    return g.filter(F.col("parts") | F.col("level").isin(0, levels + 1)).select("doc_id", "level", "node_no", "first", "last", "text")
 
 
 #: A child's first sentence counts for a summary if it is longer than so many bytes.

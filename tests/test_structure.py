@@ -174,3 +174,35 @@ def test_title_references_send_no_text_with_each_word(spark, monkeypatch):
             names = [{x.split("#")[0] for x in re.findall(r"\w+#\d+", side.output().toString())} for side in below]
             both += [x for x in names if {"text", "word"} <= x and "title" not in x]
     assert not both
+
+
+def test_recursive_pieces_come_from_one_pass(spark):
+    rng = random.Random(4)
+    text = "".join(rng.choice(["a", "word", "b.", "c; ", ", ", ". ", "\n", "\n\n", "\n\n\n", " ", "? ", "x! "]) for _ in range(400))
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, "one"), (4, None)], "doc_id long, text string")
+
+    def plain(piece, separators):
+        if tokens(piece) <= 12 or not separators:
+            return [piece]
+        return [y for x in re.split(f"(?<={re.escape(separators[0])})", piece) if x for y in plain(x, separators[1:])]
+
+    got = D.chunk_recursive(docs, 12)
+    assert [r["text"] for r in got.filter("doc_id = 1").orderBy("piece_no").collect()] == plain(text, D.SEPARATORS)
+    assert [(r["piece_no"], r["text"]) for r in got.filter("doc_id = 3").collect()] == [(1, "one")] and got.filter("doc_id in (2, 4)").count() == 0
+    plan = got._jdf.queryExecution().optimizedPlan()
+    assert plan.collectLeaves().size() == 1 and "Window" not in plan.toString()
+
+
+def test_hierarchy_reads_chunks_once(spark):
+    chunks = spark.createDataFrame([(d, k + 1, f"d{d}c{k}. more", 3) for d, n in ((1, 1), (2, 5), (3, 6), (4, 32), (5, 126)) for k in range(n)], "doc_id long, chunk_no int, text string, tokens int")
+    expected = []
+    for d, n in ((1, 1), (2, 5), (3, 6), (4, 32), (5, 126)):
+        expected += [(d, 0, k, k, k, f"d{d}c{k - 1}") for k in range(1, n + 1)] + [(d, 4, 1, 1, n, "")]
+        for level in (1, 2, 3):
+            for first in range(1, n + 1, 5**level):
+                last = min(first + 5**level - 1, n)
+                if last - first >= 5 ** (level - 1):
+                    expected.append((d, level, (first - 1) // 5**level + 1, first, last, f"d{d}c{first - 1}"))
+    got = D.hierarchy(chunks)
+    assert sorted(map(tuple, got.collect())) == sorted(expected)
+    assert got._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
