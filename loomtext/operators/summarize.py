@@ -128,5 +128,7 @@ def pattern_outliers(df: DataFrame, patterns: DataFrame) -> DataFrame:
     forms = {"short": n < 100, "long": n > 500, "structured": F.contains(c, F.lit("\n")) & F.contains(c, F.lit(".")), "questions": F.contains(c, F.lit("?"))}
     fits = [F.col("temporal"), F.col("semantic") & (n > 50), F.arrays_overlap("topic", T.themes(c)), F.array_contains("sentiment", T.sentiment(c)["emotion"])]
     fits += [F.array_contains("structural", name) & form for name, form in forms.items()]
+    # the cheap tests first: themes and sentiment are worked out for what is left, and only if a pattern asks
+    fits = fits[:2] + fits[4:] + [(F.size("topic") > 0) & fits[2], (F.size("sentiment") > 0) & fits[3]]
     any_fit = reduce(lambda a, b: a | b, [F.coalesce(f, F.lit(False)) for f in fits])
     return df.join(F.broadcast(held)).filter((F.col("patterns") > 0) & ~any_fit).select("id")

@@ -101,9 +101,8 @@ WITH e AS (SELECT doc_id, unnest({sql_words("lower(text)")}) AS w FROM documents
 SELECT doc_id, round(most / total, 6) AS share FROM m WHERE total >= 10 AND most / total > 0.3
 """)
 def _(t):
-    e = t("documents").select("doc_id", F.explode(T.words(F.lower("text"))).alias("w"))
-    m = e.groupBy("doc_id", "w").agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.max("n").alias("most"), F.sum("n").alias("total"))
-    return m.filter("total >= 10 and most / total > 0.3").select("doc_id", F.round(F.col("most") / F.col("total"), 6).alias("share"))
+    found = A.word_anomalies(t("documents").select(F.col("doc_id").alias("id"), "text"))
+    return found.select(F.col("id").alias("doc_id"), *r("share"))
 
 
 @C.add("document_outline", """
