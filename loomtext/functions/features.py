@@ -34,7 +34,7 @@ FOLLOW_UPS = (
 
 
 def is_proposition(c: Column) -> Column:
-    return c.rlike(T.ascii_edges("|".join(SUBJECTS))) & c.rlike(T.ascii_edges("|".join(PREDICATES))) & c.rlike("^[A-Z]") & c.rlike(r"[.!?]$")
+    return c.rlike("^[A-Z]") & c.rlike(r"[.!?]$") & c.rlike(T.ascii_edges("|".join(SUBJECTS))) & c.rlike(T.ascii_edges("|".join(PREDICATES)))
 
 
 def proposition_features(c: Column) -> Column:

@@ -6,6 +6,8 @@ are runs between ASCII white space.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,9 +37,13 @@ CLEANED_MARKS = r"""[.,!?;:()\[\]{}"'\-]"""
 
 
 def ascii_edges(pattern: str) -> str:
-    r"""The pattern with \b between ASCII word characters and others (Java's own knows more letters)."""
+    r"""The pattern with \b between ASCII word characters and others (Java's own knows more letters).
+
+    A \b that opens the pattern or an alternative stands before a word character, any other
+    one after it, so one look to the other side is enough.
+    """
     w = "[A-Za-z0-9_]"
-    return pattern.replace(r"\b", f"(?:(?<!{w})(?={w})|(?<={w})(?!{w}))")
+    return re.sub(r"(^(?:\(\?i\))?|\|)\\b", rf"\1(?<!{w})", pattern).replace(r"\b", f"(?!{w})")
 
 
 def words(c: Column) -> Column:
