@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from loomtext.functions import features as X
 from loomtext.functions import text as T
 from loomtext.functions import vectors as V
+from loomtext.plans.shared import Scratch
 
 from .packing import NO_LIMIT, Rule, cut_at, packed, windows
+from .words import word_figures
 
 STRATEGIES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -144,22 +146,35 @@ def keywords_of(c: Column) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda w: (F.octet_length(w) > 2) & ~w.isin(*T.STOP_WORDS[:20])))
 
 
+def _measured(chunks: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, chunk_no, vector if there, more, keys, s and what ``words.word_figures`` adds): keywords and sentences as hashes."""
+    vector = ["vector"] if "vector" in chunks.columns else []
+    hashed = F.transform(split_sentences(F.col("text")), lambda s: F.xxhash64(s))
+    return word_figures(chunks.select("doc_id", "chunk_no", *vector, *more, hashed.alias("s"), T.words(F.lower("text")).alias("words")))
+
+
+def _beside_next(measured: DataFrame) -> DataFrame:
+    """Adds similarity, shared, redundant and perhaps cosine, against the next chunk of the document; null for the last one."""
+    order = Window.partitionBy("doc_id").orderBy("chunk_no")
+    columns = ["keys", "s"] + (["vector"] if "vector" in measured.columns else [])
+    both = measured.withColumns({f"next_{c}": F.lead(c).over(order) for c in columns})
+    same = F.size(F.array_intersect("keys", "next_keys"))  # keys are sets
+    out = both.withColumn("similarity", F.when(F.col("next_keys").isNotNull(), F.coalesce(F.try_divide(same, F.size("keys") + F.size("next_keys") - same), F.lit(0.0))))
+    # the filter is worked out for chunks that share a sentence alone
+    overlap = F.when(F.arrays_overlap("s", "next_s"), F.size(F.filter("s", lambda x: F.array_contains("next_s", x)))).otherwise(0)
+    out = out.withColumn("shared", F.when(F.col("next_keys").isNotNull(), overlap))
+    if "vector" in columns:
+        out = out.withColumn("cosine", V.cosine(F.col("vector"), F.col("next_vector")))
+    return out.withColumn("redundant", F.col("shared") > 0.5 * F.least(F.size("s"), F.size("next_s")))
+
+
 def adjacent_features(chunks: DataFrame) -> DataFrame:
     """Per neighbouring pair: keyword similarity, sentences of the first that the second repeats, and whether those are most of the smaller's.
 
     Chunks with a column vector also get its cosine with the next one's.
     """
-    order = Window.partitionBy("doc_id").orderBy("chunk_no")
-    vector = ["vector"] if "vector" in chunks.columns else []
-    rows = chunks.select("doc_id", "chunk_no", *vector, keywords_of(F.col("text")).alias("w"), split_sentences(F.col("text")).alias("s"))
-    both = rows.withColumn("w2", F.lead("w").over(order)).withColumn("s2", F.lead("s").over(order))
-    cosine = []
-    if vector:
-        both = both.withColumn("v2", F.lead("vector").over(order))
-        cosine = [V.cosine(F.col("vector"), F.col("v2")).alias("cosine")]
-    both = both.filter("w2 is not null")
-    shared = F.size(F.filter("s", lambda x: F.array_contains("s2", x)))
-    return both.select("doc_id", "chunk_no", T.set_jaccard(F.col("w"), F.col("w2")).alias("similarity"), shared.alias("shared"), (shared > 0.5 * F.least(F.size("s"), F.size("s2"))).alias("redundant"), *cosine)
+    cosine = ["cosine"] if "vector" in chunks.columns else []
+    return _beside_next(_measured(chunks)).filter("next_keys is not null").select("doc_id", "chunk_no", "similarity", "shared", "redundant", *cosine)
 
 
 #: The metrics of a document's chunks and their weights.
@@ -168,8 +183,8 @@ CHUNK_WEIGHTS = {"coherence": 0.20, "completeness": 0.15, "relevance": 0.15, "in
 
 def _elements(c: Column) -> Column:
     """Number of headers, list items, paragraphs, code blocks and tables."""
-    count = lambda p: F.regexp_count(c, F.lit(p))
-    return (count("#") + count("<h") + count("- ") + count(r"\* ") + count("<li>") + count("\n\n") + 1 + F.floor(count("```") / 2) + F.floor(count(r"\|") / 3)).cast("long")
+    count = lambda found: F.floor((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(found), F.lit("")))) / len(found))
+    return (count("#") + count("<h") + count("- ") + count("* ") + count("<li>") + count("\n\n") + 1 + F.floor(count("```") / 2) + F.floor(count("|") / 3)).cast("long")
 
 
 def repeated_share(c: Column) -> Column:
@@ -179,6 +194,11 @@ def repeated_share(c: Column) -> Column:
     return F.when(F.size(split_sentences(c)) <= 1, 1.0).otherwise(F.least(F.coalesce(share, F.lit(1.0)), F.lit(1.0)))
 
 
+def _wholes(docs: DataFrame) -> DataFrame:
+    text = F.col("text")
+    return docs.select("doc_id", F.octet_length("text").alias("bytes"), T.word_count(text).alias("words"), _elements(text).alias("elements"))
+
+
 def assess_chunks(docs: DataFrame, chunks: DataFrame, weights: dict[str, float] = CHUNK_WEIGHTS) -> DataFrame:
     """Eight metrics of each document's chunks and their weighted mean.
 
@@ -186,28 +206,37 @@ def assess_chunks(docs: DataFrame, chunks: DataFrame, weights: dict[str, float]
     information, readability, integrity (neighbours alone), structure kept and
     overlap that isn't redundant; beside them the size consistency and the
     share of chunks that end with a sentence.  With a column vector in chunks,
-    neighbours are compared by cosine.
+    neighbours are compared by cosine.  The chunks are read once and dealt by
+    document, as figures and hashes.
     """
-    text = F.col("text")
-    whole = docs.select("doc_id", F.octet_length("text").alias("bytes"), T.word_count(text).alias("words"), _elements(text).alias("elements"))
-    parts = chunks.select(
-        "doc_id",
+    return _assessed(_wholes(docs), chunks, weights)
+
+
+def _assessed(wholes: DataFrame, chunks: DataFrame, weights: dict[str, float]) -> DataFrame:
+    text, n = F.col("text"), F.col("n_words")
+    measured = _measured(
+        chunks,
         (F.octet_length(text) + 1).alias("b"),
-        T.word_count(text).alias("w"),
-        repeated_share(text).alias("within"),
-        X.informativeness(text).alias("relevance"),
         X.density(text, F.col("tokens")).alias("information"),
-        (T.flesch(text) / 100).alias("readability"),
+        T.sentence_marks(text).alias("marks"),
         _elements(text).alias("e"),
         F.col("tokens").cast("double").alias("tokens"),
         text.rlike(r"[.!?]$").cast("double").alias("ends"),
     )
+    share = F.try_divide(2.0 * (F.col("n_long") - F.col("n_long_different")), F.col("n_long"))
+    ease = 206.835 - 1.015 * n / F.col("marks") - 84.6 * F.col("syllables") / n
+    measured = measured.select(
+        "*",
+        F.when(F.size("s") <= 1, 1.0).otherwise(F.least(F.coalesce(share, F.lit(1.0)), F.lit(1.0))).alias("within"),
+        F.coalesce(F.try_divide(F.col("n_telling") + F.col("n_telling_different"), 2 * n), F.lit(0.0)).alias("relevance"),
+        (F.when(n == 0, 0.0).otherwise(F.least(F.greatest(ease, F.lit(0.0)), F.lit(100.0))) / 100).alias("readability"),
+    ).drop("marks", "syllables", "n_long", "n_long_different", "n_telling", "n_telling_different")
     mean = lambda c: F.avg(c).alias(c)
-    g = parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("b").alias("b"), F.sum("w").alias("w"), F.sum("e").alias("e"), mean("within"), mean("relevance"), mean("information"), mean("readability"), F.avg("tokens").alias("m"), F.stddev_pop("tokens").alias("sd"), F.avg("ends").alias("boundary"))
-    pairs = adjacent_features(chunks)
-    near = F.avg("cosine" if "vector" in chunks.columns else "similarity")
-    a = pairs.groupBy("doc_id").agg(near.alias("near"), F.sum("shared").alias("shared"), F.sum(F.when(F.col("redundant"), F.col("shared")).otherwise(0)).alias("redundant"))
-    out = g.join(whole, "doc_id").join(a, "doc_id", "left")
+    g = _beside_next(measured).groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.sum("b").alias("b"), F.sum("n_words").alias("w"), F.sum("e").alias("e"), mean("within"), mean("relevance"), mean("information"), mean("readability"), F.avg("tokens").alias("m"), F.stddev_pop("tokens").alias("sd"), F.avg("ends").alias("boundary"),
+        F.avg("cosine" if "vector" in chunks.columns else "similarity").alias("near"), F.sum("shared").alias("shared"), F.sum(F.when(F.col("redundant"), F.col("shared")).otherwise(0)).alias("redundant"),
+    )
+    out = g.join(wholes, "doc_id")
     near = F.coalesce("near", F.lit(1.0))
     out = out.select(
         "doc_id",
@@ -252,11 +281,18 @@ def register_metric(name: str, metric: Callable[[DataFrame, DataFrame], DataFram
 
 
 def evaluate_strategies(docs: DataFrame, names: list[str], min_score: float = 0.5, metrics: list[str] | None = None) -> DataFrame:
-    """Mean scores of registered chunkers over one collection, with registered metrics beside them."""
-    out = None
+    """Mean scores of registered chunkers over one collection, with registered metrics beside them.
+
+    What is measured on whole documents is written once for all chunkers, and a
+    chunker's chunks once for all its metrics.
+    """
+    scratch = Scratch(docs.sparkSession, "strategies")
+    wholes, out = scratch.keep(_wholes(docs)), None
     for name in names:
         chunks = STRATEGIES[name](docs)
-        scored = assess_chunks(docs, chunks)
+        if metrics:
+            chunks = scratch.keep(chunks)
+        scored = _assessed(wholes, chunks, CHUNK_WEIGHTS)
         for metric in metrics or []:
             scored = scored.join(METRICS[metric](docs, chunks).select("doc_id", F.col("value").alias(metric)), "doc_id", "left")
         scored = scored.withColumn("strategy", F.lit(name))
