@@ -27,8 +27,10 @@ def mean_jaccard(df: DataFrame, estimate: bool = False) -> DataFrame:
     pairs = F.col("n") * (F.col("n") - 1) / 2
     sets = df.select("group", "id", F.array_distinct(T.words(F.lower("text"))).alias("w")).filter(F.size("w") > 0)
     if estimate:
-        smallest = lambda k: F.array_min(F.transform("w", lambda x: F.xxhash64(F.lit(k), x)))
-        hashed = sets.select("group", F.posexplode(F.array(*[smallest(k) for k in range(ESTIMATES)])).alias("k", "least"))
+        # compiled aggregates by row, which Spark cuts to a row each before it shuffles
+        each = sets.withColumn("row", F.monotonically_increasing_id()).select("group", "row", F.explode("w").alias("word"))
+        least = each.groupBy("group", "row").agg(*[F.min(F.xxhash64(F.lit(k), F.col("word"))).alias(f"least_{k}") for k in range(ESTIMATES)])
+        hashed = least.select("group", F.posexplode(F.array(*[f"least_{k}" for k in range(ESTIMATES)])).alias("k", "least"))
         alike = hashed.groupBy("group", "k", "least").agg(F.count("*").alias("c")).groupBy("group").agg((F.sum(F.col("c") * (F.col("c") - 1) / 2) / ESTIMATES).alias("total"))
     else:
         each = sets.select("group", "id", F.size("w").alias("m"), F.explode("w").alias("word"))
