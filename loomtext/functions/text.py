@@ -6,6 +6,7 @@ are runs between ASCII white space.
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column
@@ -77,7 +78,8 @@ def content_words(c: Column) -> Column:
 
 def themes(c: Column) -> Column:
     low = F.lower(c)
-    return F.array_compact(F.array(*[F.when(low.rlike("|".join(found)), F.lit(name)) for name, found in THEMES.items()]))
+    holds = lambda found: functools.reduce(lambda a, b: a | b, [F.contains(low, F.lit(x)) for x in found])
+    return F.array_compact(F.array(*[F.when(holds(found), F.lit(name)) for name, found in THEMES.items()]))
 
 
 def sentence_marks(c: Column) -> Column:
@@ -90,7 +92,12 @@ def sentiment(c: Column) -> Column:
     trimmed = trimmed_words(F.lower(c))
     pos = F.size(F.filter(trimmed, lambda w: w.isin(*POSITIVE)))
     neg = F.size(F.filter(trimmed, lambda w: w.isin(*NEGATIVE)))
-    n, total = word_count(c), pos + neg
+    return sentiment_of(pos, neg, word_count(c))
+
+
+def sentiment_of(pos: Column, neg: Column, n: Column) -> Column:
+    """sentiment() of a text of n words, by its counted hits."""
+    total = pos + neg
     polarity = F.when(total > 0, (pos - neg) / total).otherwise(0.0)
     share = F.coalesce(F.try_divide(total, n), F.lit(0.0))
     emotion = F.when(polarity > 0.1, "positive").when(polarity < -0.1, "negative").otherwise("neutral")

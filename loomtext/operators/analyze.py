@@ -9,6 +9,7 @@ from loomtext.functions import text as T
 from loomtext.plans.shared import Scratch, bounded
 
 from . import ordered as O
+from .words import of_ids, repeated_ids, top_words
 
 DAY = 86_400_000_000
 
@@ -88,7 +89,18 @@ def sentiment_patterns(df: DataFrame, min_support: float) -> DataFrame:
 
 
 def keywords(df: DataFrame, k: int = 5, min_bytes: int = 3) -> DataFrame:
-    """(id, keywords): the k most frequent words of more than min_bytes bytes, edge marks trimmed; ties by word."""
+    """(id, keywords): the k most frequent words of more than min_bytes bytes, edge marks trimmed; ties by word.
+
+    Counted in a row; only rows whose id stands in several count together, by a shuffle.
+    """
+    repeated = repeated_ids(df)
+    single = df if repeated is None else of_ids(df, repeated, False)
+    out = top_words(single.select("id", T.words(F.lower("text")).alias("words")), k, min_bytes).filter(F.size("keywords") > 0).select("id", "keywords")
+    return out if repeated is None else out.unionByName(shared_keywords(of_ids(df, repeated, True), k, min_bytes))
+
+
+def shared_keywords(df: DataFrame, k: int, min_bytes: int) -> DataFrame:
+    """keywords() where rows of one id count together."""
     each = df.select("id", F.explode(T.words(F.lower("text"))).alias("word")).filter(F.octet_length("word") > min_bytes).withColumn("word", T.trim_marks(F.col("word"))).filter("word <> ''")
     counted = each.groupBy("id", "word").agg(F.count("*").alias("n"))
     ranked = counted.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "word"))).filter(F.col("k") <= k)

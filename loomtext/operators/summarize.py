@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
 
-from .analyze import keywords, micros
+from .analyze import micros, shared_keywords
+from .words import of_ids, repeated_ids, top_words
 
 #: Hash functions of the coherence estimate.
 ESTIMATES = 64
@@ -78,10 +79,21 @@ def summarize_collection(df: DataFrame, max_bytes: int = 500, points: int = 5, t
 
 
 def analyze_memory(df: DataFrame, now: Column, k: int = 5) -> DataFrame:
-    """(id, keywords, themes, sentiment, complexity, quality, insights) of each (id, text, created_at, updated_at)."""
-    c = F.col("text")
-    rows = df.select("id", T.themes(c).alias("themes"), T.sentiment(c).alias("sentiment"), T.complexity(c).alias("complexity"), T.quality(c).alias("quality"), T.insights(c, F.col("created_at"), F.col("updated_at"), now).alias("insights"))
-    return rows.join(keywords(df.select("id", "text"), k), "id", "left").select("id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"), "themes", "sentiment", "complexity", "quality", "insights")
+    """(id, keywords, themes, sentiment, complexity, quality, insights) of each (id, text, created_at, updated_at).
+
+    Each in its row; only rows whose id stands in several get their common keywords by a join.
+    """
+    c, none = F.col("text"), F.array().cast("array<string>")
+    repeated = repeated_ids(df)
+    rows = df.select("id", T.themes(c).alias("themes"), T.word_count(c).alias("n"), T.complexity(c).alias("complexity"), T.quality(c).alias("quality"), T.insights(c, F.col("created_at"), F.col("updated_at"), now).alias("insights"), T.words(F.lower(c)).alias("words"))
+    found = top_words(rows, k, 3)
+    found = found.withColumn("sentiment", T.sentiment_of(F.col("positive"), F.col("negative"), F.col("n")))
+    out = found.select("id", F.when(F.col("id").isNotNull(), F.col("keywords")).otherwise(none).alias("keywords"), "themes", "sentiment", "complexity", "quality", "insights")
+    if repeated is None:
+        return out
+    common = shared_keywords(of_ids(df, repeated, True), k, 3)
+    joined = of_ids(out, repeated, True).drop("keywords").join(common, "id", "left").withColumn("keywords", F.coalesce("keywords", none))
+    return of_ids(out, repeated, False).unionByName(joined)
 
 
 def frequent_openers(df: DataFrame, k: int = 5) -> DataFrame:

@@ -7,17 +7,19 @@ for each different word of a batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from loomtext.functions import features as X
 from loomtext.functions import text as T
-from loomtext.plans.shared import small_batches
+from loomtext.plans.shared import Scratch, bounded, small_batches
 
 #: Marks that may stand around a word, without and with braces.
 MARKS = """.,!?;:"'()[]"""
@@ -86,3 +88,69 @@ def word_figures(rows: DataFrame) -> DataFrame:
     kept = [f for f in rows.schema if f.name != "words"]
     made = [S.StructField(c, S.LongType()) for c in FIGURES]
     return rows.mapInArrow(_figures, S.StructType([*kept, *made, S.StructField("keys", S.ArrayType(S.LongType()))]))
+
+
+def _top(batches: Iterator[pa.RecordBatch], k: int, min_bytes: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, code, words = coded(batch.column("words"))
+        n = batch.num_rows
+        to, bare = _trimmed(words, MARKS)
+        place = np.empty(len(bare), np.int64)
+        place[pc.sort_indices(bare).to_numpy(zero_copy_only=False)] = np.arange(len(bare))
+        named = lambda found: np.bincount(row, _flags(pc.is_in(bare, pa.array(found)))[to][code], n) if len(row) else np.zeros(n)
+        lexicon = [named(found).astype(np.int64) for found in (T.POSITIVE, T.NEGATIVE)]
+        # a word's bytes count with its marks
+        good = (_flags(pc.greater(pc.binary_length(words), min_bytes)) & _flags(pc.greater(pc.binary_length(bare), 0))[to])[code]
+        both = np.sort(row[good] * max(len(bare), 1) + to[code][good])
+        at = np.flatnonzero(np.diff(both, prepend=-1) > 0)
+        times = np.diff(np.append(at, len(both)))
+        r, c = both[at] // max(len(bare), 1), both[at] % max(len(bare), 1)
+        order = np.lexsort((place[c], -times, r))
+        r, c = r[order], c[order]
+        best = np.arange(len(r)) - np.searchsorted(r, r) < k
+        offsets = np.append(0, np.cumsum(np.bincount(r[best], minlength=n)))
+        lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), bare.take(pa.array(c[best])))
+        names = [x for x in batch.schema.names if x != "words"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], lists, *[pa.array(x) for x in lexicon]], [*names, "keywords", "positive", "negative"])
+
+
+def top_words(rows: DataFrame, k: int, min_bytes: int) -> DataFrame:
+    """rows with keywords, positive and negative in place of words, the lower-cased words.
+
+    keywords: a row's k most frequent words of more than min_bytes bytes, then
+    rid of the marks at their edges; ties by word.  The others count its words
+    of the sentiment lexicon.
+    """
+    small_batches(rows.sparkSession)
+    kept = [f for f in rows.schema if f.name != "words"]
+    made = [S.StructField("keywords", S.ArrayType(S.StringType())), S.StructField("positive", S.LongType()), S.StructField("negative", S.LongType())]
+    return rows.mapInArrow(partial(_top, k=k, min_bytes=min_bytes), S.StructType([*kept, *made]))
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        row, code, words = coded(batch.column("words"))
+        n = max(len(words), 1)
+        both = np.sort(row * n + code)
+        at = np.flatnonzero(np.diff(both, prepend=-1) > 0)
+        tf = np.diff(np.append(at, len(both)))
+        row, code = both[at] // n, both[at] % n
+        total = pc.fill_null(pc.list_value_length(batch.column("words")), 0).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row)), total, words.take(pa.array(code)), pa.array(tf.astype(np.int32))], ["id", "total", "word", "tf"])
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(id, total, word, tf) of rows (id, words ARRAY): how often a row holds a word, and its words in all; rows of one id stay apart."""
+    small_batches(rows.sparkSession)
+    schema = S.StructType([rows.schema["id"], S.StructField("total", S.IntegerType()), S.StructField("word", rows.schema["words"].dataType.elementType), S.StructField("tf", S.IntegerType())])
+    return rows.select("id", "words").mapInArrow(_counts, schema)
+
+
+def repeated_ids(df: DataFrame) -> DataFrame | None:
+    """(found): the ids of more than one row, or None if there are none."""
+    found = Scratch(df.sparkSession, "repeated").keep(df.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("found")))
+    return None if found.isEmpty() else bounded(found)
+
+
+def of_ids(df: DataFrame, found: DataFrame, inside: bool) -> DataFrame:
+    return df.join(found, F.col("id").eqNullSafe(F.col("found")), "left_semi" if inside else "left_anti")
