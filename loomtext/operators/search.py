@@ -20,12 +20,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as T
-from loomtext.plans.shared import Scratch
+from loomtext.plans.shared import BROADCAST_IDS, Scratch
 
 from . import inverted
+from .words import of_ids, repeated_ids, word_counts
 
 #: Queries that are broadcast at a time.
 QUERY_BLOCK = 4096
+#: Words that are broadcast with their idf, at most.
+BROADCAST_WORDS = 1_000_000
 #: Cells of a matrix of memories or of scores that a task works on.
 CELLS = 2_000_000
 
@@ -101,14 +104,47 @@ def substring_search(query: str, memories: DataFrame, k: int) -> DataFrame:
     return found.orderBy(F.desc("score"), "id").limit(k)
 
 
+def _with_idf(counted: DataFrame, idf: DataFrame) -> DataFrame:
+    """counted (id, total, word, tf) with the idf of its words, of a written idf (word, df, idf).
+
+    The most frequent words, up to BROADCAST_WORDS, are broadcast, and most rows
+    hold one of them; only rows of rarer words are shuffled, to be joined.
+    """
+    often = idf.filter("df > 1").groupBy(F.floor(F.log2("df")).alias("power")).agg(F.count("*").alias("n")).collect()  # a row for each power of two
+    least, held = 2**63 - 1, 0
+    for r in sorted(often, key=lambda r: -r["power"]):
+        held += r["n"]
+        if held > BROADCAST_WORDS:
+            break
+        least = 2 ** r["power"]
+    known = F.broadcast(idf.filter(F.col("df") >= least).select("word", "idf"))
+    near = counted.join(known, "word").select("id", "total", "word", "tf", "idf")
+    rest = counted.join(known.select("word"), "word", "left_anti").join(idf.filter(F.col("df") < least), "word")
+    return near.unionByName(rest.select("id", "total", "word", "tf", "idf"))
+
+
+def _idf(scratch: Scratch, held: DataFrame, n: DataFrame) -> DataFrame:
+    """(word, df, idf), written, of held (word): a row for each memory that holds a word."""
+    df = held.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(n))  # one row
+    return scratch.keep(df.select("word", "df", F.ln(F.col("n_memories") / F.col("df")).alias("idf")))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(id, total, word, tf) of rows (id, words), counted in the row; rows of one id and as many words count together, by a shuffle."""
+    repeated = repeated_ids(rows)
+    if repeated is None:
+        return word_counts(rows)
+    together = word_counts(of_ids(rows, repeated, True)).groupBy("id", "total", "word").agg(F.sum("tf").cast("int").alias("tf"))
+    return word_counts(of_ids(rows, repeated, False)).unionByName(together.select("id", "total", "word", "tf"))
+
+
 def build_tfidf(memories: DataFrame, min_bytes: int = 2) -> DataFrame:
     """(id, term, weight): share of the memory's words times ln(N / memories that hold the term)."""
+    scratch = Scratch(memories.sparkSession, "build-tfidf")
     words = memories.select("id", T.clean_words(F.col("text"), min_bytes).alias("words"))
-    n = words.agg(F.count("*").alias("n_memories"))
-    counted = words.select("id", F.size("words").alias("total"), F.explode("words").alias("term")).groupBy("id", "term", "total").agg(F.count("*").alias("tf"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = counted.join(df, "term").join(F.broadcast(n))  # one row
-    return weighted.select("id", "term", (F.col("tf") / F.col("total") * F.ln(F.col("n_memories") / F.col("df"))).alias("weight"), F.ln(F.col("n_memories") / F.col("df")).alias("idf"))
+    counted = scratch.keep(_counted(words))
+    idf = _idf(scratch, counted.select("word"), memories.agg(F.count("*").alias("n_memories")))
+    return _with_idf(counted, idf).select("id", F.col("word").alias("term"), (F.col("tf") / F.col("total") * F.col("idf")).alias("weight"), "idf")
 
 
 def tfidf_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -127,13 +163,11 @@ def stored_tfidf(memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The index for top-k search, written once in the shared folder: postings in shards and (word, idf), by word hash."""
     scratch = Scratch(memories.sparkSession, "tfidf")
     rows = scratch.keep(memories.select("id", _hashed(T.clean_words(F.col("text"), 2)).alias("words")))
-    n = rows.agg(F.count("*").alias("n_memories"))
-    counted = rows.select("id", F.size("words").alias("total"), F.explode("words").alias("word")).groupBy("id", "total", "word").agg(F.count("*").alias("tf"))
-    counted = scratch.keep(counted)
-    idf = counted.groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("word", F.ln(F.col("n_memories") / F.col("df")).alias("idf"))  # one row
-    idf = scratch.keep(idf)
+    counted = _counted(rows)
+    idf = _idf(scratch, counted.select("word"), rows.agg(F.count("*").alias("n_memories")))
     weight = F.col("tf") / F.col("total") * F.col("idf")
-    norms = counted.join(idf, "word").groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    norms = scratch.keep(_with_idf(counted, idf).groupBy("id").agg(F.sqrt(F.sum(weight * weight)).alias("norm")))
+    norms = F.broadcast(norms) if norms.count() <= BROADCAST_IDS else norms
     index = scratch.keep(inverted.postings(rows.join(norms, "id").filter("norm > 0"), shares=True))
     scratch.drop_all_but(index, idf)
     return index, idf
