@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,5 +33,6 @@ def letter_counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """A small embed_fn: how often a to p occur in the lower-cased text."""
     letters = "abcdefghijklmnop"
     for texts in batches:
-        low = texts.fillna("").str.lower()
-        yield pd.Series(pd.concat([low.str.count(x) for x in letters], axis=1).to_numpy("float32").tolist(), index=texts.index)
+        low = pa.array(texts.fillna("").str.lower(), pa.string())
+        counts = [pc.count_substring(low, x).to_numpy(zero_copy_only=False) for x in letters]
+        yield pd.Series(list(np.stack(counts, axis=1).astype("float32")), index=texts.index)

@@ -275,13 +275,19 @@ def word_jaccard(a: Column, b: Column) -> Column:
     return set_jaccard(words(F.lower(a)), words(F.lower(b)))
 
 
-def is_topic_boundary(last: Column, after: Column, shift: float = 0.2) -> Column:
+def is_topic_boundary(last: Column, after: Column, shift: float = 0.2, sets: tuple[Column, Column] | None = None) -> Column:
+    """sets may give the different content words of both (or their hashes) as columns of their own."""
     low = F.lower(after)
     opens = F.lit(False)
     for opener in TRANSITIONS + LIST_OPENERS:
         opens = opens | low.startswith(opener)
-    a, b = content_words(last), content_words(after)
-    shifted = (F.size(a) > 0) & (F.size(b) > 0) & (set_jaccard(a, b) < shift)
+    a, b = sets or (content_words(last), content_words(after))
+    if sets:
+        same = F.size(F.array_intersect(a, b))
+        alike = F.coalesce(F.try_divide(same, F.size(a) + F.size(b) - same), F.lit(0.0))
+    else:
+        alike = set_jaccard(a, b)
+    shifted = (F.size(a) > 0) & (F.size(b) > 0) & (alike < shift)
     return opens | (last.endswith("?") & ~after.endswith("?")) | shifted
 
 

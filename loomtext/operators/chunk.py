@@ -66,15 +66,17 @@ def chunk_semantic(docs: DataFrame, size: int = 512, kind: str = "word", max_sen
     u = docs.select("doc_id", split_sentences(F.col("text")).alias("units"))
     each = u.select("doc_id", F.posexplode_outer("units").alias("k", "s")).filter("s is not null")
     order, whole = Window.partitionBy("doc_id").orderBy("k"), Window.partitionBy("doc_id")
-    edge = F.coalesce(T.is_topic_boundary(F.col("before"), F.col("s")), F.lit(True))
+    # what a sentence gives by itself is worked out once, before it is compared
+    each = each.select("doc_id", "k", "s", T.count_tokens(F.col("s"), kind).cast("int").alias("size"), F.array_distinct(F.transform(T.content_words(F.col("s")), lambda w: F.xxhash64(w))).alias("w"))
+    edge = F.coalesce(T.is_topic_boundary(F.col("before"), F.col("s"), sets=(F.col("w_before"), F.col("w"))), F.lit(True))
     if embed is not None:
         each = embed(each.withColumnRenamed("s", "text")).withColumnRenamed("text", "s")
         each = each.withColumn("near", V.cosine(F.lag("vector").over(order), F.col("vector"))).drop("vector")
         each = each.withColumn("limit", F.avg("near").over(whole) - F.stddev_pop("near").over(whole))
         edge = edge | F.coalesce(F.col("near") < F.col("limit"), F.lit(False))
-    flagged = each.withColumn("before", F.lag("s").over(order)).withColumn("edge", edge)
-    rows = flagged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "s", "edge"))).alias("r"))
-    sized = rows.select("doc_id", F.transform("r", lambda x: x["s"]).alias("units"), F.transform("r", lambda x: T.count_tokens(x["s"], kind).cast("int")).alias("sizes"), F.transform("r", lambda x: x["edge"]).alias("flags"))
+    flagged = each.withColumns({"before": F.lag("s").over(order), "w_before": F.lag("w").over(order)}).select("doc_id", "k", "s", "size", edge.alias("edge"))
+    rows = flagged.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "s", "size", "edge"))).alias("r"))
+    sized = rows.select("doc_id", F.col("r.s").alias("units"), F.col("r.size").alias("sizes"), F.col("r.edge").alias("flags"))
     return packed(sized, " ", Rule(size, max_sentences))
 
 

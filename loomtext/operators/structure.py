@@ -158,12 +158,16 @@ def section_tree(docs: DataFrame, size: int = 512, fan: int = 5, levels: int = 3
     return out
 
 
-def position_context(chunks: DataFrame) -> DataFrame:
-    """Relative place, section band, and the ends of the neighbouring chunks (100 characters)."""
+def _position() -> dict[str, Column]:
     order, whole = Window.partitionBy("doc_id").orderBy("chunk_no"), Window.partitionBy("doc_id")
     at = (F.col("chunk_no") - 1) / F.count("*").over(whole)
     band = F.when(at < 0.1, "introduction").when(at < 0.3, "early").when(at < 0.7, "middle").when(at < 0.9, "late").otherwise("conclusion")
-    return chunks.select("doc_id", "chunk_no", at.alias("at"), band.alias("band"), F.coalesce(F.right(F.lag("text").over(order), F.lit(100)), F.lit("")).alias("before"), F.coalesce(F.left(F.lead("text").over(order), F.lit(100)), F.lit("")).alias("after"))
+    return {"at": at, "band": band, "before": F.coalesce(F.right(F.lag("text").over(order), F.lit(100)), F.lit("")), "after": F.coalesce(F.left(F.lead("text").over(order), F.lit(100)), F.lit(""))}
+
+
+def position_context(chunks: DataFrame) -> DataFrame:
+    """Relative place, section band, and the ends of the neighbouring chunks (100 characters)."""
+    return chunks.select("doc_id", "chunk_no", *[c.alias(name) for name, c in _position().items()])
 
 
 def boundary_scores(segments: DataFrame) -> DataFrame:
@@ -205,8 +209,8 @@ def segment_coherence(segments: DataFrame, p: float = 0.3) -> DataFrame:
 def chunk_contextual(docs: DataFrame, size: int = 512, embed=None) -> DataFrame:
     """Semantic chunks with their place, neighbours' ends, structure and, with embed, vectors."""
     chunks = K.chunk_semantic(docs, size, embed=embed)
-    placed = position_context(chunks)
-    rows = chunks.select("doc_id", "chunk_no", "text", "tokens", T.chunk_structure(F.col("text")).alias("structure")).join(placed, ["doc_id", "chunk_no"])
+    # place and neighbours are windows over the chunks themselves, so those are made once
+    rows = chunks.select("doc_id", "chunk_no", "text", "tokens", T.chunk_structure(F.col("text")).alias("structure"), *[c.alias(name) for name, c in _position().items()])
     return embed(rows) if embed is not None else rows
 
 
