@@ -8,6 +8,7 @@ grows with the document but its own arrays.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
@@ -159,3 +160,85 @@ def cut_at(docs: DataFrame, joiner: str) -> DataFrame:
 def windows(docs: DataFrame, joiner: str, size: int, step: int) -> DataFrame:
     """docs has doc_id, units, sizes: a chunk of size units at every step, until one reaches the end."""
     return _chunks(docs.select("doc_id", "units", "sizes"), joiner, partial(_by_step, size=size, step=step))
+
+
+#: Marks that count as half a token each in the word counts of texts, and characters of a token where only they are left to cut at.
+MARKS, CHARACTERS = b""".,!?;:()[]{}"'""", 4
+
+
+def recursive_pieces(docs: DataFrame, size: int, separators: tuple[str, ...]) -> DataFrame:
+    """(doc_id, piece_no, text, tokens) of docs (doc_id, text): a text over the size is cut after a separator,
+    parts in a row are one piece while they fit, and a part that doesn't is cut after the next separator,
+    at last between characters."""
+    small_batches(docs.sparkSession)
+    fields = [docs.schema["doc_id"], S.StructField("piece_no", S.IntegerType()), S.StructField("text", S.StringType()), S.StructField("tokens", S.LongType())]
+    return docs.select("doc_id", "text").mapInArrow(partial(_recursive, size=size, separators=[s.encode() for s in separators]), S.StructType(fields))
+
+
+def _recursive(batches: Iterator[pa.RecordBatch], size: int, separators: list[bytes]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(1).cast(pa.large_string())
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        raw = np.frombuffer(texts.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if len(texts) and bounds[-1] else np.zeros(0, np.uint8)
+        pieces = _Pieces(raw, bounds - bounds[0] if len(bounds) else bounds, size, separators)
+        owner, no, ends = [], [], [0]
+        for k, (a, b) in enumerate(zip(pieces.bounds[:-1], pieces.bounds[1:])):
+            cut = pieces.cut(a, b, 0) if b > a else []
+            owner += [k] * len(cut)
+            no += range(1, len(cut) + 1)
+            ends += cut
+        at = np.array(ends, np.int64)
+        text = pa.LargeStringArray.from_buffers(len(owner), pa.py_buffer(at), pa.py_buffer(raw)).cast(pa.string())
+        counts = [pieces.tokens(a, b) for a, b in zip(ends[:-1], ends[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), pa.array(no, pa.int32()), text, pa.array(counts, pa.int64())], ["doc_id", "piece_no", "text", "tokens"])
+
+
+class _Pieces:
+    """The bytes of some texts one after the other, with running counts of words and marks."""
+
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray, size: int, separators: list[bytes]):
+        self.bounds, self.size, self.separators = bounds.tolist(), size, separators
+        letter = ~np.isin(raw, np.frombuffer(b" \t\n\x0b\f\r", np.uint8))
+        opens = letter & np.append(True, ~letter[:-1])[: len(raw)]
+        opens[bounds[:-1][bounds[:-1] < len(raw)]] |= letter[bounds[:-1][bounds[:-1] < len(raw)]]
+        count = lambda flags: np.append(0, np.cumsum(flags)).tolist()
+        self.words, self.marks = count(opens), count(np.isin(raw, np.frombuffer(MARKS, np.uint8)))
+        self.inside = (letter & ~opens).tolist()
+        self.after = [self._ends(raw, s) for s in separators]
+        self.characters = np.flatnonzero((raw & 0xC0) != 0x80).tolist()
+
+    @staticmethod
+    def _ends(raw: np.ndarray, separator: bytes) -> list[int]:
+        n, found = len(separator), np.ones(max(0, len(raw) - len(separator) + 1), bool)
+        for k, byte in enumerate(separator):
+            found &= raw[k : k + len(found)] == byte
+        return (np.flatnonzero(found) + n).tolist()
+
+    def tokens(self, a: int, b: int) -> int:
+        return self.words[b] - self.words[a] + (b > a and self.inside[a]) + (self.marks[b] - self.marks[a]) // 2
+
+    def cut(self, a: int, b: int, level: int) -> list[int]:
+        """The ends of the pieces of the bytes from a to b."""
+        if self.tokens(a, b) <= self.size:
+            return [b]
+        last = level == len(self.separators)
+        after = self.characters if last else self.after[level]
+        first, end = bisect.bisect_left(after, a + (1 if last else len(self.separators[level]))), bisect.bisect_left(after, b)
+        if first == end and not last:
+            return self.cut(a, b, level + 1)
+        out = []
+        while a < b:
+            most = min(end, first + CHARACTERS * self.size) if last else end
+            # the parts that fit together; b is the end of the last one
+            fit = bisect.bisect_right(after, self.size, first, most, key=lambda x: self.tokens(a, x))
+            if fit == end and self.tokens(a, b) <= self.size and (not last or end - first < CHARACTERS * self.size):
+                return [*out, b]
+            if fit > first or last:
+                to = after[max(fit, first + 1) - 1]
+                out.append(to)
+            else:
+                to = after[first] if first < end else b
+                out += self.cut(a, to, level + 1)
+            a = to
+            first = bisect.bisect_right(after, a, first, end)
+        return out

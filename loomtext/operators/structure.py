@@ -12,7 +12,7 @@ from loomtext.functions import vectors as V
 from loomtext.plans.shared import Scratch
 
 from . import chunk as K
-from .packing import packed_sections
+from .packing import packed_sections, recursive_pieces
 
 #: Fenced code, table rows, images and html blocks.
 BLOCK_PATTERN = r"(?s)```.*?(?:```|$)|(?m:^\|[^\n]*\|[ \t]*$)(?:\n(?m:^\|[^\n]*\|[ \t]*$))*|!\[[^\]]*\]\([^)]*\)|<(?:div|table|section)\b.*?</(?:div|table|section)>"
@@ -76,11 +76,16 @@ def neighbour_types(blocks: DataFrame) -> DataFrame:
     return blocks.select("doc_id", "block_no", F.count("*").over(whole).alias("total"), F.lag("kind").over(order).alias("preceded_by"), F.lead("kind").over(order).alias("followed_by"))
 
 
-def chunk_recursive(docs: DataFrame, size: int = 512) -> DataFrame:
+def chunk_recursive(docs: DataFrame, size: int = 512, combine: bool = False) -> DataFrame:
     """(doc_id, piece_no, text, tokens): pieces over the size are split at ever finer separators, which stay with the text before.
 
-    A document's pieces are an array, so a level reads the pieces of the one before; no shuffle.
+    combine: the whole method. Parts of a level are put together while they fit the size, and what no
+    separator cuts is cut between characters, so no piece is over the size (packing).  Without it the
+    parts stay as the separators leave them.  No shuffle either way.
     """
+    if combine:
+        return recursive_pieces(docs.filter("text <> ''"), size, SEPARATORS)
+    # a document's pieces are an array, so a level reads the pieces of the one before
     sized = lambda s: F.struct(s.alias("text"), T.count_tokens(s, "word").alias("tokens"))
 
     def split(pieces: Column, separator: str) -> Column:

@@ -140,7 +140,7 @@ def _(t):
 SELECT doc_id, sum(strlen(text))::BIGINT AS bytes, true AS within FROM documents WHERE text <> '' GROUP BY doc_id
 """)
 def _(t):
-    p = D.chunk_recursive(t("documents"), 64)
+    p = D.chunk_recursive(t("documents"), 64, combine=True)
     return p.groupBy("doc_id").agg(F.sum(F.octet_length("text")).alias("bytes"), (F.max("tokens") <= 64).alias("within"))
 
 

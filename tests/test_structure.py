@@ -193,6 +193,43 @@ def test_recursive_pieces_come_from_one_pass(spark):
     assert plan.collectLeaves().size() == 1 and "Window" not in plan.toString()
 
 
+def test_recursive_parts_are_combined_and_cut_between_characters(spark):
+    def plain(piece, separators, size):
+        if tokens(piece) <= size:
+            return [piece]
+        if not separators:
+            out = []
+            while piece:
+                n = max(k for k in range(1, min(len(piece), 4 * size) + 1) if tokens(piece[:k]) <= size)
+                out, piece = [*out, piece[:n]], piece[n:]
+            return out
+        held, out = "", []
+        for part in [x for x in re.split(f"(?<={re.escape(separators[0])})", piece) if x]:
+            if held and tokens(held + part) > size:
+                out, held = [*out, held], ""
+            held += part
+            if tokens(held) > size:
+                out, held = out + plain(held, separators[1:], size), ""
+        return out + [held] * (held != "")
+
+    rng = random.Random(5)
+    units = ["a", "wörd", "b.", "c; ", ", ", ". ", "\n", "\n\n", "\n\n\n", " ", "? ", "x! ", "\t", "日本", "(", '"']
+    texts = ["".join(rng.choice(units) for _ in range(n)) for n in (0, 1, 5, 40, 300, 300, 900)]
+    texts += ["\t".join(["word"] * 200), "é" * 500 + "(" * 99, ".\t" * 150]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string").coalesce(1)
+    for size in (1, 12, 64):
+        got = D.chunk_recursive(docs, size, combine=True).orderBy("doc_id", "piece_no").collect()
+        want = [(d, k + 1, x, tokens(x)) for d, t in enumerate(texts) if t for k, x in enumerate(plain(t, D.SEPARATORS, size))]
+        assert list(map(tuple, got)) == want and max(r["tokens"] for r in got) <= size
+    from loomtext.plans import registry
+    import os, tempfile  # noqa: E401
+
+    folder = tempfile.mkdtemp(prefix="recursive-")
+    docs.write.parquet(os.path.join(folder, "documents.parquet"))
+    rows = {r["doc_id"]: (r["bytes"], r["within"]) for r in registry.QUERIES["chunk_recursive"](spark, folder).collect()}
+    assert rows == {d: (len(t.encode()), True) for d, t in enumerate(texts) if t}
+
+
 def test_hierarchy_reads_chunks_once(spark):
     chunks = spark.createDataFrame([(d, k + 1, f"d{d}c{k}. more", 3) for d, n in ((1, 1), (2, 5), (3, 6), (4, 32), (5, 126)) for k in range(n)], "doc_id long, chunk_no int, text string, tokens int")
     expected = []
