@@ -44,3 +44,25 @@ def test_copies_of_a_set_do_not_grow_with_the_sets(spark, monkeypatch):
     assert units.count() <= 12 * 3000
     alone = units.filter("i = j").groupBy("id").count()
     assert alone.count() == 3000 and alone.agg(F.max("count")).first()[0] == 1
+
+
+@pytest.mark.parametrize("kind", ["words", "vectors"])
+def test_rows_are_written_once_and_not_sent_to_each_block(spark, monkeypatch, kind):
+    """Each set and vector was shuffled once for each block that its own meets."""
+    kept = []
+    keep = P.Scratch.keep
+    monkeypatch.setattr(P.Scratch, "keep", lambda self, df, **by: kept.append(keep(self, df, **by)) or kept[-1])
+    for name, value in {"LEAST_WORDS": 150, "BLOCK": 10, "LARGEST": 20, "TASKS": 30}.items():
+        monkeypatch.setattr(P, name, value)
+    if kind == "words":
+        rows = spark.createDataFrame(list(enumerate(texts(8, 100, 40))), "id long, text string")
+        pairs = P.token_jaccard_pairs(rows, 0.3)
+    else:
+        rng = random.Random(9)
+        rows = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(3)]) for k in range(100)], "id long, vector array<float>")
+        pairs = P.cosine_pairs(rows, 0.5)
+    assert [k.count() for k in kept] == [100] and len(kept[0].select("block").distinct().collect()) > 4
+    assert pairs.count() > 50
+    # what is shuffled after the rows are written are numbers of pairs of blocks
+    leaf = pairs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert leaf.size() == 1 and "Range" in leaf.head().toString()
