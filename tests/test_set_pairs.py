@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,3 +67,24 @@ def test_rows_are_written_once_and_not_sent_to_each_block(spark, monkeypatch, ki
     # what is shuffled after the rows are written are numbers of pairs of blocks
     leaf = pairs._jdf.queryExecution().optimizedPlan().collectLeaves()
     assert leaf.size() == 1 and "Range" in leaf.head().toString()
+
+
+def test_lsh_pairs_come_once_and_without_a_shuffle(spark, monkeypatch):
+    """Vectors were shuffled for each table and block, and pairs once more for each table that finds them."""
+    kept = []
+    keep = P.Scratch.keep
+    monkeypatch.setattr(P.Scratch, "keep", lambda self, df, **by: kept.append(keep(self, df, **by)) or kept[-1])
+    for name, value in {"LSH_ROWS": 40, "LSH_BATCH": 16, "BLOCK": 7, "PAIRS": 20}.items():
+        monkeypatch.setattr(P, name, value)
+    rng = random.Random(10)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(5)]) for k in range(150)] + [(150, [0.0] * 5)]
+    found = P.cosine_pairs(spark.createDataFrame(rows, "id long, vector array<double>"), 0.5, "lsh", tables=6, bits=3)
+    v = np.array([x for _, x in rows])
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    codes = P._codes(v, 6, 3)
+    want = [(a, b) for a, b in itertools.combinations(range(151), 2) if v[a] @ v[b] > 0.5 and (codes[a] == codes[b]).any()]
+    got = found.collect()
+    assert sorted((r["a"], r["b"]) for r in got) == want and len(want) > 500
+    assert all(abs(r["score"] - v[r["a"]] @ v[r["b"]]) < 1e-9 for r in got)
+    leaf = found._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert [k.count() for k in kept] == [151] and leaf.size() == 1 and "Range" in leaf.head().toString()
